@@ -118,3 +118,19 @@ def covered(n_words: int, at: np.ndarray, n: int) -> np.ndarray:
     change = np.bincount(at, minlength=n_words + 1)[: n_words + 1].astype(np.int64)
     change -= np.bincount(at + n, minlength=n_words + 1)[: n_words + 1]
     return np.cumsum(change[:-1]) > 0
+
+
+def grouped(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of one member of each group of equal hashes, and the group of each hash."""
+    order = np.argsort(h)
+    new = np.ones(len(h), bool)
+    new[1:] = h[order[1:]] != h[order[:-1]]
+    group = np.empty(len(h), np.int64)
+    group[order] = np.cumsum(new) - 1
+    return order[new], group
+
+
+def gather(values: np.ndarray, first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """values[first[i] : first[i] + counts[i]] of all i, end to end."""
+    ends = np.cumsum(counts)
+    return values[np.repeat(first - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boosting, langid, repetition
+from . import boosting, langid, repetition, token_store, word_bpe
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,6 +39,22 @@ def op8_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def _tokenizer(name: str) -> str:
+    from public_tokenizers import path
+
+    return path(name)
+
+
+def op4_perfect_hash_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = token_store.write(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+    return token_store.read_digests(manifest).select("doc_id", "start", "n_tokens", "ids_crc32", "shard")
+
+
+def op10_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, path = _table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json")
+    return word_bpe.encode_digests(docs, path, word_bpe.build_lexicon(docs, path))
+
+
 _OP2_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, unnest(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS w, generate_subscripts(regexp_extract_all(t, '[^\x20\x09-\x0D]+'), 1) AS i FROM d),
@@ -75,7 +91,7 @@ FROM m
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_language_crf, op2_repetition_coverage, op8_boosted_quality)}
+    return {f.__name__: f for f in (op1_language_crf, op2_repetition_coverage, op4_perfect_hash_ids, op8_boosted_quality, op10_transducer_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

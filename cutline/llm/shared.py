@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,3 +52,17 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2 <
             held += len(text) + 1
         if start < len(texts):
             yield batch.slice(start), texts[start:]
+
+
+def write_bytes(uri: str, parts: list[bytes]) -> None:
+    fs, path = pa.fs.FileSystem.from_uri(uri)
+    fs.create_dir(path.rpartition("/")[0])
+    with fs.open_output_stream(path) as out:
+        for part in parts:
+            out.write(part)
+
+
+def read_bytes(uri: str) -> bytes:
+    fs, path = pa.fs.FileSystem.from_uri(uri)
+    with fs.open_input_file(path) as f:
+        return f.read()
