@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boosting, chat, langid, repetition, sharding, token_store, word_bpe
+from . import boosting, chat, decontam, langid, repetition, sharding, token_store, word_bpe
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,6 +43,10 @@ def op3_byte_prefix_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(_table(spark, sf_dir, "documents"), 8)
 
 
+def op5_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_reply_tree_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = F.lit("</s>[INST] ok [/INST]").alias("text")
@@ -128,6 +132,18 @@ SELECT doc_id, size, {_CRC_SQL} AS text_crc32, 'bytes' AS law, shard,
 FROM p
 """
 
+_OP5_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{decontam.WORD}') AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{decontam.WORD}') AS w FROM benchmark WHERE item_id IS NOT NULL),
+bw AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[j:j + least(len(w), 10) - 1], ' ') AS k FROM (SELECT *, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS j FROM b WHERE len(w) > 0)),
+dw AS (SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS k FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bw))),
+h AS (SELECT r, item_id, i, dw.n FROM dw JOIN bw ON dw.k = bw.k AND dw.n = bw.n),
+hits AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM h) GROUP BY r),
+items AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS ids FROM h GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits USING (r) LEFT JOIN items USING (r)
+"""
+
 _ESCAPED = "replace({}, '\\', '\\\\')"
 for _c in chat.CONTROLS:
     _ESCAPED = f"replace({_ESCAPED}, '{_c}', '{_c[0]}\\{_c[1:]}')"
@@ -146,8 +162,8 @@ FROM s WHERE conv_id IS NOT NULL GROUP BY conv_id
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_language_crf, op2_repetition_coverage, op3_byte_prefix_shards, op4_perfect_hash_ids, op8_boosted_quality, op9_reply_tree_chat, op10_transducer_bpe)}
+    return {f.__name__: f for f in (op1_language_crf, op2_repetition_coverage, op3_byte_prefix_shards, op4_perfect_hash_ids, op5_positional_index, op8_boosted_quality, op9_reply_tree_chat, op10_transducer_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_repetition_coverage": _OP2_SQL, "op3_byte_prefix_shards": _OP3_SQL, "op9_reply_tree_chat": _OP9_SQL}
+    return {"op2_repetition_coverage": _OP2_SQL, "op3_byte_prefix_shards": _OP3_SQL, "op5_positional_index": _OP5_SQL, "op9_reply_tree_chat": _OP9_SQL}
