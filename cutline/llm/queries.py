@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boosting, chat, decontam, langid, repetition, sharding, token_store, word_bpe
+from . import boosting, chat, decontam, langid, pii, repetition, sharding, token_store, word_bpe
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,6 +47,13 @@ def op5_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op6_disclosing_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_spans(_table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("spans", pii.is_kind(k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    everything = pii.written(F.concat("spans", "term_spans"))
+    return found.select("doc_id", *counts, F.sha2(pii.written(F.col("spans")), 256).alias("base_sha256"), everything.alias("spans"))
+
+
 def op9_reply_tree_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = F.lit("</s>[INST] ok [/INST]").alias("text")
@@ -162,7 +169,7 @@ FROM s WHERE conv_id IS NOT NULL GROUP BY conv_id
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_language_crf, op2_repetition_coverage, op3_byte_prefix_shards, op4_perfect_hash_ids, op5_positional_index, op8_boosted_quality, op9_reply_tree_chat, op10_transducer_bpe)}
+    return {f.__name__: f for f in (op1_language_crf, op2_repetition_coverage, op3_byte_prefix_shards, op4_perfect_hash_ids, op5_positional_index, op6_disclosing_terms, op8_boosted_quality, op9_reply_tree_chat, op10_transducer_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
