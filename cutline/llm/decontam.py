@@ -33,10 +33,15 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(lowered, F.lit("")), F.lit(WORD), F.lit(0))
 
 
+def _keys() -> tuple[Column, Column]:
+    both = (F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce("text", F.lit("")))
+    return F.xxhash64(*both), F.hash(*both)
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """Each row's words under a key of 96 bits made of doc_id and text."""
-    both = (F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce("text", F.lit("")))
-    return docs.select("doc_id", F.xxhash64(*both).alias("k1"), F.hash(*both).alias("k2"), words_of(F.col("text")).alias("words"))
+    k1, k2 = _keys()
+    return docs.select("doc_id", k1.alias("k1"), k2.alias("k2"), words_of(F.col("text")).alias("words"))
 
 
 def benchmark_items(benchmark: DataFrame) -> DataFrame:
@@ -116,13 +121,24 @@ def proximity_matches(index: DataFrame, chosen: DataFrame, counts: DataFrame, te
     return close.groupBy("doc_id", *_KEY, "item").agg(F.min(F.struct("span", "pos")).alias("best")).select("doc_id", "item", "best.pos", "best.span")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every document."""
+def _hits(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     items = benchmark_items(benchmark)
-    counts = term_counts(docs, items)
-    chosen = anchors(items, counts)
+    chosen = anchors(items, term_counts(docs, items))
     index = build_index(docs, chosen)
-    hits = stash(exact_matches(docs, index, items, chosen), "hits")
+    return index, stash(exact_matches(docs, index, items, chosen), "hits")
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows, with all columns, in which no window of a benchmark item occurs."""
+    _, hits = _hits(docs, benchmark)
+    bad = stash(hits.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).distinct(), "contaminated")
+    k1, k2 = _keys()
+    return docs.join(small(bad), (k1 == F.col("__k1")) & (k2 == F.col("__k2")), "left_anti")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every document."""
+    index, hits = _hits(docs, benchmark)
     before = Window.partitionBy(*_KEY).orderBy("first", "end").rowsBetween(Window.unboundedPreceding, -1)
     reached = F.coalesce(F.max("end").over(before), F.lit(0))
     new = hits.withColumn("new", F.greatest(F.lit(0), F.col("end") - F.greatest(F.col("first"), reached)))

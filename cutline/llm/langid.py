@@ -240,32 +240,48 @@ def label_texts(crf: Crf, texts: list[str], cache: dict[str, int], table: list[n
     return words, doc, forward_backward(emission, first, crf.transition, crf.initial)
 
 
+def _decide(crf: Crf, texts: list[str], cache: dict[str, int], table: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Language of each text (len(crf.langs): unknown), its share of letters, and how often the language changes."""
+    k = len(crf.langs)
+    if not k:
+        return np.zeros(len(texts), np.int64), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+    words, doc, posterior = label_texts(crf, texts, cache, table)
+    letters = np.fromiter(map(len, chain.from_iterable(words)), np.float64, len(doc))
+    mass = np.stack([np.bincount(doc, posterior[:, j] * letters, len(texts)) for j in range(k)], 1)
+    total = mass.sum(1)
+    tag = posterior.argmax(1)
+    switches = np.bincount(doc[1:], (tag[1:] != tag[:-1]) & (doc[1:] == doc[:-1]), len(texts)).astype(np.int64)
+    return np.where(total > 0, mass.argmax(1), k), np.clip(mass.max(1) / np.maximum(total, 1e-300), 0, 1), switches
+
+
 def predict(docs: DataFrame, crf: Crf) -> DataFrame:
     """doc_id, lang_pred, score (the posterior share of letters in that language), n_switches between words of each row."""
     shared = docs.sparkSession.sparkContext.broadcast(crf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crf, cache, table = shared.value, {}, []
-        k = len(crf.langs)
         names = np.array([*crf.langs, UNKNOWN], object)
         for part, texts in text_slices(batches, "text"):
-            if not k:
-                best, share, switches = np.zeros(len(texts), np.int64), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-            else:
-                words, doc, posterior = label_texts(crf, texts, cache, table)
-                letters = np.fromiter(map(len, chain.from_iterable(words)), np.float64, len(doc))
-                mass = np.stack([np.bincount(doc, posterior[:, j] * letters, len(texts)) for j in range(k)], 1)
-                total = mass.sum(1)
-                best = np.where(total > 0, mass.argmax(1), k)
-                share = np.clip(mass.max(1) / np.maximum(total, 1e-300), 0, 1)
-                tag = posterior.argmax(1)
-                switches = np.bincount(doc[1:], (tag[1:] != tag[:-1]) & (doc[1:] == doc[:-1]), len(texts)).astype(np.int64)
+            best, share, switches = _decide(crf, texts, cache, table)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names[best], pa.string()), pa.array(share), pa.array(switches)], ["doc_id", "lang_pred", "score", "n_switches"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, n_switches long")
 
 
+def keep_known(docs: DataFrame, crf: Crf, least: float = 0.4) -> DataFrame:
+    """The rows, with all columns, whose language is known: some letters, and a share of at least ``least`` in one language."""
+    shared = docs.sparkSession.sparkContext.broadcast(crf)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        crf, cache, table = shared.value, {}, []
+        for part, texts in text_slices(batches, "text"):
+            best, share, _ = _decide(crf, texts, cache, table)
+            yield part.filter(pa.array((best < len(crf.langs)) & (share >= least)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def label_words(docs: DataFrame, crf: Crf) -> DataFrame:
     """One row per word: doc_id, place, word (lower-cased), lang, probability."""
     shared = docs.sparkSession.sparkContext.broadcast(crf)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boosting, chat, decontam, langid, pii, repetition, sharding, token_store, word_bpe
+from . import boosting, chat, decontam, langid, neardup, pii, repetition, sharding, token_store, word_bpe
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,16 +16,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _remainder(divisor: int) -> Column:
+def remainder(divisor: int) -> Column:
     """crc32 of doc_id as text, modulo a divisor; a null doc_id counts as empty text."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % divisor
 
 
 def op1_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    crf = langid.train(docs, _remainder(4) != 2)
+    crf = langid.train(docs, remainder(4) != 2)
     found = langid.predict(docs, crf)
-    return found.select("doc_id", (_remainder(4) == 2).alias("held_out"), "lang_pred", "score", "n_switches")
+    return found.select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score", "n_switches")
 
 
 def op2_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,9 +34,9 @@ def op2_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    forest = boosting.train(docs, _table(spark, sf_dir, "labels"), _remainder(5) != 0)
+    forest = boosting.train(docs, _table(spark, sf_dir, "labels"), remainder(5) != 0)
     scored = boosting.score(docs, forest)
-    return scored.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return scored.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op3_byte_prefix_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +54,11 @@ def op6_disclosing_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.written(F.col("spans")), 256).alias("base_sha256"), everything.alias("spans"))
 
 
+def op7_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", F.hex("tid").alias("text_id"), "kept")
+
+
 def op9_reply_tree_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = F.lit("</s>[INST] ok [/INST]").alias("text")
@@ -68,19 +73,19 @@ def op9_reply_tree_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer(name: str) -> str:
     from public_tokenizers import path
 
     return path(name)
 
 
 def op4_perfect_hash_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = token_store.write(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+    manifest = token_store.write(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
     return token_store.read_digests(manifest).select("doc_id", "start", "n_tokens", "ids_crc32", "shard")
 
 
 def op10_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, path = _table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json")
+    docs, path = _table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json")
     return word_bpe.encode_digests(docs, path, word_bpe.build_lexicon(docs, path))
 
 
@@ -169,7 +174,7 @@ FROM s WHERE conv_id IS NOT NULL GROUP BY conv_id
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_language_crf, op2_repetition_coverage, op3_byte_prefix_shards, op4_perfect_hash_ids, op5_positional_index, op6_disclosing_terms, op8_boosted_quality, op9_reply_tree_chat, op10_transducer_bpe)}
+    return {f.__name__: f for f in (op1_language_crf, op2_repetition_coverage, op3_byte_prefix_shards, op4_perfect_hash_ids, op5_positional_index, op6_disclosing_terms, op7_weighted_minhash, op8_boosted_quality, op9_reply_tree_chat, op10_transducer_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
