@@ -1 +1 @@
-
+"""Column builders: text, numbers, dates, vectors and nested values."""
