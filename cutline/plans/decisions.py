@@ -58,7 +58,7 @@ def _profiles(t: Tables) -> DataFrame:
 WITH {_PROFILES}, {_CANDIDATES}, latest AS (SELECT max(year(o_orderdate)) AS y FROM orders),
 u AS (SELECT p.*, CASE WHEN EXISTS (SELECT 1 FROM orders WHERE year(o_orderdate) = wanted) THEN wanted ELSE latest.y END AS used FROM p, latest),
 j AS (SELECT u.*, cutoff, o_orderpriority, z - cutoff AS margin, o_orderkey % 7 <> 0 AS passes FROM u JOIN cand ON c_nationkey = place AND cand.y = used WHERE cutoff <= z + 40000)
-SELECT profile_id, used AS used_period, CASE WHEN wanted - used <= 0 THEN 'current' WHEN wanted - used = 1 THEN 'previous_year' ELSE 'estimated' END AS tier,
+SELECT profile_id, CAST(used AS BIGINT) AS used_period, CASE WHEN wanted - used <= 0 THEN 'current' WHEN wanted - used = 1 THEN 'previous_year' ELSE 'estimated' END AS tier,
   count(*) FILTER (passes AND margin >= 0 AND o_orderpriority <> '1-URGENT') AS n_eligible, count(*) FILTER (passes AND margin >= 0 AND o_orderpriority = '1-URGENT') AS n_conditional,
   count(*) FILTER (passes AND margin < 0) AS n_near_miss, count(*) FILTER (NOT passes AND margin >= 0) AS n_gated
 FROM j GROUP BY 1, 2, 3
@@ -69,7 +69,7 @@ def elig_profiles_batch(t: Tables) -> DataFrame:
     profiles = D.effective_period(_profiles(t), facts, "wanted", "y")
     rows = profiles.join(_candidates(t), (F.col("place") == F.col("c_nationkey")) & (F.col("used_period") == F.col("y")))
     judged = D.decide(rows, "z", "cutoff", 40000, 15000, F.col("o_orderpriority") == "1-URGENT", F.col("o_orderkey") % 7 != 0)
-    return D.decision_counts(judged, ["profile_id", "used_period", "tier"])
+    return D.decision_counts(judged.withColumn("used_period", F.col("used_period").cast("long")), ["profile_id", "used_period", "tier"])
 
 
 _RULES = {

@@ -157,7 +157,7 @@ FROM orders GROUP BY year(o_orderdate)
 """)
 def year_stats(t: Tables) -> DataFrame:
     """Counts, distinct counts, conditional counts, and a flag of the latest year."""
-    years = t.orders.groupBy(F.year("o_orderdate").alias("y")).agg(
+    years = t.orders.groupBy(F.year("o_orderdate").cast("long").alias("y")).agg(
         F.count("*").alias("n"), F.count_distinct("o_custkey").alias("customers"), F.count_if(F.col("o_orderstatus") == "F").alias("finished"), F.max(_money("o_totalprice")).alias("top")
     )
     latest = t.orders.agg(F.max(F.year("o_orderdate")).alias("last"))
@@ -233,7 +233,7 @@ SELECT o_custkey, y, CAST(z AS DOUBLE) AS z, CAST(delta AS DOUBLE) AS delta, CAS
 """)
 def yoy_delta_band(t: Tables) -> DataFrame:
     """Change against the nearest earlier year, in a band."""
-    per = t.orders.groupBy("o_custkey", F.year("o_orderdate").alias("y")).agg(F.max(_money("o_totalprice")).alias("z"))
+    per = t.orders.groupBy("o_custkey", F.year("o_orderdate").cast("long").alias("y")).agg(F.max(_money("o_totalprice")).alias("z"))
     return windows.delta_band(per, ["o_custkey"], "y", "z", "5000")
 
 
@@ -310,7 +310,7 @@ def nulls_last(t: Tables) -> DataFrame:
     """Nulls last, said outright; a top-k report."""
     b = t.customer.select("c_custkey", F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("b")).orderBy(F.asc_nulls_last("b"), "c_custkey").limit(50)
     rows = b.agg(F.array_sort(F.collect_list(F.struct(F.col("b").isNull().alias("none"), "b", "c_custkey"))).alias("r"))
-    return rows.select(F.posexplode("r").alias("i", "x")).select("x.c_custkey", (F.col("i") + 1).alias("rank"))
+    return rows.select(F.posexplode("r").alias("i", "x")).select("x.c_custkey", (F.col("i") + 1).cast("long").alias("rank"))
 
 
 @query("""SELECT p_partkey, CAST(regexp_extract(p_brand, '[0-9]+') AS INT) AS number FROM part WHERE CAST(regexp_extract(p_brand, '[0-9]+') AS INT) > 20 ORDER BY number, p_partkey LIMIT 100""")
