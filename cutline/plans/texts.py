@@ -139,7 +139,7 @@ _BODY = "PROMO BRUSHED STEEL and Brand13 (old) then LOPPA"
 
 
 @query(rf"""
-SELECT DISTINCT p_brand, regexp_matches('{_BODY.upper()}', '\b' || upper(replace(p_brand, '#', '')) || '\b') AS present FROM part
+SELECT DISTINCT p_brand, contains('{_BODY.upper()}', upper(replace(p_brand, '#', ''))) AS present FROM part
 """)
 def presence_check(t: Tables) -> DataFrame:
     """Whether codes stand in a text, forward or reversed."""
