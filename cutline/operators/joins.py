@@ -105,7 +105,8 @@ def greedy_nearest(items: DataFrame, targets: DataFrame, group: str, item: str,
         return pd.DataFrame(out, columns=[group, item, target]).astype({target: "object"})
 
     schema = f"{group} {items.schema[group].dataType.simpleString()}, {item} {items.schema[item].dataType.simpleString()}, {target} {targets.schema[target].dataType.simpleString()}"
-    return items.groupBy(group).cogroup(targets.groupBy(group)).applyInPandas(assign, schema)
+    mine = items.toDF(*items.columns)  # fresh columns: both sides may come from one table
+    return mine.groupBy(F.col(group)).cogroup(targets.toDF(*targets.columns).groupBy(F.col(group))).applyInPandas(assign, schema)
 
 
 def subset_of_any(left: DataFrame, words: str, right: DataFrame, other_words: str, key: str) -> DataFrame:
