@@ -133,7 +133,11 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, support: int = SUPPORT,
     contexts = stash(contexts.where(F.size("terms") > 0), "contexts")
     entities = contexts.groupBy("entity").agg(F.count("*").alias("n")).where(F.col("n") >= support)
     pairs = contexts.select("entity", F.explode(F.array_distinct("terms")).alias("term")).groupBy("entity", "term").agg(F.count("*").alias("both"))
-    pairs = stash(pairs.where(F.col("both") >= support).join(entities, "entity"), "pairs")
+    pairs = pairs.where(F.col("both") >= support).join(entities, "entity")
+    # A term is in no fewer documents than hold it near a mention: those that this alone rules out aren't counted further.
+    near = found.select(F.explode(F.array_distinct(F.flatten("mentions.terms"))).alias("term")).groupBy("term").agg(F.count("*").alias("near"))
+    most = F.col("both") * F.pow(F.lit(max(total, 1)) / F.col("n"), F.lit(1 - generalise))
+    pairs = stash(pairs.join(near, "term").where(F.col("near") <= most * (1 + 1e-9)).drop("near"), "pairs")
     terms = stash(pairs.select("term").distinct(), "pair_terms")
     said = docs.select(F.explode(F.array_distinct(_terms(F.coalesce("text", F.lit(""))))).alias("term")).join(small(terms), "term").groupBy("term").agg(F.count("*").alias("df"))
     gain = F.log(F.col("both") / F.col("n") / (F.col("df") / F.lit(total)))
