@@ -60,21 +60,25 @@ def best_paths(messages: DataFrame, paths: int = 1) -> DataFrame:
     nodes = stash(nodes.withColumn("nth", F.row_number().over(ranked)).where("nth = 1").drop("nth"), "messages")
     known = nodes.select("conv_id", F.col("id").alias("parent"), F.lit(True).alias("held"))
     steps = nodes.join(known, ["conv_id", "parent"], "left").select("conv_id", "id", F.when(F.col("held"), F.col("parent")).alias("up"), F.when(F.col("held"), F.lit(1)).otherwise(0).alias("depth"), F.col("score").alias("total"))
-    levels = [stash(steps, "steps")]
+    steps = stash(steps, "steps")
+    done, levels = steps.where("up IS NULL"), [steps.where("up IS NOT NULL")]
     most = nodes.groupBy("conv_id").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
     while (1 << (len(levels) - 1)) < most:
+        # only messages that haven't reached their root yet take another, doubled step
         now = levels[-1]
-        above = now.select("conv_id", F.col("id").alias("up"), F.col("up").alias("further"), F.col("depth").alias("more"), F.col("total").alias("sum"))
-        joined = now.join(above, ["conv_id", "up"], "left")
-        levels.append(stash(joined.select("conv_id", "id", F.col("further").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("sum", F.lit(0.0))).alias("total")), "steps"))
-    reached = levels[-1].where("up IS NULL").select("conv_id", "id", "depth", "total")
-    parents = levels[0].where("up IS NOT NULL").select("conv_id", F.col("up").alias("id")).distinct()
+        above = now.unionByName(done).select("conv_id", F.col("id").alias("up"), F.col("up").alias("further"), F.col("depth").alias("more"), F.col("total").alias("sum"))
+        further = now.join(above, ["conv_id", "up"]).select("conv_id", "id", F.col("further").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("total") + F.col("sum")).alias("total"))
+        further = stash(further, "steps")
+        done = done.unionByName(further.where("up IS NULL"))
+        levels.append(further.where("up IS NOT NULL"))
+    reached = done.select("conv_id", "id", "depth", "total")
+    parents = levels[0].select("conv_id", F.col("up").alias("id")).distinct()
     order = Window.partitionBy("conv_id").orderBy(F.desc("mean"), F.desc("depth"), "id")
     leaves = reached.join(parents, ["conv_id", "id"], "left_anti").withColumn("mean", F.col("total") / (F.col("depth") + 1))
     chosen = leaves.withColumn("path_rank", F.row_number().over(order)).where(F.col("path_rank") <= paths)
     marked = chosen.select("conv_id", F.col("id").alias("leaf"), "path_rank", "id")
     for level in reversed(levels):  # the longest jumps first: in the end every message of the path is marked once
-        jumps = marked.join(level.select("conv_id", "id", "up").where("up IS NOT NULL"), ["conv_id", "id"])
+        jumps = marked.join(level.select("conv_id", "id", "up"), ["conv_id", "id"])
         marked = stash(marked.unionByName(jumps.select("conv_id", "leaf", "path_rank", F.col("up").alias("id"))).distinct(), "marked")
     return marked.join(reached.select("conv_id", "id", "depth"), ["conv_id", "id"]).join(nodes.select("conv_id", "id", "role", "text"), ["conv_id", "id"]).select("conv_id", "leaf", "path_rank", "depth", "role", "text")
 

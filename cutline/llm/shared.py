@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,17 +42,18 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Cut record batches into pieces of about ``limit`` characters of text, or one longer row; a null is an empty text."""
+    """Cut record batches into pieces of about ``limit`` bytes of text, or one longer row; a null is an empty text."""
     for batch in batches:
-        texts = [t or "" for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]
+        texts = batch.column(batch.schema.get_field_index(column))
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
         start = held = 0
-        for i, text in enumerate(texts):
-            if held and held + len(text) > limit:
-                yield batch.slice(start, i - start), texts[start:i]
+        for i, size in enumerate(sizes.tolist()):
+            if held and held + size > limit:
+                yield batch.slice(start, i - start), [t or "" for t in texts.slice(start, i - start).to_pylist()]
                 start, held = i, 0
-            held += len(text) + 1
+            held += size + 1
         if start < len(texts):
-            yield batch.slice(start), texts[start:]
+            yield batch.slice(start), [t or "" for t in texts.slice(start).to_pylist()]
 
 
 def write_bytes(uri: str, parts: list[bytes]) -> None:

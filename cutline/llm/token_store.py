@@ -17,6 +17,8 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +29,15 @@ from .flat import Flat, gather, grouped, span_hashes
 from .perfect_hash import PerfectHash, fingerprint
 from .shared import new_path, read_bytes, stash, text_slices, write_bytes
 
-#: Ids of a shard, about; encoded pieces of text that a task keeps.
-SHARD_IDS = 4 << 20
-CACHE_PIECES = 400_000
+#: Ids of a shard, about; encoded pieces of text that a task keeps; pieces and characters encoded at once.
+SHARD_IDS = 2 << 20
+CACHE_PIECES = 1_000_000
+AT_ONCE, CHARS_AT_ONCE = 10_000, 1 << 19
+_LETTER, _MARK, _ACCENTED = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_MARK[[b for b in range(0x21, 0x7F) if not chr(b).isalnum()]] = True
+#: Second bytes of U+00C0 to U+00FF, all letters but for the signs of multiplication and division.
+_ACCENTED[[b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7)]] = True
 _MAGIC = b"IDSHARD1"
 _ARRAYS = (("starts", np.int64), ("keys", np.int64), ("words", np.uint64), ("before", np.uint32), ("sizes", np.int64), ("rest", np.int64), ("prints", np.uint32), ("rows", np.uint32))
 _MANIFEST = "part int, nth int, uri string, n_docs long, n_ids long, low long, high long"
@@ -38,8 +46,9 @@ _MANIFEST = "part int, nth int, uri string, n_docs long, n_ids long, low long, h
 class PieceEncoder:
     """Encodes texts with a byte-level tokenizer of the library; pieces of text that come again are encoded once.
 
-    Texts are cut before a single space, and around a single line feed, between characters that aren't white space:
-    there such a tokenizer's own pattern always begins a new piece, so the ids are those of the whole text.
+    Texts are cut before a single space, around a single line feed and between a letter and a punctuation mark, in each
+    case between characters that aren't white space: there such a tokenizer's own pattern always begins a new piece, so
+    the ids are those of the whole text. Texts that hold a special token are not cut.
     """
 
     def __init__(self, path: str):
@@ -48,21 +57,25 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[int, np.ndarray] = {}
+        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self._forget()
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, and the number of ids of each text."""
         f = Flat(texts)
         data = f.data
-        plain = (data > 0x20) & (data < 0x7F)
-        accented = np.zeros(len(data), bool)  # U+00C0 to U+00FF: none is white space
-        accented[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80)
+        letter = _LETTER[data]
+        letter[1:] |= (data[:-1] == 0xC3) & _ACCENTED[data[1:]]
+        mark = _MARK[data]
         before, after = np.zeros(len(data), bool), np.zeros(len(data), bool)
-        before[1:] = (plain | accented)[:-1]
-        after[:-1] = (plain | (data == 0xC3))[1:]
+        before[1:] = (letter | mark)[:-1]
+        after[:-1] = (_LETTER[data] | mark | (data == 0xC3))[1:]
         alone = before & after
         cut = alone & ((data == 0x20) | (data == 0x0A))
-        cut[1:] |= (alone & (data == 0x0A))[:-1]
+        cut[1:] |= (alone & (data == 0x0A))[:-1] | (letter[:-1] & mark[1:])
+        for i, text in enumerate(texts):
+            if any(s in text for s in self.specials):
+                cut[f.start[i] : f.end[i]] = False
         cut[f.start] = True
         cut[f.end[f.end < len(data)]] = True  # the line feed after each text is no part of it
         edge = np.append(np.flatnonzero(cut), len(data))
@@ -70,22 +83,42 @@ class PieceEncoder:
         doc = f.doc_of(start)
         own = start < f.end[doc]
         start, end, doc = start[own], end[own], doc[own]
-        h = span_hashes(f.roll, start, end)
-        some, group = grouped(h)
-        keys = h[some].tolist()
-        if len(self.known) > CACHE_PIECES:
-            self.known.clear()
-        new = [i for i, k in enumerate(keys) if k not in self.known]
-        raw = data.tobytes()
-        pieces = [raw[start[some[i]] : end[some[i]]].decode() for i in new]
-        for i, got in zip(new, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
-            self.known[keys[i]] = np.array(got.ids, np.uint32)
-        found = [self.known[k] for k in keys]
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.concatenate(found) if found else np.zeros(0, np.uint32)
-        ids = gather(flat, (np.cumsum(counts) - counts)[group], counts[group])
+        some, group = grouped(span_hashes(f.roll, start, end))  # in order of the hashes
+        start, end = start[some], end[some]
+        first, counts = self._ids_of(span_hashes(f.roll, start, end), data.tobytes(), start, end)
+        ids = gather(self.pool, first[group], counts[group])
         return ids, np.bincount(doc, weights=counts[group], minlength=len(texts)).astype(np.int64)
 
+    def _ids_of(self, keys: np.ndarray, raw: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of distinct pieces begin in the pool, and their numbers; new pieces are encoded by the library."""
+        if len(self.keys) > CACHE_PIECES:
+            self._forget()
+        at = np.searchsorted(self.keys, keys)
+        held = np.zeros(len(keys), bool)
+        held[at < len(self.keys)] = self.keys[at[at < len(self.keys)]] == keys[at < len(self.keys)]
+        new = np.flatnonzero(~held)
+        lists: list[list[int]] = []
+        for some in np.array_split(new, -(-len(new) // AT_ONCE)) if len(new) else []:
+            pieces = [raw[a:b].decode() for a, b in zip(start[some].tolist(), end[some].tolist(), strict=True)]
+            lists += [one.ids for one in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        firsts = len(self.pool) + np.cumsum(sizes) - sizes
+        self.pool = np.concatenate((self.pool, np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum()))))
+        self.first = np.insert(self.first, at[new], firsts)
+        self.counts = np.insert(self.counts, at[new], sizes)
+        self.keys = np.insert(self.keys, at[new], keys[new])
+        at = np.searchsorted(self.keys, keys)
+        return self.first[at], self.counts[at]
+
+    def _forget(self) -> None:
+        self.keys, self.first, self.counts, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+
+@cache
+def _encoder(path: str) -> PieceEncoder:
+    """One for each Python worker, which serves many tasks."""
+    return PieceEncoder(path)
+
 
 def shard_bytes(ids: np.ndarray, counts: np.ndarray, keys: np.ndarray, without_key: int) -> list[bytes]:
     """The file of one shard; rows are in order of their keys after the first ``without_key``, which have none."""
@@ -151,7 +184,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 0, shard_ids: int = SHA
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, part, nth = PieceEncoder(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, part, nth = _encoder(tokenizer), TaskContext.get().partitionId(), 0
         ids: list[np.ndarray] = []
         counts: list[np.ndarray] = []
         keys: list[np.ndarray] = []
@@ -169,7 +202,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 0, shard_ids: int = SHA
             kinds = (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], ["part", "nth", "uri", "n_docs", "n_ids", "low", "high"])
 
-        for batch, texts in text_slices(batches, "text"):
+        for batch, texts in text_slices(batches, "text", CHARS_AT_ONCE):
             got, n = encoder.encode(texts)
             ends = np.cumsum(n)
             got = np.insert(got, ends, end_id)
