@@ -89,17 +89,25 @@ def exact_matches(docs: DataFrame, index: DataFrame, items: DataFrame, chosen: D
     agreed = aligned.groupBy(*_KEY, "item", "offset").agg(F.count("*").alias("n"))
     lengths = items.select("item", "length")
     agreed = agreed.join(small(lengths), "item").where("n >= least(2, length)")
-    by_doc = stash(agreed.groupBy(*_KEY).agg(F.collect_set(F.struct("item", "offset")).alias("candidates")), "candidates")
+    places = agreed.groupBy(*_KEY, "item").agg(F.collect_list("offset").alias("offsets")).join(small(items), "item")
+    by_doc = stash(places.groupBy(*_KEY).agg(F.collect_list(F.struct("item_id", "item_words", "m", "length", "offsets")).alias("candidates")), "candidates")
     texts = _keyed(docs).drop("doc_id").join(small(by_doc), _KEY)
-    pairs = texts.select(*_KEY, "words", F.explode("candidates").alias("c")).select(*_KEY, "words", "c.item", "c.offset").join(small(items), "item")
-    low = F.greatest(F.lit(0), -F.col("offset"))
-    high = F.least(F.col("m"), F.size("words") - F.col("offset")) - F.col("length")
-    same = F.filter(
-        F.sequence(low, high),
-        lambda j: F.slice("words", F.col("offset") + j + 1, F.col("length")) == F.slice("item_words", j + 1, F.col("length")),
-    )
-    found = pairs.where(high >= low).select(*_KEY, "item_id", "offset", "length", F.explode(same).alias("j"))
-    return found.select(*_KEY, "item_id", (F.col("offset") + F.col("j")).alias("first"), (F.col("offset") + F.col("j") + F.col("length")).alias("end")).distinct()
+
+    def phrases(c: Column) -> Column:
+        """The windows of one item that stand in the document where its offsets say; words are compared one by one."""
+
+        def at(offset: Column) -> Column:
+            low = F.greatest(F.lit(0), -offset)
+            high = F.least(c["m"], F.size("words") - offset) - c["length"]
+            starts = F.when(high >= low, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+            same = F.filter(starts, lambda j: F.forall(F.sequence(j, j + c["length"] - 1), lambda i: F.get("words", offset + i) == F.get(c["item_words"], i)))
+            return F.transform(same, lambda j: F.struct(c["item_id"].alias("item_id"), (offset + j).alias("first"), (offset + j + c["length"]).alias("end")))
+
+        return F.flatten(F.transform(c["offsets"], at))
+
+    # no row for each candidate here: it would carry all words of its document
+    found = texts.select(*_KEY, F.explode(F.flatten(F.transform("candidates", phrases))).alias("hit"))
+    return found.select(*_KEY, "hit.item_id", "hit.first", "hit.end").distinct()
 
 
 def proximity_matches(index: DataFrame, chosen: DataFrame, counts: DataFrame, terms: int = 3, span: int = 20) -> DataFrame:
