@@ -37,13 +37,19 @@ def similarity(a: Column, b: Column) -> Column:
 def fuzzy_best(labels: DataFrame, label_key: str, label: str, catalog: DataFrame, code: str, name: str) -> DataFrame:
     """The best catalog code of each label with its score and whether another code comes within the margin.
 
-    Labels and names are compared where they share a word: without one the blend stays under what counts as a match
-    unless the names differ only in spacing, so the letters' first four are a blocking key too.
+    Labels and names are compared where they share a word or three letters in a row. Without a shared word the blend
+    reaches what counts as a match only if both ratios are high, and texts whose letters have no three in a row in
+    common stay at about 0.8 in the letters' ratio.
     """
     clean = F.regexp_replace(label, r"\[[^\]]*\]", " ")
-    start = lambda x: F.array(F.concat(F.lit("^"), F.left(F.regexp_replace(C.normal_label(x), "[^A-Z0-9]", ""), F.lit(4))))
-    left = labels.select(label_key, clean.alias("__l")).withColumn("__b", F.explode(F.array_distinct(F.concat(C.label_tokens(F.col("__l")), start(F.col("__l"))))))
-    right = catalog.select(code, F.col(name).alias("__n")).withColumn("__b", F.explode(F.array_distinct(F.concat(C.label_tokens(F.col("__n")), start(F.col("__n"))))))
+
+    def keys(x: Column) -> Column:
+        letters = F.regexp_replace(C.normal_label(x), "[^A-Z0-9]", "")
+        threes = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(letters) - 2)), lambda i: F.concat(F.lit("^"), F.substring(letters, i, F.lit(3))))
+        return F.explode(F.array_distinct(F.concat(C.label_tokens(x), threes)))
+
+    left = labels.select(label_key, clean.alias("__l")).withColumn("__b", keys(F.col("__l")))
+    right = catalog.select(code, F.col(name).alias("__n")).withColumn("__b", keys(F.col("__n")))
     pairs = left.join(right, "__b").select(label_key, "__l", code, "__n").distinct()
     scored = pairs.withColumn("score", similarity(F.col("__l"), F.col("__n"))).groupBy(label_key, code).agg(F.max("score").alias("score"))
     order = Window.partitionBy(label_key).orderBy(F.desc("score"), code)
