@@ -109,16 +109,16 @@ def fuzzy_match(t: Tables) -> DataFrame:
     """Labels against a catalog by similarity; checked against a plain version in the tests."""
     labels = t.part.select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("label"))
     catalog = t.part.select("p_type").distinct().withColumn("code", F.sha2("p_type", 256))
-    return matching.fuzzy_best(labels.where("p_size = 1"), "p_partkey", "label", catalog, "code", "p_type")
+    return matching.fuzzy_best(labels, "p_partkey", "label", catalog, "code", "p_type")
 
 
 @query()
 def mapping_ladder(t: Tables) -> DataFrame:
     """The first rung that holds for each label; checked against a plain version in the tests."""
-    columns = t.part.where("p_size = 2").select(F.col("p_partkey").alias("column_key"), F.concat(F.col("p_type"), F.when(F.col("p_partkey") % 5 == 0, " - A").otherwise("")).alias("raw_label"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_brand")).alias("code"))
+    columns = t.part.select(F.col("p_partkey").alias("column_key"), F.concat(F.col("p_type"), F.when(F.col("p_partkey") % 5 == 0, " - A").otherwise("")).alias("raw_label"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_brand")).alias("code"))
     catalog = t.part.select(F.col("p_brand").alias("course_code"), F.col("p_brand").alias("name")).distinct()
     book = t.part.groupBy("p_type").agg(F.min("p_brand").alias("code")).select("code", F.col("p_type").alias("name"))
-    aliases = t.part.where("p_size = 3").select(F.col("p_partkey").alias("alias_id"), F.col("p_type").alias("alias_text"), F.col("p_brand").alias("course_code"))
+    aliases = t.part.select(F.col("p_partkey").alias("alias_id"), F.col("p_type").alias("alias_text"), F.col("p_brand").alias("course_code"))
     return matching.mapping_ladder(columns, catalog, aliases, book)
 
 
