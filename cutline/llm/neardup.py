@@ -8,10 +8,12 @@ gets ``ROWS * BANDS`` consistent samples, of which two texts share as many as th
 
 Texts that share a band are candidates, but a bucket's pairs are never all made: its members are compared with its
 leaders, those that share the most bands with any text and so stand in the middle of their group. A bucket whose
-members aren't all in one component gets twice as many new leaders the next time, so that small buckets are compared
-in full. Before these rounds each text is compared with one leader alone, the one with the most neighbours that it
-meets, so that a large group is joined with one comparison for each member. The rounds end when no pair is left or, after ``LEAST_ROUNDS``, when a round joins nothing. A pair is a link
-if the weighted Jaccard similarity of the whole texts is ``SIMILAR`` or more; components of links are the groups.
+members aren't all in one component gets twice as many new leaders the next time. Before these rounds each text is
+compared with one leader alone, the one with the most neighbours that it meets, so that a large group is joined with
+one comparison for each member. When a round joins hardly anything, all texts of buckets that are still mixed are
+compared in full by an exact prefix filter over their shingles: every pair of them is then linked, in one component
+or proven to be no link. A pair is a link if the weighted Jaccard similarity of the whole texts is ``SIMILAR`` or
+more; components of links are the groups.
 
 Equal texts are one text from the start and always in one group; a null text counts as empty. Texts without a word
 are near nothing but their equals. The class id of a group is its least doc_id; null ids are passed over. Empty tables
@@ -36,13 +38,14 @@ from .shared import small, stash, text_slices
 SHINGLE, SIMILAR = 5, 0.8
 ROWS, BANDS = 4, 16
 RARE = 1e-3
-LEAST_ROUNDS = 4
+#: A round of leaders that joins a smaller share of its pairs is the last: the exact step is cheaper then.
+WORTH = 0.05
 #: Samples kept as four bits each, sixteen to a word, to rule out pairs before their texts are read.
 DIGIT_WORDS = ROWS * BANDS // 16
 SPREAD = 3.5
 _TRAITS = ["total", *(f"digits{i}" for i in range(DIGIT_WORDS))]
-#: Distinct words whose counts a task holds; prepared texts that a worker keeps while it compares pairs.
-HELD_WORDS, HELD_TEXTS = 1 << 20, 256
+#: Distinct words whose counts a task holds; texts, and their characters, that a worker prepares at once to compare pairs.
+HELD_WORDS, HELD_TEXTS, HELD_CHARS = 1 << 20, 4096, 1 << 20
 
 
 def text_id(text: Column) -> Column:
@@ -218,24 +221,32 @@ def may_be_alike(similar: float) -> Column:
 
 
 def _compare(idf: Broadcast):
+    def prepared(held: dict[bytes, str]) -> dict[bytes, tuple[np.ndarray, np.ndarray]]:
+        doc, h, weight = shingles(list(held.values()), idf.value)
+        at = np.searchsorted(doc, np.arange(len(held) + 1))
+        return {tid: (h[at[i] : at[i + 1]], weight[at[i] : at[i + 1]]) for i, tid in enumerate(held)}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            got = []
-            for i in range(len(a)):
-                pair = []
-                for tid, column in ((a[i], 2), (b[i], 3)):
-                    if tid not in held:
-                        if len(held) >= HELD_TEXTS:
-                            held.pop(next(iter(held)))
-                        held[tid] = shingles([batch.column(column)[i].as_py()], idf.value)[1:]
-                    pair.append(held[tid])
-                (ha, wa), (hb, wb) = pair
-                at = np.minimum(np.searchsorted(ha, hb), len(ha) - 1)
-                both = ha[at] == hb
-                shared = np.minimum(wa[at[both]], wb[both]).sum()
-                got.append(shared / (wa.sum() + wb.sum() - shared))
+            got: list[float] = []
+            while len(got) < len(a):
+                held: dict[bytes, str] = {}
+                start = end = len(got)
+                chars = 0
+                while end < len(a) and len(held) < HELD_TEXTS and chars < HELD_CHARS:
+                    for tid, column in ((a[end], 2), (b[end], 3)):
+                        if tid not in held:
+                            held[tid] = batch.column(column)[end].as_py()
+                            chars += len(held[tid])
+                    end += 1
+                sets = prepared(held)
+                for i in range(start, end):
+                    (ha, wa), (hb, wb) = sets[a[i]], sets[b[i]]
+                    at = np.minimum(np.searchsorted(ha, hb), len(ha) - 1)
+                    both = ha[at] == hb
+                    shared = np.minimum(wa[at[both]], wb[both]).sum()
+                    got.append(shared / (wa.sum() + wb.sum() - shared))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.float64())], ["a", "b", "similarity"])
 
     return run
@@ -247,6 +258,89 @@ def verify(pairs: DataFrame, texts: DataFrame, idf: Broadcast) -> DataFrame:
     return stash(held.select("a", "b", "text_a", "text_b").mapInArrow(_compare(idf), "a binary, b binary, similarity double"), "compared")
 
 
+PREFIX = ["tid", "comp", "total", "shingle", "inner", "weight", "after"]
+
+
+def _rows_of_shingles(idf: Broadcast):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in text_slices(batches, "text"):
+            _, h, _ = shingles(texts, idf.value)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["shingle"])
+
+    return run
+
+
+def _prefixes(idf: Broadcast, common: Broadcast, similar: float):
+    """The rarest shingles of each text, as far as two similar texts must share one of them; ``inner`` as if it were the lighter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, known_n = common.value
+        for part, texts in text_slices(batches, "text"):
+            doc, h, weight = shingles(texts, idf.value)
+            at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
+            n = np.where(known[at] == h, known_n[at], 0) if len(known) else np.zeros(len(h), np.int64)
+            order = np.lexsort((h, n, doc))
+            doc, h, weight = doc[order], h[order], weight[order]
+            total = np.bincount(doc, weight, len(texts))
+            run_sum = np.cumsum(weight)
+            first = np.searchsorted(doc, np.arange(len(texts)))
+            before = run_sum - weight - np.append(run_sum, 0.0)[first - 1][doc] * (first[doc] > 0)
+            share = 1 - before / total[doc]  # of the text's weight, from this shingle on
+            outer = share >= similar - 1e-9
+            inner = (share >= 2 * similar / (1 + similar) - 1e-9)[outer]
+            keep = pa.array(doc[outer])
+            columns = [part.column(i).take(keep) for i in range(3)]
+            after = (share * total[doc] - weight)[outer]
+            yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, (h[outer].view(np.int64), inner, weight[outer], after))], PREFIX)
+
+    return run
+
+
+def pairs_left(rest: DataFrame, texts: DataFrame, idf: Broadcast, similar: float) -> DataFrame:
+    """a and b of all pairs of ``rest`` (tid, comp, total) in different components that can be similar; no others can.
+
+    Similar texts share ``similar`` of the heavier one's weight and 2 s / (1 + s) of the lighter one's. With all
+    shingles in one order, the rarest first, they share one among those that come before that much is left of each, and
+    what they share up to the last such one and what is left of either after it is no less than they share in all. Of a
+    shingle's pairs, those inside its most frequent component are never made.
+    """
+    spark = rest.sparkSession
+    held = stash(rest.join(texts, "tid").select("tid", "comp", "total", "text"), "rest")
+    counts = held.select("text").mapInArrow(_rows_of_shingles(idf), "shingle long").groupBy("shingle").agg(F.count("*").alias("n"))
+    rows = counts.where(F.col("n") >= max(RARE * held.count(), 2)).toArrow()
+    known = rows.column("shingle").to_numpy().view(np.uint64)
+    order = np.argsort(known)
+    common = spark.sparkContext.broadcast((known[order], rows.column("n").to_numpy()[order]))
+    prefix = stash(held.select("tid", "comp", "total", "text").mapInArrow(_prefixes(idf, common, similar), "tid binary, comp binary, total double, shingle long, inner boolean, weight double, after double"), "prefixes")
+    parts = prefix.groupBy("shingle", "comp").agg(F.count("*").alias("n"), F.max("inner").alias("inner"))
+    tops = parts.groupBy("shingle").agg(F.max_by("comp", F.struct("n", "comp")).alias("top"), F.count("*").alias("parts"), F.max("inner").alias("any")).where("parts > 1 and any")
+    mixed = stash(prefix.join(tops.select("shingle", "top"), "shingle"), "mixed_prefixes")
+    x = mixed.where("comp <> top").select(*PREFIX, "top")
+    y = mixed.select("shingle", *(F.col(c).alias(f"other_{c}") for c in PREFIX if c != "shingle"))
+    lighter = F.when(F.struct("total", "tid") < F.struct("other_total", "other_tid"), F.col("inner")).otherwise(F.col("other_inner"))
+    near = F.least("total", "other_total") >= F.greatest("total", "other_total") * similar * (1 - 1e-9)
+    met = x.join(y, "shingle").where((F.col("comp") != F.col("other_comp")) & lighter & near)
+    # a pair of two texts outside the top component is met from both sides: one of them is enough
+    met = met.where((F.col("other_comp") == F.col("top")) | (F.col("tid") < F.col("other_tid")))
+    shared = F.sum(F.least("weight", "other_weight")) + F.least(F.min("after"), F.min("other_after"))
+    wanted = F.max(F.col("total") + F.col("other_total")) * (similar / (1 + similar) * (1 - 1e-9))
+    met = met.groupBy(F.least("tid", "other_tid").alias("b"), F.greatest("tid", "other_tid").alias("a")).agg((shared >= wanted).alias("may"))
+    return met.where("may").select("a", "b")
+
+
+def joins_of(compared: DataFrame, comp: DataFrame, similar: float) -> DataFrame:
+    """Stored: u and v, the different components of two texts that compare as similar."""
+    links = compared.where(F.col("similarity") >= similar).select("a", "b")
+    named = links.join(comp.select(F.col("tid").alias("a"), F.col("comp").alias("u")), "a").join(comp.select(F.col("tid").alias("b"), F.col("comp").alias("v")), "b")
+    return stash(named.select("u", "v").where("u <> v").distinct(), "joined")
+
+
+def relabelled(comp: DataFrame, joined: DataFrame) -> DataFrame:
+    """Stored: the component of each text once ``joined`` ones are one."""
+    merged = components(joined).select(F.col("node").alias("comp"), F.col("comp").alias("top"))
+    return stash(comp.join(merged, "comp", "left").select("tid", F.coalesce("top", "comp").alias("comp")), "labels")
+
+
 def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """doc_id, tid (of its text), class_id and kept (it is the document of its group that stays) of every row."""
     spark = docs.sparkSession
@@ -287,18 +381,27 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
             break
         compared = verify(pairs, texts, idf)
         tested = compared.select("a", "b") if tested is None else stash(tested.unionByName(compared.select("a", "b")), "tested")
-        links = compared.where(F.col("similarity") >= similar).select("a", "b")
-        named = links.join(comp.select(F.col("tid").alias("a"), F.col("comp").alias("u")), "a").join(comp.select(F.col("tid").alias("b"), F.col("comp").alias("v")), "b")
-        joined = stash(named.select("u", "v").where("u <> v").distinct(), "joined")
-        if joined.isEmpty():
-            if not foremost and k + 1 >= LEAST_ROUNDS:
-                break
-        else:
-            merged = components(joined).select(F.col("node").alias("comp"), F.col("comp").alias("top"))
-            comp = stash(comp.join(merged, "comp", "left").select("tid", F.coalesce("top", "comp").alias("comp")), "labels")
+        joined = joins_of(compared, comp, similar)
+        n_joined = joined.count()
+        if n_joined:
+            comp = relabelled(comp, joined)
+        if not foremost and n_joined < WORTH * compared.count():
+            break
         k += not foremost
         foremost = False
 
+    # what the leaders left: all pairs of buckets that are still mixed, but for those that a bound rules out
+    now = members.join(comp, "tid")
+    mixed = now.groupBy("band", "bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("band", "bucket")
+    rest = stash(now.join(mixed, ["band", "bucket"]).select("tid", "comp", "total").distinct(), "rest_ids")
+    if not rest.isEmpty():
+        pairs = pairs_left(rest, texts, idf, similar)
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        joined = joins_of(verify(stash(pairs, "pairs"), texts, idf), comp, similar)
+        if not joined.isEmpty():
+            comp = relabelled(comp, joined)
+
     grouped = first.join(comp, "tid", "left").select("tid", "doc_id", F.coalesce("comp", "tid").alias("comp"))
     least = grouped.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.min_by("tid", F.struct(F.col("doc_id").isNull(), "doc_id", "tid")).alias("top_tid"))
     classes = stash(grouped.join(least, "comp").select("tid", F.col("doc_id").alias("first_id"), "class_id", "top_tid"), "classes")

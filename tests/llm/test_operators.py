@@ -288,6 +288,20 @@ def test_near_duplicates(spark, prose, odd):
     assert neardup.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_near_duplicates_inside_a_large_bucket(spark):
+    """Many texts share a passage and stay under the threshold; a few pairs among them are over it."""
+    passage, n, pairs = [f"p{i}" for i in range(160)], 240, 20
+    rows = []
+    for i in range(n):
+        own = [f"u{i}x{j}" for j in range(24)]
+        if n - 2 * pairs <= i and i % 2:
+            own = [*rows[-1][1].split()[160:175], *own[15:]]
+        rows.append((i, " ".join(passage + own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(df).collect()}
+    assert got == {i: i - (i % 2 if n - 2 * pairs <= i else 0) for i in range(n)}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (101, 102), (200, 200)]
     got = {r.node: r.comp for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
