@@ -3,8 +3,8 @@
 Emails, IP addresses, payment cards and phone numbers are found by pattern. Each of their values is a protected
 entity. The words near its mentions are counted over the whole corpus: a term t discloses an entity e as far as its
 pointwise mutual information with e comes near the information content of e itself,
-``log(p(t | e) / p(t)) / log(1 / p(e))``, where p(t) is the share of all documents that hold t and the other two
-count different contexts, so that copies of a document count once. A term seen with an entity in at least ``SUPPORT``
+``log(p(t | e) / p(t)) / log(1 / p(e))``, where p(t) is the share of all different texts that hold t and the other
+two count different contexts, so that copies of a document count once in each. A term seen with an entity in at least ``SUPPORT``
 different contexts whose disclosure reaches ``GENERALISE`` is replaced by a class name in the documents that mention
 the entity, and removed from ``REMOVE`` on.
 
@@ -101,6 +101,11 @@ def _terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
 
+def _text_key(text: Column) -> Column:
+    """The same for copies of a text, whatever their doc_id."""
+    return F.struct(F.xxhash64(text).alias("h1"), F.hash(text).alias("h2"))
+
+
 def _context(text: Column, span: Column) -> Column:
     """The words beside a span, but for such as its own neighbourhood cuts off."""
     begin = F.greatest(F.lit(0), span["start"] - NEAR_CHARS)
@@ -110,9 +115,10 @@ def _context(text: Column, span: Column) -> Column:
 
 
 def detect(docs: DataFrame) -> DataFrame:
-    """Stored: doc_id, k1, k2, spans (kind, start, end of the patterns) and mentions (entity and the terms near it)."""
+    """Stored: doc_id, k1, k2, spans (kind, start, end of the patterns), mentions (entity and the terms near it) and text_key."""
     both = (F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce("text", F.lit("")))
     rows = docs.select("doc_id", F.xxhash64(*both).alias("k1"), F.hash(*both).alias("k2"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("text_key", _text_key(F.col("text")))
     found = rows.select("*", *(v.alias(k) for k, v in find(F.col("text")).items()))
 
     def span_of(kind: str):
@@ -123,23 +129,25 @@ def detect(docs: DataFrame) -> DataFrame:
 
     spans = [F.transform(k, span_of(k)) for k in KINDS]
     mentions = [F.transform(k, mention_of(k)) for k in KINDS]
-    return stash(found.select("doc_id", *_KEY, F.concat(*spans).alias("spans"), F.concat(*mentions).alias("mentions")), "personal")
+    return stash(found.select("doc_id", *_KEY, F.concat(*spans).alias("spans"), F.concat(*mentions).alias("mentions"), "text_key"), "personal")
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """Stored: entity, term, disclosure and action ('generalise' or 'remove') of the terms over the threshold."""
-    total = found.count()
+    total = found.select("text_key").distinct().count()
     contexts = found.select(F.explode("mentions").alias("m")).select("m.entity", "m.terms").distinct()
     contexts = stash(contexts.where(F.size("terms") > 0), "contexts")
     entities = contexts.groupBy("entity").agg(F.count("*").alias("n")).where(F.col("n") >= support)
     pairs = contexts.select("entity", F.explode(F.array_distinct("terms")).alias("term")).groupBy("entity", "term").agg(F.count("*").alias("both"))
     pairs = pairs.where(F.col("both") >= support).join(entities, "entity")
     # A term is in no fewer documents than hold it near a mention: those that this alone rules out aren't counted further.
-    near = found.select(F.explode(F.array_distinct(F.flatten("mentions.terms"))).alias("term")).groupBy("term").agg(F.count("*").alias("near"))
+    once = found.where(F.size("mentions") > 0).dropDuplicates(["text_key"])
+    near = once.select(F.explode(F.array_distinct(F.flatten("mentions.terms"))).alias("term")).groupBy("term").agg(F.count("*").alias("near"))
     most = F.col("both") * F.pow(F.lit(max(total, 1)) / F.col("n"), F.lit(1 - generalise))
     pairs = stash(pairs.join(near, "term").where(F.col("near") <= most * (1 + 1e-9)).drop("near"), "pairs")
     terms = stash(pairs.select("term").distinct(), "pair_terms")
-    said = docs.select(F.explode(F.array_distinct(_terms(F.coalesce("text", F.lit(""))))).alias("term")).join(small(terms), "term").groupBy("term").agg(F.count("*").alias("df"))
+    text = F.coalesce("text", F.lit(""))
+    said = docs.select(_text_key(text).alias("text_key"), F.array_distinct(_terms(text)).alias("terms")).select("text_key", F.explode("terms").alias("term")).join(small(terms), "term").distinct().groupBy("term").agg(F.count("*").alias("df"))
     gain = F.log(F.col("both") / F.col("n") / (F.col("df") / F.lit(total)))
     ratio = F.when(F.col("n") < total, gain / F.log(F.lit(total) / F.col("n"))).otherwise(F.lit(0.0))
     judged = pairs.join(said, "term").withColumn("disclosure", ratio).where(F.col("disclosure") >= generalise)

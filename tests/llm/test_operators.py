@@ -245,6 +245,15 @@ def test_disclosing_terms(spark):
     assert all("nickname" not in r.text and "contact" in r.text for r in pii.sanitise(df).where("doc_id < 8").collect())
 
 
+def test_disclosing_terms_of_copied_documents(spark):
+    """Copies of the documents that mention an entity change neither side of a term's disclosure."""
+    rows = [f"lorem ipsum word{'abcd'[i]} nickname contact me at joe@x.com words here" for i in range(4) for _ in range(100)]
+    rows += [f"contact words lorem ipsum here me {i}" for i in range(200)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    terms = pii.disclosing_terms(df, pii.detect(df)).collect()
+    assert [(r.entity, r.term, r.action, round(r.disclosure, 9)) for r in terms] == [("email:joe@x.com", "nickname", "remove", 1.0)]
+
+
 # 7 ------------------------------------------------------------------------------------------------------------------
 
 
