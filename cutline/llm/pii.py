@@ -1,12 +1,11 @@
 """Personal data: fixed patterns, and information-theoretic sanitisation of the terms that give them away.
 
 Emails, IP addresses, payment cards and phone numbers are found by pattern. Each of their values is a protected
-entity. The words near its mentions are counted over the whole corpus: a term t discloses an entity e as far as its
-pointwise mutual information with e comes near the information content of e itself,
-``log(p(t | e) / p(t)) / log(1 / p(e))``, where p(t) is the share of all different texts that hold t and the other
-two count different contexts, so that copies of a document count once in each. A term seen with an entity in at least ``SUPPORT``
-different contexts whose disclosure reaches ``GENERALISE`` is replaced by a class name in the documents that mention
-the entity, and removed from ``REMOVE`` on.
+entity. The words of the different texts that mention it, but for those inside the patterns, are counted: a term t
+discloses an entity e as far as its pointwise mutual information with e comes near the information content of e itself,
+``log(p(t | e) / p(t)) / log(1 / p(e))``, over all different texts, so that copies of a document count once in each
+part. A term of at least ``SUPPORT`` texts that mention the entity whose disclosure reaches ``GENERALISE`` is replaced
+by a class name in all documents, and removed from ``REMOVE`` on.
 
 Null texts are empty. Repeated rows get repeated results; rows of one doc_id with different texts are told apart by a
 hash of both. Spans are code points, end exclusive. Matches that fail their check are dropped and not tried again
@@ -29,7 +28,6 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 CARD_GAP = r"[^0-9]{2,}|[^0-9\x20-]"
 CARD_GUARD = r"[0-9](?:[\x20-]?[0-9]){12}"
 TERM = r"\p{L}{3,}"
-NEAR_WORDS, NEAR_CHARS = 6, 160
 SUPPORT, GENERALISE, REMOVE = 3, 0.75, 0.9
 _KEY = ["k1", "k2"]
 _SPAN = "array<struct<start:int,end:int,value:string>>"
@@ -106,16 +104,8 @@ def _text_key(text: Column) -> Column:
     return F.struct(F.xxhash64(text).alias("h1"), F.hash(text).alias("h2"))
 
 
-def _context(text: Column, span: Column) -> Column:
-    """The words beside a span, but for such as its own neighbourhood cuts off."""
-    begin = F.greatest(F.lit(0), span["start"] - NEAR_CHARS)
-    left = _terms(F.regexp_replace(F.concat(F.when(begin > 0, "").otherwise(" "), F.substring(text, begin + 1, span["start"] - begin)), r"^\S+", ""))
-    right = _terms(F.substring(text, span["end"] + 1, F.lit(NEAR_CHARS)))
-    return F.concat(F.slice(left, F.greatest(F.lit(1), F.size(left) - NEAR_WORDS + 1), F.lit(NEAR_WORDS)), F.slice(right, 1, NEAR_WORDS))
-
-
 def detect(docs: DataFrame) -> DataFrame:
-    """Stored: doc_id, k1, k2, spans (kind, start, end of the patterns), mentions (entity and the terms near it) and text_key."""
+    """Stored: doc_id, k1, k2, spans (kind, start, end of the patterns), entities, the terms beside them and text_key."""
     both = (F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce("text", F.lit("")))
     rows = docs.select("doc_id", F.xxhash64(*both).alias("k1"), F.hash(*both).alias("k2"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("text_key", _text_key(F.col("text")))
@@ -124,25 +114,27 @@ def detect(docs: DataFrame) -> DataFrame:
     def span_of(kind: str):
         return lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
 
-    def mention_of(kind: str):
-        return lambda s: F.struct(_entity(kind, s["value"]).alias("entity"), _context(F.col("text"), s).alias("terms"))
+    def entity_of(kind: str):
+        return lambda s: _entity(kind, s["value"])
 
-    spans = [F.transform(k, span_of(k)) for k in KINDS]
-    mentions = [F.transform(k, mention_of(k)) for k in KINDS]
-    return stash(found.select("doc_id", *_KEY, F.concat(*spans).alias("spans"), F.concat(*mentions).alias("mentions"), "text_key"), "personal")
+    spans = F.concat(*(F.transform(k, span_of(k)) for k in KINDS))
+    entities = F.array_distinct(F.concat(*(F.transform(k, entity_of(k)) for k in KINDS)))
+    rows = found.select("doc_id", *_KEY, spans.alias("spans"), entities.alias("entities"), "text", "text_key")
+    terms = F.when(F.size("entities") > 0, F.array_distinct(_terms(sanitised(F.col("text"), F.col("spans"), F.lit(" ")))))
+    return stash(rows.select("doc_id", *_KEY, "spans", "entities", terms.alias("terms"), "text_key"), "personal")
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """Stored: entity, term, disclosure and action ('generalise' or 'remove') of the terms over the threshold."""
     total = found.select("text_key").distinct().count()
-    contexts = found.select(F.explode("mentions").alias("m")).select("m.entity", "m.terms").distinct()
-    contexts = stash(contexts.where(F.size("terms") > 0), "contexts")
-    entities = contexts.groupBy("entity").agg(F.count("*").alias("n")).where(F.col("n") >= support)
-    pairs = contexts.select("entity", F.explode(F.array_distinct("terms")).alias("term")).groupBy("entity", "term").agg(F.count("*").alias("both"))
-    pairs = pairs.where(F.col("both") >= support).join(entities, "entity")
-    # A term is in no fewer documents than hold it near a mention: those that this alone rules out aren't counted further.
-    once = found.where(F.size("mentions") > 0).dropDuplicates(["text_key"])
-    near = once.select(F.explode(F.array_distinct(F.flatten("mentions.terms"))).alias("term")).groupBy("term").agg(F.count("*").alias("near"))
+    mentioning = found.where(F.size("entities") > 0)
+    entities = mentioning.select("text_key", F.explode("entities").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n"))
+    entities = stash(entities.where(F.col("n") >= support), "entities")
+    once = stash(mentioning.dropDuplicates(["text_key"]).select("entities", "terms"), "contexts")
+    pairs = once.select(F.explode("entities").alias("entity"), "terms").join(small(entities), "entity").select("entity", "n", F.explode("terms").alias("term"))
+    pairs = pairs.groupBy("entity", "n", "term").agg(F.count("*").alias("both")).where(F.col("both") >= support)
+    # A term is in no fewer texts than mention an entity beside it: those that this alone rules out aren't counted further.
+    near = once.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("near"))
     most = F.col("both") * F.pow(F.lit(max(total, 1)) / F.col("n"), F.lit(1 - generalise))
     pairs = stash(pairs.join(near, "term").where(F.col("near") <= most * (1 + 1e-9)).drop("near"), "pairs")
     terms = stash(pairs.select("term").distinct(), "pair_terms")
@@ -154,12 +146,14 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, support: int = SUPPORT,
     return stash(judged.select("entity", "term", "disclosure", F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise").alias("action")), "disclosing")
 
 
-def term_spans(docs: DataFrame, found: DataFrame, disclosing: DataFrame) -> DataFrame:
-    """k1, k2 and the spans (kind 'term' or 'gone', start, end) of disclosing terms in documents that mention their entity."""
-    mentioned = found.select(*_KEY, F.explode("mentions.entity").alias("entity")).distinct().join(small(disclosing), "entity")
-    wanted = stash(mentioned.groupBy(*_KEY).agg(F.collect_set("term").alias("all"), F.collect_set(F.when(F.col("action") == "remove", F.col("term"))).alias("gone")), "wanted_terms")
+def term_spans(docs: DataFrame, disclosing: DataFrame) -> DataFrame:
+    """k1, k2 and the spans (kind 'term' or 'gone', start, end) of disclosing terms in all documents that hold them."""
+    marked = stash(disclosing.groupBy("term").agg(F.max(F.col("action") == "remove").alias("removed")), "marked_terms")
     both = (F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce("text", F.lit("")))
-    texts = docs.select(F.xxhash64(*both).alias("k1"), F.hash(*both).alias("k2"), F.coalesce("text", F.lit("")).alias("text")).join(small(wanted), _KEY).dropDuplicates(_KEY)
+    rows = docs.select(F.xxhash64(*both).alias("k1"), F.hash(*both).alias("k2"), F.coalesce("text", F.lit("")).alias("text"))
+    said = rows.select(*_KEY, F.array_distinct(_terms(F.col("text"))).alias("terms")).select(*_KEY, F.explode("terms").alias("term")).join(small(marked), "term")
+    wanted = stash(said.groupBy(*_KEY).agg(F.collect_set("term").alias("all"), F.collect_set(F.when(F.col("removed"), F.col("term"))).alias("gone")), "wanted_terms")
+    texts = rows.join(small(wanted), _KEY).dropDuplicates(_KEY)
     words = _walk(F.split("text", r"\p{L}+", -1), F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0)), lambda v: F.array_contains("all", F.lower(v)))
     marked = F.transform(words, lambda s: F.struct(F.when(F.array_contains("gone", F.lower(s["value"])), "gone").otherwise("term").alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     return texts.select(*_KEY, marked.alias("term_spans"))
@@ -169,7 +163,7 @@ def find_spans(docs: DataFrame) -> DataFrame:
     """doc_id, k1, k2, spans of the patterns and term_spans of every document."""
     found = detect(docs)
     disclosing = disclosing_terms(docs, found)
-    added = term_spans(docs, found, disclosing)
+    added = term_spans(docs, disclosing)
     none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
     return found.select("doc_id", *_KEY, "spans").join(added, _KEY, "left").withColumn("term_spans", F.coalesce("term_spans", none))
 
@@ -184,13 +178,13 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", name(s), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def sanitised(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its class in brackets, or by nothing; overlapping spans become one."""
+def sanitised(text: Column, spans: Column, instead: Column | None = None) -> Column:
+    """The text with each span replaced by its class in brackets, by nothing, or by ``instead``; overlapping spans become one."""
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(a: Column, s: Column) -> Column:
-        shown = F.when(s["kind"] == "gone", "").otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
+        shown = instead if instead is not None else F.when(s["kind"] == "gone", "").otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
         out = F.when(s["start"] >= a["at"], F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), shown)).otherwise(a["out"])
         return F.struct(F.greatest(a["at"], s["end"]).alias("at"), out.alias("out"))
 

@@ -254,6 +254,19 @@ def test_disclosing_terms_of_copied_documents(spark):
     assert [(r.entity, r.term, r.action, round(r.disclosure, 9)) for r in terms] == [("email:joe@x.com", "nickname", "remove", 1.0)]
 
 
+def test_disclosing_terms_of_whole_documents(spark):
+    """A name far from the address gives it away, and is marked where the address isn't mentioned too."""
+    rng = np.random.default_rng(3)
+    common = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(40)]
+    body = lambda: " ".join(rng.choice(common, 60))
+    rows = [f"Dear Zebulon {body()} regards joe@x.com" for _ in range(5)] + [f"Dear regards {body()} Zebulon was here"]
+    rows += [f"Dear {body()} was here regards" for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    terms = pii.disclosing_terms(df, pii.detect(df)).collect()
+    assert {(r.entity, r.term) for r in terms} == {("email:joe@x.com", "zebulon")}
+    assert not [r.doc_id for r in pii.sanitise(df).collect() if "Zebulon" in r.text or "Dear" not in r.text]
+
+
 # 7 ------------------------------------------------------------------------------------------------------------------
 
 
