@@ -4,7 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 
-_BASE = 0x9E3779B97F4A7C15
+#: The rolling hash is a polynomial in a fixed, arbitrary base modulo this prime: modulo a power of two, texts exist that collide for every base.
+PRIME = (1 << 61) - 1
+_BASE = 0x1B3F7A6D2C94E851
+_LOW30, _LOW31 = np.uint64((1 << 30) - 1), np.uint64((1 << 31) - 1)
+_30, _31, _61 = np.uint64(30), np.uint64(31), np.uint64(61)
+_P = np.uint64(PRIME)
 _UP = np.ones(1, np.uint64)
 _DOWN = np.ones(1, np.uint64)
 
@@ -12,15 +17,26 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x below 2**64 modulo PRIME."""
+    x = (x & _P) + (x >> _61)
+    return np.minimum(x, x - _P)  # x - PRIME wraps round to a larger number where x is below it
+
+
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo PRIME, for a and b below PRIME."""
+    a_high, a_low, b_high, b_low = a >> _31, a & _LOW31, b >> _31, b & _LOW31
+    middle = a_low * b_high + a_high * b_low
+    return _reduced(np.uint64(2) * a_high * b_high + (middle >> _30) + ((middle & _LOW30) << _31) + a_low * b_low)
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0 to n - 1 of the hash's base and of its inverse, modulo 2**64."""
+    """Powers 0 to n - 1 of the hash's base and of its inverse, modulo PRIME."""
     global _UP, _DOWN
-    if len(_UP) < n:
+    while len(_UP) < n:
         both = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            powers = np.full(max(n, 2 * len(_UP)), base, np.uint64)
-            powers[0] = 1
-            both.append(np.multiply.accumulate(powers))
+        for powers, base in ((_UP, _BASE), (_DOWN, pow(_BASE, -1, PRIME))):
+            both.append(np.concatenate((powers, _product(powers, np.uint64(pow(base, len(powers), PRIME))))))
         _UP, _DOWN = both
     return _UP[:n], _DOWN[:n]
 
@@ -33,16 +49,22 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def rolling(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix sums of the polynomial hash, and what shifts a span's sum to position 0."""
+    """Prefix sums of the polynomial hash of bytes or code points, and what shifts a span's sum to position 0."""
     up, down = _powers(len(data) + 1)
+    value = data.astype(np.uint64) + np.uint64(1)
+    high = value * (up[:-1] >> _31)
+    term = _reduced((high >> _30) + ((high & _LOW30) << _31) + value * (up[:-1] & _LOW31))
+    high, low = np.cumsum(term >> _31, dtype=np.uint64), np.cumsum(term & _LOW31, dtype=np.uint64)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
+    sums[1:] = _reduced((high >> _30) + ((high & _LOW30) << _31) + low)
     return sums, down
 
 
 def span_hashes(roll: tuple[np.ndarray, np.ndarray], start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans: 61 bits of the polynomial and the lowest three of the length, mixed."""
     sums, down = roll
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+    h = _product(_reduced(sums[end] + (_P - sums[start])), down[start])
+    return mix(h | (end - start).astype(np.uint64) << _61)
 
 
 def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
