@@ -7,6 +7,9 @@ arrays lie in one file that is memory-mapped.
 
 from __future__ import annotations
 
+from array import array
+from itertools import chain
+
 import numpy as np
 
 _FIELDS = (("key", np.uint64), ("target", np.int32), ("output", np.int32), ("final", np.uint8), ("first", np.int64), ("ids", np.uint32))
@@ -14,15 +17,16 @@ _FIELDS = (("key", np.uint64), ("target", np.int32), ("output", np.int32), ("fin
 
 def compile_words(words: list[bytes], ids: list[list[int]]) -> dict[str, np.ndarray]:
     """Arrays of the automaton of sorted distinct words; the ids of word i are ids[first[i]:first[i + 1]]."""
-    register: dict[tuple, int] = {}
-    states: list[tuple[int, dict[int, int]]] = []  # words behind it, arcs; those of final states hold key -1
-    path: list[dict[int, object]] = [{}]
+    register: dict[bytes, int] = {}  # a state's arcs as bytes, its number; in order of their numbers
+    behind = array("i")  # words behind each state
+    path: list[dict[int, int]] = [{}]
 
-    def freeze(node: dict) -> int:
-        key = tuple(sorted(node.items()))
-        if (state := register.get(key)) is None:
-            state = register[key] = len(states)
-            states.append((sum(1 if b < 0 else states[t][0] for b, t in key), node))
+    def freeze(node: dict[int, int]) -> int:
+        arcs = sorted(node.items())
+        packed = array("i", chain.from_iterable(arcs)).tobytes()
+        if (state := register.get(packed)) is None:
+            state = register[packed] = len(register)
+            behind.append(sum(1 if b < 0 else behind[t] for b, t in arcs))
         return state
 
     previous = b""
@@ -44,23 +48,23 @@ def compile_words(words: list[bytes], ids: list[list[int]]) -> dict[str, np.ndar
     root = freeze(path[0])
     # the root becomes state 0
     number = {root: 0, 0: root} if root else {}
-    key, target, output = [], [], []
-    final = np.zeros(len(states), np.uint8)
-    for state, (_, arcs) in enumerate(states):
-        s, before = number.get(state, state), 0
-        for byte, to in sorted(arcs.items()):
+    key, target, output = array("Q"), array("i"), array("i")
+    final = np.zeros(len(behind), np.uint8)
+    for state, packed in enumerate(register):
+        arcs, s, before = array("i", packed), number.get(state, state), 0
+        for byte, to in zip(arcs[::2], arcs[1::2], strict=True):
             if byte < 0:
                 final[s], before = 1, 1
             else:
                 key.append(s << 8 | byte)
                 target.append(number.get(to, to))
                 output.append(before)
-                before += states[to][0]
+                before += behind[to]
     order = np.argsort(np.array(key, np.uint64))
     counts = np.fromiter(map(len, ids), np.int64, len(ids))
     return {
         "key": np.array(key, np.uint64)[order], "target": np.array(target, np.int32)[order], "output": np.array(output, np.int32)[order],
-        "final": final, "first": np.concatenate(([0], np.cumsum(counts))), "ids": np.array([i for x in ids for i in x], np.uint32),
+        "final": final, "first": np.concatenate(([0], np.cumsum(counts))), "ids": np.fromiter(chain.from_iterable(ids), np.uint32, int(counts.sum())),
     }
 
 

@@ -6,14 +6,17 @@ merged with the vocabulary's own rules. The ids equal those of the tokenizers li
 NFC, lower case, white space dropped, contractions, letters, single digits and other characters apart, ``</w>``.
 
 A null text is empty: no ids, and its decoded text is empty. Rows are encoded one by one: repeated rows give repeated
-results, an empty table an empty one. Other columns are ignored. Long texts are encoded whole.
+results, an empty table an empty one (and no lexicon). Other columns are ignored. Long texts are encoded whole, and so
+are long words, in n log n steps for n bytes; words of over ``LONGEST`` characters are never in the lexicon.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import unicodedata
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
@@ -26,11 +29,14 @@ from pyspark.sql import functions as F
 
 from .automaton import Automaton, compile_words, to_bytes
 from .flat import gather, grouped, rolling, span_hashes
-from .shared import new_path, text_slices, write_bytes
+from .shared import drop, new_path, stash, text_slices, write_bytes
 
-#: Words that the lexicon holds at most, and merged words that a task keeps besides.
+#: Words that the lexicon holds at most, the characters of the longest, and other words that a task keeps.
 LEXICON_WORDS = 1 << 17
-CACHE_WORDS = 300_000
+LONGEST = 64
+CACHE_WORDS = 1 << 17
+#: Ranges of counts that one pass over the words tells apart.
+BINS = 1024
 _OTHER, _LETTER, _NUMBER, _SPACE, _SPECIAL = range(5)
 #: Stand for the special tokens inside a text; no valid text holds surrogates.
 _STAND_INS = 0xD800
@@ -80,17 +86,29 @@ class Vocabulary:
     def merge(self, word: bytes) -> list[int]:
         """Ids of one word: the pair of lowest rank is joined, the leftmost first, until no pair has a rule."""
         parts = [self.inner[b] for b in word[:-1]] + [self.last[word[-1]]]
-        rules = self.merges
-        while len(parts) > 1:
-            best, at = (1 << 60, 0), -1
-            for i in range(len(parts) - 1):
-                rule = rules.get(parts[i] << 32 | parts[i + 1])
-                if rule and rule < best:
-                    best, at = rule, i
-            if at < 0:
-                break
-            parts[at : at + 2] = [best[1]]
-        return parts
+        rules, n = self.merges, len(parts)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        queue: list[tuple[int, int, int, int]] = []  # rank, place, the pair, what it becomes
+
+        def offer(i: int, j: int) -> None:
+            if i >= 0 and j < n and (rule := rules.get(pair := parts[i] << 32 | parts[j])):
+                heapq.heappush(queue, (rule[0], i, pair, rule[1]))
+
+        for i in range(n - 1):
+            offer(i, i + 1)
+        while queue:
+            _, i, pair, joined = heapq.heappop(queue)
+            j = after[i]
+            if j >= n or parts[i] << 32 | parts[j] != pair:
+                continue  # one of the two has become part of another pair
+            parts[i], parts[j] = joined, -1
+            after[i] = k = after[j]
+            after[j] = n
+            if k < n:
+                before[k] = i
+            offer(before[i], i)
+            offer(i, k)
+        return [x for x in parts if x >= 0]
 
 
 class Words:
@@ -178,14 +196,16 @@ class Encoder:
             if words.special[i] >= 0:
                 ids = [special_ids[words.special[i]]]
             elif (ids := self.merged.get(raw[i])) is None:
-                ids = self.merged[raw[i]] = self.vocabulary.merge(raw[i])
+                ids = self.vocabulary.merge(raw[i])
+                if sizes[i] <= 4 * LONGEST:
+                    self.merged[raw[i]] = ids
             first[i], counts[i] = len(held) + len(extra), len(ids)
             extra += ids
         return words, np.concatenate((held, np.array(extra, np.uint32))) if extra else held, first, counts
 
 
-def frequent_words(docs: DataFrame, vocabulary_path: str, most: int = LEXICON_WORDS) -> list[str]:
-    """The words that occur most often in all documents, at most ``most`` of them (ties: those that sort first)."""
+def word_counts(docs: DataFrame, vocabulary_path: str) -> DataFrame:
+    """Stored: word and n, how often each word of up to LONGEST characters occurs in all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         specials = Vocabulary(vocabulary_path).specials
@@ -197,26 +217,58 @@ def frequent_words(docs: DataFrame, vocabulary_path: str, most: int = LEXICON_WO
         for _, texts in text_slices(batches, "text"):
             words = Words(texts, specials)
             for word, n, special in zip(words.distinct, np.bincount(words.group, minlength=len(words.distinct)).tolist(), words.special.tolist(), strict=True):
-                if special < 0:
+                if special < 0 and len(word) <= LONGEST:
                     counts[word] += n
             if len(counts) > CACHE_WORDS:
                 yield rows()
                 counts.clear()
         yield rows()
 
-    counted = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(most).collect()]
+    return stash(docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+
+
+def least_count(counted: DataFrame, most: int) -> int:
+    """The least count for which at most ``most`` words occur as often or oftener, found by histograms of BINS ranges."""
+    low, high = 1, (counted.agg(F.max("n")).first()[0] or 0) + 1  # the answer lies in low to high
+    over = 0  # words that occur ``high`` times or more
+    while low < high:
+        width = -(-(high - low) // BINS)
+        inside = counted.where((F.col("n") >= low) & (F.col("n") < high)).groupBy(F.floor((F.col("n") - low) / width).alias("bin")).count().collect()
+        for nth, words in sorted(inside, reverse=True):
+            if over + words > most:
+                low, high = low + nth * width, min(high, low + (nth + 1) * width)
+                break
+            over += words
+        else:
+            return low
+        if width == 1:
+            return high
+    return high
+
 
+def build_lexicon(docs: DataFrame, vocabulary_path: str, most: int = LEXICON_WORDS) -> str | None:
+    """Compile the most frequent words, at most ``most``, into a file that every executor gets; returns its name for SparkFiles.
 
-def build_lexicon(docs: DataFrame, vocabulary_path: str, most: int = LEXICON_WORDS) -> str:
-    """Compile the frequent words into a file that every executor gets; returns its name for SparkFiles."""
+    Words whose count is that of too many others stay out together. One task gets the chosen words and writes the file.
+    """
     spark = docs.sparkSession
-    vocabulary = Vocabulary(vocabulary_path)
-    words = sorted(w.encode() for w in frequent_words(docs, vocabulary_path, most))
-    uri = new_path(spark, "lexicon") + ".bin"
-    write_bytes(uri, to_bytes(compile_words(words, [vocabulary.merge(w) for w in words])))
-    spark.sparkContext.addFile(uri)
-    return uri.rpartition("/")[2]
+    counted = word_counts(docs, vocabulary_path)
+    chosen = counted.where(F.col("n") >= least_count(counted, most)).select("word")
+    folder = new_path(spark, "lexicon")
+
+    def compiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = sorted(w.encode() for batch in batches for w in batch.column(0).to_pylist())
+        if words:
+            vocabulary, uri = Vocabulary(vocabulary_path), f"{folder}/{uuid.uuid4().hex}.bin"
+            write_bytes(uri, to_bytes(compile_words(words, [vocabulary.merge(w) for w in words])))
+            yield pa.RecordBatch.from_arrays([pa.array([uri])], ["uri"])
+
+    made = chosen.repartition(1).mapInArrow(compiled, "uri string").first()
+    drop(counted)
+    if made is None:
+        return None
+    spark.sparkContext.addFile(made["uri"])
+    return made["uri"].rpartition("/")[2]
 
 
 def encode(docs: DataFrame, vocabulary_path: str, lexicon: str | None) -> DataFrame:
