@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stash
+from .shared import drop, stash
 
 
 def _least_neighbour(pairs: DataFrame) -> DataFrame:
@@ -26,10 +26,13 @@ def components(edges: DataFrame) -> DataFrame:
         large = _least_neighbour(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         small = _least_neighbour(down)
-        edges = stash(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
-        now = _state(edges)
+        further = stash(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
+        drop(edges)
+        edges, now = further, _state(further)
         if now == before:
             break
         before = now
     tops = edges.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("comp"))
-    return stash(edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(tops), "components")
+    found = stash(edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(tops), "components")
+    drop(edges)
+    return found

@@ -6,14 +6,12 @@ documents; those of words in under ``RARE`` of the documents count as ``RARE``,
 get: no more than 1 / RARE times the mean number of distinct words of a document can exceed it. Each distinct text
 gets ``ROWS * BANDS`` consistent samples, of which two texts share as many as their weighted Jaccard similarity says.
 
-Texts that share a band are candidates, but a bucket's pairs are never all made: its members are compared with its
-leaders, those that share the most bands with any text and so stand in the middle of their group. A bucket whose
-members aren't all in one component gets twice as many new leaders the next time. Before these rounds each text is
-compared with one leader alone, the one with the most neighbours that it meets, so that a large group is joined with
-one comparison for each member. When a round joins hardly anything, all texts of buckets that are still mixed are
-compared in full by an exact prefix filter over their shingles: every pair of them is then linked, in one component
-or proven to be no link. A pair is a link if the weighted Jaccard similarity of the whole texts is ``SIMILAR`` or
-more; components of links are the groups.
+Texts that share a band are candidates, but a bucket's pairs are never all made. First each text is compared with the
+leader of each of its buckets: of the texts there, the one that meets the most others in all its bands and so stands in
+the middle of its group. So a large group is joined by a few comparisons for each member, BANDS at most. Then all texts
+of buckets whose members aren't all in one component by now go through an exact prefix filter over their shingles:
+every pair of them is linked, in one component, or proven to be no link. A pair is a link if the weighted Jaccard
+similarity of the whole texts is ``SIMILAR`` or more; components of links are the groups.
 
 Equal texts are one text from the start and always in one group; a null text counts as empty. Texts without a word
 are near nothing but their equals. The class id of a group is its least doc_id; null ids are passed over. Empty tables
@@ -28,22 +26,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
 from .flat import Flat, mix, span_hashes
-from .shared import small, stash, text_slices
+from .shared import drop, small, stash, text_slices
 
 SHINGLE, SIMILAR = 5, 0.8
 ROWS, BANDS = 4, 16
 RARE = 1e-3
-#: A round of leaders that joins a smaller share of its pairs is the last: the exact step is cheaper then.
-WORTH = 0.05
-#: Samples kept as four bits each, sixteen to a word, to rule out pairs before their texts are read.
-DIGIT_WORDS = ROWS * BANDS // 16
-SPREAD = 3.5
-_TRAITS = ["total", *(f"digits{i}" for i in range(DIGIT_WORDS))]
 #: Distinct words whose counts a task holds; texts, and their characters, that a worker prepares at once to compare pairs.
 HELD_WORDS, HELD_TEXTS, HELD_CHARS = 1 << 20, 4096, 1 << 20
 
@@ -173,7 +165,7 @@ def consistent_samples(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, n: in
 
 
 def signatures(docs: DataFrame, idf: Broadcast) -> DataFrame:
-    """Stored: tid, the hashes of its bands, total weight and short samples of each distinct text with a word."""
+    """Stored: tid, the hashes of its bands and total weight of each distinct text with a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -191,33 +183,12 @@ def signatures(docs: DataFrame, idf: Broadcast) -> DataFrame:
             for i in range(ROWS):
                 bands = mix(bands * np.uint64(0x9E3779B97F4A7C15) + rows[:, :, i])
             some = np.unique(doc)
-            digits = (rows & np.uint64(15)).reshape(len(new), DIGIT_WORDS, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))
-            digits = np.bitwise_or.reduce(digits, 2)[some].view(np.int64)
             total = np.bincount(doc, weight, len(new))[some]
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * BANDS, pa.int32()), pa.array(bands[some].view(np.int64).ravel()))
-            columns = [part.column(0).take(pa.array(np.array(new, np.int64)[some])), flat, pa.array(total), *map(pa.array, np.ascontiguousarray(digits.T))]
-            yield pa.RecordBatch.from_arrays(columns, ["tid", "bands", *_TRAITS])
+            columns = [part.column(0).take(pa.array(np.array(new, np.int64)[some])), flat, pa.array(total)]
+            yield pa.RecordBatch.from_arrays(columns, ["tid", "bands", "total"])
 
-    schema = "tid binary, bands array<long>, total double" + "".join(f", {c} long" for c in _TRAITS[1:])
-    return stash(docs.select(text_id(F.col("text")).alias("tid"), "text").mapInArrow(run, schema).dropDuplicates(["tid"]), "signatures")
-
-
-def may_be_alike(similar: float) -> Column:
-    """Whether a text and its leader (columns with ``leader_``) can be similar: an exact bound, then their samples.
-
-    Similarity is at most the ratio of total weights. Of the samples of two texts of similarity ``similar`` as many are
-    equal as in that many throws of a coin of that weight; SPREAD deviations below the mean is less often than the
-    bands themselves miss such a pair.
-    """
-    least, most = F.least("total", "leader_total"), F.greatest("total", "leader_total")
-    samples = ROWS * BANDS
-    unequal = F.lit(0)
-    for c in _TRAITS[1:]:
-        x = F.col(c).bitwiseXOR(F.col(f"leader_{c}"))
-        either = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3))
-        unequal = unequal + F.bit_count(either.bitwiseAND(F.lit(0x1111111111111111)))
-    wanted = int(similar * samples - SPREAD * (similar * (1 - similar) * samples) ** 0.5)
-    return (least >= most * similar * (1 - 1e-9)) & (F.lit(samples) - unequal >= wanted)
+    return stash(docs.select(text_id(F.col("text")).alias("tid"), "text").mapInArrow(run, "tid binary, bands array<long>, total double").dropDuplicates(["tid"]), "signatures")
 
 
 def _compare(idf: Broadcast):
@@ -258,7 +229,7 @@ def verify(pairs: DataFrame, texts: DataFrame, idf: Broadcast) -> DataFrame:
     return stash(held.select("a", "b", "text_a", "text_b").mapInArrow(_compare(idf), "a binary, b binary, similarity double"), "compared")
 
 
-PREFIX = ["tid", "comp", "total", "shingle", "inner", "weight", "after"]
+PREFIX = ["tid", "comp", "total", "shingle", "left"]
 
 
 def _rows_of_shingles(idf: Broadcast):
@@ -271,7 +242,7 @@ def _rows_of_shingles(idf: Broadcast):
 
 
 def _prefixes(idf: Broadcast, common: Broadcast, similar: float):
-    """The rarest shingles of each text, as far as two similar texts must share one of them; ``inner`` as if it were the lighter."""
+    """The rarest shingles of each text, as far as two similar texts must share one of them, and the weight left from each on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, known_n = common.value
@@ -281,28 +252,25 @@ def _prefixes(idf: Broadcast, common: Broadcast, similar: float):
             n = np.where(known[at] == h, known_n[at], 0) if len(known) else np.zeros(len(h), np.int64)
             order = np.lexsort((h, n, doc))
             doc, h, weight = doc[order], h[order], weight[order]
-            total = np.bincount(doc, weight, len(texts))
+            total = np.bincount(doc, weight, len(texts))[doc]
             run_sum = np.cumsum(weight)
             first = np.searchsorted(doc, np.arange(len(texts)))
             before = run_sum - weight - np.append(run_sum, 0.0)[first - 1][doc] * (first[doc] > 0)
-            share = 1 - before / total[doc]  # of the text's weight, from this shingle on
-            outer = share >= similar - 1e-9
-            inner = (share >= 2 * similar / (1 + similar) - 1e-9)[outer]
-            keep = pa.array(doc[outer])
+            some = total - before >= (similar - 1e-9) * total
+            keep = pa.array(doc[some])
             columns = [part.column(i).take(keep) for i in range(3)]
-            after = (share * total[doc] - weight)[outer]
-            yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, (h[outer].view(np.int64), inner, weight[outer], after))], PREFIX)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(h[some].view(np.int64)), pa.array((total - before)[some])], PREFIX)
 
     return run
 
 
-def pairs_left(rest: DataFrame, texts: DataFrame, idf: Broadcast, similar: float) -> DataFrame:
-    """a and b of all pairs of ``rest`` (tid, comp, total) in different components that can be similar; no others can.
+def pairs_left(rest: DataFrame, texts: DataFrame, compared: DataFrame, idf: Broadcast, similar: float) -> DataFrame:
+    """Stored: a and b of all pairs of ``rest`` (tid, comp, total) in different components that can be similar, but for ``compared`` ones.
 
-    Similar texts share ``similar`` of the heavier one's weight and 2 s / (1 + s) of the lighter one's. With all
-    shingles in one order, the rarest first, they share one among those that come before that much is left of each, and
-    what they share up to the last such one and what is left of either after it is no less than they share in all. Of a
-    shingle's pairs, those inside its most frequent component are never made.
+    With all shingles in one order, the rarest first, let s be the first that two texts share: all they share lies in
+    what is left of either from s on. Texts of weights x and y share similar / (1 + similar) of x + y at least, so for
+    similar ones that much is left of both. Pairs are met by their common shingles, and only where this holds: once at
+    least if they are similar. Of a shingle's pairs, those inside its most frequent component are never made.
     """
     spark = rest.sparkSession
     held = stash(rest.join(texts, "tid").select("tid", "comp", "total", "text"), "rest")
@@ -311,34 +279,55 @@ def pairs_left(rest: DataFrame, texts: DataFrame, idf: Broadcast, similar: float
     known = rows.column("shingle").to_numpy().view(np.uint64)
     order = np.argsort(known)
     common = spark.sparkContext.broadcast((known[order], rows.column("n").to_numpy()[order]))
-    prefix = stash(held.select("tid", "comp", "total", "text").mapInArrow(_prefixes(idf, common, similar), "tid binary, comp binary, total double, shingle long, inner boolean, weight double, after double"), "prefixes")
-    parts = prefix.groupBy("shingle", "comp").agg(F.count("*").alias("n"), F.max("inner").alias("inner"))
-    tops = parts.groupBy("shingle").agg(F.max_by("comp", F.struct("n", "comp")).alias("top"), F.count("*").alias("parts"), F.max("inner").alias("any")).where("parts > 1 and any")
+    prefix = stash(held.select("tid", "comp", "total", "text").mapInArrow(_prefixes(idf, common, similar), "tid binary, comp binary, total double, shingle long, left double"), "prefixes")
+    wanted = similar / (1 + similar) * (1 - 1e-9)
+    parts = prefix.groupBy("shingle", "comp").agg(F.count("*").alias("n"), F.max(F.col("left") >= F.col("total") * (2 * wanted)).alias("any"))
+    tops = parts.groupBy("shingle").agg(F.max_by("comp", F.struct("n", "comp")).alias("top"), F.count("*").alias("parts"), F.max("any").alias("any")).where("parts > 1 and any")
     mixed = stash(prefix.join(tops.select("shingle", "top"), "shingle"), "mixed_prefixes")
     x = mixed.where("comp <> top").select(*PREFIX, "top")
     y = mixed.select("shingle", *(F.col(c).alias(f"other_{c}") for c in PREFIX if c != "shingle"))
-    lighter = F.when(F.struct("total", "tid") < F.struct("other_total", "other_tid"), F.col("inner")).otherwise(F.col("other_inner"))
-    near = F.least("total", "other_total") >= F.greatest("total", "other_total") * similar * (1 - 1e-9)
-    met = x.join(y, "shingle").where((F.col("comp") != F.col("other_comp")) & lighter & near)
+    enough = F.least("left", "other_left") >= (F.col("total") + F.col("other_total")) * wanted
     # a pair of two texts outside the top component is met from both sides: one of them is enough
-    met = met.where((F.col("other_comp") == F.col("top")) | (F.col("tid") < F.col("other_tid")))
-    shared = F.sum(F.least("weight", "other_weight")) + F.least(F.min("after"), F.min("other_after"))
-    wanted = F.max(F.col("total") + F.col("other_total")) * (similar / (1 + similar) * (1 - 1e-9))
-    met = met.groupBy(F.least("tid", "other_tid").alias("b"), F.greatest("tid", "other_tid").alias("a")).agg((shared >= wanted).alias("may"))
-    return met.where("may").select("a", "b")
+    once = (F.col("other_comp") == F.col("top")) | (F.col("tid") < F.col("other_tid"))
+    met = x.join(y, "shingle").where((F.col("comp") != F.col("other_comp")) & enough & once)
+    pairs = met.select(F.least("tid", "other_tid").alias("b"), F.greatest("tid", "other_tid").alias("a")).distinct()
+    pairs = stash(pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    drop(held, prefix, mixed)
+    return pairs
 
 
-def joins_of(compared: DataFrame, comp: DataFrame, similar: float) -> DataFrame:
-    """Stored: u and v, the different components of two texts that compare as similar."""
+def relabelled(comp: DataFrame, compared: DataFrame, similar: float) -> DataFrame:
+    """Stored: the component of each text (tid, comp) once components with similar texts are one. Takes the place of ``comp``."""
     links = compared.where(F.col("similarity") >= similar).select("a", "b")
     named = links.join(comp.select(F.col("tid").alias("a"), F.col("comp").alias("u")), "a").join(comp.select(F.col("tid").alias("b"), F.col("comp").alias("v")), "b")
-    return stash(named.select("u", "v").where("u <> v").distinct(), "joined")
-
-
-def relabelled(comp: DataFrame, joined: DataFrame) -> DataFrame:
-    """Stored: the component of each text once ``joined`` ones are one."""
-    merged = components(joined).select(F.col("node").alias("comp"), F.col("comp").alias("top"))
-    return stash(comp.join(merged, "comp", "left").select("tid", F.coalesce("top", "comp").alias("comp")), "labels")
+    merged = components(named.select("u", "v"))
+    new = stash(comp.join(merged.select(F.col("node").alias("comp"), F.col("comp").alias("top")), "comp", "left").select("tid", F.coalesce("top", "comp").alias("comp")), "labels")
+    drop(comp, merged)
+    return new
+
+
+def leader_pairs(signs: DataFrame, similar: float) -> tuple[DataFrame, DataFrame]:
+    """Stored: the texts that share buckets with others (tid, total, buckets); pairs (a, b) of each and the leaders of its buckets."""
+    banded = signs.select("tid", "total", F.posexplode("bands").alias("band", "bucket"))
+    sizes = banded.groupBy("band", "bucket").agg(F.count("*").alias("n"))
+    shared = F.collect_list(F.when(F.col("n") > 1, F.struct("band", "bucket"))).alias("buckets")  # of a text, BANDS at most
+    met = banded.join(sizes, ["band", "bucket"]).groupBy("tid", "total").agg(F.sum(F.col("n") - 1).alias("met"), shared)
+    met = stash(met.where("met > 0"), "met")
+    each = met.select("tid", "total", "met", F.inline("buckets"))
+    foremost = F.max_by(F.struct("tid", "total"), F.struct("met", "tid")).alias("leader")
+    leaders = each.groupBy("band", "bucket").agg(foremost).select("band", "bucket", F.col("leader.tid").alias("leader"), F.col("leader.total").alias("leader_total"))
+    near = F.least("total", "leader_total") >= F.greatest("total", "leader_total") * similar * (1 - 1e-9)
+    pairs = each.join(leaders, ["band", "bucket"]).where((F.col("tid") != F.col("leader")) & near)
+    return met, stash(pairs.select(F.least("tid", "leader").alias("b"), F.greatest("tid", "leader").alias("a")).distinct(), "pairs")
+
+
+def texts_of_mixed_buckets(met: DataFrame, comp: DataFrame, compared: DataFrame) -> DataFrame:
+    """Stored: tid, comp and total of the texts in buckets of two components or more, but for two texts that have been compared."""
+    now = met.join(comp, "tid").select("tid", "comp", "total", F.inline("buckets"))
+    mixed = now.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("tid").alias("b"), F.max("tid").alias("a")).where("low <> high")
+    done = compared.select("a", "b", F.lit(2).cast("long").alias("n"))
+    mixed = mixed.join(done, ["a", "b", "n"], "left_anti").select("band", "bucket")
+    return stash(now.join(mixed, ["band", "bucket"]).select("tid", "comp", "total").distinct(), "rest_ids")
 
 
 def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -347,64 +336,27 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     idf = spark.sparkContext.broadcast(inverse_frequencies(docs))
     rows = stash(docs.select("doc_id", text_id(F.col("text")).alias("tid")), "rows")
     first = rows.groupBy("tid").agg(F.min("doc_id").alias("doc_id"))
+    signs = signatures(docs, idf)
+    met, pairs = leader_pairs(signs, similar)
 
-    # buckets of two or more texts, with how many texts each member meets in all its bands
-    banded = signatures(docs, idf).select("tid", *_TRAITS, F.posexplode("bands").alias("band", "bucket"))
-    counts = banded.groupBy("band", "bucket").agg(F.count("*").alias("n")).where("n > 1")
-    members = stash(banded.join(counts, ["band", "bucket"]), "met")
-    met = members.groupBy("tid").agg(F.sum("n").alias("met"))
-    members = stash(members.drop("n").join(met, "tid"), "members")
-    wanted = stash(met.select("tid").join(first, "tid"), "wanted")
+    wanted = stash(met.select(F.col("tid").alias("want")).join(first, F.col("want") == F.col("tid")).select("want", F.col("doc_id").alias("first_id")), "wanted")
     texts = docs.select("doc_id", text_id(F.col("text")).alias("tid"), F.coalesce("text", F.lit("")).alias("text"))
-    wanted = small(wanted.withColumnRenamed("doc_id", "first_id").withColumnRenamed("tid", "want"))
-    texts = stash(texts.join(wanted, (F.col("tid") == F.col("want")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).select("tid", "text"), "texts").dropDuplicates(["tid"])
-
-    comp = stash(met.select("tid", F.col("tid").alias("comp")), "labels")
-    tested = None
-    foremost = True  # at first each text meets one leader only, that of the most neighbours: most then need no other
-    order = Window.partitionBy("band", "bucket").orderBy(F.desc("met"), "tid")
-    k = 0
-    while True:
-        now = members.join(comp, "tid")
-        mixed = now.groupBy("band", "bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("band", "bucket")
-        now = stash(now.join(mixed, ["band", "bucket"]), "mixed")
-        ranked = now.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= (2 << k) - 1)
-        leaders = ranked.where(F.col("rank") >= 1 << k).select("band", "bucket", F.col("tid").alias("leader"), F.col("comp").alias("leader_comp"), F.col("met").alias("leader_met"), *(F.col(c).alias(f"leader_{c}") for c in _TRAITS))
-        met_now = now.select("band", "bucket", "tid", "comp", *_TRAITS).join(leaders, ["band", "bucket"]).where("comp <> leader_comp").where(may_be_alike(similar))
-        if foremost:
-            met_now = met_now.groupBy("tid").agg(F.max_by("leader", F.struct("leader_met", "leader")).alias("leader"))
-        pairs = met_now.select(F.least("tid", "leader").alias("b"), F.greatest("tid", "leader").alias("a")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stash(pairs, "pairs")
-        if pairs.isEmpty() and leaders.isEmpty():
-            break
-        compared = verify(pairs, texts, idf)
-        tested = compared.select("a", "b") if tested is None else stash(tested.unionByName(compared.select("a", "b")), "tested")
-        joined = joins_of(compared, comp, similar)
-        n_joined = joined.count()
-        if n_joined:
-            comp = relabelled(comp, joined)
-        if not foremost and n_joined < WORTH * compared.count():
-            break
-        k += not foremost
-        foremost = False
-
-    # what the leaders left: all pairs of buckets that are still mixed, but for those that a bound rules out
-    now = members.join(comp, "tid")
-    mixed = now.groupBy("band", "bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("band", "bucket")
-    rest = stash(now.join(mixed, ["band", "bucket"]).select("tid", "comp", "total").distinct(), "rest_ids")
+    texts = texts.join(small(wanted), (F.col("tid") == F.col("want")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).select("tid", "text")
+    texts = stash(texts.dropDuplicates(["tid"]), "texts")
+
+    compared = verify(pairs, texts, idf)
+    comp = relabelled(stash(met.select("tid", F.col("tid").alias("comp")), "labels"), compared, similar)
+    rest = texts_of_mixed_buckets(met, comp, compared)
     if not rest.isEmpty():
-        pairs = pairs_left(rest, texts, idf, similar)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        joined = joins_of(verify(stash(pairs, "pairs"), texts, idf), comp, similar)
-        if not joined.isEmpty():
-            comp = relabelled(comp, joined)
+        left = pairs_left(rest, texts, compared, idf, similar)
+        more = verify(left, texts, idf)
+        comp = relabelled(comp, more, similar)
+        drop(left, more)
 
     grouped = first.join(comp, "tid", "left").select("tid", "doc_id", F.coalesce("comp", "tid").alias("comp"))
     least = grouped.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.min_by("tid", F.struct(F.col("doc_id").isNull(), "doc_id", "tid")).alias("top_tid"))
     classes = stash(grouped.join(least, "comp").select("tid", F.col("doc_id").alias("first_id"), "class_id", "top_tid"), "classes")
+    drop(signs, met, pairs, wanted, texts, compared, comp, rest)
     placed = rows.join(classes, "tid")
     return placed.select("doc_id", "tid", "class_id", ((F.col("tid") == F.col("top_tid")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).alias("kept"))
 
