@@ -133,30 +133,35 @@ def forward_backward(emission: np.ndarray, first: np.ndarray, transition: np.nda
     return posterior / np.maximum(posterior.sum(1, keepdims=True), 1e-300)
 
 
-def _batch_gradient(crf: Crf, emission: np.ndarray, gold: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Gradients of the log-likelihood of sequences of one length: by word and label, of transitions, of initials."""
+def _batch_gradient(crf: Crf, emission: np.ndarray, gold: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Gradients of the log-likelihood of sequences: by word and label, of transitions, of initials.
+
+    Places that aren't ``real`` are no words: what is known passes through them unchanged. The first place is real.
+    """
     rows, length, k = emission.shape
     e = np.exp(emission - emission.max(2, keepdims=True))
     step, start = np.exp(crf.transition), np.exp(crf.initial)
     alpha, beta = np.empty_like(e), np.ones_like(e)
     for t in range(length):
-        alpha[:, t] = (start if t == 0 else alpha[:, t - 1] @ step) * e[:, t]
-        alpha[:, t] /= alpha[:, t].sum(1, keepdims=True)
+        now = (start if t == 0 else alpha[:, t - 1] @ step) * e[:, t]
+        now /= now.sum(1, keepdims=True)
+        alpha[:, t] = now if t == 0 else np.where(real[:, t, None], now, alpha[:, t - 1])
     for t in range(length - 2, -1, -1):
-        beta[:, t] = (beta[:, t + 1] * e[:, t + 1]) @ step.T
-        beta[:, t] /= beta[:, t].max(1, keepdims=True)
+        now = (beta[:, t + 1] * e[:, t + 1]) @ step.T
+        now /= now.max(1, keepdims=True)
+        beta[:, t] = np.where(real[:, t + 1, None], now, beta[:, t + 1])
     p = alpha * beta
     p /= p.sum(2, keepdims=True)
     pair = alpha[:, :-1, :, None] * step * (beta[:, 1:] * e[:, 1:])[:, :, None, :]
-    pair /= pair.sum((2, 3), keepdims=True)
+    pair *= (real[:, 1:] / pair.sum((2, 3)))[:, :, None, None]
     seen = np.zeros((k, k))
-    np.add.at(seen, (gold[:, :-1].ravel(), gold[:, 1:].ravel()), 1)
+    np.add.at(seen, (gold[:, :-1][real[:, 1:]], gold[:, 1:][real[:, 1:]]), 1)
     unit = np.eye(k)
-    return unit[gold] - p, seen - pair.sum((0, 1)), unit[gold[:, 0]].sum(0) - p[:, 0].sum(0)
+    return (unit[gold] - p) * real[:, :, None], seen - pair.sum((0, 1)), unit[gold[:, 0]].sum(0) - p[:, 0].sum(0)
 
 
 def fit(texts: list[str], labels: list[str], buckets: int = 1 << 16, length: int = 32, epochs: int = 4, batch: int = 256, rate: float = 0.3, seed: int = 7) -> Crf:
-    """Learn from labelled texts. Sequences are cut from the texts; half of them join pieces of texts of two languages."""
+    """Learn from labelled texts. Sequences of up to ``length`` words are cut from the whole texts; half of them join pieces of texts of two languages."""
     langs = sorted(set(labels))
     k = len(langs)
     crf = Crf(langs, np.zeros((buckets, k)), np.zeros((k, k)), np.zeros(k))
@@ -164,16 +169,19 @@ def fit(texts: list[str], labels: list[str], buckets: int = 1 << 16, length: int
     rows, gold = [], []
     for text, label in zip(texts, labels, strict=True):
         ids = [vocabulary.setdefault(w, len(vocabulary)) for w in WORD.findall(text.lower())]
-        rows += [ids[i : i + length] for i in range(0, len(ids) - length + 1, length)]
+        rows += [ids[i : i + length] for i in range(0, len(ids), length)]
         gold += [langs.index(label)] * (len(rows) - len(gold))
     if not rows:
         return crf
     rng = np.random.default_rng(seed)
-    plain, tag = np.array(rows), np.repeat(np.array(gold)[:, None], length, 1)
+    sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+    held = np.arange(length) < sizes[:, None]
+    plain, tag = np.zeros(held.shape, np.int64), np.repeat(np.array(gold)[:, None], length, 1)
+    plain[held] = np.fromiter(chain.from_iterable(rows), np.int64, int(sizes.sum()))
     other = rng.permutation(len(plain))
-    cut = rng.integers(1, length, len(plain))[:, None]
+    cut = rng.integers(1, np.maximum(sizes, 2))[:, None]
     before = np.arange(length) < np.where(rng.random(len(plain))[:, None] < 0.5, length, cut)
-    words, tags = np.where(before, plain, plain[other]), np.where(before, tag, tag[other])
+    words, tags, real = (np.where(before, x, x[other]) for x in (plain, tag, held))
     owner, bucket = word_features(list(vocabulary), buckets)
     order = np.argsort(owner, kind="stable")
     bucket = bucket[order]
@@ -190,7 +198,7 @@ def fit(texts: list[str], labels: list[str], buckets: int = 1 << 16, length: int
             used, slot = np.unique(bucket[mine], return_inverse=True)
             emission = np.stack([np.bincount(owners, crf.weight[bucket[mine], j], len(distinct)) for j in range(k)], 1)
             place = place.reshape(words[chosen].shape)
-            by_word, by_pair, by_first = _batch_gradient(crf, emission[place], tags[chosen])
+            by_word, by_pair, by_first = _batch_gradient(crf, emission[place], tags[chosen], real[chosen])
             g_word = np.stack([np.bincount(place.ravel(), by_word[..., j].ravel(), len(distinct)) for j in range(k)], 1)
             g = np.stack([np.bincount(slot, g_word[owners, j], len(used)) for j in range(k)], 1) / len(chosen)
             squares[used] += g**2
