@@ -155,8 +155,9 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quali
     known = labels.where(learn & F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("int").alias("y"))
     share = min(1.0, max_rows / max(known.count(), 1))
     known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(2 * max_rows)
-    chosen = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
-    rows = _statistics_of(chosen.select("doc_id", "text")).join(F.broadcast(known), "doc_id").select("x", "y").toArrow()
+    # a doc_id that comes with several texts counts once, with the least of them: no more rows than labels are gathered
+    chosen = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    rows = _statistics_of(chosen).join(F.broadcast(known), "doc_id").select("x", "y").toArrow()
     x = np.array(rows.column("x").to_pylist(), np.float32).reshape(-1, len(STATISTICS))
     y = rows.column("y").to_numpy().astype(np.float64)
     order = np.lexsort((*x.T, y))  # whatever order the rows came in
