@@ -2,10 +2,11 @@
 
 Texts are lower-cased in A-Z and cut into words of letters, digits and characters beyond ASCII. The frequency of each
 benchmark word is counted over all documents. Of each window of ``WINDOW`` consecutive item words (a shorter item is
-one window) the two rarest words are chosen; the postings of those words, (term, document, place), are stored in the
-shared folder. A posting of item word p at place q says that the item begins at q - p: lists adjusted by these offsets
-are intersected, and where both rare words of some window agree the whole phrase is compared with the document.
-``proximity_matches`` takes from the same postings the documents where an item's rarest words stand close together.
+one window) the two rarest words are chosen, and of each item the ``NEAR_TERMS`` rarest that occur at all; the postings
+of those words, (term, document, place), are stored in the shared folder. They serve this benchmark: another one needs
+other postings. A posting of item word p at place q says that the item begins at q - p: lists adjusted by these offsets
+are intersected, and where both rare words of some window agree the whole phrase is compared with the document. From
+the same postings come the documents where an item's rarest words stand within ``NEAR_SPAN`` words, in any order.
 
 Null texts have no words and so no hits. Items without item_id or words match nothing. Rows that repeat a document
 get the same result each; rows of one doc_id with different texts are told apart by a hash of both. Occurrences that
@@ -18,9 +19,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import small, stash
+from .shared import drop, small, stash
 
 WINDOW = 10
+NEAR_TERMS, NEAR_SPAN = 3, 20
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _KEY = ["k1", "k2"]
@@ -69,6 +71,13 @@ def anchors(items: DataFrame, counts: DataFrame, per_window: int = 2) -> DataFra
     return stash(chosen.withColumn("term", F.xxhash64("word")), "anchors")
 
 
+def rarest_terms(items: DataFrame, counts: DataFrame, terms: int = NEAR_TERMS) -> DataFrame:
+    """The ``terms`` rarest different words of each item that occur in the documents (ties: the word that sorts first): item, word, term."""
+    words = items.select("item", F.explode("item_words").alias("word")).distinct().join(counts.where("n > 0"), "word")
+    ranked = words.withColumn("rank", F.row_number().over(Window.partitionBy("item").orderBy("n", "word")))
+    return stash(ranked.where(F.col("rank") <= terms).select("item", "word", F.xxhash64("word").alias("term")), "rarest")
+
+
 def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """Store the postings of ``terms`` (word, term): k1, k2, doc_id, n_words, term, pos.
 
@@ -91,7 +100,8 @@ def exact_matches(docs: DataFrame, index: DataFrame, items: DataFrame, chosen: D
     agreed = agreed.join(small(lengths), "item").where("n >= least(2, length)")
     places = agreed.groupBy(*_KEY, "item").agg(F.collect_list("offset").alias("offsets")).join(small(items), "item")
     by_doc = stash(places.groupBy(*_KEY).agg(F.collect_list(F.struct("item_id", "item_words", "m", "length", "offsets")).alias("candidates")), "candidates")
-    texts = _keyed(docs).drop("doc_id").join(small(by_doc), _KEY)
+    k1, k2 = _keys()
+    texts = docs.select(k1.alias("k1"), k2.alias("k2"), "text").join(small(by_doc), _KEY).select(*_KEY, "candidates", words_of(F.col("text")).alias("words"))
 
     def phrases(c: Column) -> Column:
         """The windows of one item that stand in the document where its offsets say; words are compared one by one."""
@@ -110,8 +120,8 @@ def exact_matches(docs: DataFrame, index: DataFrame, items: DataFrame, chosen: D
     return found.select(*_KEY, "hit.item_id", "hit.first", "hit.end").distinct()
 
 
-def proximity_matches(index: DataFrame, chosen: DataFrame, counts: DataFrame, terms: int = 3, span: int = 20) -> DataFrame:
-    """Documents in which an item's ``terms`` rarest indexed words stand within ``span`` words: doc_id, item, pos, span.
+def proximity_matches(index: DataFrame, chosen: DataFrame, counts: DataFrame, terms: int = NEAR_TERMS, span: int = NEAR_SPAN) -> DataFrame:
+    """Documents in which an item's ``terms`` rarest indexed words stand within ``span`` words: doc_id, k1, k2, item, pos, span.
 
     ``pos`` is the last word of the closest such place; the words may come in any order. Items with fewer indexed
     words take all they have.
@@ -126,34 +136,38 @@ def proximity_matches(index: DataFrame, chosen: DataFrame, counts: DataFrame, te
     seen = sum((x.isNotNull().cast("int") for x in last[1:]), last[0].isNotNull().cast("int"))
     width = F.col("pos") - F.least(*(F.coalesce(x, F.col("pos")) for x in last)) + 1
     close = hits.withColumn("seen", seen).withColumn("span", width).where((F.col("seen") == F.col("wanted")) & (F.col("span") <= span))
-    return close.groupBy("doc_id", *_KEY, "item").agg(F.min(F.struct("span", "pos")).alias("best")).select("doc_id", "item", "best.pos", "best.span")
+    return close.groupBy("doc_id", *_KEY, "item").agg(F.min(F.struct("span", "pos")).alias("best")).select("doc_id", *_KEY, "item", "best.pos", "best.span")
 
 
-def _hits(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows, with all columns, in which no window of a benchmark item occurs."""
     items = benchmark_items(benchmark)
     chosen = anchors(items, term_counts(docs, items))
     index = build_index(docs, chosen)
-    return index, stash(exact_matches(docs, index, items, chosen), "hits")
-
-
-def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows, with all columns, in which no window of a benchmark item occurs."""
-    _, hits = _hits(docs, benchmark)
-    bad = stash(hits.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).distinct(), "contaminated")
+    bad = stash(exact_matches(docs, index, items, chosen).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).distinct(), "contaminated")
+    drop(index)
     k1, k2 = _keys()
     return docs.join(small(bad), (k1 == F.col("__k1")) & (k2 == F.col("__k2")), "left_anti")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every document."""
-    index, hits = _hits(docs, benchmark)
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and n_near (items whose rarest words stand close) of every document."""
+    items = benchmark_items(benchmark)
+    counts = term_counts(docs, items)
+    chosen, rarest = anchors(items, counts), rarest_terms(items, counts)
+    index = build_index(docs, chosen.select("word", "term").unionByName(rarest.select("word", "term")))
+    hits = stash(exact_matches(docs, index, items, chosen), "hits")
+    close = proximity_matches(index, rarest, counts).join(small(stash(items.select("item", "item_id"), "item_ids")), "item")
+    close = close.groupBy(*_KEY).agg(F.count_distinct("item_id").alias("n_near"))
+
     before = Window.partitionBy(*_KEY).orderBy("first", "end").rowsBetween(Window.unboundedPreceding, -1)
     reached = F.coalesce(F.max("end").over(before), F.lit(0))
     new = hits.withColumn("new", F.greatest(F.lit(0), F.col("end") - F.greatest(F.col("first"), reached)))
     per_doc = new.groupBy(*_KEY).agg(F.sum("new").alias("n_hit"), F.collect_set("item_id").alias("items"))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     none = F.array().cast("array<string>")
-    return index.where("term IS NULL").select("doc_id", *_KEY, "n_words").join(per_doc, _KEY, "left").select(
+    found = index.where("term IS NULL").select("doc_id", *_KEY, "n_words").join(per_doc, _KEY, "left").join(close, _KEY, "left")
+    return found.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.greatest(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
-        F.sha2(F.array_join(F.array_sort(F.coalesce("items", none)), ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+        F.sha2(F.array_join(F.array_sort(F.coalesce("items", none)), ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
     )

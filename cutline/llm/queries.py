@@ -151,9 +151,25 @@ bw AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[j:j +
 dw AS (SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS k FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bw))),
 h AS (SELECT r, item_id, i, dw.n FROM dw JOIN bw ON dw.k = bw.k AND dw.n = bw.n),
 hits AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM h) GROUP BY r),
-items AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS ids FROM h GROUP BY r)
-SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN hits USING (r) LEFT JOIN items USING (r)
+items AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS ids FROM h GROUP BY r),
+places AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d),
+bi AS (SELECT row_number() OVER () AS item, item_id, w FROM (SELECT DISTINCT item_id, w FROM b WHERE len(w) > 0)),
+rare AS (
+  SELECT item, item_id, word, row_number() OVER (PARTITION BY item ORDER BY n, word) AS k
+  FROM (SELECT DISTINCT item, item_id, unnest(w) AS word FROM bi) JOIN (SELECT word, count(*) AS n FROM places GROUP BY word) USING (word)
+),
+near AS (SELECT *, max(k) OVER (PARTITION BY item) AS wanted FROM rare WHERE k <= {decontam.NEAR_TERMS}),
+last AS (
+  SELECT r, item_id, pos, wanted, max(pos) FILTER (k = 1) OVER u AS p1, max(pos) FILTER (k = 2) OVER u AS p2, max(pos) FILTER (k = 3) OVER u AS p3
+  FROM places JOIN near USING (word) WINDOW u AS (PARTITION BY r, item ORDER BY pos)
+),
+close AS (
+  SELECT r, count(DISTINCT item_id) AS n_near FROM last
+  WHERE (p1 IS NOT NULL)::INT + (p2 IS NOT NULL)::INT + (p3 IS NOT NULL)::INT = wanted AND pos - least(coalesce(p1, pos), coalesce(p2, pos), coalesce(p3, pos)) + 1 <= {decontam.NEAR_SPAN}
+  GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near
+FROM d LEFT JOIN hits USING (r) LEFT JOIN items USING (r) LEFT JOIN close USING (r)
 """
 
 _ESCAPED = "replace({}, '\\', '\\\\')"
