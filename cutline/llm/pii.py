@@ -1,11 +1,19 @@
 """Personal data: fixed patterns, and information-theoretic sanitisation of the terms that give them away.
 
-Emails, IP addresses, payment cards and phone numbers are found by pattern. Each of their values is a protected
-entity. The words of the different texts that mention it, but for those inside the patterns, are counted: a term t
-discloses an entity e as far as its pointwise mutual information with e comes near the information content of e itself,
-``log(p(t | e) / p(t)) / log(1 / p(e))``, over all different texts, so that copies of a document count once in each
-part. A term of at least ``SUPPORT`` texts that mention the entity whose disclosure reaches ``GENERALISE`` is replaced
-by a class name in all documents, and removed from ``REMOVE`` on.
+Emails, IP addresses, payment cards and phone numbers are found by pattern. What is protected are their single values
+and, one step broader, their kinds and personal data as such. The words of texts that mention any of these, but for
+those inside the patterns, are counted.
+
+A term t discloses a value e as far as its pointwise mutual information with e comes near the information content of e
+itself, ``log(p(t | e) / p(t)) / log(1 / p(e))``, over all different texts, so that copies of a document count once in
+each part; values of fewer than ``SUPPORT`` texts say nothing by themselves and count in their kinds only. The same
+ratio holds for a kind, written as ``1 - log(1 / p(e | t)) / log(1 / p(e))`` over all documents, with p(e | t) drawn
+to p(e) as if ``PRIOR`` more documents with t were like all others; a kind takes terms of ``KIND_SUPPORT`` documents
+that mention it, but for those that a single value accounts for. A term whose neighbouring words hardly change from one mention to the other is part of a copied
+passage and gives nothing away: it needs as many different surroundings as its support, and ``VARIED`` of its documents.
+
+A term whose disclosure reaches ``GENERALISE`` is replaced in all documents by the kind of what it gives away, or by
+[PERSONAL] if that is more than one, and removed from ``REMOVE`` on.
 
 Null texts are empty. Repeated rows get repeated results; rows of one doc_id with different texts are told apart by a
 hash of both. Spans are code points, end exclusive. Matches that fail their check are dropped and not tried again
@@ -29,6 +37,9 @@ CARD_GAP = r"[^0-9]{2,}|[^0-9\x20-]"
 CARD_GUARD = r"[0-9](?:[\x20-]?[0-9]){12}"
 TERM = r"\p{L}{3,}"
 SUPPORT, GENERALISE, REMOVE = 3, 0.75, 0.9
+KIND_SUPPORT, PRIOR, VARIED = 5, 5.0, 0.25
+#: Stands for all kinds together.
+PERSONAL = "personal"
 _KEY = ["k1", "k2"]
 _SPAN = "array<struct<start:int,end:int,value:string>>"
 
@@ -99,13 +110,26 @@ def _terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
 
+def _surroundings(text: Column) -> Column:
+    """The distinct terms of a text, each with a hash of the words before and after it."""
+    none = F.lit("")
+
+    def of(words: Column) -> Column:
+        around = lambda i: F.xxhash64(F.coalesce(F.get(words, i - 1), none), F.coalesce(F.get(words, i + 1), none))
+        said = F.transform(words, lambda w, i: F.struct(w.alias("term"), around(i).alias("around")))
+        return F.array_distinct(F.filter(said, lambda x: F.length(x["term"]) >= 3))
+
+    # the words stand in an array of one, so that they are found once and not again for each of them
+    return F.transform(F.array(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))), of)[0]
+
+
 def _text_key(text: Column) -> Column:
     """The same for copies of a text, whatever their doc_id."""
     return F.struct(F.xxhash64(text).alias("h1"), F.hash(text).alias("h2"))
 
 
 def detect(docs: DataFrame) -> DataFrame:
-    """Stored: doc_id, k1, k2, spans (kind, start, end of the patterns), entities, the terms beside them and text_key."""
+    """Stored: doc_id, k1, k2, spans (kind, start, end of the patterns), entities, what is said (terms, surroundings) beside them and text_key."""
     both = (F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce("text", F.lit("")))
     rows = docs.select("doc_id", F.xxhash64(*both).alias("k1"), F.hash(*both).alias("k2"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("text_key", _text_key(F.col("text")))
@@ -120,43 +144,78 @@ def detect(docs: DataFrame) -> DataFrame:
     spans = F.concat(*(F.transform(k, span_of(k)) for k in KINDS))
     entities = F.array_distinct(F.concat(*(F.transform(k, entity_of(k)) for k in KINDS)))
     rows = found.select("doc_id", *_KEY, spans.alias("spans"), entities.alias("entities"), "text", "text_key")
-    terms = F.when(F.size("entities") > 0, F.array_distinct(_terms(sanitised(F.col("text"), F.col("spans"), F.lit(" ")))))
-    return stash(rows.select("doc_id", *_KEY, "spans", "entities", terms.alias("terms"), "text_key"), "personal")
+    said = F.when(F.size("entities") > 0, _surroundings(sanitised(F.col("text"), F.col("spans"), F.lit(" "))))
+    return stash(rows.select("doc_id", *_KEY, "spans", "entities", said.alias("said"), "text_key"), "personal")
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """Stored: entity, term, disclosure and action ('generalise' or 'remove') of the terms over the threshold."""
+def _varied(judged: DataFrame, mentions: DataFrame) -> DataFrame:
+    """The rows of ``judged`` (entity, term, both, least, ...) whose terms have enough different surroundings in ``mentions`` (entity, said)."""
+    wanted = stash(judged, "judged")
+    pairs = small(stash(wanted.select("entity", "term"), "judged_pairs"))
+    met = mentions.select("entity", F.inline("said")).join(pairs, ["entity", "term"]).distinct().groupBy("entity", "term").agg(F.count("*").alias("surroundings"))
+    return wanted.join(met, ["entity", "term"]).where(F.col("surroundings") >= F.greatest("least", F.col("both") * VARIED))
+
+
+def _of_values(docs: DataFrame, found: DataFrame, support: int, generalise: float) -> DataFrame:
+    """entity, term and disclosure of the terms that give single values away."""
     total = found.select("text_key").distinct().count()
     mentioning = found.where(F.size("entities") > 0)
     entities = mentioning.select("text_key", F.explode("entities").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n"))
     entities = stash(entities.where(F.col("n") >= support), "entities")
-    once = stash(mentioning.dropDuplicates(["text_key"]).select("entities", "terms"), "contexts")
-    pairs = once.select(F.explode("entities").alias("entity"), "terms").join(small(entities), "entity").select("entity", "n", F.explode("terms").alias("term"))
-    pairs = pairs.groupBy("entity", "n", "term").agg(F.count("*").alias("both")).where(F.col("both") >= support)
+    once = stash(mentioning.dropDuplicates(["text_key"]).select("entities", "said", F.array_distinct("said.term").alias("terms")), "contexts")
+    mentions = once.select(F.explode("entities").alias("entity"), "said", "terms").join(small(entities), "entity")
+    pairs = mentions.select("entity", "n", F.explode("terms").alias("term")).groupBy("entity", "n", "term").agg(F.count("*").alias("both")).where(F.col("both") >= support)
     # A term is in no fewer texts than mention an entity beside it: those that this alone rules out aren't counted further.
     near = once.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("near"))
     most = F.col("both") * F.pow(F.lit(max(total, 1)) / F.col("n"), F.lit(1 - generalise))
-    pairs = stash(pairs.join(near, "term").where(F.col("near") <= most * (1 + 1e-9)).drop("near"), "pairs")
+    pairs = pairs.join(near, "term").where(F.col("near") <= most * (1 + 1e-9)).drop("near").withColumn("least", F.lit(support))
+    pairs = stash(_varied(pairs, mentions), "pairs")
     terms = stash(pairs.select("term").distinct(), "pair_terms")
     text = F.coalesce("text", F.lit(""))
     said = docs.select(_text_key(text).alias("text_key"), F.array_distinct(_terms(text)).alias("terms")).select("text_key", F.explode("terms").alias("term")).join(small(terms), "term").distinct().groupBy("term").agg(F.count("*").alias("df"))
     gain = F.log(F.col("both") / F.col("n") / (F.col("df") / F.lit(total)))
     ratio = F.when(F.col("n") < total, gain / F.log(F.lit(total) / F.col("n"))).otherwise(F.lit(0.0))
-    judged = pairs.join(said, "term").withColumn("disclosure", ratio).where(F.col("disclosure") >= generalise)
-    return stash(judged.select("entity", "term", "disclosure", F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise").alias("action")), "disclosing")
+    return pairs.join(said, "term").select("entity", "term", ratio.alias("disclosure"))
+
+
+def _of_kinds(docs: DataFrame, found: DataFrame, support: int) -> DataFrame:
+    """entity (a kind, or PERSONAL), term and disclosure of the terms that give kinds of personal data away."""
+    total = found.count()
+    kinds = F.array_union(F.array_distinct(F.transform("spans", lambda s: s["kind"])), F.array(F.lit(PERSONAL)))
+    mentions = stash(found.where(F.size("entities") > 0).select(F.explode(kinds).alias("entity"), "said"), "kinds")
+    n = {r["entity"]: r["count"] for r in mentions.groupBy("entity").count().collect()}  # as many rows as there are kinds
+    share = {e: c / total for e, c in n.items() if c < total}
+    if not share:
+        return found.limit(0).select(F.lit("").alias("entity"), F.lit("").alias("term"), F.lit(0.0).alias("disclosure"))
+    prior = F.create_map(*(F.lit(x) for pair in share.items() for x in pair))[F.col("entity")]
+    pairs = mentions.where(F.col("entity").isin(*share)).select("entity", F.explode(F.array_distinct("said.term")).alias("term")).groupBy("entity", "term").agg(F.count("*").alias("both"))
+    pairs = stash(_varied(pairs.where(F.col("both") >= support).withColumn("least", F.lit(support)), mentions), "kind_pairs")
+    terms = small(stash(pairs.select("term").distinct(), "kind_terms"))
+    said = docs.select(F.explode(F.array_distinct(_terms(F.coalesce("text", F.lit(""))))).alias("term")).join(terms, "term").groupBy("term").agg(F.count("*").alias("df"))
+    likely = (F.col("both") + PRIOR * prior) / (F.col("df") + PRIOR)
+    return pairs.join(said, "term").select("entity", "term", (1 - F.log(likely) / F.log(prior)).alias("disclosure"))
+
+
+def disclosing_terms(docs: DataFrame, found: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE, kind_support: int = KIND_SUPPORT) -> DataFrame:
+    """Stored: entity, term, disclosure and action ('generalise' or 'remove') of the terms over the threshold."""
+    values = stash(_of_values(docs, found, support, generalise).where(F.col("disclosure") >= generalise), "of_values")
+    kinds = _of_kinds(docs, found, kind_support).where(F.col("disclosure") >= generalise).join(values.select("term"), "term", "left_anti")
+    judged = values.unionByName(kinds)
+    return stash(judged.withColumn("action", F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise")), "disclosing")
 
 
 def term_spans(docs: DataFrame, disclosing: DataFrame) -> DataFrame:
-    """k1, k2 and the spans (kind 'term' or 'gone', start, end) of disclosing terms in all documents that hold them."""
-    marked = stash(disclosing.groupBy("term").agg(F.max(F.col("action") == "remove").alias("removed")), "marked_terms")
+    """k1, k2 and the spans (kind 'gone', or 'term-' and what it is generalised to; start, end) of disclosing terms in all documents."""
+    kinds = F.collect_set(F.substring_index("entity", ":", 1))
+    label = F.when(F.max(F.col("action") == "remove"), "gone").when(F.size(kinds) == 1, F.concat(F.lit("term-"), kinds[0])).otherwise(f"term-{PERSONAL}")
+    marked = stash(disclosing.groupBy("term").agg(label.alias("label")), "marked_terms")
     both = (F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce("text", F.lit("")))
     rows = docs.select(F.xxhash64(*both).alias("k1"), F.hash(*both).alias("k2"), F.coalesce("text", F.lit("")).alias("text"))
-    said = rows.select(*_KEY, F.array_distinct(_terms(F.col("text"))).alias("terms")).select(*_KEY, F.explode("terms").alias("term")).join(small(marked), "term")
-    wanted = stash(said.groupBy(*_KEY).agg(F.collect_set("term").alias("all"), F.collect_set(F.when(F.col("removed"), F.col("term"))).alias("gone")), "wanted_terms")
+    said = rows.select(*_KEY, F.explode(F.array_distinct(_terms(F.col("text")))).alias("term")).join(small(marked), "term").distinct()
+    wanted = stash(said.groupBy(*_KEY).agg(F.map_from_entries(F.collect_list(F.struct("term", "label"))).alias("all")), "wanted_terms")
     texts = rows.join(small(wanted), _KEY).dropDuplicates(_KEY)
-    words = _walk(F.split("text", r"\p{L}+", -1), F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0)), lambda v: F.array_contains("all", F.lower(v)))
-    marked = F.transform(words, lambda s: F.struct(F.when(F.array_contains("gone", F.lower(s["value"])), "gone").otherwise("term").alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    return texts.select(*_KEY, marked.alias("term_spans"))
+    words = _walk(F.split("text", r"\p{L}+", -1), F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0)), lambda v: F.map_contains_key("all", F.lower(v)))
+    return texts.select(*_KEY, F.transform(words, lambda s: F.struct(F.col("all")[F.lower(s["value"])].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("term_spans"))
 
 
 def find_spans(docs: DataFrame) -> DataFrame:
@@ -173,8 +232,8 @@ def is_kind(kind: str):
 
 
 def written(spans: Column) -> Column:
-    """Spans as kind:start:end, comma-joined; both kinds of disclosing terms are called 'term'."""
-    name = lambda s: F.when(s["kind"] == "gone", "term").otherwise(s["kind"])
+    """Spans as kind:start:end, comma-joined; disclosing terms are 'removed' or 'generalised'."""
+    name = lambda s: F.when(s["kind"] == "gone", "removed").when(s["kind"].startswith("term-"), "generalised").otherwise(s["kind"])
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", name(s), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
@@ -184,7 +243,7 @@ def sanitised(text: Column, spans: Column, instead: Column | None = None) -> Col
     state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(a: Column, s: Column) -> Column:
-        shown = instead if instead is not None else F.when(s["kind"] == "gone", "").otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
+        shown = instead if instead is not None else F.when(s["kind"] == "gone", "").otherwise(F.concat(F.lit("["), F.upper(F.replace(s["kind"], F.lit("term-"), F.lit(""))), F.lit("]")))
         out = F.when(s["start"] >= a["at"], F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), shown)).otherwise(a["out"])
         return F.struct(F.greatest(a["at"], s["end"]).alias("at"), out.alias("out"))
 
