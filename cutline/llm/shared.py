@@ -85,7 +85,7 @@ def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if size <= most else df
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 19) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Cut record batches into pieces of about ``limit`` bytes of text, or one longer row; a null is an empty text."""
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index(column))
