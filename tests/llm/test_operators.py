@@ -21,6 +21,14 @@ from ..compare import DATA, same
 BYTE, WORD = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
 
 
+def unlike():
+    """Two long words whose polynomial hashes modulo 2**64 are the same whatever the base."""
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
 def texts_of(df):
     return [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
 
@@ -57,6 +65,32 @@ def test_language_held_out_and_switching(spark):
     assert tags == ["en"] * 5 + ["de"] * 5
 
 
+def test_language_of_short_texts(spark):
+    """Texts shorter than a training sequence are learned from, and whole predictions equal a plain forward-backward."""
+    said = {"en": "the cat and the dog were here with them", "de": "der hund und die katze waren hier mit ihnen"}
+    rng = np.random.default_rng(5)
+    texts = [(lang, " ".join(rng.choice(words.split(), rng.integers(1, 7)))) for lang, words in said.items() for _ in range(60)]
+    crf = langid.fit([t for _, t in texts], [lang for lang, _ in texts])
+    assert np.abs(crf.weight).max() > 0
+    more = [t for _, t in texts] + ["the cat und die katze hier", "", "dog", " ".join(said["en"].split() * 60)]
+    got = {r.doc_id: r for r in langid.predict(spark.createDataFrame(list(enumerate(more)), "doc_id long, text string"), crf).collect()}
+    assert sum(got[i].lang_pred == lang for i, (lang, _) in enumerate(texts)) > 0.97 * len(texts)
+    for i, text in enumerate(more):
+        words = re.findall(r"[^\W\d_]+", text.lower())
+        if not words:
+            assert got[i].lang_pred == "und" and got[i].score == 0
+            continue
+        e = [np.exp(crf.emissions([w])[0].astype(float)) for w in words]
+        step, ahead, back = np.exp(crf.transition), [np.exp(crf.initial) * e[0]], [np.ones(2)]
+        for x in e[1:]:
+            ahead.append((ahead[-1] / ahead[-1].sum()) @ step * x)
+        for x in e[:0:-1]:
+            back.insert(0, step @ (back[0] / back[0].sum() * x))
+        p = np.array([a * b / (a * b).sum() for a, b in zip(ahead, back, strict=True)])
+        share = p.T @ np.array([len(w) for w in words]) / sum(map(len, words))
+        assert got[i].lang_pred == crf.langs[share.argmax()] and got[i].score == pytest.approx(share.max(), abs=1e-4)
+
+
 def test_language_odd(odd):
     crf = langid.train(odd, F.lit(True))
     found = {(r.doc_id, r.lang_pred) for r in langid.predict(odd, crf).collect()}
@@ -91,6 +125,9 @@ def test_repetition(prose, odd):
     for df in (prose, odd):
         got = Counter(tuple(r)[:-2] for r in repetition.repetition(df).collect())
         assert got == Counter((i, *plain_repetition(t, repetition.LIMITS)) for i, t in texts_of(df))
+    a, b = unlike()
+    hard = odd.sparkSession.createDataFrame([(1, f"{a}\n{b}"), (2, f"{a} x y z w {b} x y z w"), (3, f"{a}\n{a}")], "doc_id long, text string")
+    assert Counter(tuple(r)[:-2] for r in repetition.repetition(hard).collect()) == Counter((i, *plain_repetition(t, repetition.LIMITS)) for i, t in texts_of(hard))
     failed = {r.doc_id: r.kept for r in repetition.repetition(odd).where("doc_id IN (0, 6)").collect()}
     assert failed == {0: False, 6: False}
     assert repetition.repetition(odd.limit(0)).count() == 0
@@ -145,7 +182,7 @@ def test_token_store(prose, odd, shard_ids):
 
 
 def test_pieces_equal_whole_texts():
-    texts = ["", "\n", "a\n\nb", " a  b\n c\n", "a<|endoftext|>b <|endoftext|> c", "don't 's\n's é à\nà", "à 　 b", "don't!! l'été, a×b ÷c x.y.z (a) «b» it's 5's e're-e", "\x1c a \x85 b\x85 c", "日本 語\nの 🙂 x"]
+    texts = [*unlike(), " ".join(unlike()), "", "\n", "a\n\nb", " a  b\n c\n", "a<|endoftext|>b <|endoftext|> c", "don't 's\n's é à\nà", "à 　 b", "don't!! l'été, a×b ÷c x.y.z (a) «b» it's 5's e're-e", "\x1c a \x85 b\x85 c", "日本 語\nの 🙂 x"]
     encoder, tokenizer = token_store.PieceEncoder(BYTE), Tokenizer.from_file(BYTE)
     ids, counts = encoder.encode(texts)
     assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
@@ -181,7 +218,7 @@ def test_decontamination(spark, prose, odd):
     items = [(1, passages[0]), (2, " ".join(passages[1].split()[3:17]).upper()), (3, "one"), (4, "the mat and"), (5, ""), (6, None), (None, passages[2]), (7, "long long long"), (8, "nowhere to be found in any of the texts at all"), (9, passages[0])]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     for df in (prose, odd):
-        got = Counter(tuple(r) for r in decontam.decontaminate(df, benchmark).collect())
+        got = Counter(tuple(r)[:-1] for r in decontam.decontaminate(df, benchmark).collect())
         assert got == plain_hits(texts_of(df), items)
         clean = decontam.without_contaminated(df, benchmark)
         assert clean.columns == df.columns and clean.count() == sum(n for r, n in got.items() if not r[-1])
@@ -267,6 +304,21 @@ def test_disclosing_terms_of_whole_documents(spark):
     assert not [r.doc_id for r in pii.sanitise(df).collect() if "Zebulon" in r.text or "Dear" not in r.text]
 
 
+def test_terms_that_give_kinds_away(spark):
+    """A cue that stands beside different values is found by their kind; a passage that is copied with a value isn't."""
+    rng = np.random.default_rng(6)
+    common = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(60)]
+    body = lambda n: " ".join(rng.choice(common, n))
+    rows = [f"{body(8)} mailbox {body(8)} user{i}@x{i}.com {body(3)}" for i in range(20)]
+    rows += [f"unique passage that is copied as a whole with one@y.org number {i}" for i in range(20)]
+    rows += [f"{body(20)}" for _ in range(400)] + [None, "", "mailbox"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    terms = {(r.entity, r.term, r.action) for r in pii.disclosing_terms(df, pii.detect(df)).collect()}
+    assert {t for e, t, _ in terms if ":" not in e} == {"mailbox"} and not {"unique", "passage", "copied"} & {t for _, t, _ in terms}
+    after = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert "mailbox" not in after[0] and "@" not in after[0] and after[len(rows) - 3] is None and after[50] == rows[50]
+
+
 # 7 ------------------------------------------------------------------------------------------------------------------
 
 
@@ -396,7 +448,7 @@ HARD = [
 @pytest.mark.parametrize("most", [0, 40, 1 << 17])
 def test_word_bpe(spark, prose, odd, most):
     tokenizer = Tokenizer.from_file(WORD)
-    hard = spark.createDataFrame([(i, t) for i, t in enumerate(HARD)], "doc_id long, text string")
+    hard = spark.createDataFrame(list(enumerate([*HARD, " ".join(unlike()), *unlike()])), "doc_id long, text string")
     for df in (prose, odd, hard):
         lexicon = word_bpe.build_lexicon(df, WORD, most)
         got = Counter((r.doc_id, tuple(r.ids), r.decoded) for r in word_bpe.encode(df, WORD, lexicon).collect())
@@ -405,7 +457,16 @@ def test_word_bpe(spark, prose, odd, most):
             ids = tokenizer.encode(t or "", add_special_tokens=False).ids
             want[i, tuple(ids), tokenizer.decode(ids, skip_special_tokens=False)] += 1
         assert got == want
-    assert word_bpe.encode(odd.limit(0), WORD, None).count() == 0
+    assert word_bpe.encode(odd.limit(0), WORD, word_bpe.build_lexicon(odd.limit(0), WORD, most)).count() == 0
     digest = {r.doc_id: r for r in word_bpe.encode_digests(hard, WORD, None).collect()}
     ids = np.array(tokenizer.encode(HARD[0], add_special_tokens=False).ids, "<u4")
     assert digest[0].ids_sha256 == hashlib.sha256(ids.tobytes()).hexdigest() and digest[0].n_tokens == len(ids)
+
+
+@pytest.mark.parametrize("most", [0, 1, 3, 7, 50, 5000])
+def test_least_count(spark, most):
+    counts = [1] * 40 + [2] * 5 + [9, 1000, 1_000_000, 5_000_000_001, 5_000_000_001]
+    table = spark.createDataFrame([(str(i), n) for i, n in enumerate(counts)], "word string, n long")
+    least = word_bpe.least_count(table, most)
+    assert sum(n >= least for n in counts) <= most and (least == 1 or sum(n >= least - 1 for n in counts) > most)
+    assert word_bpe.least_count(table.limit(0), most) == 1
