@@ -44,10 +44,10 @@ def nested_array(left: DataFrame, right: DataFrame, on: Sequence[str], element:
 
 def not_in(left: DataFrame, column: str, right: DataFrame, other: str) -> DataFrame:
     """NOT IN with its treatment of nulls: a null on the right leaves nothing, a null on the left is never kept."""
-    spark = left.sparkSession
-    left.createOrReplaceTempView("__not_in_left")
-    right.select(other).createOrReplaceTempView("__not_in_right")
-    return spark.sql(f"SELECT * FROM __not_in_left WHERE {column} NOT IN (SELECT {other} FROM __not_in_right)")
+    held = right.select(F.col(other).alias("__held"))
+    facts = held.agg((F.count("*") > 0).alias("__some"), F.coalesce(F.bool_or(F.col("__held").isNull()), F.lit(False)).alias("__null"))
+    open_ = left.join(F.broadcast(facts)).where(~F.col("__null") & (F.col(column).isNotNull() | ~F.col("__some")))  # one row of facts
+    return open_.drop("__some", "__null").join(held.where("__held IS NOT NULL"), F.col(column) == F.col("__held"), "left_anti")
 
 
 def missing_or_different(left: DataFrame, right: DataFrame, on: Sequence[str], mine: str, theirs: str) -> DataFrame:
@@ -114,3 +114,18 @@ def subset_of_any(left: DataFrame, words: str, right: DataFrame, other_words: st
     pairs = left.select(key, words).distinct().join(right.select(key, other_words), key)
     held = pairs.where(F.size(F.array_except(words, other_words)) == 0).select(key, words).distinct().withColumn("subset", F.lit(True))
     return left.join(held, [key, words], "left").withColumn("subset", F.coalesce("subset", F.lit(False)))
+
+
+def words_held(items: DataFrame, key: str, words: str, texts: DataFrame, text_words: str) -> DataFrame:
+    """The items with a flag ``subset``: some text holds all their (distinct) words. Items without words fit any text.
+
+    An item meets only the texts that hold its rarest word, by its frequency in all texts; ties go to the word that sorts first.
+    """
+    each = items.select(key, words, F.explode(words).alias("__x"))
+    said = texts.select(F.explode(text_words).alias("__x")).join(each.select("__x").distinct(), "__x", "left_semi").groupBy("__x").agg(F.count("*").alias("__n"))
+    rarest = each.join(said, "__x", "left").groupBy(key, words).agg(F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), F.col("__x").alias("x"))).alias("__r"))
+    rarest = rarest.where("__r.n > 0").select(key, F.col(words).alias("__w"), F.col("__r.x").alias("__x"))
+    met = texts.select(F.col(text_words).alias("__t"), F.explode(text_words).alias("__x")).join(rarest, "__x")
+    held = met.where(F.size(F.array_except("__w", "__t")) == 0).select(key).distinct()
+    none = items.where(F.size(words) == 0).select(key).join(texts.limit(1).select(F.lit(True).alias("__any")), how="cross").select(key)  # one text at most
+    return exists_flag(items, held.unionByName(none), [key], "subset")

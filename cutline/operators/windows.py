@@ -70,6 +70,11 @@ def last_rows(df: DataFrame, by: Sequence[str], order: str, n: int) -> DataFrame
     return first_of(df, by, [F.desc(order)], n)
 
 
+def first_and_count(df: DataFrame, identity: Sequence[str], key: str, repeats: str) -> DataFrame:
+    """The least key of each identity and the number of its repeats, added up before the shuffle."""
+    return df.groupBy(*identity).agg(F.min(key).alias(key), (F.count("*") - 1).alias(repeats))
+
+
 def first_and_repeats(df: DataFrame, identity: Sequence[str], order: Sequence[str], key: str) -> DataFrame:
     """The first row of each identity with the keys of its repeats in order."""
     row = F.struct(*order, F.col(key).alias("__key"))

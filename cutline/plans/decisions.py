@@ -24,12 +24,17 @@ cand AS (SELECT o_orderkey, o_orderpriority, year(o_orderdate) AS y, c_nationkey
 """
 
 
-def _candidates(t: Tables) -> DataFrame:
-    facts = t.orders.select("o_orderkey", "o_custkey", "o_orderpriority", F.year("o_orderdate").alias("y"), F.col("o_totalprice").cast("decimal(12,2)").alias("base"))
-    flagged = t.lineitem.where("l_returnflag = 'A'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max(F.col("l_extendedprice").cast("decimal(12,2)")).alias("z"))
-    allowed = t.lineitem.where("l_linestatus = 'O'").select(F.col("l_orderkey").alias("o_orderkey"))
-    places = t.customer.select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
-    return joins.override_join(facts.join(places, "o_custkey"), flagged, ["o_orderkey"], "base", "z", "cutoff").join(allowed, "o_orderkey", "left_semi").drop("base", "z")
+def _candidates(t: Tables, year: int | None = None, nation: int | None = None) -> DataFrame:
+    """Orders with an open line and their thresholds; the lines, read once, are cut to the orders of the year and nation first."""
+    orders = t.orders if year is None else t.orders.where(f"o_orderdate >= DATE '{year}-01-01' AND o_orderdate < DATE '{year + 1}-01-01'")
+    places = t.customer if nation is None else t.customer.where(F.col("c_nationkey") == nation)
+    facts = orders.select("o_orderkey", "o_custkey", "o_orderpriority", F.year("o_orderdate").alias("y"), F.col("o_totalprice").cast("decimal(12,2)").alias("base"))
+    facts = facts.join(places.select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
+    lines = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), F.when(F.col("l_returnflag") == "A", F.col("l_extendedprice").cast("decimal(12,2)")).alias("z"), (F.col("l_linestatus") == "O").alias("open"))
+    if year is not None or nation is not None:
+        lines = lines.join(facts.select("o_orderkey"), "o_orderkey", "left_semi")
+    flagged = lines.groupBy("o_orderkey").agg(F.max("z").alias("z"), F.bool_or("open").alias("open")).where("open").drop("open")
+    return facts.join(flagged, "o_orderkey").withColumn("cutoff", F.coalesce("z", "base")).drop("base", "z")
 
 
 @query(f"""
@@ -41,7 +46,7 @@ FROM cand WHERE y = 1998 AND c_nationkey = 3 AND cutoff <= 60000 + 40000
 """)
 def elig_core(t: Tables) -> DataFrame:
     """One profile against all candidates of its place and year."""
-    rows = _candidates(t).where("y = 1998 AND c_nationkey = 3").withColumn("z", F.lit("60000").cast("decimal(12,2)"))
+    rows = _candidates(t, 1998, 3).withColumn("z", F.lit("60000").cast("decimal(12,2)"))
     judged = D.decide(rows, "z", "cutoff", 40000, 15000, F.col("o_orderpriority") == "1-URGENT")
     return judged.select("o_orderkey", "cutoff", "margin", "status", "is_marginal").orderBy(F.desc("cutoff"), "o_orderkey")
 
@@ -203,7 +208,7 @@ SELECT doc_id, CASE WHEN h IS NULL THEN 'missing' WHEN q IS NULL THEN 'not_index
 FROM (SELECT d.doc_id, CASE WHEN n_chars < 100 THEN NULL ELSE sha256(text) END AS h, l.quality AS q, CASE WHEN l.quality = 1 THEN sha256(text) ELSE 'old' END AS ih FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)
 """)
 def staleness_status(t: Tables) -> DataFrame:
-    """State of an index against the documents' hashes."""
+    """State of an index against the documents' hashes."""
     d = t.documents.select("doc_id", F.when(F.col("n_chars") >= 100, F.sha2("text", 256)).alias("h"))
     full = t.documents.select("doc_id", F.sha2("text", 256).alias("full"))
     index = t.labels.join(full, "doc_id").select("doc_id", F.when(F.col("quality") == 1, F.col("full")).otherwise("old").alias("indexed_hash"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,11 +26,7 @@ SELECT query_id, chunk_id, rank FROM (SELECT query_id, chunk_id, row_number() OV
 def cosine_topk(t: Tables) -> DataFrame:
     """The nearest of all rows for each row whose id is divisible by 20."""
     q = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    if q.count() > 1000:
-        blocks = [q.where(F.pmod(F.xxhash64("query_id"), F.lit(8)) == i) for i in range(8)]
-    else:
-        blocks = [q]
-    found = [retrieval.vector_hits(_chunks(t), b, 10).select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank")) for b in blocks]
+    found = [retrieval.vector_hits(_chunks(t), b, 10).select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank")) for b in retrieval.in_blocks(q)]
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
@@ -36,14 +34,15 @@ def cosine_topk(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0)
-SELECT label, CAST(round(max(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])) / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) * list_dot_product(CAST(q AS DOUBLE[]), CAST(q AS DOUBLE[])))) * 1000000) AS BIGINT) AS best FROM embeddings, q GROUP BY label
+WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 20 = 0)
+SELECT query_id, label, CAST(round(max(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])) / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) * list_dot_product(CAST(q AS DOUBLE[]), CAST(q AS DOUBLE[])))) * 1000000) AS BIGINT) AS best FROM embeddings, q GROUP BY query_id, label
 """)
 def best_per_group(t: Tables) -> DataFrame:
-    """The best similarity of each group, in millionths."""
-    hits = retrieval.vector_hits(_chunks(t), t.embeddings.where("vec_id = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 2**31 - 1)
-    grouped = retrieval.best_per_group(hits.join(_chunks(t).select("chunk_id", "label"), "chunk_id"), "label", "similarity")
-    return grouped.select("label", F.round(F.col("similarity") * 1000000, 0).cast("long").alias("best"))
+    """The best similarity of each group to each query (row 0, or any row whose id is divisible by 20), in millionths."""
+    queries = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    found = [retrieval.best_per_group(retrieval.similarities(_chunks(t), b), ["query_id", "label"], "similarity") for b in retrieval.in_blocks(queries)]
+    grouped = reduce(DataFrame.unionByName, found)
+    return grouped.select("query_id", "label", F.round(F.col("similarity") * 1000000, 0).cast("long").alias("best"))
 
 
 @query("""
@@ -148,18 +147,15 @@ def presence_check(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents WHERE lang = 'en'),
+WITH d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents),
 b AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark)
 SELECT item_id, EXISTS (SELECT 1 FROM d WHERE len(list_intersect(d.w, b.w)) = len(b.w)) AS subset FROM b
 """)
 def word_subset(t: Tables) -> DataFrame:
-    """Items all of whose words some document holds, by counting shared words."""
+    """Items all of whose words some document holds; each item meets only the documents that hold its rarest word."""
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), F.lit(0)))
     items = t.benchmark.select("item_id", words("text").alias("w"))
-    d = t.documents.where("lang = 'en'").select("doc_id", F.explode(words("text")).alias("x"))
-    shared = d.join(items.select("item_id", F.size("w").alias("n"), F.explode("w").alias("x")), "x").groupBy("doc_id", "item_id", "n").agg(F.count("*").alias("c"))
-    held = shared.where("c = n").select("item_id").distinct()
-    return joins.exists_flag(items.select("item_id"), held, ["item_id"], "subset")
+    return joins.words_held(items, "item_id", "w", t.documents.select(words("text").alias("w")), "w").select("item_id", "subset")
 
 
 @query("""

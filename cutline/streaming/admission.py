@@ -60,6 +60,12 @@ def admit_stream(hits: DataFrame, key: str, t: str, id_: str, limit: int, window
 
 
 def daily_budget(hits: DataFrame, ts: str, id_: str, limit: int) -> DataFrame:
-    """The first ``limit`` hits of each UTC day are allowed."""
-    nth = F.row_number().over(Window.partitionBy(F.to_date(ts)).orderBy(ts, id_))
-    return hits.select(id_, (nth <= limit).alias("allowed"))
+    """The first ``limit`` hits of each UTC day are allowed. Only the minute in which a day's budget ends is put in order."""
+    minute = F.date_trunc("minute", ts)
+    counts = hits.groupBy(minute.alias("__m")).agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(F.to_date("__m")).orderBy("__m").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = hits.select(id_, ts, minute.alias("__m")).join(counts.withColumn("__before", before), "__m")
+    last = (F.col("__before") < limit) & (F.col("__before") + F.col("__n") > limit)
+    nth = F.col("__before") + F.row_number().over(Window.partitionBy("__m").orderBy(ts, id_))
+    ended = placed.where(last).select(id_, (nth <= limit).alias("allowed"))
+    return placed.where(~last).select(id_, (F.col("__before") < limit).alias("allowed")).unionByName(ended)
