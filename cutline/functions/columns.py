@@ -135,3 +135,17 @@ def set_equal(a: Column, b: Column) -> Column:
 
 def isin_or_semi(column: str, values: Sequence) -> Column:
     return F.col(column).isin(*values)
+
+
+def printable(text: Column) -> Column:
+    """Control and private-use characters taken out."""
+    return F.regexp_replace(text, r"[\p{Cc}\p{Co}]", "")
+
+
+def four_places(value: Column) -> Column:
+    return value.cast("decimal(18,4)").cast("string")
+
+
+def json_array(raw: Column) -> Column:
+    """The elements of a JSON array as strings; null for anything else."""
+    return F.when(F.json_array_length(raw).isNotNull(), F.from_json(raw, "array<string>"))

@@ -42,6 +42,11 @@ def nested_array(left: DataFrame, right: DataFrame, on: Sequence[str], element:
     return left.join(grouped, list(on), "left").withColumn(name, F.coalesce(name, F.array().cast(kind)))
 
 
+def max_of(left: DataFrame, right: DataFrame, on: Sequence[str], value: str, name: str) -> DataFrame:
+    """The largest value of the right for each row of the left, or null: MAX in a correlated subquery."""
+    return left.join(right.groupBy(*on).agg(F.max(value).alias(name)), list(on), "left")
+
+
 def not_in(left: DataFrame, column: str, right: DataFrame, other: str) -> DataFrame:
     """NOT IN with its treatment of nulls: a null on the right leaves nothing, a null on the left is never kept."""
     held = right.select(F.col(other).alias("__held"))
