@@ -34,27 +34,73 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when((F.size(ta) == 0) | (F.size(tb) == 0), 0.0).otherwise(blend)
 
 
-def fuzzy_best(labels: DataFrame, label_key: str, label: str, catalog: DataFrame, code: str, name: str) -> DataFrame:
-    """The best catalog code of each label with its score and whether another code comes within the margin.
+def place_similarity(a: Column, b: Column) -> Column:
+    """Token overlap and the letters' ratio of the tokens in order, half each: the order of words doesn't count."""
+    ta, tb = C.label_tokens(a), C.label_tokens(b)
+    jaccard = F.size(F.array_intersect(ta, tb)) / F.size(F.array_union(ta, tb))
+    joined = lambda t: F.array_join(F.array_sort(t), "")
+    return F.when((F.size(ta) == 0) | (F.size(tb) == 0), 0.0).otherwise(0.5 * jaccard + 0.5 * sequence_ratio(joined(ta), joined(tb)))
 
-    Labels and names are compared where they share a word or three letters in a row. Without a shared word the blend
-    reaches what counts as a match only if both ratios are high, and texts whose letters have no three in a row in
-    common stay at about 0.8 in the letters' ratio.
-    """
-    clean = F.regexp_replace(label, r"\[[^\]]*\]", " ")
 
-    def keys(x: Column) -> Column:
-        letters = F.regexp_replace(C.normal_label(x), "[^A-Z0-9]", "")
-        threes = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(letters) - 2)), lambda i: F.concat(F.lit("^"), F.substring(letters, i, F.lit(3))))
-        return F.explode(F.array_distinct(F.concat(C.label_tokens(x), threes)))
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 "
+#: Catalog rows that stand beside every label at once; larger catalogs are met by keys.
+CATALOG_ROWS = 20_000
+
+
+def _bag(text: Column) -> Column:
+    """How often each of the usual letters occurs, and all others together."""
+    counts = F.transform(F.array(*map(F.lit, _LETTERS)), lambda c: F.length(text) - F.length(F.replace(text, c, F.lit(""))))
+    return F.concat(counts, F.array(F.length(text) - F.aggregate(counts, F.lit(0), lambda x, y: x + y)))
+
 
-    left = labels.select(label_key, clean.alias("__l")).withColumn("__b", keys(F.col("__l")))
-    right = catalog.select(code, F.col(name).alias("__n")).withColumn("__b", keys(F.col("__n")))
-    pairs = left.join(right, "__b").select(label_key, "__l", code, "__n").distinct()
-    scored = pairs.withColumn("score", similarity(F.col("__l"), F.col("__n"))).groupBy(label_key, code).agg(F.max("score").alias("score"))
+def _at_most(bag: Column, other: Column) -> Column:
+    """What the string ratio of two texts with these bags of letters can reach."""
+    total = lambda x: F.aggregate(x, F.lit(0), lambda m, n: m + n)
+    return F.coalesce(F.try_divide(2 * total(F.zip_with(bag, other, lambda m, n: F.least(m, n))), total(bag) + total(other)), F.lit(1.0))
+
+
+def _described(df: DataFrame, text: str, side: str) -> DataFrame:
+    letters = F.regexp_replace(C.normal_label(F.col(text)), "[^A-Z0-9]", "")
+    return df.withColumns({f"__{side}t": C.label_tokens(F.col(text)), f"__{side}n": _bag(C.normal_label(F.col(text))), f"__{side}b": _bag(letters)})
+
+
+def fuzzy_best(labels: DataFrame, label_key: str, label: str, catalog: DataFrame, code: str, name: str, place: str | None = None) -> DataFrame:
+    """The best catalog code of each label with its score and whether another code comes within the margin.
+
+    With ``place``, a column of both sides, the score is the names' similarity times the places'. Scores under
+    ``LEAST - MARGIN`` count as none: best is null and the score 0. Of all pairs only those are scored whose shared
+    words and bags of letters let them reach that much, which rules out no other pair. A catalog of up to
+    ``CATALOG_ROWS`` stands beside each label; a larger one is met by common words, two letters in a row, or single
+    letters of texts under eight letters together: a blend of ``LEAST - MARGIN`` without a common word takes a ratio
+    over 0.75, and texts of eight letters and more that have no two in a row in common stay under that.
+    """
+    least = LEAST - MARGIN
+    places = [place] if place else []
+    left = _described(labels.select(label_key, F.regexp_replace(label, r"\[[^\]]*\]", " ").alias("__l"), *places), "__l", "l")
+    right = catalog.select(code, F.coalesce(name, F.lit("")).alias("__r"), *(F.col(p).alias("__place") for p in places)).distinct()
+    size = right.count()
+    right = _described(right, "__r", "r")
+    jaccard = F.coalesce(F.try_divide(F.size(F.array_intersect("__lt", "__rt")), F.size(F.array_union("__lt", "__rt"))), F.lit(0.0))
+    may = 0.35 * jaccard + 0.35 * _at_most(F.col("__ln"), F.col("__rn")) + 0.30 * _at_most(F.col("__lb"), F.col("__rb")) >= least - 1e-9
+    if size <= CATALOG_ROWS:
+        pairs = left.join(F.broadcast(right), may)
+    else:
+
+        def keys(text: str, tokens: str) -> Column:
+            runs = F.array(C.normal_label(F.col(text)), F.regexp_replace(C.normal_label(F.col(text)), "[^A-Z0-9]", ""))
+            cut = lambda n: F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(r) - n + 1)), lambda i: F.concat(F.lit("^"), F.substring(r, i, F.lit(n))))))
+            return F.explode(F.array_distinct(F.concat(tokens, cut(2), F.when(F.length(text) < 8, cut(1)).otherwise(F.array().cast("array<string>")))))
+
+        met = left.select(label_key, "__l", keys("__l", "__lt").alias("__b")).join(right.select(code, "__r", keys("__r", "__rt").alias("__b")), "__b").select(label_key, "__l", code, "__r").distinct()
+        pairs = met.join(left, [label_key, "__l"]).join(right, [code, "__r"]).where(may)
+    score = similarity(F.col("__l"), F.col("__r"))
+    if place:
+        score = score * place_similarity(F.col(place), F.col("__place"))
+    scored = pairs.withColumn("score", score).where(F.col("score") >= least).groupBy(label_key, code).agg(F.max("score").alias("score"))
     order = Window.partitionBy(label_key).orderBy(F.desc("score"), code)
     ranked = scored.select(label_key, code, "score", F.row_number().over(order).alias("n"), F.coalesce(F.lead("score").over(order), F.lit(0.0)).alias("second")).where("n = 1")
-    return ranked.select(label_key, F.col(code).alias("best"), "score", ((F.col("score") - F.col("second")) < MARGIN).alias("ambiguous"))
+    found = ranked.select(label_key, F.col(code).alias("best"), "score", ((F.col("score") - F.col("second")) < MARGIN).alias("ambiguous"))
+    return labels.select(label_key).distinct().join(found, label_key, "left").select(label_key, "best", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("ambiguous", F.lit(False)).alias("ambiguous"))
 
 
 def exact_lookup(entries: DataFrame, key: Column, code: str) -> DataFrame:
@@ -72,7 +118,8 @@ def mapping_ladder(columns: DataFrame, catalog: DataFrame, aliases: DataFrame, b
     """The first rung that holds: printed code, exact book name, alias, track variant, fuzzy book or catalog, none.
 
     columns: column_key, raw_label, code; catalog: course_code, name; aliases: alias_id, alias_text, course_code;
-    book: code, name. Returns column_key, suggested, confidence, source.
+    book: code, name and, if its names hold at several places, university: then a label's last parenthetical is its
+    university, and labels without one match no book row loosely. Returns column_key, suggested, confidence, source.
     """
     c = columns.select("column_key", F.coalesce("raw_label", F.lit("")).alias("label"), F.col("code").alias("printed"))
     codes = catalog.select(F.col("course_code").alias("__code")).distinct()
@@ -80,7 +127,12 @@ def mapping_ladder(columns: DataFrame, catalog: DataFrame, aliases: DataFrame, b
     exact = exact_lookup(book, C.normal_label(F.col("name")), "code")
     base = exact_lookup(book, C.normal_label(F.col("name")), "code").select(F.col("key").alias("base_key"), F.col("found").alias("base_found"))
     alias = alias_lookup(aliases)
-    fuzzy_book = fuzzy_best(c, "column_key", "label", book, "code", "name").select("column_key", F.col("best").alias("book_code"), F.col("score").alias("book_score"), F.col("ambiguous").alias("book_ambiguous"))
+    if "university" in book.columns:
+        split = c.withColumn("__s", C.last_parenthetical(F.col("label"))).select("column_key", F.col("__s.base").alias("label"), F.col("__s.inner").alias("university"))
+        loose = fuzzy_best(split, "column_key", "label", book, "code", "name", "university")
+    else:
+        loose = fuzzy_best(c, "column_key", "label", book, "code", "name")
+    fuzzy_book = loose.select("column_key", F.col("best").alias("book_code"), F.col("score").alias("book_score"), F.col("ambiguous").alias("book_ambiguous"))
     fuzzy_catalog = fuzzy_best(c, "column_key", "label", catalog, "course_code", "name").select("column_key", F.col("best").alias("cat_code"), F.col("score").alias("cat_score"), F.col("ambiguous").alias("cat_ambiguous"))
 
     def known(column: str, flag: str, df: DataFrame) -> DataFrame:

@@ -39,6 +39,35 @@ def test_mapping_ladder(spark):
     assert got["c6"][0] == "003C" and got["c6"][2] == "book" and 0.55 < got["c6"][1] < 1
 
 
+@pytest.mark.parametrize("rows", [matching.CATALOG_ROWS, 0])
+def test_fuzzy_best_equals_all_pairs(spark, monkeypatch, rows):
+    monkeypatch.setattr(matching, "CATALOG_ROWS", rows)
+    rng = random.Random(3)
+    text = lambda: " ".join("".join(rng.choice("ABCDE") for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(1, 3)))
+    names = ["ABXCD", "STEM", "", "&", *(text() for _ in range(40))]
+    labels = ["ABCD", "STXEM", "", "zzz", *(text() for _ in range(500))]
+    catalog = spark.createDataFrame([(f"c{i:03}", n) for i, n in enumerate(names)], "code string, name string")
+    got = {r.k: r for r in matching.fuzzy_best(spark.createDataFrame(list(enumerate(labels)), "k int, label string"), "k", "label", catalog, "code", "name").collect()}
+    assert len(got) == len(labels)
+    for i, label in enumerate(labels):
+        scores = sorted(((s, f"c{j:03}") for j, n in enumerate(names) if (s := plain_similarity(label, n)) >= matching.LEAST - matching.MARGIN), key=lambda x: (-x[0], x[1]))
+        if not scores:
+            assert (got[i].best, got[i].score, got[i].ambiguous) == (None, 0.0, False)
+            continue
+        assert got[i].score == pytest.approx(scores[0][0]) and got[i].best == scores[0][1]
+        second = scores[1][0] if len(scores) > 1 else 0.0
+        assert got[i].ambiguous == (scores[0][0] - second < matching.MARGIN) or abs(scores[0][0] - second - matching.MARGIN) < 1e-9
+
+
+def test_book_names_hold_at_their_university(spark):
+    book = spark.createDataFrame([("001A", "Medicine", "University of North"), ("002B", "Medicine", "University of South")], "code string, name string, university string")
+    columns = spark.createDataFrame([("a", "Medicin (North, University of)", None), ("b", "Medicin (University of South)", None), ("c", "Medicin", None)], "column_key string, raw_label string, code string")
+    catalog = spark.createDataFrame([("001A", "zzzz"), ("002B", "yyyy")], "course_code string, name string")
+    aliases = spark.createDataFrame([], "alias_id int, alias_text string, course_code string")
+    got = {r.column_key: r.suggested for r in matching.mapping_ladder(columns, catalog, aliases, book).collect()}
+    assert got == {"a": "001A", "b": "002B", "c": None}
+
+
 def plain_chunks(text, most):
     out = []
     for section in (s.strip() for s in re.split(r"\n(?=## )", text)):
