@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from cutline.functions import columns as C
 from cutline.operators import decisions as D
-from cutline.operators import joins, records
-from cutline.operators.ingest import upsert
+from cutline.operators import ingest, joins, records
+from cutline.sources import writers
 
 from .decisions import _CANDIDATES, _candidates
 from .registry import Tables, query
@@ -148,7 +148,7 @@ def codeless_columns(t: Tables) -> DataFrame:
     cells = F.create_map(F.lit("balance"), F.col("s_acctbal").cast("decimal(12,2)").cast("string"), F.lit("nation"), F.col("s_nationkey").cast("string"))
     wide = t.supplier.select("s_name", F.when(F.col("s_suppkey") % 3 != 0, F.col("s_suppkey")).alias("code"), cells.alias("cells"))
     old = t.supplier.select(F.col("s_name").alias("label"), F.lit("balance").alias("row"), F.lit("stored").alias("value"))
-    return upsert(old, records.codeless(wide, "s_name", "code", "cells"), ["label", "row"])
+    return ingest.upsert(old, records.codeless(wide, "s_name", "code", "cells"), ["label", "row"])
 
 
 @query("""
@@ -273,3 +273,94 @@ def recommendation(t: Tables) -> DataFrame:
     return placed.join(F.broadcast(judged.where("status <> 'near_miss'").agg(F.count("*").alias("n_all")))).select(
         "o_orderkey", F.col("place").cast("long").alias("place"), F.round(F.col("total") * 10000, 0).cast("long").alias("total"), "bucket", "n_all"
     )
+
+
+_LABEL = "p_name || CASE p_partkey % 4 WHEN 0 THEN ' #* & (New) - A' WHEN 1 THEN ' (Alpha (Beta))' WHEN 2 THEN '  ' ELSE ' - B' END"
+
+
+@query(rf"""
+SELECT p_partkey, trim(regexp_replace(replace(regexp_replace(upper(x), '[#*]', ' ', 'g'), '&', ' AND '), '\s+', ' ', 'g')) AS normal,
+  array_to_string(list_sort(list_distinct(regexp_extract_all(replace(upper(x), '&', ' AND '), '[A-Z0-9]+'))), ' ') AS tokens, regexp_replace(x, '\s*-\s*[A-Z]\b', ' ', 'g') AS plain,
+  trim(regexp_replace(regexp_replace(x, '\([^()]*\)', ' ', 'g'), '\s+', ' ', 'g')) AS bare, CASE WHEN p_partkey % 4 = 1 THEN 'Alpha (Beta)' END AS inside
+FROM (SELECT p_partkey, {_LABEL} AS x FROM part)
+""")
+def label_forms(t: Tables) -> DataFrame:
+    """2.9: labels normalised, as tokens, without track and parentheses, and their last parenthetical."""
+    x = F.expr(_LABEL)
+    return t.part.select("p_partkey", x.alias("x")).select(
+        "p_partkey", C.normal_label(F.col("x")).alias("normal"), F.array_join(F.array_sort(C.label_tokens(F.col("x"))), " ").alias("tokens"), C.without_variant(F.col("x")).alias("plain"),
+        C.without_parentheses(F.col("x")).alias("bare"), C.last_parenthetical(F.col("x"))["inner"].alias("inside"),
+    )
+
+
+@query("""
+SELECT o_orderkey, 'Order ' || o_orderkey || ' of ' || o_custkey || ': ' || o_orderstatus || '{{other}}' AS said,
+  array_to_string(list_sort(list_distinct(list_concat(range(o_orderkey % 5, o_orderkey % 5 + 4), [9, o_orderkey % 7]))), ',') AS pages FROM orders
+""")
+def rendered(t: Tables) -> DataFrame:
+    """2.9: a template filled in, and page specifications spelled out."""
+    said = C.template(F.lit("Order {{key}} of {{cust}}: {{status}}{{other}}"), {"key": F.col("o_orderkey"), "cust": F.col("o_custkey"), "status": F.col("o_orderstatus")})
+    low = F.col("o_orderkey") % 5
+    spec = F.concat_ws("", low.cast("string"), F.lit("-"), (low + 3).cast("string"), F.lit(", 9,"), (F.col("o_orderkey") % 7).cast("string"))
+    return t.orders.select("o_orderkey", said.alias("said"), F.array_join(F.transform(C.page_numbers(spec), lambda p: p.cast("string")), ",").alias("pages"))
+
+
+@query("""
+WITH c AS (SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'nowhere' ELSE '  ' || replace(lower(n_name), ' ', '   ') END AS row, 'L' || (o_orderkey % 7) AS label,
+  CASE o_orderkey % 6 WHEN 0 THEN 'nqc' WHEN 1 THEN '' WHEN 2 THEN 'abc' WHEN 3 THEN '12.409' WHEN 4 THEN '-' ELSE '1.' || (o_orderkey % 10000) END AS raw, n_nationkey FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey),
+j AS (SELECT *, CASE WHEN o_orderkey % 10 = 0 THEN 'UNKNOWN_ROW' WHEN o_orderkey % 7 > 4 THEN 'UNKNOWN_LABEL' WHEN raw = 'nqc' THEN NULL WHEN raw IN ('', '-') THEN 'MISSING' WHEN TRY_CAST(raw AS DECIMAL(12,4)) IS NULL THEN 'UNPARSEABLE' WHEN TRY_CAST(raw AS DECIMAL(12,4)) NOT BETWEEN -2 AND 4 THEN 'OUT_OF_RANGE' END AS problem FROM c)
+SELECT coalesce(problem, 'C' || (o_orderkey % 7)) AS what, CASE WHEN problem IS NULL THEN n_nationkey END AS row_id, count(*) AS n, count(*) FILTER (problem IS NULL AND raw = 'nqc') AS notes,
+  CAST(coalesce(sum(CASE WHEN problem IS NULL AND raw <> 'nqc' THEN CAST(raw AS DECIMAL(12,4)) END), 0) AS DOUBLE) AS total FROM j GROUP BY 1, 2
+""")
+def resolved_cells(t: Tables) -> DataFrame:
+    """Good rows and error rows of a wide text table's cells, by code and problem."""
+    m = F.col("o_orderkey") % 6
+    raw = F.when(m == 0, "nqc").when(m == 1, "").when(m == 2, "abc").when(m == 3, "12.409").when(m == 4, "-").otherwise(F.concat(F.lit("1."), (F.col("o_orderkey") % 10000).cast("string")))
+    row = F.when(F.col("o_orderkey") % 10 == 0, "nowhere").otherwise(F.concat(F.lit("  "), F.replace(F.lower("n_name"), F.lit(" "), F.lit("   "))))
+    placed = t.orders.join(t.customer, F.col("c_custkey") == F.col("o_custkey")).join(t.nation, F.col("n_nationkey") == F.col("c_nationkey"))
+    cells = placed.select(F.lit(2024).alias("period"), row.alias("row"), F.concat(F.lit("L"), (F.col("o_orderkey") % 7).cast("string")).alias("label"), raw.alias("raw"))
+    rows = t.nation.select(F.replace("n_name", F.lit(" "), F.lit("_")).alias("row_code"), F.col("n_nationkey").alias("row_id"))
+    i = F.col("id").cast("string")
+    good, bad = ingest.resolve_cells(cells, rows, t.spark.range(5).select(F.concat(F.lit("L"), i).alias("label"), F.concat(F.lit("C"), i).alias("code")))
+    total = F.coalesce(F.sum(F.col("value").cast("decimal(18,4)")), F.lit(0)).cast("double")
+    counted = good.groupBy(F.col("code").alias("what"), "row_id").agg(F.count("*").alias("n"), F.count("note").alias("notes"), total.alias("total"))
+    wrong = bad.groupBy(F.col("problem").alias("what")).agg(F.count("*").alias("n")).select("what", F.lit(None).cast("int").alias("row_id"), "n", F.lit(0).cast("long").alias("notes"), F.lit(0.0).alias("total"))
+    return counted.unionByName(wrong)
+
+
+@query("""
+SELECT doc_id, CASE WHEN doc_id % 2 = 1 THEN 1 WHEN doc_id % 3 = 0 THEN 4 ELSE 3 END AS version FROM documents
+""")
+def bumped_versions(t: Tables) -> DataFrame:
+    """DML: the version goes up where the content's hash has changed; new keys begin at 1."""
+    old = t.documents.where("doc_id % 2 = 0").select("doc_id", F.col("text").alias("content"), F.lit(3).alias("version"))
+    new = t.documents.select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" more"))).otherwise(F.col("text")).alias("content"))
+    return ingest.version_bump(old, new, "doc_id").select("doc_id", "version")
+
+
+@query("""
+SELECT n_nationkey, n_nationkey = 5 AS is_active FROM nation
+""")
+def activated(t: Tables) -> DataFrame:
+    """DML: one row of a table made the active one."""
+    return ingest.exclusive_activation(t.nation.select("n_nationkey", F.lit(True).alias("is_active")), "n_nationkey", 5).select("n_nationkey", "is_active")
+
+
+@query("""
+SELECT p_partkey, CASE WHEN p_partkey % 5 <> 0 AND p_partkey % 4 < 2 AND p_partkey % 3 <> 0 THEN 'confirmed' WHEN p_partkey % 5 = 0 THEN 'skipped' ELSE 'pending' END AS status FROM part
+""")
+def confirmed_in_bulk(t: Tables) -> DataFrame:
+    """Pending suggestions that are sure and known become confirmed."""
+    k = F.col("p_partkey")
+    rows = t.part.select("p_partkey", F.when(k % 3 != 0, F.concat(F.lit("k"), (k % 3).cast("string"))).otherwise("other").alias("suggested"), F.when(k % 4 < 2, 0.999).otherwise(0.9).alias("confidence"), F.when(k % 5 == 0, "skipped").otherwise("pending").alias("status"))
+    known = t.spark.createDataFrame([("k1",), ("k2",), ("k2",)], "code string")
+    return ingest.bulk_confirm(rows, known, "p_partkey", "code").select("p_partkey", "status")
+
+
+@query("""
+SELECT p_partkey, p_brand || ' | ' || CASE WHEN p_brand IN ('Brand#11', 'Brand#22') THEN '(NOT IN SEED)' ELSE lower(p_brand) END AS header FROM part
+""")
+def relabelled_headers(t: Tables) -> DataFrame:
+    """Codes with their names beside them, unknown ones marked."""
+    names = t.part.where("p_brand NOT IN ('Brand#11', 'Brand#22')").select("p_brand", F.lower("p_brand").alias("name")).distinct()
+    return writers.relabelled(t.part.select("p_partkey", "p_brand"), names, "p_brand", "name").select("p_partkey", "header")
