@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small, stash
+from .shared import drop, small, stash
 
 KINDS = ("email", "ip", "card", "phone")
 #: The patterns, with possessive runs and without inner starts that can't succeed: the matches are those of the plain forms.
@@ -111,13 +111,13 @@ def _terms(text: Column) -> Column:
 
 
 def _surroundings(text: Column) -> Column:
-    """The distinct terms of a text, each with a hash of the words before and after it."""
+    """The terms of a text in order, each with a hash of the words before and after it."""
     none = F.lit("")
 
     def of(words: Column) -> Column:
         around = lambda i: F.xxhash64(F.coalesce(F.get(words, i - 1), none), F.coalesce(F.get(words, i + 1), none))
         said = F.transform(words, lambda w, i: F.struct(w.alias("term"), around(i).alias("around")))
-        return F.array_distinct(F.filter(said, lambda x: F.length(x["term"]) >= 3))
+        return F.filter(said, lambda x: F.length(x["term"]) >= 3)
 
     # the words stand in an array of one, so that they are found once and not again for each of them
     return F.transform(F.array(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))), of)[0]
@@ -132,8 +132,9 @@ def detect(docs: DataFrame) -> DataFrame:
     """Stored: doc_id, k1, k2, spans (kind, start, end of the patterns), entities, what is said (terms, surroundings) beside them and text_key."""
     both = (F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce("text", F.lit("")))
     rows = docs.select("doc_id", F.xxhash64(*both).alias("k1"), F.hash(*both).alias("k2"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("text_key", _text_key(F.col("text")))
-    found = rows.select("*", *(v.alias(k) for k, v in find(F.col("text")).items()))
+    # the matches are stored first: otherwise each of their uses below would look for them again in all texts
+    found = rows.select("doc_id", *_KEY, _text_key(F.col("text")).alias("text_key"), *(v.alias(k) for k, v in find(F.col("text")).items()))
+    found = stash(found, "matches")
 
     def span_of(kind: str):
         return lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
@@ -143,9 +144,13 @@ def detect(docs: DataFrame) -> DataFrame:
 
     spans = F.concat(*(F.transform(k, span_of(k)) for k in KINDS))
     entities = F.array_distinct(F.concat(*(F.transform(k, entity_of(k)) for k in KINDS)))
-    rows = found.select("doc_id", *_KEY, spans.alias("spans"), entities.alias("entities"), "text", "text_key")
-    said = F.when(F.size("entities") > 0, _surroundings(sanitised(F.col("text"), F.col("spans"), F.lit(" "))))
-    return stash(rows.select("doc_id", *_KEY, "spans", "entities", said.alias("said"), "text_key"), "personal")
+    held = found.select("doc_id", *_KEY, spans.alias("spans"), entities.alias("entities"), "text_key")
+    mentioning = stash(held.where(F.size("entities") > 0).select(*_KEY, "spans").dropDuplicates(_KEY), "mentioning")
+    texts = rows.select(*_KEY, "text").join(small(mentioning), _KEY).dropDuplicates(_KEY)
+    said = stash(texts.select(*_KEY, _surroundings(sanitised(F.col("text"), F.col("spans"), F.lit(" "))).alias("said")), "said")
+    personal = stash(held.join(small(said), _KEY, "left"), "personal")
+    drop(found, mentioning, said)
+    return personal
 
 
 def _varied(judged: DataFrame, mentions: DataFrame) -> DataFrame:
