@@ -83,9 +83,10 @@ class PieceEncoder:
         doc = f.doc_of(start)
         own = start < f.end[doc]
         start, end, doc = start[own], end[own], doc[own]
-        some, group = grouped(span_hashes(f.roll, start, end))  # in order of the hashes
+        h = span_hashes(f.roll, start, end)
+        some, group = grouped(h)  # in order of the hashes
         start, end = start[some], end[some]
-        first, counts = self._ids_of(span_hashes(f.roll, start, end), data.tobytes(), start, end)
+        first, counts = self._ids_of(h[some], data.tobytes(), start, end)
         ids = gather(self.pool, first[group], counts[group])
         return ids, np.bincount(doc, weights=counts[group], minlength=len(texts)).astype(np.int64)
 
