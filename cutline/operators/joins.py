@@ -130,7 +130,9 @@ def words_held(items: DataFrame, key: str, words: str, texts: DataFrame, text_wo
     said = texts.select(F.explode(text_words).alias("__x")).join(each.select("__x").distinct(), "__x", "left_semi").groupBy("__x").agg(F.count("*").alias("__n"))
     rarest = each.join(said, "__x", "left").groupBy(key, words).agg(F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), F.col("__x").alias("x"))).alias("__r"))
     rarest = rarest.where("__r.n > 0").select(key, F.col(words).alias("__w"), F.col("__r.x").alias("__x"))
-    met = texts.select(F.col(text_words).alias("__t"), F.explode(text_words).alias("__x")).join(rarest, "__x")
+    # texts are met by a hash first: rows with all words of a text are made for the items that meet it only
+    hashed = texts.select(F.col(text_words).alias("__t"), F.xxhash64(text_words).alias("__h"))
+    met = hashed.select("__h", F.explode("__t").alias("__x")).join(rarest, "__x").select("__h", key, "__w").distinct().join(hashed, "__h")
     held = met.where(F.size(F.array_except("__w", "__t")) == 0).select(key).distinct()
     none = items.where(F.size(words) == 0).select(key).join(texts.limit(1).select(F.lit(True).alias("__any")), how="cross").select(key)  # one text at most
     return exists_flag(items, held.unionByName(none), [key], "subset")
