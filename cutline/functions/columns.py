@@ -36,6 +36,12 @@ def within_days(ts: str, as_of: str, days: int) -> Column:
     return F.col(ts) > F.lit(as_of).cast("timestamp_ntz") - F.expr(f"INTERVAL {days} DAYS")
 
 
+def in_year(ts: str, year: int) -> Column:
+    """Within a calendar year, as a range: unlike ``year(ts) = ...`` the scan can skip what lies outside."""
+    first, after = (F.lit(f"{y}-01-01").cast("timestamp_ntz") for y in (year, year + 1))
+    return (F.col(ts) >= first) & (F.col(ts) < after)
+
+
 def same_day(ts: str, as_of: str) -> Column:
     return F.to_date(ts) == F.to_date(F.lit(as_of))
 

@@ -180,7 +180,7 @@ SELECT o_custkey, CASE WHEN NOT bool_or(o) THEN 'added' WHEN NOT bool_or(n) THEN
 """)
 def catalog_diff(t: Tables) -> DataFrame:
     """Added, removed and changed keys with their largest change."""
-    old, new = (t.orders.where(F.year("o_orderdate") == y).groupBy("o_custkey", "o_orderpriority").agg(F.max(F.col("o_totalprice").cast("decimal(18,4)")).alias("z")) for y in (1996, 1997))
+    old, new = (t.orders.where(C.in_year("o_orderdate", y)).groupBy("o_custkey", "o_orderpriority").agg(F.max(F.col("o_totalprice").cast("decimal(18,4)")).alias("z")) for y in (1996, 1997))
     return D.catalog_diff(old, new, "o_custkey", "o_orderpriority", "z", "100")
 
 
@@ -190,7 +190,7 @@ SELECT c_custkey FROM customer WHERE c_acctbal > 0 AND c_custkey NOT IN (SELECT
 def coverage_gaps(t: Tables) -> DataFrame:
     """Active keys without a fact in either table."""
     o = t.orders.withColumnRenamed("o_custkey", "c_custkey")
-    return D.coverage_gaps(t.customer.where("c_acctbal > 0").select("c_custkey"), o.where("year(o_orderdate) = 2001"), "c_custkey", o.where("o_orderpriority = '5-LOW'"))
+    return D.coverage_gaps(t.customer.where("c_acctbal > 0").select("c_custkey"), o.where(C.in_year("o_orderdate", 2001)), "c_custkey", o.where("o_orderpriority = '5-LOW'"))
 
 
 @query("""

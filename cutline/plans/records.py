@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cutline.functions import columns as C
 from cutline.operators import decisions as D
-from cutline.operators import ingest, joins, records
+from cutline.operators import grid, ingest, joins, records
 from cutline.sources import writers
 
 from .decisions import _CANDIDATES, _candidates
@@ -364,3 +364,15 @@ def relabelled_headers(t: Tables) -> DataFrame:
     """Codes with their names beside them, unknown ones marked."""
     names = t.part.where("p_brand NOT IN ('Brand#11', 'Brand#22')").select("p_brand", F.lower("p_brand").alias("name")).distinct()
     return writers.relabelled(t.part.select("p_partkey", "p_brand"), names, "p_brand", "name").select("p_partkey", "header")
+
+
+@query("""
+WITH i AS (SELECT p_type, p_brand, CAST(p_size AS VARCHAR) AS size, min(p_partkey) AS p_partkey, count(*) - 1 AS repeats FROM part GROUP BY 1, 2, 3)
+SELECT p_partkey, p_type, repeats, count(*) OVER (PARTITION BY p_type) > 1 AS conflict FROM i
+""")
+def consolidated(t: Tables) -> DataFrame:
+    """Columns that repeat in label and values become one; labels that stand over different values are conflicts."""
+    values = F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("size"), F.col("p_size").cast("string"))
+    kept, conflicts = grid.consolidate(t.part.select("p_partkey", "p_type", values.alias("values")), "p_type", "values", "p_partkey")
+    flagged = joins.exists_flag(kept, conflicts, ["p_type"], "conflict")
+    return flagged.select("p_partkey", "p_type", F.size("repeats").cast("long").alias("repeats"), "conflict")

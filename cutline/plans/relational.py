@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,12 +23,10 @@ WHERE year(o_orderdate) = 1998 AND o_orderpriority = '1-URGENT' AND CAST(o_total
 """)
 def bound_filters(t: Tables) -> DataFrame:
     """equality on bound parameters and a ceiling computed in DECIMAL, through named SQL parameters."""
-    from decimal import Decimal
-
-    t.orders.createOrReplaceTempView("bound_orders")
     return t.spark.sql(
-        "SELECT o_orderkey, o_custkey FROM bound_orders WHERE year(o_orderdate) = :year AND o_orderpriority = :priority AND CAST(o_totalprice AS DECIMAL(12,2)) <= :z + :reach",
-        args={"year": 1998, "priority": "1-URGENT", "z": Decimal("60000.00"), "reach": Decimal("20000.00")},
+        "SELECT o_orderkey, o_custkey FROM {orders} WHERE o_orderdate >= CAST(:first AS TIMESTAMP_NTZ) AND o_orderdate < CAST(:after AS TIMESTAMP_NTZ) AND o_orderpriority = :priority AND CAST(o_totalprice AS DECIMAL(12,2)) <= :z + :reach",
+        args={"first": "1998-01-01", "after": "1999-01-01", "priority": "1-URGENT", "z": Decimal("60000.00"), "reach": Decimal("20000.00")},
+        orders=t.orders,
     )
 
 
@@ -53,7 +53,7 @@ SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT CASE WHEN o_orders
 """)
 def null_aware_anti(t: Tables) -> DataFrame:
     """NOT IN, which a null on the right would empty."""
-    right = t.orders.where("year(o_orderdate) = 1997").select(F.when(F.col("o_orderstatus") == "F", F.col("o_custkey")).otherwise(-1).alias("held"))
+    right = t.orders.where(C.in_year("o_orderdate", 1997)).select(F.when(F.col("o_orderstatus") == "F", F.col("o_custkey")).otherwise(-1).alias("held"))
     return joins.not_in(t.customer.select("c_custkey"), "c_custkey", right, "held")
 
 
@@ -65,7 +65,7 @@ def also_offered(t: Tables) -> DataFrame:
     """Two chained anti joins."""
     o = t.orders.withColumnRenamed("o_custkey", "c_custkey")
     out = t.customer.select("c_custkey")
-    for gone in ("o_orderstatus = 'F' AND year(o_orderdate) = 1996", "o_orderpriority = '1-URGENT' AND year(o_orderdate) = 1997"):
+    for gone in ((F.col("o_orderstatus") == "F") & C.in_year("o_orderdate", 1996), (F.col("o_orderpriority") == "1-URGENT") & C.in_year("o_orderdate", 1997)):
         out = out.join(o.where(gone), "c_custkey", "left_anti")
     return out
 
@@ -259,6 +259,19 @@ def islands_pages(t: Tables) -> DataFrame:
     return windows.number_ranges(t.events.select("user_id", F.dayofmonth("ts").alias("d")), ["user_id"], "d")
 
 
+@query("""
+WITH RECURSIVE o AS (SELECT DISTINCT o_custkey, date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE)) AS d FROM orders),
+a AS (SELECT o_custkey, min(d) AS anchor FROM o GROUP BY 1 UNION ALL SELECT a.o_custkey, min(o.d) FROM a JOIN o ON o.o_custkey = a.o_custkey AND o.d > a.anchor + 200 GROUP BY a.o_custkey)
+SELECT o_custkey, count(*) AS n, string_agg(CAST(anchor AS VARCHAR), ',' ORDER BY anchor) AS anchors FROM a GROUP BY o_custkey
+""")
+def anchored_runs(t: Tables) -> DataFrame:
+    """Orders within 200 days of the first of their cluster, by customer; shown by the days that begin one."""
+    days = t.orders.select("o_custkey", F.date_diff(F.to_date("o_orderdate"), F.lit("1990-01-01").cast("date")).alias("d")).distinct()
+    found = windows.anchored_clusters(days, ["o_custkey"], "d", 200.0)
+    first = F.transform("clusters", lambda c: F.element_at(c, 1).cast("long").cast("string"))
+    return found.select("o_custkey", F.size("clusters").cast("long").alias("n"), F.array_join(first, ",").alias("anchors"))
+
+
 @query("""
 SELECT conv_id, turn, role, coalesce(role <> lag(role) OVER (PARTITION BY conv_id ORDER BY turn), true) AS header FROM conversations
 """)
@@ -325,8 +338,8 @@ UNION ALL SELECT l_orderkey, l_returnflag, CAST(CAST(l_extendedprice AS DECIMAL(
 """)
 def union_padded(t: Tables) -> DataFrame:
     """Rows of two kinds; what one lacks is null."""
-    general = t.orders.where("year(o_orderdate) = 1998").select(F.col("o_orderkey").alias("key"), _money("o_totalprice").alias("z"))
-    special = t.lineitem.where("year(l_shipdate) = 1998").select(F.col("l_orderkey").alias("key"), F.col("l_returnflag").alias("flag"), _money("l_extendedprice").alias("z"))
+    general = t.orders.where(C.in_year("o_orderdate", 1998)).select(F.col("o_orderkey").alias("key"), _money("o_totalprice").alias("z"))
+    special = t.lineitem.where(C.in_year("l_shipdate", 1998)).select(F.col("l_orderkey").alias("key"), F.col("l_returnflag").alias("flag"), _money("l_extendedprice").alias("z"))
     return reshape.padded_union(special, general).select("key", "flag", "z")
 
 
@@ -336,7 +349,7 @@ UNION ALL SELECT o_custkey, 'first' FROM (SELECT o_custkey FROM orders WHERE yea
 """)
 def set_algebra(t: Tables) -> DataFrame:
     """Distinct, intersection and difference of keys."""
-    a, b = (t.orders.where(F.year("o_orderdate") == y).select("o_custkey") for y in (1996, 1997))
+    a, b = (t.orders.where(C.in_year("o_orderdate", y)).select("o_custkey") for y in (1996, 1997))
     return a.intersect(b).withColumn("side", F.lit("both")).unionByName(a.subtract(b).withColumn("side", F.lit("first")))
 
 
@@ -362,7 +375,7 @@ FROM a FULL JOIN b ON a.o_custkey = b.o_custkey
 """)
 def full_compare(t: Tables) -> DataFrame:
     """Both key sets in one full outer join."""
-    a, b = (t.orders.where(F.year("o_orderdate") == y).groupBy("o_custkey").agg(F.max(_money("o_totalprice")).alias("z")) for y in (1996, 1997))
+    a, b = (t.orders.where(C.in_year("o_orderdate", y)).groupBy("o_custkey").agg(F.max(_money("o_totalprice")).alias("z")) for y in (1996, 1997))
     return joins.full_compare(a, b, ["o_custkey"], "z")
 
 

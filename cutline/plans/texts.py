@@ -176,7 +176,7 @@ SELECT * FROM n UNION ALL SELECT * FROM o WHERE o_orderkey NOT IN (SELECT o_orde
 """)
 def upsert_state(t: Tables) -> DataFrame:
     """The state of a keyed table after an upsert."""
-    new = t.orders.where("year(o_orderdate) = 1998").select("o_orderkey", F.lit("new").alias("state"))
+    new = t.orders.where(C.in_year("o_orderdate", 1998)).select("o_orderkey", F.lit("new").alias("state"))
     old = t.orders.where("o_orderstatus = 'F'").select("o_orderkey", F.lit("old").alias("state"))
     return ingest.upsert(old, new, ["o_orderkey"])
 
@@ -186,7 +186,7 @@ SELECT DISTINCT o_custkey FROM orders WHERE year(o_orderdate) = 1997 AND o_custk
 """)
 def insert_absent(t: Tables) -> DataFrame:
     """Rows that a table lacks, once for each key."""
-    return ingest.insert_absent(t.orders.where("o_orderstatus = 'P'").select("o_custkey"), t.orders.where("year(o_orderdate) = 1997").select("o_custkey"), ["o_custkey"])
+    return ingest.insert_absent(t.orders.where("o_orderstatus = 'P'").select("o_custkey"), t.orders.where(C.in_year("o_orderdate", 1997)).select("o_custkey"), ["o_custkey"])
 
 
 @query("""
