@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boosting, chat, decontam, langid, neardup, pii, repetition, sharding, token_store, word_bpe
+from . import boosting, chat, decontam, langid, neardup, pii, ranked, repetition, sharding, token_store, trie, urls, word_bpe
+from .shared import WORDS
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -89,6 +90,36 @@ def op10_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe.encode_digests(docs, path, word_bpe.build_lexicon(docs, path))
 
 
+def _rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each conversation with the first h turns of conversation c - c % 20 in front of its own after the first h, h = crc32(c) % 4."""
+    base = trie.lengths(turns)
+    c, h = F.col("conv_id"), F.crc32(F.col("conv_id").cast("string")) % 4
+    convs = base.withColumns({"h": h, "p": c - c % 20}).join(base.select(F.col("conv_id").alias("p"), F.col("length").alias("n_p")), "p", "left")
+    convs = convs.withColumn("led", F.least("h", F.coalesce("n_p", F.lit(0)))).select("conv_id", "h", "p", "led", "length")
+    heads = turns.where("conv_id % 20 = 0 AND pos <= 3").withColumnRenamed("conv_id", "p")
+    first = convs.join(heads, "p").where("pos <= h").select("conv_id", "pos", "key", "words")
+    rest = turns.join(convs.select("conv_id", "h", "led"), "conv_id").where("pos > h").select("conv_id", (F.col("pos") - F.col("h") + F.col("led")).alias("pos"), "key", "words")
+    return first.unionByName(rest), convs.select("conv_id", (F.col("led") + F.greatest(F.col("length") - F.col("h"), F.lit(0))).alias("length"))
+
+
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, ends = trie.build(*_rebuilt(trie.number_turns(_table(spark, sf_dir, "conversations"))))
+    return trie.with_digests(nodes, ends)
+
+
+def op12_block_max_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = ranked.build_index(_table(spark, sf_dir, "documents"))
+    return ranked.search(index, _table(spark, sf_dir, "benchmark"), 50)
+
+
+#: Host, path and verdict of the rules for pages.
+RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
+
+
+def op13_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_table(spark, sf_dir, "pages"), RULES)
+
+
 _OP2_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, unnest(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS w, generate_subscripts(regexp_extract_all(t, '[^\x20\x09-\x0D]+'), 1) AS i FROM d),
@@ -188,10 +219,96 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM s WHERE conv_id IS NOT NULL GROUP BY conv_id
 """
 
+_OP11_SQL = f"""
+WITH o AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+n AS (SELECT conv_id, count(*) AS n FROM o GROUP BY conv_id),
+c AS (SELECT conv_id, {_CRC_SQL} % 4 AS h, conv_id - conv_id % 20 AS p FROM (SELECT conv_id, CAST(conv_id AS VARCHAR) AS t FROM n)),
+r AS (
+  SELECT c.conv_id, pos AS d, role, text FROM c JOIN o ON o.conv_id = c.p AND pos <= h
+  UNION ALL
+  SELECT c.conv_id, pos - h + least(h, coalesce(n, 0)), role, text FROM c JOIN o ON o.conv_id = c.conv_id AND pos > h LEFT JOIN n ON n.conv_id = c.p
+),
+x AS (
+  SELECT conv_id, d, sha256(string_agg(length(role) || ':' || role || length(text) || ':' || text, '') OVER (PARTITION BY conv_id ORDER BY d)) AS pre,
+    len(regexp_extract_all(text, '{WORDS}')) AS words FROM r
+  UNION ALL SELECT conv_id, 0, '', 0 FROM c
+),
+nodes AS (
+  SELECT g.*, u.pre AS up FROM (SELECT d, pre, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words FROM x GROUP BY d, pre) g
+  LEFT JOIN x u ON u.conv_id = g.conv_id AND u.d = g.d - 1
+),
+kids AS (SELECT d - 1 AS d, up AS pre, count(*) AS k FROM nodes WHERE d > 0 GROUP BY ALL),
+own AS (SELECT nodes.conv_id, d, coalesce(k, 0) = 0 AS leaf, (n_convs - 1) * words AS saved FROM nodes LEFT JOIN kids USING (d, pre)),
+rolled AS (SELECT x.d, x.pre, count(*) FILTER (leaf) AS n_leaves, sum(saved) AS saved FROM own JOIN x ON x.conv_id = own.conv_id AND x.d <= own.d GROUP BY ALL),
+ended AS (SELECT d, pre, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM (SELECT * FROM x QUALIFY d = max(d) OVER (PARTITION BY conv_id)) GROUP BY ALL)
+SELECT nodes.conv_id, CAST(nodes.d AS BIGINT) AS depth, parent.conv_id AS parent_conv_id, nodes.n_convs, coalesce(k, 0) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+  CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM nodes JOIN rolled USING (d, pre) LEFT JOIN kids USING (d, pre) LEFT JOIN ended USING (d, pre)
+LEFT JOIN nodes parent ON parent.d = nodes.d - 1 AND parent.pre = nodes.up
+"""
+
+_TERMS_SQL = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+_OP12_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, w, len(w) AS n FROM (SELECT doc_id, {_TERMS_SQL} AS w FROM documents) WHERE len(w) > 0),
+total AS (SELECT count(*) AS all_docs, CAST(sum(n) AS BIGINT) AS all_terms FROM d),
+p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) GROUP BY ALL),
+q AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest({_TERMS_SQL}) AS term FROM benchmark WHERE item_id IS NOT NULL)),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * all_docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM p, total GROUP BY term, all_docs),
+s AS (
+  SELECT item_id, r, CAST(sum(w.w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * all_docs) // all_terms)))) AS BIGINT) AS score
+  FROM q JOIN w USING (term) JOIN p USING (term) JOIN d USING (r), total GROUP BY ALL
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INT) AS rank, doc_id, score
+FROM s JOIN d USING (r) WHERE score > 0 QUALIFY rank <= 50
+"""
+
+
+def _op13_sql() -> str:
+    lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    longest = sorted(RULES, key=lambda r: -len(r[0] + r[1]))
+    case = lambda pick: "CASE " + " ".join(f"WHEN (host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}') THEN '{pick(h, p, v)}'" for h, p, v in longest) + " END"
+    given = lambda c: f"{c} * {100 - urls.DAMPING} // 100"
+    rounds = "".join(f""",
+r{i} AS MATERIALIZED (
+  SELECT host, CAST({given("s.trust")} + coalesce(t, 0) AS BIGINT) AS trust, CAST({given("s.distrust")} + coalesce(b, 0) AS BIGINT) AS distrust, n_out, n_in FROM start s LEFT JOIN (
+    SELECT host, sum(t) AS t, sum(b) AS b FROM (
+      SELECT e.b AS host, trust * {urls.DAMPING} // (100 * n_out) AS t, 0 AS b FROM e JOIN r{i - 1} ON host = e.a
+      UNION ALL SELECT e.a, 0, distrust * {urls.DAMPING} // (100 * n_in) FROM e JOIN r{i - 1} ON host = e.b) GROUP BY host
+  ) USING (host)
+)""" for i in range(1, urls.ROUNDS + 1))
+    return rf"""
+WITH u AS (SELECT page_id, html, regexp_extract(rest, '^[^/?#]*') AS h, rest FROM (SELECT *, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages)),
+p AS (SELECT page_id, html, {lower.format("h")} AS host, regexp_extract(substr(rest, length(h) + 1), '^[^?#]*') AS path FROM u),
+ruled AS (SELECT *, {case(lambda h, p, v: h + p)} AS rule, {case(lambda h, p, v: v)} AS said FROM p),
+seeds AS (
+  SELECT host, count(*) FILTER (said = 'allow') * {urls.ONE} // count(*) AS trust, count(*) FILTER (said = 'block') * {urls.ONE} // count(*) AS distrust
+  FROM ruled WHERE host <> '' GROUP BY host
+),
+linked AS (SELECT DISTINCT host AS a, b FROM (SELECT host, {lower.format("unnest(regexp_extract_all(html, '" + urls.LINK.replace("'", "''") + "', 1))")} AS b FROM p) WHERE host <> '' AND b <> '' AND host <> b),
+known AS (SELECT host FROM seeds UNION SELECT a FROM linked UNION SELECT b FROM linked),
+labels AS (SELECT string_split(host, '.') AS l FROM known),
+e AS MATERIALIZED (
+  SELECT a, b FROM linked
+  UNION SELECT array_to_string(l[i:], '.'), array_to_string(l[i + 1:], '.') FROM (SELECT l, unnest(range(1, len(l) - 1)) AS i FROM labels) WHERE array_to_string(l[i:], '.') <> ''
+),
+start AS MATERIALIZED (
+  SELECT host, coalesce(trust, 0) AS trust, coalesce(distrust, 0) AS distrust, coalesce(n_out, 0) AS n_out, coalesce(n_in, 0) AS n_in
+  FROM (SELECT host FROM known UNION SELECT a FROM e UNION SELECT b FROM e) LEFT JOIN seeds USING (host)
+  LEFT JOIN (SELECT a AS host, count(*) AS n_out FROM e GROUP BY a) USING (host) LEFT JOIN (SELECT b AS host, count(*) AS n_in FROM e GROUP BY b) USING (host)
+),
+r0 AS (SELECT host, {given("trust")} AS trust, {given("distrust")} AS distrust, n_out, n_in FROM start){rounds}
+SELECT page_id, host, path, rule, coalesce(said, CASE WHEN distrust >= {urls.LEAST * (100 - urls.DAMPING) // 100} AND distrust > trust THEN 'block' ELSE 'allow' END) AS verdict,
+  coalesce(trust, 0) AS trust, coalesce(distrust, 0) AS distrust
+FROM ruled LEFT JOIN r{urls.ROUNDS} USING (host)
+"""
+
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_language_crf, op2_repetition_coverage, op3_byte_prefix_shards, op4_perfect_hash_ids, op5_positional_index, op6_disclosing_terms, op7_weighted_minhash, op8_boosted_quality, op9_reply_tree_chat, op10_transducer_bpe)}
+    return {f.__name__: f for f in (op1_language_crf, op2_repetition_coverage, op3_byte_prefix_shards, op4_perfect_hash_ids, op5_positional_index, op6_disclosing_terms, op7_weighted_minhash, op8_boosted_quality, op9_reply_tree_chat, op10_transducer_bpe, op11_prefix_trie, op12_block_max_wand, op13_link_trust)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_repetition_coverage": _OP2_SQL, "op3_byte_prefix_shards": _OP3_SQL, "op5_positional_index": _OP5_SQL, "op9_reply_tree_chat": _OP9_SQL}
+    return {"op2_repetition_coverage": _OP2_SQL, "op3_byte_prefix_shards": _OP3_SQL, "op5_positional_index": _OP5_SQL, "op9_reply_tree_chat": _OP9_SQL, "op11_prefix_trie": _OP11_SQL, "op12_block_max_wand": _OP12_SQL, "op13_link_trust": _op13_sql()}

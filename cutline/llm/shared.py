@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 24 << 20
 #: No row takes fewer bytes than this.
 _LEAST_ROW = 24
+#: Words are what stands between blanks.
+WORDS = r"[^\x20\x09-\x0D]+"
 
 _PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 _LEFT: dict[str, SparkSession] = {}
@@ -51,6 +53,12 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return held
 
 
+def register(spark: SparkSession, path: str) -> str:
+    """Have a path that an operator fills itself deleted as stashed tables are."""
+    _LEFT[path] = spark
+    return path
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
