@@ -1,6 +1,6 @@
 """Language of words and documents by a linear-chain conditional random field.
 
-Words are runs of letters, lower-cased. A word's features are its affixes of one to three letters, its letter bigrams
+Words are runs of letters and of the marks on them (categories L and M), lower-cased. A word's features are its affixes of one to three letters, its letter bigrams
 and trigrams and its whole form (the learned lexicon), all hashed into one weight table; transitions between languages
 are learned with them from sequences that change language, and words are labelled by forward-backward.
 
@@ -12,13 +12,13 @@ left to learn from, every document is ``und``. Texts of any length are labelled
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +26,7 @@ from .flat import mix
 from .shared import text_slices
 
 UNKNOWN = "und"
-WORD = re.compile(r"[^\W\d_]+")
+WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 #: Words whose scores a Python worker keeps.
 CACHE_WORDS = 300_000
 _SEED = {"prefix": 11, "suffix": 12, "gram": 13, "word": 14}
@@ -214,14 +214,17 @@ def fit(texts: list[str], labels: list[str], buckets: int = 1 << 16, length: int
 def train(docs: DataFrame, learn: Column, per_language: int = 250, most_chars: int = 20_000) -> Crf:
     """Fit on about ``per_language`` labelled texts of each language for which ``learn`` (of doc_id) holds, chosen by a hash.
 
-    Texts of over ``most_chars`` are not taken to learn from; both bounds keep the sample at a fixed size.
+    Of a text of over ``most_chars`` a slice of that size is taken to learn from, from a place that a hash gives; both
+    bounds keep the sample at a fixed size. The languages come to the driver: the model has a column for each.
     """
-    usable = docs.where(learn & F.col("lang").isNotNull() & (F.length("text") <= most_chars))
+    usable = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    spare = F.length("text") - most_chars
+    part = F.when(spare <= 0, F.col("text")).otherwise(F.substring("text", (F.pmod(F.xxhash64("doc_id", "text"), spare + 1) + 1).cast("int"), F.lit(most_chars)))
     counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return Crf([], np.zeros((1, 0), np.float32), np.zeros((0, 0)), np.zeros(0))
     cut = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1 << 20, per_language * (1 << 20) // n + 1))))
-    rows = usable.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < cut[F.col("lang")]).limit(2 * per_language * len(counts)).select("text", "lang").collect()
+    rows = usable.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < cut[F.col("lang")]).limit(2 * per_language * len(counts)).select(part.alias("text"), "lang").collect()
     rows = sorted((r["text"], r["lang"]) for r in rows)
     return fit([r[0] for r in rows], [r[1] for r in rows])
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -65,6 +66,25 @@ def test_language_held_out_and_switching(spark):
     assert tags == ["en"] * 5 + ["de"] * 5
 
 
+def test_language_of_texts_without_a_letter(spark):
+    """Letters by Unicode category: numbers and marks are none; words of scripts with marks stay whole."""
+    crf = langid.fit(["the cat and the dog " * 40, "यह हिन्दी में एक वाक्य है " * 40] * 3, ["en", "hi"] * 3)
+    texts = ["½ ² Ⅷ ①", "①", "१२३ 45", "\u0301\u0bcd", "हिन्दी में", "ª", "x½", "_ - 7", "Ⅷ the dog", "ⓐ"]
+    got = {r.doc_id: r for r in langid.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), crf).collect()}
+    for i, text in enumerate(texts):
+        letters = any(unicodedata.category(c)[0] == "L" for c in text)
+        assert (got[i].lang_pred != "und") == letters == any(c.isalpha() and unicodedata.category(c)[0] == "L" for c in text)
+        assert letters or got[i].score == 0
+    assert got[4].lang_pred == "hi" and got[8].lang_pred == "en"
+    words = [r.word for r in langid.label_words(spark.createDataFrame([(1, "हिन्दी में ½ dog")], "doc_id long, text string"), crf).orderBy("place").collect()]
+    assert words == ["हिन्दी", "में", "dog"]
+
+
+def test_language_with_long_texts_only(spark):
+    docs = spark.createDataFrame([(i, ("the cat and the dog " if i % 2 else "der hund und die katze ") * 2000, "en" if i % 2 else "de") for i in range(8)], "doc_id long, text string, lang string")
+    assert sorted(langid.train(docs, F.lit(True)).langs) == ["de", "en"]
+
+
 def test_language_of_short_texts(spark):
     """Texts shorter than a training sequence are learned from, and whole predictions equal a plain forward-backward."""
     said = {"en": "the cat and the dog were here with them", "de": "der hund und die katze waren hier mit ihnen"}
