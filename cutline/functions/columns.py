@@ -104,8 +104,12 @@ def keyword_hit(text: Column, keyword: str) -> Column:
 
 
 def host(url: Column, strict_prefix: bool = False) -> Column:
-    """Host of a URL without ``www.``; by default any leading run of w and . goes, as the results to match have it."""
-    found = F.coalesce(F.parse_url(F.lower(url), F.lit("HOST")), F.lit(""))
+    """The lower-case authority of a URL without user, port and ``www.``, "" where there is none; no URL is an error.
+
+    By default any leading run of w and . goes, as the results to match have it.
+    """
+    authority = F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#]*@)?([^/?#]*)", 1)
+    found = F.coalesce(F.regexp_replace(authority, r":[0-9]*$", ""), F.lit(""))
     return F.regexp_replace(found, r"^www\.", "") if strict_prefix else F.ltrim(found, F.lit("w."))
 
 

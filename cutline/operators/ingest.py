@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -28,7 +29,7 @@ def insert_absent(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFr
 
 def read_cells(wide: DataFrame, row: str, period: int) -> DataFrame:
     """Cells of a wide text table: period, row, label, raw; blank rows and blank headers are passed over."""
-    labels = [c for c in wide.columns if c != row and c.strip() and not c.startswith(("_blank_", "_c"))]
+    labels = [c for c in wide.columns if c != row and c.strip() and not re.match("_blank_|_c[0-9]+$", c)]
     long = wide.where(F.trim(F.coalesce(F.col(f"`{row}`"), F.lit(""))) != "").unpivot([F.col(f"`{row}`")], [F.col(f"`{c}`") for c in labels], "label", "raw")
     return long.select(F.lit(period).alias("period"), F.col(f"`{row}`").alias("row"), "label", "raw")
 
@@ -85,13 +86,14 @@ def bulk_confirm(suggestions: DataFrame, known: DataFrame, key: str, code: str,
 
 
 def exclusive_activation(configs: DataFrame, key: str, chosen) -> DataFrame:
-    """The table with one row active."""
-    return configs.withColumn("is_active", F.col(key) == F.lit(chosen))
+    """The table with one row active; a key that it lacks changes nothing."""
+    held = configs.agg(F.coalesce(F.bool_or(F.col(key) == F.lit(chosen)), F.lit(False)).alias("__held"))  # one row
+    return configs.join(F.broadcast(held)).withColumn("is_active", F.when(F.col("__held"), F.coalesce(F.col(key) == F.lit(chosen), F.lit(False))).otherwise(F.col("is_active"))).drop("__held")
 
 
 def version_bump(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """New contents: the version goes up only where the hash changes; new keys begin at 1."""
+    """New contents: the version goes up only where the hash changes, also to or from null; new keys begin at 1."""
     held = old.select(key, F.col("content").alias("__c"), F.col("version").alias("__v"))
-    changed = F.sha2("content", 256) != F.sha2("__c", 256)
+    changed = ~F.sha2("content", 256).eqNullSafe(F.sha2("__c", 256))
     version = F.when(F.col("__v").isNull(), 1).when(changed, F.col("__v") + 1).otherwise(F.col("__v"))
     return new.join(held, key, "left").withColumn("version", version).drop("__c", "__v")

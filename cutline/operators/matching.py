@@ -43,8 +43,8 @@ def place_similarity(a: Column, b: Column) -> Column:
 
 
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 "
-#: Catalog rows that stand beside every label at once; larger catalogs are met by keys.
-CATALOG_ROWS = 20_000
+#: Labels of one key that meet the catalog's rows of that key in one task.
+SPLIT = 10_000
 
 
 def _bag(text: Column) -> Column:
@@ -59,48 +59,86 @@ def _at_most(bag: Column, other: Column) -> Column:
     return F.coalesce(F.try_divide(2 * total(F.zip_with(bag, other, lambda m, n: F.least(m, n))), total(bag) + total(other)), F.lit(1.0))
 
 
+def _letters_only(normal: Column) -> Column:
+    return F.regexp_replace(normal, "[^A-Z0-9]", "")
+
+
 def _described(df: DataFrame, text: str, side: str) -> DataFrame:
-    letters = F.regexp_replace(C.normal_label(F.col(text)), "[^A-Z0-9]", "")
-    return df.withColumns({f"__{side}t": C.label_tokens(F.col(text)), f"__{side}n": _bag(C.normal_label(F.col(text))), f"__{side}b": _bag(letters)})
+    """A text's tokens, its normalised and its letters-only form, and the bags of letters of both."""
+    forms = df.withColumns({f"__{side}t": C.label_tokens(F.col(text)), f"__{side}f": C.normal_label(F.col(text))}).withColumn(f"__{side}o", _letters_only(F.col(f"__{side}f")))
+    return forms.withColumns({f"__{side}n": _bag(F.col(f"__{side}f")), f"__{side}b": _bag(F.col(f"__{side}o"))})
+
+
+def _keys(side: str) -> Column:
+    """What two texts share if their blend reaches ``LEAST - MARGIN``: a token, or two letters in a row of one form, or a letter of a short form."""
+
+    def runs(form: str, mark: str) -> Column:
+        cut = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(form) - n + 1, F.lit(1))), lambda i: F.concat(F.lit(mark), F.substring(form, i, F.lit(n))))
+        none = F.array().cast("array<string>")
+        return F.concat(F.when(F.length(form) > 1, cut(2)).otherwise(none), F.when(F.length(form).between(1, 4), cut(1)).otherwise(none))
+
+    return F.array_distinct(F.concat(F.transform(f"__{side}t", lambda t: F.concat(F.lit("t^"), t)), runs(f"__{side}f", "n^"), runs(f"__{side}o", "o^")))
+
+
+def _by_keys(texts: DataFrame, text: str, side: str) -> DataFrame:
+    sizes = [F.size(f"__{side}t").alias(f"{side}_t"), F.length(f"__{side}f").alias(f"{side}_n"), F.length(f"__{side}o").alias(f"{side}_o")]
+    return texts.select(text, F.explode(_keys(side)).alias("__key"), *sizes)
+
+
+def _met(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Distinct pairs of texts with a common key; the left rows of a frequent key are dealt out, the right ones go to each part.
+
+    Sizes rule out pairs before they are made: they bound the shared tokens and both ratios. A pair without a common
+    token is met by the form whose ratio is over 0.75.
+    """
+    parts = left.groupBy("__key").agg(F.count("*").alias("n")).where(F.col("n") > SPLIT).select("__key", F.ceil(F.col("n") / SPLIT).cast("int").alias("__parts"))
+    dealt = left.join(parts, "__key", "left").withColumn("__part", F.pmod(F.xxhash64("__l"), F.coalesce("__parts", F.lit(1))).cast("int")).drop("__parts")
+    copied = right.join(parts, "__key", "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
+    of = lambda f, c: f(f"l_{c}", f"r_{c}")
+    ratio = {c: 2.0 * of(F.least, c) / (F.col(f"l_{c}") + F.col(f"r_{c}")) for c in "no"}
+    blend = 0.35 * of(F.least, "t") / of(F.greatest, "t") + 0.35 * ratio["n"] + F.coalesce(0.30 * F.try_divide(2.0 * of(F.least, "o"), F.col("l_o") + F.col("r_o")), F.lit(0.30))
+    alone = (LEAST - MARGIN) / 0.65 - 1e-9
+    kind = F.left("__key", F.lit(1))
+    fits = F.when(kind == "t", blend >= LEAST - MARGIN - 1e-9).when(kind == "n", ratio["n"] >= alone).otherwise(ratio["o"] >= alone)
+    return dealt.join(copied, ["__key", "__part"]).where(fits).select("__l", "__r").distinct()
 
 
 def fuzzy_best(labels: DataFrame, label_key: str, label: str, catalog: DataFrame, code: str, name: str, place: str | None = None) -> DataFrame:
     """The best catalog code of each label with its score and whether another code comes within the margin.
 
     With ``place``, a column of both sides, the score is the names' similarity times the places'. Scores under
-    ``LEAST - MARGIN`` count as none: best is null and the score 0. Of all pairs only those are scored whose shared
-    words and bags of letters let them reach that much, which rules out no other pair. A catalog of up to
-    ``CATALOG_ROWS`` stands beside each label; a larger one is met by common words, two letters in a row, or single
-    letters of texts under eight letters together: a blend of ``LEAST - MARGIN`` without a common word takes a ratio
-    over 0.75, and texts of eight letters and more that have no two in a row in common stay under that.
+    ``LEAST - MARGIN`` count as none: best is null and the score 0. Labels that are equal are scored once. Texts meet by
+    keys, at every size of the catalog: a blend of 0.49 without a common token takes a string ratio over 0.75 of the
+    normalised or of the letters-only form; two such forms have two letters in a row in common, or, having two matching
+    letters at most, five characters together, which leaves no form of over three. Of the pairs that meet, those are
+    scored that lengths, shared tokens and bags of letters let reach ``LEAST - MARGIN``, which rules out no other pair.
     """
     least = LEAST - MARGIN
     places = [place] if place else []
-    left = _described(labels.select(label_key, F.regexp_replace(label, r"\[[^\]]*\]", " ").alias("__l"), *places), "__l", "l")
+    cleaned = labels.select(label_key, F.regexp_replace(label, r"\[[^\]]*\]", " ").alias("__l"), *(F.col(p).alias("__at") for p in places))
+    left = _described(cleaned.select("__l").distinct(), "__l", "l")
     right = catalog.select(code, F.coalesce(name, F.lit("")).alias("__r"), *(F.col(p).alias("__place") for p in places)).distinct()
-    size = right.count()
-    right = _described(right, "__r", "r")
+    names = _described(right.select("__r").distinct(), "__r", "r")
+    met = _met(_by_keys(left, "__l", "l"), _by_keys(names, "__r", "r"))
     jaccard = F.coalesce(F.try_divide(F.size(F.array_intersect("__lt", "__rt")), F.size(F.array_union("__lt", "__rt"))), F.lit(0.0))
     may = 0.35 * jaccard + 0.35 * _at_most(F.col("__ln"), F.col("__rn")) + 0.30 * _at_most(F.col("__lb"), F.col("__rb")) >= least - 1e-9
-    if size <= CATALOG_ROWS:
-        pairs = left.join(F.broadcast(right), may)
-    else:
-
-        def keys(text: str, tokens: str) -> Column:
-            runs = F.array(C.normal_label(F.col(text)), F.regexp_replace(C.normal_label(F.col(text)), "[^A-Z0-9]", ""))
-            cut = lambda n: F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(r) - n + 1)), lambda i: F.concat(F.lit("^"), F.substring(r, i, F.lit(n))))))
-            return F.explode(F.array_distinct(F.concat(tokens, cut(2), F.when(F.length(text) < 8, cut(1)).otherwise(F.array().cast("array<string>")))))
-
-        met = left.select(label_key, "__l", keys("__l", "__lt").alias("__b")).join(right.select(code, "__r", keys("__r", "__rt").alias("__b")), "__b").select(label_key, "__l", code, "__r").distinct()
-        pairs = met.join(left, [label_key, "__l"]).join(right, [code, "__r"]).where(may)
-    score = similarity(F.col("__l"), F.col("__r"))
+    pairs = met.join(left, "__l").join(names, "__r").where(may).select("__l", "__r")
+    alike = pairs.withColumn("__s", similarity(F.col("__l"), F.col("__r"))).where(F.col("__s") >= least)
+    asked = cleaned.select("__l", *(["__at"] if place else [])).distinct()
+    scored = alike.join(right, "__r").join(asked, "__l")
+    score = F.col("__s") * place_similarity(F.col("__at"), F.col("__place")) if place else F.col("__s")
+    same = ["__l", *(["__at"] if place else [])]
+    scored = scored.withColumn("score", score).where(F.col("score") >= least).groupBy(*same, code).agg(F.max("score").alias("score"))
+    order = Window.partitionBy(*same).orderBy(F.desc("score"), code)
+    ranked = scored.select(*same, code, "score", F.row_number().over(order).alias("n"), F.coalesce(F.lead("score").over(order), F.lit(0.0)).alias("second")).where("n = 1")
+    found = ranked.select(*(F.col(c).alias(f"{c}_") for c in same), F.col(code).alias("best"), "score", ((F.col("score") - F.col("second")) < MARGIN).alias("ambiguous"))
+    on = F.col("__l") == F.col("__l_")
     if place:
-        score = score * place_similarity(F.col(place), F.col("__place"))
-    scored = pairs.withColumn("score", score).where(F.col("score") >= least).groupBy(label_key, code).agg(F.max("score").alias("score"))
-    order = Window.partitionBy(label_key).orderBy(F.desc("score"), code)
-    ranked = scored.select(label_key, code, "score", F.row_number().over(order).alias("n"), F.coalesce(F.lead("score").over(order), F.lit(0.0)).alias("second")).where("n = 1")
-    found = ranked.select(label_key, F.col(code).alias("best"), "score", ((F.col("score") - F.col("second")) < MARGIN).alias("ambiguous"))
-    return labels.select(label_key).distinct().join(found, label_key, "left").select(label_key, "best", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("ambiguous", F.lit(False)).alias("ambiguous"))
+        on = on & F.col("__at").eqNullSafe(F.col("__at_"))
+    best = cleaned.distinct().join(found, on, "left")
+    # a key with several labels takes the best of them
+    top = best.groupBy(label_key).agg(F.max_by(F.struct("best", "score", "ambiguous"), F.struct(F.coalesce("score", F.lit(0.0)), "best")).alias("top"))
+    return top.select(label_key, "top.best", F.coalesce("top.score", F.lit(0.0)).alias("score"), F.coalesce("top.ambiguous", F.lit(False)).alias("ambiguous"))
 
 
 def exact_lookup(entries: DataFrame, key: Column, code: str) -> DataFrame:

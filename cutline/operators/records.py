@@ -7,11 +7,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: What a run may go on to from each state.
+#: What a run may go on to from each state. A run can be started again from needs_pages, needs_mapping and failed; success and partial are final.
 RUN_STATES = {
-    "running": ("needs_pages", "needs_mapping", "failed", "success"),
+    "running": ("needs_pages", "needs_mapping", "failed", "success", "partial"),
     "needs_pages": ("running", "failed"),
-    "needs_mapping": ("failed", "success"),
+    "needs_mapping": ("running", "failed", "success"),
+    "failed": ("running",),
 }
 
 
@@ -26,11 +27,11 @@ def resolve_codes(df: DataFrame, code: str, known: DataFrame, known_code: str, k
 
 
 def longest_prefix(df: DataFrame, text: str, dictionary: DataFrame, prefix: str, value: str) -> DataFrame:
-    """The value of the longest dictionary entry that each text begins with, or null.
+    """The value of the longest dictionary entry that each text begins with, or null; of an entry's values the least.
 
     Each text is cut to the lengths that occur in the dictionary and these beginnings are joined by equality.
     """
-    entries = dictionary.select(F.col(prefix).alias("__p"), F.col(value).alias("__v")).where("__p IS NOT NULL").dropDuplicates(["__p"])
+    entries = dictionary.select(F.col(prefix).alias("__p"), F.col(value).alias("__v")).where("__p IS NOT NULL").groupBy("__p").agg(F.min("__v").alias("__v"))
     lengths = [r[0] for r in entries.select(F.length("__p")).distinct().collect()]  # no more than the longest entry has characters
     cuts = F.array(*(F.when(F.length(text) >= n, F.left(text, F.lit(n))) for n in sorted(lengths)))
     texts = df.select(text).distinct()

@@ -173,13 +173,14 @@ def tab_groups(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH r AS (SELECT event_id, (['running', 'needs_pages', 'needs_mapping', 'failed', 'success'])[event_id % 5 + 1] AS s, (['success', 'running', 'failed'])[event_id % 3 + 1] AS w FROM events)
-SELECT event_id, CASE WHEN s = 'running' AND w IN ('failed', 'success') OR s = 'needs_pages' AND w IN ('running', 'failed') OR s = 'needs_mapping' AND w IN ('failed', 'success') THEN w ELSE s END AS state FROM r
+WITH r AS (SELECT event_id, (['running', 'needs_pages', 'needs_mapping', 'failed', 'success', 'partial'])[event_id % 6 + 1] AS s, (['success', 'running', 'failed', 'needs_mapping', 'partial'])[event_id % 5 + 1] AS w FROM events)
+SELECT event_id, CASE WHEN w = 'running' AND s IN ('needs_pages', 'needs_mapping', 'failed') THEN 'running' WHEN s = 'running' AND w IN ('needs_mapping', 'failed', 'success', 'partial') THEN w
+  WHEN s IN ('needs_pages', 'needs_mapping') AND w = 'failed' THEN w WHEN s = 'needs_mapping' AND w = 'success' THEN w ELSE s END AS state FROM r
 """)
 def run_states(t: Tables) -> DataFrame:
     """The states of runs and what they may go on to."""
     pick = lambda names: F.element_at(F.array(*map(F.lit, names)), (F.col("event_id") % len(names)).cast("int") + 1)
-    state, wanted = pick(["running", "needs_pages", "needs_mapping", "failed", "success"]), pick(["success", "running", "failed"])
+    state, wanted = pick(["running", "needs_pages", "needs_mapping", "failed", "success", "partial"]), pick(["success", "running", "failed", "needs_mapping", "partial"])
     return t.events.select("event_id", records.next_state(state, wanted).alias("state"))
 
 

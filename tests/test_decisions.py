@@ -3,7 +3,9 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from cutline.functions import columns as C
 from cutline.operators import decisions as D
+from cutline.operators import ingest, matching, records
 from cutline.operators.rules import Baskets, basket_rule, compile_rule
 
 SUBJECTS = "id int, subjects array<struct<subject:string,grade:string>>, stream string"
@@ -98,3 +100,32 @@ def test_catalog_diff(spark):
     new = spark.createDataFrame([("a", 1, 1.0001), ("c", 1, 2.0), ("d", 1, 1.0), ("e", 1, 0.0)], "k string, m int, v double")
     got = {r.k: (r.kind, r.changed) for r in D.catalog_diff(old, new, "k", "m", "v").collect()}
     assert got == {"a": ("changed", 1), "b": ("removed", 1), "c": ("changed", 1), "d": ("same", 0), "e": ("added", 1)}
+
+
+def test_hosts_of_malformed_urls(spark):
+    """No URL ends a query: what has no authority has an empty host."""
+    urls = ["http://exa mple.com/a", "http://a.org/x|y", "http://a.org/%zz", "HTTP://User@WWW.A.org:80/p", "mailto:x@y", "", None, "//b.org", "https://www.ww.net?x"]
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    assert [r[0] for r in df.select(C.host(F.col("url"))).collect()] == ["exa mple.com", "a.org", "a.org", "a.org", "", "", "", "", "net"]
+    results = df.select("url", F.lit(0).alias("source"), F.monotonically_increasing_id().alias("at"))
+    assert [r.score for r in matching.trusted_first(results, "url", "source", "at", ["a.org"], [".com"], 9).collect()][:4] == [2, 2, 2, 1]
+
+
+def test_states_of_runs(spark):
+    names = ["running", "needs_pages", "needs_mapping", "failed", "success", "partial"]
+    df = spark.createDataFrame([(a, b) for a in names for b in names], "a string, b string")
+    moved = {(r.a, r.b) for r in df.select("a", "b", records.next_state(F.col("a"), F.col("b")).alias("now")).collect() if r.now == r.b != r.a}
+    assert {a for a, b in moved if b == "running"} == {"needs_pages", "needs_mapping", "failed"}
+    assert not {a for a, _ in moved} & {"success", "partial"}
+
+
+def test_versions_and_unknown_codes(spark):
+    old = spark.createDataFrame([(1, "a", 3), (2, None, 3), (3, None, 2), (4, "x", 1)], "k int, content string, version int")
+    new = spark.createDataFrame([(1, None), (2, "b"), (3, None), (4, "x"), (5, None)], "k int, content string")
+    assert {r.k: r.version for r in ingest.version_bump(old, new, "k").collect()} == {1: 4, 2: 4, 3: 2, 4: 1, 5: 1}
+    with pytest.raises(Exception, match="unknown code: zz"):
+        records.resolve_codes(spark.createDataFrame([("zz",), (None,)], "code string"), "code", old, "content", "k", "id").collect()
+    held = spark.createDataFrame([(1, True), (2, False)], "k int, is_active boolean")
+    assert [[r.is_active for r in ingest.exclusive_activation(held, "k", c).orderBy("k").collect()] for c in (2, 9)] == [[False, True], [True, False]]
+    twice = spark.createDataFrame([("ab", "y"), ("ab", "x"), ("a", "z")], "prefix string, mark string")
+    assert records.longest_prefix(spark.createDataFrame([("abc",)], "text string"), "text", twice, "prefix", "mark").first()["mark"] == "x"
