@@ -124,15 +124,18 @@ def subset_of_any(left: DataFrame, words: str, right: DataFrame, other_words: st
 def words_held(items: DataFrame, key: str, words: str, texts: DataFrame, text_words: str) -> DataFrame:
     """The items with a flag ``subset``: some text holds all their (distinct) words. Items without words fit any text.
 
-    An item meets only the texts that hold its rarest word, by its frequency in all texts; ties go to the word that sorts first.
+    Each text is reduced once to those of its words that any item has; texts that hold the same of them are one. An item
+    meets only the texts that hold its rarest word (ties: the word that sorts first), and they carry what is left of them.
     """
     each = items.select(key, words, F.explode(words).alias("__x"))
-    said = texts.select(F.explode(text_words).alias("__x")).join(each.select("__x").distinct(), "__x", "left_semi").groupBy("__x").agg(F.count("*").alias("__n"))
+    known = each.select("__x").distinct()
+    # a text is known by 128 bits of its words, and its rows travel one word wide
+    cut = texts.select(F.struct(F.xxhash64(text_words), F.xxhash64(F.lit(1), text_words)).alias("__h"), F.explode(F.array_distinct(text_words)).alias("__x"))
+    held = cut.join(known, "__x", "left_semi").groupBy("__h").agg(F.array_sort(F.collect_set("__x")).alias("__t")).groupBy("__t").agg(F.count("*").alias("__n"))
+    said = held.select("__n", F.explode("__t").alias("__x")).groupBy("__x").agg(F.sum("__n").alias("__n"))
     rarest = each.join(said, "__x", "left").groupBy(key, words).agg(F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), F.col("__x").alias("x"))).alias("__r"))
     rarest = rarest.where("__r.n > 0").select(key, F.col(words).alias("__w"), F.col("__r.x").alias("__x"))
-    # texts are met by a hash first: rows with all words of a text are made for the items that meet it only
-    hashed = texts.select(F.col(text_words).alias("__t"), F.xxhash64(text_words).alias("__h"))
-    met = hashed.select("__h", F.explode("__t").alias("__x")).join(rarest, "__x").select("__h", key, "__w").distinct().join(hashed, "__h")
-    held = met.where(F.size(F.array_except("__w", "__t")) == 0).select(key).distinct()
+    met = held.select("__t", F.explode("__t").alias("__x")).join(rarest, "__x")
+    found = met.where(F.size(F.array_except("__w", "__t")) == 0).select(key).distinct()
     none = items.where(F.size(words) == 0).select(key).join(texts.limit(1).select(F.lit(True).alias("__any")), how="cross").select(key)  # one text at most
-    return exists_flag(items, held.unionByName(none), [key], "subset")
+    return exists_flag(items, found.unionByName(none), [key], "subset")

@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cutline.functions.columns import dot
-
 #: Words that carry no meaning in a keyword query.
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "to", "was", "with")
 
@@ -20,36 +18,6 @@ def terms(text: Column) -> Column:
     return F.transform(kept, lambda w: F.when(F.length(w) > 5, F.regexp_replace(w, "(ing|ed|es|s)$", "")).otherwise(w))
 
 
-#: Queries that stand beside every chunk at once.
-AT_ONCE = 500
-
-
-def in_blocks(queries: DataFrame, query: str = "query_id", at_once: int = AT_ONCE) -> list[DataFrame]:
-    """The queries in as many blocks as their number asks for, each of about ``at_once`` by a hash of the id."""
-    n = max(1, -(-queries.count() // at_once))
-    return [queries.where(F.pmod(F.xxhash64(query), F.lit(n)) == i) for i in range(n)]
-
-
-def similarities(chunks: DataFrame, queries: DataFrame, query: str = "query_id") -> DataFrame:
-    """The chunks' columns, the query and their cosine as similarity, for each chunk and query.
-
-    A stated set of queries against all chunks: the queries, checked to be few, stand beside each row, so the chunks
-    are read once. What stands above should cut the rows down before it shuffles. Norms are taken once for each row.
-    """
-    rows = queries.select(query, "embedding").limit(1001).collect()
-    if len(rows) > 1000:
-        raise ValueError("more than 1000 queries: run them in blocks")
-    held = chunks.sparkSession.createDataFrame(rows, queries.select(query, "embedding").schema).withColumn("__qq", dot(F.col("embedding"), F.col("embedding"))).withColumnRenamed("embedding", "__q")
-    normed = chunks.withColumn("__ee", dot(F.col("embedding"), F.col("embedding")))
-    return normed.join(F.broadcast(held)).withColumn("similarity", dot(F.col("embedding"), F.col("__q")) / F.sqrt(F.col("__ee") * F.col("__qq"))).drop("__ee", "__qq", "__q")
-
-
-def vector_hits(chunks: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id", query: str = "query_id") -> DataFrame:
-    """The k nearest chunks of each query by cosine: query, key, similarity, rank; each task keeps k of a query before the shuffle."""
-    order = Window.partitionBy(query).orderBy(F.desc("similarity"), key)
-    return similarities(chunks, queries, query).select(query, key, "similarity").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
 def keyword_hits(chunks: DataFrame, query_terms: Sequence[str], k: int, key: str = "chunk_id", text: str = "content") -> DataFrame:
     """Chunks that hold every term, ranked by the sum of log(1 + count): key, score, rank. No terms: no hits."""
     words = terms(F.col(text))
@@ -81,10 +49,6 @@ def fuse(vector: DataFrame, keyword: DataFrame, key: str, top: int = 5, k: int =
     return best.withColumn("place", F.row_number().over(Window.orderBy(*order))).drop("a", "b")
 
 
-def best_per_group(hits: DataFrame, group: str | Sequence[str], score: str) -> DataFrame:
-    return hits.groupBy(*([group] if isinstance(group, str) else group)).agg(F.max(score).alias(score))
-
-
 def title(content: Column, fallback: Column) -> Column:
     """The first H1 line, or the fallback."""
     found = F.trim(F.regexp_extract(content, r"(?m)^# (.*)$", 1))

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cutline.functions import columns as C
-from cutline.operators import ingest, joins, matching, retrieval, windows
+from cutline.operators import ingest, joins, matching, retrieval, vectors, windows
 from cutline.streaming import admission
 
 from .registry import Tables, query
@@ -26,11 +24,15 @@ SELECT query_id, chunk_id, rank FROM (SELECT query_id, chunk_id, row_number() OV
 def cosine_topk(t: Tables) -> DataFrame:
     """The nearest of all rows for each row whose id is divisible by 20."""
     q = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    found = [retrieval.vector_hits(_chunks(t), b, 10).select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank")) for b in retrieval.in_blocks(q)]
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+    return vectors.nearest(_chunks(t), q, 10).select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query()
+def vector_index(t: Tables) -> DataFrame:
+    """The nearest of all rows for each row whose id is divisible by 20, through the index; its recall is measured in the tests."""
+    q = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    found = vectors.search(vectors.build_index(_chunks(t)), q, 10)
+    return found.select("query_id", "chunk_id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("""
@@ -40,8 +42,7 @@ SELECT query_id, label, CAST(round(max(list_dot_product(CAST(embedding AS DOUBLE
 def best_per_group(t: Tables) -> DataFrame:
     """The best similarity of each group to each query (row 0, or any row whose id is divisible by 20), in millionths."""
     queries = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    found = [retrieval.best_per_group(retrieval.similarities(_chunks(t), b), ["query_id", "label"], "similarity") for b in retrieval.in_blocks(queries)]
-    grouped = reduce(DataFrame.unionByName, found)
+    grouped = vectors.best_of_groups(_chunks(t), queries, "label")
     return grouped.select("query_id", "label", F.round(F.col("similarity") * 1000000, 0).cast("long").alias("best"))
 
 
@@ -56,7 +57,7 @@ SELECT id, row_number() OVER (ORDER BY round(rrf, 12) DESC, a NULLS LAST, b NULL
 def rrf_hybrid(t: Tables) -> DataFrame:
     """Vector and keyword lists fused by reciprocal rank."""
     q = t.embeddings.where("vec_id = 7").select(F.col("vec_id").alias("query_id"), "embedding")
-    v = retrieval.vector_hits(_chunks(t), q, 20).select(F.col("chunk_id").alias("id"), "rank")
+    v = vectors.nearest(_chunks(t), q, 20).select(F.col("chunk_id").alias("id"), "rank")
     k = retrieval.keyword_hits(t.documents.select(F.col("doc_id").alias("id"), F.col("text").alias("content")), ["er", "th"], 20, "id")
     return retrieval.fuse(v, k, "id").select("id", F.col("place").cast("long").alias("place"))
 
