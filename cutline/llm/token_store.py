@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .flat import Flat, gather, grouped, span_hashes
 from .perfect_hash import PerfectHash, fingerprint
-from .shared import new_path, read_bytes, stash, text_slices, write_bytes
+from .shared import new_path, read_bytes, register, stash, text_slices, write_bytes
 
 #: Ids of a shard, about; encoded pieces of text that a task keeps; pieces and characters encoded at once.
 SHARD_IDS = 2 << 20
@@ -177,7 +177,7 @@ class Shard:
 def write(docs: DataFrame, tokenizer: str, end_id: int = 0, shard_ids: int = SHARD_IDS, partitions: int | None = None) -> DataFrame:
     """Write shards in ascending doc_id order; returns the manifest, one row per shard with its first id's place ``base``."""
     spark = docs.sparkSession
-    folder = new_path(spark, "ids")
+    folder = register(spark, new_path(spark, "ids"))
     count = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     key = F.col("doc_id").cast("long")
     ordered = docs.select(key.alias("doc_id"), "text").repartitionByRange(count, "doc_id").sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .automaton import Automaton, compile_words, to_bytes
 from .flat import gather, grouped, rolling, span_hashes
-from .shared import drop, new_path, stash, text_slices, write_bytes
+from .shared import drop, new_path, register, stash, text_slices, write_bytes
 
 #: Words that the lexicon holds at most, the characters of the longest, and other words that a task keeps.
 LEXICON_WORDS = 1 << 17
@@ -254,7 +254,7 @@ def build_lexicon(docs: DataFrame, vocabulary_path: str, most: int = LEXICON_WOR
     spark = docs.sparkSession
     counted = word_counts(docs, vocabulary_path)
     chosen = counted.where(F.col("n") >= least_count(counted, most)).select("word")
-    folder = new_path(spark, "lexicon")
+    folder = register(spark, new_path(spark, "lexicon"))
 
     def compiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = sorted(w.encode() for batch in batches for w in batch.column(0).to_pylist())
