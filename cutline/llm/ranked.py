@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .shared import small, stash
 
 #: Bytes of text and number of documents in a shard.
-SHARD_BYTES, SHARD_DOCS = 24 << 20, 1 << 16
+SHARD_BYTES, SHARD_DOCS = 16 << 20, 1 << 16
 #: Postings that are cut together, the longest block, and what a block costs, in impacts of 1 / 1,000,000 of the scale.
 STRETCH, LONGEST, BLOCK_COST = 512, 64, 400_000.0
 #: Items that are searched together in a shard.
