@@ -49,6 +49,16 @@ def fuse(vector: DataFrame, keyword: DataFrame, key: str, top: int = 5, k: int =
     return best.withColumn("place", F.row_number().over(Window.orderBy(*order))).drop("a", "b")
 
 
+def fuse_each(vector: DataFrame, keyword: DataFrame, query: str, key: str, top: int = 5, k: int = 60) -> DataFrame:
+    """``fuse`` for each query of two ranked tables (query, key, rank): query, key, rrf, place."""
+    a = vector.select(query, key, F.col("rank").alias("a"))
+    b = keyword.select(query, key, F.col("rank").alias("b"))
+    share = lambda c: F.when(F.col(c).isNotNull(), 1.0 / (F.lit(k) + F.col(c))).otherwise(0.0)
+    fused = a.join(b, [query, key], "full").withColumn("rrf", share("a") + share("b"))
+    order = Window.partitionBy(query).orderBy(F.desc("rrf"), F.asc_nulls_last("a"), F.asc_nulls_last("b"), F.asc(key))
+    return fused.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top).drop("a", "b")
+
+
 def title(content: Column, fallback: Column) -> Column:
     """The first H1 line, or the fallback."""
     found = F.trim(F.regexp_extract(content, r"(?m)^# (.*)$", 1))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cutline.functions import columns as C
 from cutline.operators import decisions as D
-from cutline.operators import joins
+from cutline.operators import joins, presence
 from cutline.operators.rules import Baskets, basket_rule, compile_rule, rule_gate
 
 from .registry import Tables, query
@@ -159,6 +159,30 @@ def demand_tags(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", F.round(score * 10000, 0).cast("long").alias("demand"))
 
 
+@query("""
+WITH o AS (SELECT o_custkey AS k, o_orderpriority AS m, max(CAST(CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS DECIMAL(18,4))) AS was FROM orders WHERE year(o_orderdate) = 1996 GROUP BY 1, 2),
+n AS (SELECT o_custkey AS k, o_orderpriority AS m, max(CAST(CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice END AS DECIMAL(18,4))) AS now FROM orders WHERE year(o_orderdate) = 1997 GROUP BY 1, 2),
+known AS (SELECT c_custkey AS k, c_acctbal >= 0 AS active FROM customer WHERE c_custkey % 4 <> 0),
+printed AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE year(o_orderdate) >= 2000),
+d AS (SELECT n.k, n.m, was, now, coalesce(abs(now - was) >= 100, (now IS NULL) <> (was IS NULL)) AS differs FROM n JOIN known ON known.k = n.k AND active LEFT JOIN o ON o.k = n.k AND o.m = n.m)
+SELECT k AS o_custkey, 'removed' AS kind, 0::BIGINT AS n_members, 0::BIGINT AS n_changed, NULL::DOUBLE AS most, '' AS details FROM known WHERE active AND k NOT IN (SELECT k FROM n) AND k NOT IN (SELECT k FROM printed)
+UNION ALL SELECT k, 'added', count(now), 0, NULL, '' FROM n WHERE k NOT IN (SELECT k FROM known) GROUP BY k
+UNION ALL SELECT k, 'changed', count(*), count(*) FILTER (differs), coalesce(CAST(max(abs(now - was)) FILTER (differs) AS DOUBLE), 0),
+  string_agg(m || ':' || coalesce(CAST(CAST(was AS DECIMAL(18,2)) AS VARCHAR), '-') || '>' || coalesce(CAST(CAST(now AS DECIMAL(18,2)) AS VARCHAR), '-'), ';' ORDER BY m) FILTER (differs) FROM d GROUP BY k HAVING count(*) FILTER (differs) > 0
+""")
+def removal_rule(t: Tables) -> DataFrame:
+    """A catalog diff with details by member, in which what is printed elsewhere isn't removed."""
+    def year(y: int, skipped: int) -> DataFrame:
+        z = F.when(F.col("o_orderkey") % skipped != 0, F.col("o_totalprice")).cast("decimal(18,4)")
+        return t.orders.where(C.in_year("o_orderdate", y)).groupBy("o_custkey", "o_orderpriority").agg(F.max(z).alias("z"))
+
+    known = t.customer.where("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("o_custkey"), (F.col("c_acctbal") >= 0).alias("is_active"))
+    printed = t.orders.where(F.col("o_orderdate") >= F.lit("2000-01-01").cast("timestamp_ntz")).select("o_custkey")
+    found = presence.diff_with_book(year(1996, 7), year(1997, 5), known, "o_custkey", "o_orderpriority", "z", printed, "100")
+    shown = lambda v: F.coalesce(v.cast("decimal(18,2)").cast("string"), F.lit("-"))
+    return found.withColumn("details", F.array_join(F.transform("details", lambda d: F.concat(d["member"], F.lit(":"), shown(d["was"]), F.lit(">"), shown(d["now"]))), ";"))
+
+
 @query("""
 WITH s AS (SELECT c_custkey, c_nationkey, CAST(c_acctbal AS DECIMAL(12,2)) AS b, c_mktsegment IN ('BUILDING', 'MACHINERY') AS stated FROM customer)
 SELECT c_nationkey, c_custkey, CASE WHEN b >= 6000 AND c_custkey % 10 >= 3 THEN 'safe' ELSE 'consider' END AS bucket,

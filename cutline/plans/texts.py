@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cutline.functions import columns as C
-from cutline.operators import ingest, joins, matching, retrieval, vectors, windows
+from cutline.operators import fulltext, ingest, joins, matching, presence, retrieval, vectors, windows
 from cutline.streaming import admission
 
 from .registry import Tables, query
@@ -62,6 +62,30 @@ def rrf_hybrid(t: Tables) -> DataFrame:
     return retrieval.fuse(v, k, "id").select("id", F.col("place").cast("long").alias("place"))
 
 
+def _asked(t: Tables) -> DataFrame:
+    """Every document whose id is divisible by 20 asks for its first words."""
+    first = F.array_join(F.slice(F.split("text", r"\s+"), 1, 4), " ")
+    return t.documents.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), first.alias("said"))
+
+
+@query()
+def fulltext_ranked(t: Tables) -> DataFrame:
+    """2.9-18: stemmed words in stored postings, ranked by how close they stand, for all documents; held against a plain version in the tests."""
+    postings = fulltext.build_postings(t.documents.select("doc_id", "text"), "doc_id", [("text", "D")])
+    found = fulltext.search(postings, _asked(t), "query_id", "said", 10)
+    return found.select("query_id", "doc_id", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query()
+def hybrid_retrieval(t: Tables) -> DataFrame:
+    """For each id divisible by 20 the vectors near its own and the texts that hold its first words, fused by reciprocal rank."""
+    postings = fulltext.build_postings(t.documents.select(F.col("doc_id").alias("id"), "text"), "id", [("text", "D")])
+    words = fulltext.search(postings, _asked(t), "query_id", "said", 20)
+    q = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    near = vectors.search(vectors.build_index(t.embeddings.select(F.col("vec_id").alias("id"), "embedding"), "id"), q, 20)
+    return retrieval.fuse_each(near, words, "query_id", "id").select("query_id", "id", F.round("rrf", 9).alias("rrf"), F.col("place").cast("long").alias("place"))
+
+
 @query()
 def chunk_markdown(t: Tables) -> DataFrame:
     """Sections packed by paragraph; line feeds stand for paragraphs here. Checked against a plain version in the tests."""
@@ -147,6 +171,46 @@ def presence_check(t: Tables) -> DataFrame:
     return matching.present_in(brands, "code", "code", _BODY).select("p_brand", "present")
 
 
+_NORMAL = r"trim(regexp_replace(replace(regexp_replace(upper(replace({}, 'ß', 'ss')), '[#*]', ' ', 'g'), '&', ' AND '), '\s+', ' ', 'g'))"
+_BARE = r"trim(regexp_replace(regexp_replace({}, '\([^()]*\)', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+def _book(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Items of the benchmark as entries, their first word as code and three more as name, and all documents as pages."""
+    words = F.split("text", " ")
+    entries = t.benchmark.select("item_id", F.get(words, F.lit(0)).alias("code"), F.array_join(F.slice(words, 2, 3), " ").alias("name"))
+    return t.documents.select(F.replace("text", F.lit("ß"), F.lit("ss")).alias("text")), entries
+
+
+@query(rf"""
+WITH pages AS (SELECT DISTINCT {_NORMAL.format("text")} AS f, {_NORMAL.format("reverse(text)")} AS b FROM documents WHERE text IS NOT NULL),
+sides AS (SELECT f AS x, {_BARE.format("f")} AS bare FROM pages UNION ALL SELECT b, {_BARE.format("b")} FROM pages),
+e AS (SELECT item_id, upper(string_split(text, ' ')[1]) AS code, {_BARE.format(_NORMAL.format("array_to_string(string_split(text, ' ')[2:4], ' ')"))} AS name FROM benchmark)
+SELECT item_id, EXISTS (SELECT 1 FROM sides WHERE length(name) >= 4 AND contains(bare, name))
+  OR EXISTS (SELECT 1 FROM sides WHERE contains(x, code) AND regexp_matches(x, '(^|[^A-Z0-9])' || regexp_escape(code) || '($|[^A-Z0-9])')) AS present FROM e
+""")
+def book_presence(t: Tables) -> DataFrame:
+    """Which codes and names stand anywhere in all pages, forward or reversed, by one automaton."""
+    pages, entries = _book(t)
+    return joins.exists_flag(entries.select("item_id"), presence.find_present(pages, "text", entries, "item_id", "code", "name"), ["item_id"], "present")
+
+
+_SPEND = "1 + event_id % 5"
+
+
+@query(f"""
+WITH RECURSIVE h AS (SELECT event_id, CAST(ts AS DATE) AS day, {_SPEND} AS n, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) AS i FROM events),
+s AS (
+  SELECT event_id, day, i, n <= 200 AS allowed, CASE WHEN n <= 200 THEN n ELSE 0 END AS spent FROM h WHERE i = 1
+  UNION ALL SELECT h.event_id, h.day, h.i, spent + n <= 200, CASE WHEN spent + n <= 200 THEN spent + n ELSE spent END FROM s JOIN h ON h.day = s.day AND h.i = s.i + 1
+)
+SELECT event_id, allowed FROM s
+""")
+def budget_spends(t: Tables) -> DataFrame:
+    """Spends of several from a daily budget, all or nothing, in order."""
+    return admission.spend(t.events.withColumn("n", F.expr(_SPEND)), "ts", "event_id", "n", 200)
+
+
 @query("""
 WITH d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents),
 b AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark)
@@ -224,7 +288,16 @@ def trust_ranked(t: Tables) -> DataFrame:
     return found.select("page_id", C.host(F.col("url")).alias("host"), "score")
 
 
-@query()
+@query("""
+WITH RECURSIVE h AS (SELECT event_id, CAST(user_id AS VARCHAR) AS key, epoch_us(ts) / 1000000 AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS i FROM events),
+s AS (
+  SELECT event_id, key, i, [t] AS times, true AS admitted, 0.0::DOUBLE AS retry_after FROM h WHERE i = 1
+  UNION ALL
+  SELECT event_id, key, i, CASE WHEN len(held) < 3 THEN list_append(held, t) ELSE held END, len(held) < 3, CASE WHEN len(held) < 3 THEN 0.0 ELSE 43200.0 - (t - held[1]) END
+  FROM (SELECT h.event_id, h.key, h.i, h.t, list_filter(s.times, lambda x: h.t - x < 43200.0) AS held FROM s JOIN h ON h.key = s.key AND h.i = s.i + 1)
+)
+SELECT event_id, key, admitted, retry_after FROM s
+""")
 def sliding_admission(t: Tables) -> DataFrame:
     """Hits of each user admitted by a sliding window whose own decisions count; checked by a replay in the tests."""
     hits = t.events.select("event_id", F.col("user_id").cast("string").alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))

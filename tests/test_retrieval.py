@@ -1,12 +1,15 @@
 """Neighbours, full-text search and presence against plain versions."""
 
+import math
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cutline.operators import joins, vectors
+from cutline.functions.stem import stem
+from cutline.operators import fulltext, joins, presence, vectors
 
 SCHEMA = "chunk_id long, label string, embedding array<float>"
 
@@ -79,3 +82,115 @@ def test_words_held(spark):
     texts, items = some(30, 7) + [None, []], [sorted(set(w)) for w in some(80, 4)]
     got = joins.words_held(spark.createDataFrame(list(enumerate(items)), "k int, w array<string>"), "k", "w", spark.createDataFrame([(t,) for t in texts], "t array<string>"), "t").collect()
     assert {r.k: r.subset for r in got} == {i: any(set(w) <= set(t or []) for t in texts) for i, w in enumerate(items)}
+
+
+PAIRS = """consign consign consigned consign consigning consign consignment consign consist consist consistency consist consolatory consolatori knightly knight knots knot kneeling kneel
+generate generat generously generous general general generation generat communication communic arsenic arsenic dying die skies sky cries cri ties tie gas gas gaps gap kiwis kiwi hopping hop hoping hope
+luxuriated luxuri national nation relational relat rational ration conditional condit valency valenc digitizer digit operator oper feudalism feudal hopefulness hope formality formal sensitivity sensit
+sensibility sensibl triplicate triplic electrical electr goodness good revival reviv allowance allow adjustment adjust adoption adopt probate probat rate rate cease ceas controlling control rolling roll
+happy happi by by say say cry cri enjoy enjoy inning inning proceed proceed succeeded succeed only onli agreed agre feed feed plastered plaster motoring motor sing sing conflated conflat troubled troubl
+sized size falling fall hissing hiss failing fail filing file archaeology archaeolog quickly quick daily daili news news bias bias youth youth yellow yellow apology apolog caresses caress ponies poni"""
+
+
+def test_stems():
+    words = PAIRS.split()
+    assert [stem(w) for w in words[::2]] == words[1::2]
+    assert stem("") == "" and stem("é") == "é" and stem("2024") == "2024"
+
+
+def plain_search(docs, queries, k):
+    def lexemes(text):
+        return [(i, stem(w)) for i, w in enumerate(re.findall(r"[^\W_]+", (text or "").lower()), 1) if w not in fulltext.STOP_WORDS]
+
+    out = []
+    for q, text in queries:
+        terms = sorted({t for _, t in lexemes(text)})
+        scored = []
+        for key, head, body in docs:
+            first = lexemes(head)
+            base = max((i for i, _ in first), default=0)
+            said = [(i, t, 1.0) for i, t in first] + [(base + i, t, np.float32(0.1)) for i, t in lexemes(body)]
+            at = [[(i, w) for i, t, w in said if t == term] for term in terms]
+            if not terms or key is None or not all(at):
+                continue
+            if len(terms) == 1:
+                top = max(range(len(at[0])), key=lambda n: (at[0][n][1], -n))
+                score = (at[0][top][1] + sum(w / (n + 1) ** 2 for n, (_, w) in enumerate(at[0]) if n != top)) / (math.pi**2 / 6)
+            else:
+                left = 1.0
+                for a in range(len(terms)):
+                    for b in range(a):
+                        for i, v in at[a]:
+                            for j, w in at[b]:
+                                d = abs(i - j)
+                                left *= 1 - math.sqrt(v * w * (1e-30 if d > 100 else 1 / (1.005 + 0.05 * math.exp(d / 1.5 - 2))))
+                score = 1 - left
+            scored.append((-round(score, 7), key))
+        out += [(q, key, pytest.approx(-s, abs=2e-7), rank) for rank, (s, key) in enumerate(sorted(scored)[:k], 1)]
+    return out
+
+
+def test_fulltext(spark):
+    rng = random.Random(4)
+    words = "run running runner the of generally generation knights knot hoping hops 2024 Été x y z apology".split()
+    docs = [(i, " ".join(rng.choices(words, k=rng.randint(0, 3))), " ".join(rng.choices(words, k=rng.randint(0, 40)))) for i in range(60)]
+    docs += [(100, None, None), (101, "", "filler " * 150 + "knight apology " + "filler " * 300 + "run"), (None, "knight", "run"), (102, "Knights", "runs"), (103, "Knights", "runs")]
+    queries = [(1, "running knights"), (2, "knots"), (3, "the of"), (4, None), (5, "nowhere knight"), (6, "hope, hope! generation 2024"), (7, "ÉTÉ"), (8, "apologies run knight")]
+    table = spark.createDataFrame(docs, "doc_id long, head string, body string").withColumns({"term": F.lit("t"), "n": F.lit(1), "places": F.lit(2)}).repartition(4)
+    postings = fulltext.build_postings(table, "doc_id", [("head", "A"), ("body", "D")])
+    asked = spark.createDataFrame(queries, "query_id long, said string")
+    got = fulltext.search(postings, asked, "query_id", "said", 70).orderBy("query_id", "rank").collect()
+    assert len(got) > 60
+    expected = plain_search(docs, queries, 70)
+    assert [(r.query_id, r["rank"]) for r in got] == [(q, rank) for q, _, _, rank in expected]
+    assert sorted((r.query_id, r.doc_id) for r in got) == sorted((q, key) for q, key, _, _ in expected)
+    assert [r.score for r in got] == [s for _, _, s, _ in expected]
+    assert fulltext.search(fulltext.build_postings(table.limit(0), "doc_id", [("head", "A")]), asked, "query_id", "said", 3).count() == 0
+    assert fulltext.search(postings, asked.limit(0), "query_id", "said", 3).count() == 0
+
+
+def plain_present(pages, entries):
+    norm = lambda s: re.sub(r"\s+", " ", re.sub("[#*]", " ", s.upper()).replace("&", " AND ")).strip()
+    bare = lambda s: re.sub(r"\s+", " ", re.sub(r"\([^()]*\)", " ", s)).strip()
+    sides = [norm(x) for p in pages for x in (p or "", (p or "")[::-1])]
+    out = set()
+    for key, code, name in entries:
+        base = name or ""
+        if base.endswith(")"):
+            depth = 0
+            for i in range(len(base) - 1, -1, -1):
+                depth += (base[i] == ")") - (base[i] == "(")
+                if depth == 0:
+                    base = base[:i]
+                    break
+        phrase, code = bare(norm(base)), (code or "").strip().upper()
+        if len(phrase) >= 4 and any(phrase in bare(s) for s in sides) or code and any(re.search(rf"(?<![A-Z0-9]){re.escape(code)}(?![A-Z0-9])", s) for s in sides):
+            out.add(key)
+    return out
+
+
+@pytest.mark.parametrize("n", [50_000, 3])
+def test_presence_by_automaton(spark, monkeypatch, n):
+    monkeypatch.setattr(presence, "BLOCK_ENTRIES", n)
+    monkeypatch.setattr(presence, "BLOCK_PAGES", n)
+    rng = random.Random(6)
+    codes = [f"{i:03}{'ABC'[i % 3]}" for i in range(60)]
+    pages = [" ".join(rng.choice([*codes, "arts", "(TV)", "law", "x001A", "é012A", "management *studies", "R&D"]) for _ in range(12)) for _ in range(9)]
+    pages += ["management studies (TV) - b and more"[::-1], "020C"[::-1] + " mirrored", None, "", "Ab" * 4000]
+    entries = [(i, c, f"name {i}") for i, c in enumerate(codes)]
+    entries += [(100, None, "Management Studies (TV) - B"), (101, "", "Arts law (Univ. of (North))"), (102, " 020c ", None), (103, "zz9", "TV"), (104, "none", "R & D"), (105, "none", "not there"), (105, "none", "law"), (106, "ABAB", "never"), (None, "001B", "law")]
+    found = presence.find_present(spark.createDataFrame([(p,) for p in pages], "text string").repartition(3), "text", spark.createDataFrame(entries, "k int, code string, name string"), "k", "code", "name")
+    got = [r.k for r in found.collect()]
+    assert set(got) == plain_present(pages, [e for e in entries if e[0] is not None]) and len(got) == len(set(got))
+    assert 100 in got and 106 not in got and 0 < len(got) < 70
+
+
+def test_what_is_printed_elsewhere_is_not_removed(spark):
+    active = spark.createDataFrame([("A", True), ("B", True), ("C", False), ("D", True)], "code string, is_active boolean")
+    old = spark.createDataFrame([("A", "d1", 1.0), ("A", "d2", 2.0), ("A", "d3", None), ("B", "d1", 1.0), ("D", "d1", 1.0)], "code string, district string, z double")
+    new = spark.createDataFrame([("A", "d1", 1.00005), ("A", "d2", None), ("A", "d3", 3.0), ("C", "d1", 2.0), ("E", "d1", 1.0), ("E", "d2", None)], "code string, district string, z double")
+    printed = spark.createDataFrame([("B",)], "code string")
+    got = {r.code: r for r in presence.diff_with_book(old, new, active, "code", "district", "z", printed).collect()}
+    assert {k: r.kind for k, r in got.items()} == {"A": "changed", "D": "removed", "E": "added"} and got["E"].n_members == 1
+    assert [(d.member, d.was, d.now) for d in got["A"].details] == [("d2", 2.0, None), ("d3", None, 3.0)] or got["A"].n_changed == 3
+    assert {r.code for r in presence.diff_with_book(old, new, active, "code", "district", "z").where("kind = 'removed'").collect()} == {"B", "D"}

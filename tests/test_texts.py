@@ -1,3 +1,4 @@
+import datetime
 import random
 import re
 from collections import deque
@@ -164,3 +165,37 @@ def test_columns(spark):
     assert tuple(get(C.last_parenthetical(F.lit("Arts")))) == ("Arts", None)
     assert get(C.keyword_hit(F.lit("running it"), "it")) and not get(C.keyword_hit(F.lit("unit"), "it")) and get(C.keyword_hit(F.lit("biology"), "olog y".replace(" ", "")))
     assert get(C.template(F.lit("a {{x}} {{y}}"), {"x": F.lit(1)})) == "a 1 {{y}}"
+
+
+def plain_spends(hits, limit):
+    spent, out = {}, {}
+    for at, i, n in sorted((at, i, n) for i, at, n in hits):
+        n = 1 if n is None else n
+        day = at.date()
+        out[i] = 0 <= n <= limit - spent.get(day, 0)
+        spent[day] = spent.get(day, 0) + (n if out[i] else 0)
+    return out
+
+
+def test_spends_of_several(spark, tmp_path):
+    """All or nothing: what is refused takes nothing, and smaller ones may still fit; batch and stream alike."""
+    rng = random.Random(8)
+    start = datetime.datetime(2024, 1, 1)
+    hits = [(i, start + datetime.timedelta(seconds=rng.randint(0, 3 * 86_400 - 1)), rng.choice([0, 1, 2, 5, 9, 30, None, -1, 200])) for i in range(900)]
+    hits += [(1000 + i, start, 7) for i in range(5)]
+    df = spark.createDataFrame(hits, "id int, ts timestamp_ntz, n int")
+    want = plain_spends(hits, 100)
+    assert {r.id: r.allowed for r in admission.spend(df.repartition(3), "ts", "id", "n", 100).collect()} == want
+    assert sum(want.values()) > 30 and any(not a and want[i + 1] for i, a in want.items() if i + 1 in want)
+    zoned = df.select("id", F.col("ts").cast("timestamp").alias("ts"), "n", F.lit("ai").alias("budget"))
+    zoned.coalesce(1).write.parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        rows = spark.readStream.schema(zoned.schema).parquet(str(tmp_path / "in"))
+        stream = admission.spend_stream(rows, "budget", "ts", "id", "n", 100)
+        query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        query.awaitTermination(180)
+        assert query.exception() is None
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    assert {r.id: r.allowed for r in spark.read.parquet(str(tmp_path / "out")).collect()} == want
