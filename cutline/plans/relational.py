@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from decimal import Decimal
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cutline.functions import columns as C
-from cutline.operators import joins, reshape, windows
+from cutline.operators import grid, joins, reshape, windows
 
 from .registry import Tables, query
 
@@ -395,10 +396,11 @@ p AS (SELECT o_orderkey, target, abs(x.at - c.at) AS d, row_number() OVER (PARTI
 SELECT o_orderkey, CASE WHEN d <= 4.5 THEN target END AS nearest FROM p WHERE n = 1
 """)
 def nearest_tolerance(t: Tables) -> DataFrame:
-    """Each item's nearest target within a distance, ties to the lower one, found without pairs."""
-    x = t.orders.select("o_orderkey", F.lit(1).alias("g"), F.pmod("o_orderkey", F.lit(64)).alias("salt"), F.dayofmonth("o_orderdate").cast("double").alias("at"))
-    c = t.spark.createDataFrame([(1, 1, 5.0), (1, 2, 15.0), (1, 3, 25.0)], "g int, target int, spot double").crossJoin(t.spark.range(64).select(F.col("id").alias("salt")))
-    return joins.nearest_row(x, c, ["g", "salt"], "at", "spot", "target", 4.5).select("o_orderkey", "nearest")
+    """Each item's nearest target within a distance, ties to the lower one, the few targets being one array beside each row."""
+    targets = F.array(*(F.struct(F.lit(k).alias("target"), F.lit(x).alias("spot")) for k, x in ((1, 5.0), (2, 15.0), (3, 25.0))))
+    at = F.dayofmonth("o_orderdate").cast("double")
+    best = F.array_min(F.transform(targets, lambda x: F.struct(F.abs(x["spot"] - at).alias("d"), x["target"].alias("target"))))
+    return t.orders.select("o_orderkey", F.when(best["d"] <= 4.5, best["target"]).alias("nearest"))
 
 
 @query("""
@@ -408,10 +410,22 @@ SELECT o_orderkey, band FROM (SELECT o_orderkey, band, row_number() OVER (PARTIT
 """)
 def nearest_band(t: Tables) -> DataFrame:
     """The band of least distance, ties to the first; the few bands are one array beside each row."""
-    bands = F.array(*(F.struct(F.lit(b).alias("band"), F.lit(lo).alias("low"), F.lit(hi).alias("high")) for b, lo, hi in ((1, 1.0, 8.0), (2, 12.0, 18.0), (3, 24.0, 31.0))))
     at = F.dayofmonth("o_orderdate").cast("double")
-    distances = F.transform(bands, lambda b: F.struct(F.greatest(b["low"] - at, at - b["high"], F.lit(0.0)).alias("d"), b["band"].alias("band")))
-    return t.orders.select("o_orderkey", F.array_min(distances)["band"].alias("band"))
+    return t.orders.select("o_orderkey", _least_band(lambda b: F.greatest(b["low"] - at, at - b["high"], F.lit(0.0))).alias("band"))
+
+
+def _least_band(cost: Callable[[Column], Column]) -> Column:
+    bands = F.array(*(F.struct(F.lit(b).alias("band"), F.lit(lo).alias("low"), F.lit(hi).alias("high")) for b, lo, hi in ((1, 1.0, 8.0), (2, 12.0, 18.0), (3, 24.0, 31.0))))
+    return F.array_min(F.transform(bands, lambda b: F.struct(cost(b).alias("d"), b["band"].alias("band"))))["band"]
+
+
+@query("""
+WITH b AS (SELECT * FROM (VALUES (1, 1.0), (2, 12.0), (3, 24.0)) v(band, low)), x AS (SELECT o_orderkey, day(o_orderdate) + 0.0 AS spot FROM orders)
+SELECT o_orderkey, band FROM (SELECT o_orderkey, band, row_number() OVER (PARTITION BY o_orderkey ORDER BY CASE WHEN low >= spot THEN low - spot ELSE (spot - low) * 10 END, band) AS n FROM x, b) WHERE n = 1
+""")
+def penalised_band(t: Tables) -> DataFrame:
+    """The band that a label before it belongs to: overshooting a band's edge costs ten times the gap to it."""
+    return t.orders.select("o_orderkey", _least_band(lambda b: grid.label_band(F.dayofmonth("o_orderdate").cast("double"), b["low"])).alias("band"))
 
 
 @query("""

@@ -109,3 +109,52 @@ def test_pages(spark):
     assert [r.page for r in readers.grid_pages(df, ["district0", "district1"], least_glyphs=20, least_names=2, least_values=3).collect()] == [1]
     assert readers.rotated(df).count() == len(rows)
     assert df.select(F.max("page")).first()[0] == 2
+
+
+def two_grids(page=7):
+    """Glyphs of a page with two grids side by side: mirrored labels of two lines before each, one of them long enough to pass the middle between the grids, and headers of codes."""
+    out = []
+
+    def upright(y, right, text):
+        for i, ch in enumerate(text):  # mirrored: the first letter stands rightmost
+            x = right - 4.0 * (i + 1)
+            out.append((page, ch, x, x + 4.0, y, True, x))
+
+    for low in (300.0, 800.0):
+        for r in range(12):
+            for c in range(16):
+                for i, ch in enumerate(f"1.{(r * 16 + c):04d}"):
+                    out.append((page, ch, low + 12 * r, low + 12 * r + 5, 900.0 - 50 * c - 5 * i, False, 1.0))
+        for c in range(16):
+            for i, ch in enumerate(f"{c + int(low) // 100 * 10:03d}{'AB'[c % 2]}"):
+                out.append((page, ch, low - 30, low - 25, 900.0 - 50 * c - 5 * i, False, 1.0))
+    labels = {}
+    for g, low in ((1, 300.0), (2, 800.0)):
+        for c in range(3):
+            y = 100.0 + 50 * c
+            upright(y, low - 60, f"(University {g}{c})")
+            upright(y + 7, low - 60, f"COURSE OF THE GRID {g}{c}" if c else "ARTS " + "VERY LONG LABEL " * (5 if g == 2 else 1) + f"{g}")
+            labels[g, y + 3.5] = (f"COURSE OF THE GRID {g}{c}" if c else "ARTS " + "VERY LONG LABEL " * (5 if g == 2 else 1) + f"{g}") + f" (University {g}{c})"
+    upright(400.0, 240.0, "District")
+    upright(450.0, 240.0, "abc")
+    return out, {k: v for k, v in labels.items() if not v.startswith("COURSE")}, labels
+
+
+def test_labels_and_codes_of_two_grids(spark):
+    rows, kept, labels = two_grids()
+    df = spark.createDataFrame(rows, readers.GLYPHS).repartition(3)
+    lines = grid.upright_lines(df)
+    found = grid.split_grids(grid.cells(df, gap=10.0))
+    of = grid.bands(found)
+    assert sorted((r.grid, r.low, r.high) for r in of.collect()) == [(1, 300.0, 432.0), (2, 800.0, 932.0)]
+    got = {(r.grid, r["at"]): r.label for r in grid.label_blocks(lines, of).collect()}
+    assert got == kept and len(got) == 2
+    # by the distance of centres the long label of the second grid would go to the first
+    long = next(r for r in lines.collect() if r.text.startswith("ARTS VERY LONG LABEL VERY"))
+    assert abs((long.x0 + long.x1) / 2 - 366) < abs((long.x0 + long.x1) / 2 - 866)
+    codes = {(r.grid, r.nth): (r.code, r["at"]) for r in grid.code_header(df, of).collect()}
+    assert len(codes) == 32
+    for g, base in ((1, 30), (2, 80)):
+        assert [codes[g, n][0] for n in range(1, 17)] == [f"{c + base:03d}{'AB'[c % 2]}" for c in range(15, -1, -1)]
+    assert codes[1, 16][1] == 900.0 - 7.5
+    assert grid.code_header(df, of, least=17).count() == 0 and grid.label_blocks(lines.limit(0), of).count() == 0
