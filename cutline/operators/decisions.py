@@ -193,3 +193,27 @@ def recommend(judged: DataFrame, dimensions: Sequence[Dimension], config: Scorin
     return ranked(rows, by, preference, "total", cutoff, key)
 
 
+
+
+def recommend_profiles(judged: DataFrame, profile: str, dimensions: Sequence[Dimension], config: Scoring, preference: Column, cutoff: str, key: str, most: int = 50) -> DataFrame:
+    """Recommendations of many profiles in one plan: profile, mode, place, key, total, bucket, breakdown, n_all.
+
+    judged: a row for each profile and candidate with passes, status and margin. A profile with a preference gets its list
+    by score, another one by cutoff, the highest first; the first ``most`` stay, n_all counts all of a profile's.
+    """
+    rows = judged.where("passes AND status <> 'near_miss'").withColumns({name: build() for name, build in dimensions})
+    rows = rows.withColumns({"total": weighted_total(config), "breakdown": breakdown(config), "mode": F.when(preference, "preference").otherwise("normal")})
+    rows = rows.withColumn("bucket", bucket(F.col("total"), F.col("margin"), config))
+    placed = ranked(rows, [profile], F.col("mode") == "preference", "total", cutoff, key).where(F.col("place") <= most)
+    counts = rows.groupBy(profile).agg(F.count("*").alias("n_all"))
+    return placed.join(counts, profile).select(profile, "mode", "place", key, cutoff, "total", "bucket", "breakdown", "n_all")
+
+
+def also_offered(offered: DataFrame, usable: DataFrame, on: Sequence[str], profile: str, key: str, most: int = 50) -> DataFrame:
+    """Candidates that a profile may take but that have no usable value: profile, place (by key), key, n_all; the first ``most``.
+
+    offered: profile and ``on``, once each; usable: ``on`` of the candidates with a value of their own or an override.
+    """
+    rest = offered.join(usable.select(*on).distinct(), list(on), "left_anti")
+    first = rest.withColumn("place", F.row_number().over(Window.partitionBy(profile).orderBy(key))).where(F.col("place") <= most)
+    return first.join(rest.groupBy(profile).agg(F.count("*").alias("n_all")), profile).select(profile, "place", key, "n_all")

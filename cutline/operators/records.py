@@ -107,6 +107,34 @@ def promote_checklist(facts: DataFrame, value: str, year: str, added: DataFrame,
     return one.crossJoin(added.agg(F.count("*").alias("n_added"), F.count_if(ready).alias("n_ready")))  # one row each
 
 
+def first_keys(keys: DataFrame, key: str, most: int, name: str) -> DataFrame:
+    """One row: the first ``most`` keys in order, as an array."""
+    return keys.orderBy(key).limit(most).agg(F.array_sort(F.collect_list(key)).alias(name))
+
+
+def promote_card(year: int, active: DataFrame, key: str, facts: DataFrame, overrides: DataFrame, codeless: DataFrame, added: DataFrame, onboarded: Column, most: int = 15) -> DataFrame:
+    """What is to be looked at once a year is promoted, as one row.
+
+    active: the keys that should have a fact; facts: year and key; overrides, codeless: year; added: the run's new keys,
+    of which ``onboarded`` says whether all is there. Gaps are active keys without a fact of the year; of them and of
+    the new keys that are pending the first ``most`` are listed. A year without any fact is nobody's default.
+    """
+    gaps = active.select(key).distinct().join(facts.where(F.col("year") == year).select(key), key, "left_anti")
+    pending = added.where(~F.coalesce(onboarded, F.lit(False)))
+    of_year = lambda df, name: df.where(F.col("year") == year).agg(F.count("*").alias(name))
+    row = facts.agg(F.max("year").alias("students_now_see"))
+    for part in (
+        gaps.agg(F.count("*").alias("coverage_gap_count")), first_keys(gaps, key, most, "coverage_gaps"), of_year(overrides, "stream_override_rows"), of_year(codeless, "codeless_rows"),
+        added.agg(F.count("*").alias("new_total")), pending.agg(F.count("*").alias("new_pending_count")), first_keys(pending, key, most, "new_pending"),
+    ):
+        row = row.crossJoin(part)  # one row each
+    default = F.coalesce(F.col("students_now_see") == year, F.lit(False))
+    return row.select(
+        F.lit(year).alias("promoted_year"), "students_now_see", default.alias("is_default_year"), "coverage_gap_count", "coverage_gaps", "stream_override_rows", "codeless_rows",
+        "new_total", (F.col("new_total") - F.col("new_pending_count")).alias("new_onboarded"), "new_pending",
+    )
+
+
 def tab_groups(rows: DataFrame, by: Sequence[str], bucket: str, tabs: Sequence[str]) -> DataFrame:
     """How many rows of each group go to each tab, and the first tab in order that has any."""
     counts = rows.groupBy(*by).agg(*(F.count_if(F.col(bucket) == t).alias(f"n_{t}") for t in tabs))

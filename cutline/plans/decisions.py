@@ -24,14 +24,19 @@ cand AS (SELECT o_orderkey, o_orderpriority, year(o_orderdate) AS y, c_nationkey
 """
 
 
-def _candidates(t: Tables, year: int | None = None, nation: int | None = None) -> DataFrame:
-    """Orders with an open line and their thresholds; the lines, read once, are cut to the orders of the year and nation first."""
+def _candidates(t: Tables, year: int | None = None, nation: int | None = None, among: DataFrame | None = None) -> DataFrame:
+    """Orders with an open line and their thresholds; the lines, read once, are cut to the orders of the year and nation first.
+
+    ``among``: years and nations (y, c_nationkey) that are asked for.
+    """
     orders = t.orders if year is None else t.orders.where(f"o_orderdate >= DATE '{year}-01-01' AND o_orderdate < DATE '{year + 1}-01-01'")
     places = t.customer if nation is None else t.customer.where(F.col("c_nationkey") == nation)
     facts = orders.select("o_orderkey", "o_custkey", "o_orderpriority", F.year("o_orderdate").alias("y"), F.col("o_totalprice").cast("decimal(12,2)").alias("base"))
     facts = facts.join(places.select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
+    if among is not None:
+        facts = facts.join(among.select("y", "c_nationkey").distinct(), ["y", "c_nationkey"], "left_semi")
     lines = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), F.when(F.col("l_returnflag") == "A", F.col("l_extendedprice").cast("decimal(12,2)")).alias("z"), (F.col("l_linestatus") == "O").alias("open"))
-    if year is not None or nation is not None:
+    if year is not None or nation is not None or among is not None:
         lines = lines.join(facts.select("o_orderkey"), "o_orderkey", "left_semi")
     flagged = lines.groupBy("o_orderkey").agg(F.max("z").alias("z"), F.bool_or("open").alias("open")).where("open").drop("open")
     return facts.join(flagged, "o_orderkey").withColumn("cutoff", F.coalesce("z", "base")).drop("base", "z")
@@ -72,7 +77,8 @@ def elig_profiles_batch(t: Tables) -> DataFrame:
     """D01 in batch, F11, F12, A13: many profiles, each with its year, its counts and a gate."""
     facts = t.orders.select(F.year("o_orderdate").alias("y"))
     profiles = D.effective_period(_profiles(t), facts, "wanted", "y")
-    rows = profiles.join(_candidates(t), (F.col("place") == F.col("c_nationkey")) & (F.col("used_period") == F.col("y")))
+    asked = profiles.select(F.col("used_period").alias("y"), F.col("place").alias("c_nationkey"))
+    rows = profiles.join(_candidates(t, among=asked), (F.col("place") == F.col("c_nationkey")) & (F.col("used_period") == F.col("y")))
     judged = D.decide(rows, "z", "cutoff", 40000, 15000, F.col("o_orderpriority") == "1-URGENT", F.col("o_orderkey") % 7 != 0)
     return D.decision_counts(judged.withColumn("used_period", F.col("used_period").cast("long")), ["profile_id", "used_period", "tier"])
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cutline.functions import columns as C
 from cutline.operators import decisions as D
-from cutline.operators import grid, ingest, joins, records
+from cutline.operators import grid, ingest, joins, records, vectors
 from cutline.sources import writers
 
 from .decisions import _CANDIDATES, _candidates
@@ -276,6 +276,79 @@ def recommendation(t: Tables) -> DataFrame:
     )
 
 
+_ASKING = [(1, 60000, 3, 1998, None, None), (2, 90000, 5, 1997, [5, 7], None), (3, 120000, 11, 1998, None, 20), (4, 80000, 3, 1996, [3], 40), (5, 100, 3, 1996, [], None)]
+_NONE = "NULL"
+_ASKING_SQL = ", ".join(f"({i}, {z}, {n}, {y}, {_NONE if p is None else f'{p}::INT[]'}, {v or _NONE})" for i, z, n, y, p, v in _ASKING)
+_COSINE = "list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) / sqrt(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) * list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])))"
+
+
+@query(f"""
+WITH p AS (SELECT * FROM (VALUES {_ASKING_SQL}) v(profile_id, z, place, y, preferred, vec)),
+ov AS (SELECT l_orderkey, max(CAST(l_extendedprice AS DECIMAL(12,2))) AS z FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1),
+c AS (SELECT o_orderkey, year(o_orderdate) AS y, c_nationkey, o_custkey % 25 AS uni, coalesce(ov.z, CASE WHEN o_orderkey % 9 <> 0 THEN CAST(o_totalprice AS DECIMAL(12,2)) END) AS cutoff
+  FROM orders JOIN customer ON c_custkey = o_custkey LEFT JOIN ov ON l_orderkey = o_orderkey WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o_orderkey AND l.l_linestatus = 'O')),
+i AS (SELECT q.vec_id AS vec, e.label, max({_COSINE}) AS best FROM embeddings e, embeddings q WHERE q.vec_id IN (SELECT vec FROM p) GROUP BY 1, 2),
+j AS (SELECT profile_id, preferred, p.vec, o_orderkey, uni, CAST(cutoff AS DOUBLE) AS cutoff, CAST(p.z - cutoff AS DOUBLE) / 100000 AS margin FROM c JOIN p ON c.y = p.y AND c_nationkey = place WHERE cutoff <= p.z),
+s AS (SELECT j.*, (tanh(margin * 4) + 1) / 2 AS z_margin, CASE WHEN best IS NOT NULL THEN greatest(0.0, least(1.0, (best - 0.45) / (1 - 0.45))) END AS interest,
+  CASE WHEN len(preferred) > 0 THEN CASE WHEN list_contains(preferred, uni) THEN 1.0 WHEN n_regionkey = 1 THEN 0.5 ELSE 0.2 END END AS university,
+  CASE WHEN coalesce(len(preferred), 0) > 0 OR j.vec IS NOT NULL THEN 'preference' ELSE 'normal' END AS mode
+  FROM j JOIN nation ON n_nationkey = uni LEFT JOIN i ON i.vec = j.vec AND i.label = o_orderkey % 10),
+a AS (SELECT *, 0.4 + CASE WHEN interest IS NULL THEN 0 ELSE 0.35 END + CASE WHEN university IS NULL THEN 0 ELSE 0.25 END AS active FROM s),
+w AS (SELECT *, round_even(round_even(CAST(0.4 / active * z_margin AS DOUBLE), 4) + coalesce(round_even(CAST(0.35 / active * interest AS DOUBLE), 4), 0) + coalesce(round_even(CAST(0.25 / active * university AS DOUBLE), 4), 0), 4) AS total FROM a),
+r AS (SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY CASE WHEN mode = 'preference' THEN total ELSE cutoff END DESC, o_orderkey) AS place, count(*) OVER (PARTITION BY profile_id) AS n_all FROM w),
+o AS (SELECT profile_id, o_orderkey, row_number() OVER (PARTITION BY profile_id ORDER BY o_orderkey) AS place, count(*) OVER (PARTITION BY profile_id) AS n_all FROM c JOIN p ON c.y = p.y AND c_nationkey = p.place WHERE cutoff IS NULL)
+SELECT profile_id, 'recommended' AS kind, mode, place, o_orderkey, CAST(round(total * 10000) AS BIGINT) AS total, CASE WHEN total >= 0.6 AND margin >= 0.10 THEN 'safe' ELSE 'consider' END AS bucket, n_all FROM r WHERE place <= 50
+UNION ALL SELECT profile_id, 'also_offered', NULL, place, o_orderkey, NULL, NULL, n_all FROM o WHERE place <= 50
+""")
+def recommendations(t: Tables) -> DataFrame:
+    """Many profiles at once: interest from the nearest chunk of each group, lists by score or by cutoff, and what is offered without a cutoff."""
+    profiles = t.spark.createDataFrame(_ASKING, "profile_id int, z int, place int, y int, preferred array<int>, vec long")
+    asked = profiles.select("y", F.col("place").alias("c_nationkey"))
+    held = _candidates(t, among=asked).drop("cutoff")
+    facts = t.orders.select("o_orderkey", (F.col("o_custkey") % 25).cast("int").alias("uni"), F.when(F.col("o_orderkey") % 9 != 0, F.col("o_totalprice").cast("decimal(12,2)")).alias("base"))
+    over = t.lineitem.where("l_returnflag = 'A'").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_extendedprice").cast("decimal(12,2)").alias("o")).join(held.select("o_orderkey"), "o_orderkey", "left_semi").groupBy("o_orderkey").agg(F.max("o").alias("o"))
+    cand = joins.override_join(held.join(facts, "o_orderkey"), over, ["o_orderkey"], "base", "o", "cutoff")
+    rows = cand.join(profiles.withColumnRenamed("place", "c_nationkey"), ["y", "c_nationkey"])
+    interest = vectors.best_of_groups(t.embeddings.select(F.col("vec_id").alias("chunk_id"), "embedding", "label"), t.embeddings.join(profiles.select(F.col("vec").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), "embedding"), "label")
+    interest = interest.select(F.col("query_id").alias("vec"), F.col("label").cast("long").alias("topic"), "similarity")
+    rows = rows.withColumn("topic", F.col("o_orderkey") % 10).join(interest, ["vec", "topic"], "left").join(t.nation.select(F.col("n_nationkey").alias("uni"), "n_regionkey"), "uni")
+    margin = (F.col("z").cast("decimal(12,2)") - F.col("cutoff")).cast("double") / 100000
+    judged = rows.where("cutoff IS NOT NULL").withColumns({"margin": margin, "passes": F.lit(True), "status": F.when(margin < 0, "near_miss").otherwise("eligible")})
+    dimensions = [
+        ("z_margin", lambda: D.margin_score(F.col("margin"))),
+        ("interest", lambda: F.when(F.col("similarity").isNotNull(), D.similarity_score(F.col("similarity")))),
+        ("university", lambda: D.place_score(F.col("uni"), F.col("n_regionkey"), F.col("preferred"), F.lit(1))),
+    ]
+    stated = (F.coalesce(F.size("preferred"), F.lit(0)) > 0) | F.col("vec").isNotNull()
+    best = D.recommend_profiles(judged, "profile_id", dimensions, _CONFIG, stated, "cutoff", "o_orderkey")
+    also = D.also_offered(rows.select("profile_id", "o_orderkey"), rows.where("cutoff IS NOT NULL").select("o_orderkey"), ["o_orderkey"], "profile_id", "o_orderkey")
+    total = F.round(F.col("total") * 10000, 0).cast("long").alias("total")
+    first = best.select("profile_id", F.lit("recommended").alias("kind"), "mode", F.col("place").cast("long").alias("place"), "o_orderkey", total, "bucket", "n_all")
+    return first.unionByName(also.select("profile_id", F.lit("also_offered").alias("kind"), F.col("place").cast("long").alias("place"), "o_orderkey", "n_all"), allowMissingColumns=True)
+
+
+@query("""
+WITH gaps AS (SELECT c_custkey AS k FROM customer WHERE c_acctbal >= 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE year(o_orderdate) = 1998)),
+added AS (SELECT p_partkey AS k, p_retailprice > 1200 AND EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_linestatus = 'O') AND EXISTS (SELECT 1 FROM documents WHERE doc_id = p_partkey) AS ready FROM part WHERE p_size > 25)
+SELECT 1998 AS promoted_year, (SELECT max(year(o_orderdate)) FROM orders) AS students_now_see, (SELECT max(year(o_orderdate)) FROM orders) = 1998 AS is_default_year,
+  (SELECT count(*) FROM gaps) AS coverage_gap_count, (SELECT string_agg(k, ',' ORDER BY k) FROM (SELECT k FROM gaps ORDER BY k LIMIT 15)) AS coverage_gaps,
+  (SELECT count(*) FROM lineitem WHERE l_returnflag = 'A' AND year(l_shipdate) = 1998) AS stream_override_rows, (SELECT count(*) FROM orders WHERE o_orderstatus = 'P' AND year(o_orderdate) = 1998) AS codeless_rows,
+  (SELECT count(*) FROM added) AS new_total, (SELECT count(*) FROM added WHERE ready) AS new_onboarded, (SELECT string_agg(k, ',' ORDER BY k) FROM (SELECT k FROM added WHERE NOT ready ORDER BY k LIMIT 15)) AS new_pending
+""")
+def promoted_year(t: Tables) -> DataFrame:
+    """The card of a promoted year: default or not, missing keys, overrides, codeless rows, and which new keys are ready."""
+    active = t.customer.where("c_acctbal >= 0").select(F.col("c_custkey").alias("k"))
+    facts = t.orders.select(F.year("o_orderdate").alias("year"), F.col("o_custkey").alias("k"))
+    overrides = t.lineitem.where(C.in_year("l_shipdate", 1998) & (F.col("l_returnflag") == "A")).select(F.lit(1998).alias("year"))
+    codeless = t.orders.where("o_orderstatus = 'P'").select(F.year("o_orderdate").alias("year"))
+    added = t.part.where("p_size > 25").select(F.col("p_partkey").alias("k"), (F.col("p_retailprice") > 1200).alias("is_active"))
+    added = joins.exists_flag(added, t.lineitem.where("l_linestatus = 'O'").select(F.col("l_partkey").alias("k")), ["k"], "has_streams")
+    added = joins.exists_flag(added, t.documents.select(F.col("doc_id").alias("k")), ["k"], "has_sheet")
+    card = records.promote_card(1998, active, "k", facts, overrides, codeless, added, F.col("is_active") & F.col("has_streams") & F.col("has_sheet"))
+    listed = lambda c: F.array_join(F.transform(c, lambda k: k.cast("string")), ",").alias(c)
+    return card.select(*(listed(c) if c in ("coverage_gaps", "new_pending") else c for c in card.columns))
+
+
 _LABEL = "p_name || CASE p_partkey % 4 WHEN 0 THEN ' #* & (New) - A' WHEN 1 THEN ' (Alpha (Beta))' WHEN 2 THEN '  ' ELSE ' - B' END"
 
 

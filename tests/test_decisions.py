@@ -129,3 +129,29 @@ def test_versions_and_unknown_codes(spark):
     assert [[r.is_active for r in ingest.exclusive_activation(held, "k", c).orderBy("k").collect()] for c in (2, 9)] == [[False, True], [True, False]]
     twice = spark.createDataFrame([("ab", "y"), ("ab", "x"), ("a", "z")], "prefix string, mark string")
     assert records.longest_prefix(spark.createDataFrame([("abc",)], "text string"), "text", twice, "prefix", "mark").first()["mark"] == "x"
+
+
+def test_card_of_a_promoted_year(spark):
+    active = spark.createDataFrame([(f"c{i:02}",) for i in range(20)], "code string")
+    facts = spark.createDataFrame([(2034, "c03"), (2033, "c04"), (2034, "c03")], "year int, code string")
+    rows = spark.createDataFrame([(2034,), (2033,)], "year int")
+    added = spark.createDataFrame([("n1", True), ("n2", False), ("n3", None)], "code string, ready boolean")
+    card = records.promote_card(2034, active, "code", facts, rows, rows, added, F.col("ready")).first()
+    assert (card.promoted_year, card.students_now_see, card.is_default_year, card.coverage_gap_count, card.stream_override_rows, card.codeless_rows) == (2034, 2034, True, 19, 1, 1)
+    assert card.coverage_gaps == [f"c{i:02}" for i in range(16) if i != 3] and (card.new_total, card.new_onboarded, card.new_pending) == (3, 1, ["n2", "n3"])
+    old = records.promote_card(2033, active, "code", facts, rows, rows, added.limit(0), F.col("ready")).first()
+    assert not old.is_default_year and old.new_total == 0 and old.new_pending == []
+    assert records.promote_card(2034, active, "code", facts.limit(0), rows, rows, added, F.col("ready")).first().is_default_year is False
+
+
+def test_lists_of_profiles(spark):
+    """Without a preference the highest cutoff comes first; with one the score decides. What is offered without a cutoff comes by key."""
+    rows = [(p, k, c, m, u, st) for p in (1, 2) for k, c, m, u, st in (("a", 1.0, 0.5, "X", "eligible"), ("b", 1.4, 0.1, "Y", "conditional"), ("c", 1.2, 0.3, "Z", "eligible"), ("d", 1.6, -0.1, "X", "near_miss"))]
+    judged = spark.createDataFrame(rows, "profile int, code string, cutoff double, margin double, uni string, status string").withColumn("passes", F.col("code") != "z").withColumn("wish", F.when(F.col("profile") == 2, F.array(F.lit("X"))))
+    dimensions = [("z_margin", lambda: D.margin_score(F.col("margin"))), ("university", lambda: D.place_score(F.col("uni"), F.lit(1), F.col("wish"), F.lit(2)))]
+    got = D.recommend_profiles(judged, "profile", dimensions, D.Scoring({"z_margin": 0.5, "university": 0.5}), F.size("wish") > 0, "cutoff", "code", 2)
+    lists = {p: [(r.code, r["mode"], r.n_all) for r in got.where(f"profile = {p}").orderBy("place").collect()] for p in (1, 2)}
+    assert lists == {1: [("b", "normal", 3), ("c", "normal", 3)], 2: [("a", "preference", 3), ("c", "preference", 3)]}
+    assert {tuple(b.name for b in r.breakdown) for r in got.where("profile = 1").collect()} == {("z_margin",)}
+    also = D.also_offered(judged.select("profile", "code"), judged.where("code IN ('a', 'c')").select("code"), ["code"], "profile", "code", 1).collect()
+    assert sorted((r.profile, r.code, r.n_all) for r in also) == [(1, "b", 2), (2, "b", 2)]
