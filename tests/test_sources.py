@@ -1,10 +1,11 @@
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from cutline.operators import grid, ingest, joins, windows
-from cutline.sources import readers, writers
+from cutline.operators import confirm, grid, ingest, joins, windows
+from cutline.sources import manifest, readers, writers
 
 
 def test_wide_csv_to_good_and_error_rows(spark, tmp_path):
@@ -158,3 +159,60 @@ def test_labels_and_codes_of_two_grids(spark):
         assert [codes[g, n][0] for n in range(1, 17)] == [f"{c + base:03d}{'AB'[c % 2]}" for c in range(15, -1, -1)]
     assert codes[1, 16][1] == 900.0 - 7.5
     assert grid.code_header(df, of, least=17).count() == 0 and grid.label_blocks(lines.limit(0), of).count() == 0
+
+
+def run_tables(spark):
+    columns = [("k1", 2, "Arts (North)", "001A", "confirmed", None), ("k2", 1, "Law", "002B", "confirmed", []), ("k3", 1, "Trade", "003C", "confirmed", ["S1"]), ("k4", 1, "Trade 2", "003C", "confirmed", ["S2"]), ("k5", 3, "New (Uni)", None, "unmapped_kept", None), ("k6", 3, "junk", None, "ignored", None)]
+    grid_rows = [(k, {"north": v, "south": None if k == "k2" else "1.5"}) for k, v in (("k1", "1.0"), ("k2", "2.0"), ("k3", "3.0"), ("k4", "4.0"), ("k5", "5.0"))]
+    return {
+        "columns": spark.createDataFrame(columns, "column_key string, page int, raw_label string, code string, status string, streams array<string>"),
+        "grid": spark.createDataFrame(grid_rows, "column_key string, values map<string,string>"),
+        "aliases": spark.createDataFrame([("Law", "002B", "seed", 1.0)], "alias_text string, course_code string, source string, confidence double"),
+        "catalog": spark.createDataFrame([("001A", True), ("002B", True), ("009Z", True), ("010X", True)], "code string, is_active boolean"),
+        "before": spark.createDataFrame([("001A", "north", 1.0), ("001A", "south", 1.0), ("002B", "north", 2.0)], "code string, row string, value double"),
+        "source": "mapping_confirm:2024", "present": spark.createDataFrame([("010X",)], "code string"),
+    }
+
+
+def test_confirm_is_one_commit(spark, tmp_path, monkeypatch):
+    root, run = str(tmp_path / "store"), run_tables(spark)
+    assert confirm.confirm(root, **run) == 1
+    read = lambda name, v=None: manifest.read(spark, root, name, v).collect()
+    assert sorted((r.alias_text, r.course_code, r.source) for r in read("aliases")) == [("Arts (North)", "001A", "mapping_confirm:2024"), ("Law", "002B", "seed"), ("Trade", "003C", "mapping_confirm:2024"), ("Trade 2", "003C", "mapping_confirm:2024")]
+    cells = {(r.nth, r.code, r.row): r.value for r in read("cells")}
+    assert cells == {(1, "002B", "north"): "2.0", (1, "002B", "south"): None, (2, "003C", "north"): None, (2, "003C", "south"): None, (3, "001A", "north"): "1.0", (3, "001A", "south"): "1.5"}
+    assert sorted((r.column_key, tuple(r.stream_codes)) for r in read("overrides")) == [("k3", ("S1",)), ("k4", ("S2",))]
+    assert [(r.column_key, r.course_name, r.university) for r in read("unmapped")] == [("k5", "New", "Uni")]
+    changes = {r.code: (r.kind, r.n_changed) for r in read("changes")}
+    assert changes == {"009Z": ("removed", 0), "003C": ("added", 0), "001A": ("changed", 1)}
+    # a failure in the middle leaves the old state
+    broken = dict(run, before=run["before"].withColumn("value", F.raise_error(F.lit("lost")).cast("double")))
+    with pytest.raises(Exception, match="lost"):
+        confirm.confirm(root, **broken)
+    assert manifest.versions(spark, root) == [1] and len(read("cells")) == 6
+    # another writer in the meantime
+    real = manifest.state
+    monkeypatch.setattr(manifest, "state", lambda s, r, v=None: (0, {}) if v is None else real(s, r, v))
+    with pytest.raises(manifest.Conflict):
+        manifest.commit(spark, root, {"cells": spark.range(1)})
+    monkeypatch.undo()
+    # a later commit leaves out what there is no more of; earlier versions stay until they are cleared away
+    later = dict(run, columns=run["columns"].where("column_key IN ('k1', 'k2')"))
+    assert confirm.confirm(root, **later) == 2
+    assert manifest.read(spark, root, "overrides") is None and len(read("overrides", 1)) == 2
+    assert len(manifest.vacuum(spark, root)) >= 5 and manifest.versions(spark, root) == [2] and len(read("cells")) == 4
+
+
+def test_what_blocks_a_confirmation(spark, tmp_path):
+    run = run_tables(spark)
+    bad = {"pending: k1": F.when(F.col("column_key") == "k1", "pending").otherwise(F.col("status")), "no confirmed or kept": F.lit("ignored")}
+    for said, status in bad.items():
+        with pytest.raises(confirm.Blocked, match=said):
+            confirm.confirm(str(tmp_path / "s"), **dict(run, columns=run["columns"].withColumn("status", status)))
+    with pytest.raises(confirm.Blocked, match="one code: 003C"):
+        confirm.gate(run["columns"].withColumn("streams", F.when(F.col("column_key") == "k4", F.array(F.lit("S1"))).otherwise(F.col("streams"))), run["grid"])
+    with pytest.raises(confirm.Blocked, match="one code: 002B"):
+        confirm.gate(run["columns"].withColumn("code", F.when(F.col("column_key") == "k1", "002B").otherwise(F.col("code"))), run["grid"])
+    with pytest.raises(confirm.Blocked, match="without values: k2"):
+        confirm.gate(run["columns"], run["grid"].where("column_key <> 'k2'"))
+    assert not (tmp_path / "s").exists()
