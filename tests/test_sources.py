@@ -4,8 +4,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from cutline.operators import confirm, grid, ingest, joins, windows
-from cutline.sources import manifest, readers, writers
+from cutline.functions import objects
+from cutline.operators import confirm, embedding, grid, ingest, joins, windows
+from cutline.sources import manifest, pages, readers, writers
 
 
 def test_wide_csv_to_good_and_error_rows(spark, tmp_path):
@@ -216,3 +217,68 @@ def test_what_blocks_a_confirmation(spark, tmp_path):
     with pytest.raises(confirm.Blocked, match="without values: k2"):
         confirm.gate(run["columns"], run["grid"].where("column_key <> 'k2'"))
     assert not (tmp_path / "s").exists()
+
+
+def test_glyphs_by_ranges_of_pages(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [(page, ch, rng.random(), 1.0, float(i), bool(i % 2), 1.0) for page in range(3, 207) if page != 50 for i, ch in enumerate("abc")] + [(None, "x", 0.0, 1.0, 2.0, True, 1.0)]
+    df = spark.createDataFrame(rows, readers.GLYPHS)
+    path = str(tmp_path / "glyphs")
+    df.repartition(3).write.parquet(path)
+    read = pages.glyph_pages(spark, path)
+    assert read.schema == df.schema and read.rdd.getNumPartitions() == 6
+    assert sorted(map(tuple, read.collect())) == sorted(r for r in rows if r[0])
+    each = read.groupBy(F.spark_partition_id().alias("p")).agg((F.max("page") - F.min("page")).alias("span")).collect()
+    assert len(each) == 6 and max(r.span for r in each) < 40
+    few = pages.glyph_pages(spark, path, [4, 50, 180], 10)
+    assert few.rdd.getNumPartitions() == 3 and {r.page for r in few.select("page").distinct().collect()} == {4, 180}
+    df.limit(0).write.parquet(str(tmp_path / "none"))
+    assert pages.glyph_pages(spark, str(tmp_path / "none")).count() == 0
+
+
+class Fake:
+    """Two numbers for each text; writes down what it is asked, and fails once on a text that says so."""
+
+    def __init__(self, folder):
+        self.folder = folder
+
+    def __call__(self, texts):
+        import os
+        import uuid
+
+        if any("fail" in t for t in texts) and not os.path.exists(f"{self.folder}/failed"):
+            open(f"{self.folder}/failed", "w").close()
+            raise RuntimeError("no answer")
+        with open(f"{self.folder}/{uuid.uuid4().hex}.asked", "w") as f:
+            json.dump(texts, f)
+        return [[float(len(t)), 1.0] for t in texts]
+
+
+def test_embedding_asks_once_and_resumes(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    texts = [f"text {i % 40}" for i in range(100)] + ["please fail", None, "", "text 1"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, said string").repartition(5)
+    asked = lambda: [t for f in calls.glob("*.asked") for t in json.loads(f.read_text())]
+    store = f"file://{tmp_path}/store"
+    with pytest.raises(Exception, match="no answer"):
+        embedding.embed(docs, "id", "said", Fake(str(calls)), store, batch=4, parallel=2)
+    before = asked()
+    assert before and len(before) == len(set(before)) < 41
+    got = embedding.embed(docs, "id", "said", Fake(str(calls)), store, batch=4, parallel=2).collect()
+    assert sorted(asked()) == sorted({t for t in texts if t}) and len(got) == len(texts)
+    assert all((r.embedding is None) == (not texts[r.id]) and (not r.embedding or r.embedding[0] == len(texts[r.id])) for r in got)
+    more = docs.unionByName(spark.createDataFrame([(500, "new one")], docs.schema))
+    assert embedding.embed(more, "id", "said", Fake(str(calls)), store, batch=4, parallel=2).where("id = 500").first().embedding == [7.0, 1.0]
+    assert len(asked()) == len(set(asked())) == 42
+    with pytest.raises(Exception, match="2 texts gave 1 vectors"):
+        embedding.embed(spark.createDataFrame([(1, "a"), (2, "b")], docs.schema), "id", "said", lambda t: [[1.0]], f"file://{tmp_path}/other", parallel=1)
+
+
+def test_json_objects(spark):
+    rows = [('{"a": 1, "b": {"c": [1], "d": 2.5}}', '{"b": {"c": null, "e": {"f": "é"}}, "a": "x"}'), (None, '{"a": {"b": null, "c": 1}}'), ("[1]", '{"a": 1}'), ('{"a": 1}', None), ("no json", '{"a": []}'), ('{"a": 1}', "7")]
+    df = spark.createDataFrame(rows, "base string, patch string")
+    got = [json.loads(r[0]) for r in df.select(objects.merged("base", "patch")).collect()]
+    assert got == [{"a": "x", "b": {"d": 2.5, "e": {"f": "é"}}}, {"a": {"c": 1}}, {"a": 1}, {"a": 1}, {"a": []}, 7]
+    read = df.select(objects.typed(F.col("base"), "$.a", "bigint").alias("a"), objects.typed(F.col("base"), "$.b.d", "double").alias("d"), objects.kind_of(F.col("base")).alias("kind")).collect()
+    assert [(r.a, r.d, r.kind) for r in read[:3]] == [(1, 2.5, "OBJECT"), (None, None, None), (None, None, "ARRAY")]
