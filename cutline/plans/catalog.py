@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decisions, records, relational, texts  # noqa: F401  each registers its queries
+from . import decisions, files, records, relational, texts  # noqa: F401  each registers its queries
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -428,6 +428,26 @@ def penalised_band(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", _least_band(lambda b: grid.label_band(F.dayofmonth("o_orderdate").cast("double"), b["low"])).alias("band"))
 
 
+@query("""
+WITH RECURSIVE i AS (SELECT c_nationkey AS g, c_custkey AS item, c_acctbal AS at, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) AS n FROM customer),
+t AS (SELECT s_nationkey AS g, list({'at': s_acctbal, 'key': s_suppkey, 'r': r}) AS l FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey) AS r FROM supplier) GROUP BY 1),
+s AS (
+  SELECT g, n, item, pick, CASE WHEN pick IS NULL THEN CAST([] AS BIGINT[]) ELSE [pick] END AS used FROM (
+    SELECT i.g, n, item, list_sort(list_transform(list_filter(l, lambda x: abs(x.at - i.at) <= 300), lambda x: {'d': abs(x.at - i.at), 'r': -x.r, 'key': x.key}))[1].key AS pick FROM i LEFT JOIN t ON t.g = i.g WHERE n = 1)
+  UNION ALL
+  SELECT g, n, item, pick, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick) END FROM (
+    SELECT i.g, i.n, i.item, used, list_sort(list_transform(list_filter(l, lambda x: abs(x.at - i.at) <= 300 AND NOT list_contains(used, x.key)), lambda x: {'d': abs(x.at - i.at), 'r': -x.r, 'key': x.key}))[1].key AS pick
+    FROM s JOIN i ON i.g = s.g AND i.n = s.n + 1 LEFT JOIN t ON t.g = i.g)
+)
+SELECT g, item, pick AS target FROM s
+""")
+def greedy_targets(t: Tables) -> DataFrame:
+    """Items in order each take the nearest target that is free, within a tolerance; a group's targets and items are one task's work."""
+    items = t.customer.select(F.col("c_nationkey").alias("g"), F.col("c_custkey").alias("item"), F.col("c_acctbal").alias("at"))
+    targets = t.supplier.select(F.col("s_nationkey").alias("g"), F.col("s_suppkey").alias("target"), F.col("s_acctbal").alias("spot"))
+    return joins.greedy_nearest(items, targets, "g", "item", "at", "target", "spot", 300.0)
+
+
 @query("""
 SELECT l_suppkey, mode_size, CAST(med AS DOUBLE) AS med FROM (
   SELECT l_suppkey, median(CAST(l_quantity AS DOUBLE)) AS med FROM lineitem GROUP BY 1) JOIN (

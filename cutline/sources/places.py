@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
@@ -66,6 +67,18 @@ def drop_all(spark: SparkSession) -> None:
         del _LEFT[path]
 
 
+@contextlib.contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end whatever has been stashed inside: for long-lived drivers. Results are to be written or counted before it ends."""
+    before = set(_LEFT)
+    try:
+        yield
+    finally:
+        for path in [p for p, s in _LEFT.items() if s is spark and p not in before]:
+            _delete(spark, path)
+            del _LEFT[path]
+
+
 @atexit.register
 def _at_the_end() -> None:
     for path, spark in list(_LEFT.items()):

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cutline.operators.ingest import upsert
 from cutline.operators.reshape import to_matrix
@@ -61,6 +62,43 @@ def put_artifact(df: DataFrame, store: str, run_id: str, kind: str) -> str:
     return path
 
 
+def _place(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def artifact_exists(spark: SparkSession, store: str, run_id: str, kind: str) -> bool:
+    place, fs = _place(spark, f"{store}/{run_id}/{kind}")
+    return fs.exists(place)
+
+
+def load_artifact(spark: SparkSession, store: str, run_id: str, kind: str, schema: StructType | str) -> DataFrame | None:
+    """What was put there, or None."""
+    return spark.read.schema(schema).json(f"{store}/{run_id}/{kind}") if artifact_exists(spark, store, run_id, kind) else None
+
+
+def delete_artifact(spark: SparkSession, store: str, run_id: str, kind: str) -> bool:
+    """Whether there was one to delete."""
+    place, fs = _place(spark, f"{store}/{run_id}/{kind}")
+    return fs.delete(place, True)
+
+
+def archive_run(spark: SparkSession, store: str, run_id: str, archive: str, period: int, tag: str, kinds: Sequence[str]) -> list[str]:
+    """Copy a run's artifacts to ``archive/<period>/<kind>_<period>_<tag>``; those it lacks are passed over. The paths written, below ``archive``."""
+    written = []
+    for kind in kinds:
+        source, fs = _place(spark, f"{store}/{run_id}/{kind}")
+        if fs.exists(source):
+            name = f"{period}/{kind}_{period}_{tag}"
+            target, other = _place(spark, f"{archive}/{name}")
+            other.mkdirs(target.getParent())
+            if other.exists(target):
+                other.delete(target, True)
+            spark._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, source, other, target, False, spark._jsc.hadoopConfiguration())
+            written.append(name)
+    return written
+
+
 def request_hash(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", *(p.cast("string") for p in parts)), 256)
 

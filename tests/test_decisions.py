@@ -155,3 +155,12 @@ def test_lists_of_profiles(spark):
     assert {tuple(b.name for b in r.breakdown) for r in got.where("profile = 1").collect()} == {("z_margin",)}
     also = D.also_offered(judged.select("profile", "code"), judged.where("code IN ('a', 'c')").select("code"), ["code"], "profile", "code", 1).collect()
     assert sorted((r.profile, r.code, r.n_all) for r in also) == [(1, "b", 2), (2, "b", 2)]
+
+
+def test_active_config(spark):
+    rows = [(1, True, {"z_margin": 1.0}, {"safe_score": 0.5, "safe_margin": 0.2}), (3, False, {"z_margin": 0.1}, {}), (2, True, {"z_margin": 0.7, "interest": 0.3}, {"safe_score": 0.6, "safe_margin": 0.1})]
+    configs = spark.createDataFrame(rows, "version int, is_active boolean, weights map<string,double>, thresholds map<string,double>")
+    default = D.Scoring({"z_margin": 1.0})
+    found = D.active_config(configs, default)
+    assert found.weights == {"z_margin": 0.7, "interest": 0.3} and found.thresholds["safe_score"] == 0.6
+    assert D.active_config(configs.where("version = 3"), default) is default

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cutline.functions import objects
 from cutline.operators import confirm, embedding, grid, ingest, joins, windows
-from cutline.sources import manifest, pages, readers, writers
+from cutline.sources import manifest, pages, places, readers, writers
 
 
 def test_wide_csv_to_good_and_error_rows(spark, tmp_path):
@@ -282,3 +282,14 @@ def test_json_objects(spark):
     assert got == [{"a": "x", "b": {"d": 2.5, "e": {"f": "é"}}}, {"a": {"c": 1}}, {"a": 1}, {"a": 1}, {"a": []}, 7]
     read = df.select(objects.typed(F.col("base"), "$.a", "bigint").alias("a"), objects.typed(F.col("base"), "$.b.d", "double").alias("d"), objects.kind_of(F.col("base")).alias("kind")).collect()
     assert [(r.a, r.d, r.kind) for r in read[:3]] == [(1, 2.5, "OBJECT"), (None, None, None), (None, None, "ARRAY")]
+
+
+def test_scope_clears_the_shared_folder(spark):
+    kept = places.stash(spark.range(3), "kept")
+    with places.scope(spark):
+        inside = places.stash(spark.range(5), "inside")
+        assert inside.count() == 5
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist"):
+        inside.collect()
+    assert kept.count() == 3
+    places.drop(kept)
