@@ -159,3 +159,23 @@ def four_places(value: Column) -> Column:
 def json_array(raw: Column) -> Column:
     """The elements of a JSON array as strings; null for anything else."""
     return F.when(F.json_array_length(raw).isNotNull(), F.from_json(raw, "array<string>"))
+
+
+def utc_tag(ts: Column) -> Column:
+    """A moment as the tag of a file name; the session's time zone is UTC."""
+    return F.date_format(ts, "yyyyMMdd_HHmmss")
+
+
+def long_date(day: Column) -> Column:
+    return F.date_format(day, "MMMM dd, yyyy")
+
+
+def number_part(code_: Column) -> Column:
+    """A code without the letters at its end."""
+    return F.regexp_replace(code_, "[A-Za-z]+$", "")
+
+
+def with_defaults(values: Column, defaults: Column) -> Column:
+    """A map with the entries of another for the keys that it lacks; no map takes all of them. A key that is there with a null keeps it."""
+    rest = F.map_filter(defaults, lambda k, _: ~F.coalesce(F.map_contains_key(values, k), F.lit(False)))
+    return F.when(values.isNull(), defaults).otherwise(F.map_concat(values, rest))

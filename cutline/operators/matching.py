@@ -203,6 +203,32 @@ def mapping_ladder(columns: DataFrame, catalog: DataFrame, aliases: DataFrame, b
     return out.withColumn("step", step).select("column_key", "step.suggested", "step.confidence", "step.source")
 
 
+#: Words that say nothing about a name, and abbreviations with what they stand for.
+NOISE = ("OF", "THE", "AND", "SRI", "LANKA", "UNIVERSITY", "A", "B")
+ABBREVIATIONS = {"BIO": "BIOLOGICAL", "SC": "SCIENCE", "PHY": "PHYSICAL", "TECH": "TECHNOLOGY"}
+
+
+def significant_words(text: Column, noise: Sequence[str] = NOISE, abbreviations: dict[str, str] = ABBREVIATIONS) -> Column:
+    """The distinct upper-case words of a text without noise, abbreviations spelled out."""
+    full = F.create_map(*(F.lit(x) for kv in abbreviations.items() for x in kv))
+    words = F.filter(F.regexp_extract_all(F.upper(text), F.lit("[A-Z0-9]+"), F.lit(0)), lambda w: ~w.isin(*noise))
+    return F.array_distinct(F.transform(words, lambda w: F.coalesce(F.try_element_at(full, w), w)))
+
+
+def verify_codes(codes: DataFrame, catalog: DataFrame, headers: DataFrame) -> DataFrame:
+    """Printed codes (page, code) that nothing supports: page, code, reason.
+
+    catalog: code, name; headers: page, text. A code that the catalog lacks is unknown; one is unsupported if no header
+    of its page holds all significant words of its name. Names without any fit every page that has a header.
+    """
+    names = catalog.groupBy("code").agg(F.max_by(significant_words(F.col("name")), "name").alias("words"))
+    known = codes.select("page", "code").distinct().join(names, "code", "left")
+    said = headers.select("page", F.array_sort(significant_words(F.col("text"))).alias("said")).distinct()
+    held = known.where("words IS NOT NULL").join(said, "page").where(F.size(F.array_except("words", "said")) == 0).select("page", "code").distinct().withColumn("held", F.lit(True))
+    reason = F.when(F.col("words").isNull(), "unknown").when(F.col("held").isNull(), "unsupported")
+    return known.join(held, ["page", "code"], "left").select("page", "code", reason.alias("reason")).where("reason IS NOT NULL")
+
+
 def claims(label: Column, keywords: Sequence[tuple[str, str]], open_pattern: str) -> Column:
     """struct(codes, is_open) of the bracketed tags of a label; keywords are patterns with their codes."""
     tags = F.regexp_extract_all(label, F.lit(r"\[([^\]]*)\]"), F.lit(1))

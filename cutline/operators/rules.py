@@ -69,6 +69,24 @@ def rule_gate(key: Column, rules: dict[str, dict | str], subjects: Column, strea
     return F.lit(True) if out is None else out.otherwise(F.lit(True))
 
 
+def input_problem(z: Column, place: Column, stream: Column, period: Column, subjects: Column) -> Column:
+    """What is wrong with a request, the first of all that is, or null: z in -2 to 4, codes, a period from 2000 to 2100 or none, and
+    exactly three subjects of 1 to 100 characters with a grade of one letter that is known, whatever its case."""
+    blank = lambda c: c.isNull() | (F.length(c) < 1)
+    named = lambda s: ~blank(s["subject"]) & (F.length(s["subject"]) <= 100)
+    graded = lambda s: (F.length(s["grade"]) == 1) & F.upper(s["grade"]).isin(*GRADES)
+    every = lambda test: F.coalesce(F.forall(subjects, lambda s: F.coalesce(test(s), F.lit(False))), F.lit(False))
+    return (
+        F.when(z.isNull() | F.isnan(z.cast("double")) | ~z.between(-2, 4), "z out of range")
+        .when(blank(place), "no place")
+        .when(blank(stream), "no stream")
+        .when(period.isNotNull() & ~period.between(2000, 2100), "period out of range")
+        .when(subjects.isNull() | (F.size(subjects) != 3), "not three subjects")
+        .when(~every(named), "subject without a name")
+        .when(~every(graded), "unknown grade")
+    )
+
+
 @dataclass(frozen=True)
 class Baskets:
     """Names by basket for ``basket_rule``; areas hold names of which one may be taken."""

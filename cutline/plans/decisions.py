@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from cutline.functions import columns as C
 from cutline.operators import decisions as D
 from cutline.operators import joins, presence
-from cutline.operators.rules import Baskets, basket_rule, compile_rule, rule_gate
+from cutline.operators.rules import Baskets, basket_rule, input_problem, rule_gate
 
 from .registry import Tables, query
 
@@ -254,6 +254,18 @@ def validated_input(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", C.code("o_orderstatus").alias("status"), ok.alias("valid"))
 
 
-def rule_of(rule: dict) -> str:
-    """A rule's expression as Spark shows it, for looking at what a tree compiles to."""
-    return str(compile_rule(rule, F.col("subjects"), F.col("stream")))
+@query("""
+WITH s AS (SELECT l_orderkey AS k, list({'s': CASE WHEN l_linenumber = 7 THEN '' ELSE l_shipmode END, 'g': g}) AS subjects FROM (SELECT *, 'm' || l_linestatus AS l_shipmode, (['a', 'B', 'C', 's', 'F', 'X', 'AA', 'b', 'c'])[l_partkey % 9 + 1] AS g FROM lineitem) GROUP BY 1),
+r AS (SELECT o_orderkey, CAST(o_totalprice / 100000 - 2.2 AS DOUBLE) AS z, CASE WHEN o_orderkey % 13 <> 0 THEN 'P' || o_orderkey % 3 WHEN o_orderkey % 2 = 0 THEN '' END AS place, o_orderpriority AS stream, CASE WHEN o_orderkey % 3 > 0 THEN year(o_orderdate) END AS y, subjects FROM orders JOIN s ON k = o_orderkey)
+SELECT o_orderkey, CASE WHEN NOT z BETWEEN -2 AND 4 THEN 'z out of range' WHEN coalesce(length(place), 0) < 1 THEN 'no place' WHEN y IS NOT NULL AND NOT y BETWEEN 2000 AND 2100 THEN 'period out of range' WHEN len(subjects) <> 3 THEN 'not three subjects'
+  WHEN len(list_filter(subjects, lambda x: x.s = '')) > 0 THEN 'subject without a name' WHEN len(list_filter(subjects, lambda x: length(x.g) <> 1 OR upper(x.g) NOT IN ('F', 'S', 'C', 'B', 'A'))) > 0 THEN 'unknown grade' END AS problem FROM r
+""")
+def request_problems(t: Tables) -> DataFrame:
+    """whole requests checked, with the first thing that is wrong: range, codes, period, three subjects, known grades."""
+    grade = F.element_at(F.array(*map(F.lit, ("a", "B", "C", "s", "F", "X", "AA", "b", "c"))), (F.col("l_partkey") % 9).cast("int") + 1)
+    subject = F.when(F.col("l_linenumber") == 7, "").otherwise(F.concat(F.lit("m"), "l_linestatus"))
+    subjects = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(F.struct(subject.alias("subject"), grade.alias("grade"))).alias("subjects"))
+    k = F.col("o_orderkey")
+    place = F.when(k % 13 != 0, F.concat(F.lit("P"), (k % 3).cast("string"))).when(k % 2 == 0, "")
+    problem = input_problem((F.col("o_totalprice") / 100000 - 2.2), place, F.col("o_orderpriority"), F.when(k % 3 > 0, F.year("o_orderdate")), F.col("subjects"))
+    return t.orders.join(subjects, "o_orderkey").select("o_orderkey", problem.alias("problem"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cutline.functions import columns as C
 from cutline.operators import decisions as D
-from cutline.operators import grid, ingest, joins, records, vectors
+from cutline.operators import grid, ingest, joins, matching, records, vectors
 from cutline.sources import writers
 
 from .decisions import _CANDIDATES, _candidates
@@ -276,6 +276,36 @@ def recommendation(t: Tables) -> DataFrame:
     )
 
 
+@query("""
+SELECT o_orderkey, strftime(o_orderdate, '%Y%m%d_%H%M%S') AS tag, strftime(o_orderdate, '%B %d, %Y') AS said, regexp_replace(o_orderkey || o_orderstatus || CASE WHEN o_orderkey % 2 = 0 THEN 'x1' ELSE '' END, '[A-Za-z]+$', '') AS number,
+  CASE WHEN o_orderkey % 5 = 0 THEN 1 WHEN o_orderkey % 3 = 0 THEN o_custkey ELSE 1 END AS w_a, CASE WHEN o_orderkey % 5 = 0 THEN 2 WHEN o_orderkey % 3 = 1 THEN NULL ELSE 2 END AS w_b FROM orders
+""")
+def scalar_forms(t: Tables) -> DataFrame:
+    """2.9-5, 2.9-19, 2.9-21: tags of moments, long dates, codes without their letters, maps filled up with defaults."""
+    k = F.col("o_orderkey")
+    given = F.when(k % 5 == 0, F.lit(None).cast("map<string,bigint>")).when(k % 3 == 0, F.create_map(F.lit("a"), F.col("o_custkey"))).when(k % 3 == 1, F.create_map(F.lit("b"), F.lit(None).cast("long"))).otherwise(F.create_map().cast("map<string,bigint>"))
+    whole = C.with_defaults(given, F.create_map(F.lit("a"), F.lit(1).cast("long"), F.lit("b"), F.lit(2).cast("long")))
+    code = F.concat(k.cast("string"), "o_orderstatus", F.when(k % 2 == 0, "x1").otherwise(""))
+    return t.orders.select("o_orderkey", C.utc_tag(F.col("o_orderdate")).alias("tag"), C.long_date(F.col("o_orderdate")).alias("said"), C.number_part(code).alias("number"), whole["a"].alias("w_a"), whole["b"].alias("w_b"))
+
+
+_CODE_WORDS = "list_distinct(list_transform(list_filter(regexp_extract_all(upper({}), '[A-Z0-9]+'), lambda w: w NOT IN ('OF', 'THE', 'AND', 'SRI', 'LANKA', 'UNIVERSITY', 'A', 'B')), lambda w: CASE w WHEN 'BIO' THEN 'BIOLOGICAL' WHEN 'SC' THEN 'SCIENCE' WHEN 'PHY' THEN 'PHYSICAL' WHEN 'TECH' THEN 'TECHNOLOGY' ELSE w END))"
+
+
+@query(f"""
+WITH c AS (SELECT p_brand AS code, {_CODE_WORDS.format("max(p_type) || ' of Bio'")} AS words FROM part WHERE p_brand <> 'Brand#11' GROUP BY 1),
+h AS (SELECT p_size AS page, {_CODE_WORDS.format("'THE ' || p_type || ' Biological'")} AS said FROM part WHERE p_partkey % 3 = 0),
+k AS (SELECT DISTINCT p_size AS page, p_brand AS code FROM part WHERE p_partkey % 4 = 0)
+SELECT page, code, CASE WHEN words IS NULL THEN 'unknown' ELSE 'unsupported' END AS reason FROM k LEFT JOIN c USING (code)
+WHERE words IS NULL OR NOT EXISTS (SELECT 1 FROM h WHERE h.page = k.page AND list_has_all(said, words))
+""")
+def verified_codes(t: Tables) -> DataFrame:
+    """Printed codes whose name no header of the page holds, without noise words and with abbreviations spelled out."""
+    names = t.part.where("p_brand <> 'Brand#11'").groupBy(F.col("p_brand").alias("code")).agg(F.concat(F.max("p_type"), F.lit(" of Bio")).alias("name"))
+    headers = t.part.where("p_partkey % 3 = 0").select(F.col("p_size").alias("page"), F.concat(F.lit("THE "), "p_type", F.lit(" Biological")).alias("text"))
+    return matching.verify_codes(t.part.where("p_partkey % 4 = 0").select(F.col("p_size").alias("page"), F.col("p_brand").alias("code")), names, headers)
+
+
 _ASKING = [(1, 60000, 3, 1998, None, None), (2, 90000, 5, 1997, [5, 7], None), (3, 120000, 11, 1998, None, 20), (4, 80000, 3, 1996, [3], 40), (5, 100, 3, 1996, [], None)]
 _NONE = "NULL"
 _ASKING_SQL = ", ".join(f"({i}, {z}, {n}, {y}, {_NONE if p is None else f'{p}::INT[]'}, {v or _NONE})" for i, z, n, y, p, v in _ASKING)
