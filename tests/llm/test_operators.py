@@ -339,6 +339,64 @@ def test_terms_that_give_kinds_away(spark):
     assert "mailbox" not in after[0] and "@" not in after[0] and after[len(rows) - 3] is None and after[50] == rows[50]
 
 
+def test_disclosure_equals_brute_force(spark):
+    """The ratios of all terms with all values and kinds, counted by hand, and which of them cross a threshold."""
+    rng = np.random.default_rng(12)
+    words = ["".join(rng.choice(list("abcdefgh"), int(rng.integers(2, 5)))) for _ in range(50)]
+    mails = [f"m{i}@x.org" for i in range(6)] + ["+1 415 555 0000", "10.0.0.1"]
+    texts = []
+    for i in range(400):
+        said = list(rng.choice(words, int(rng.integers(5, 14))))
+        if i % 3 == 0:
+            k = int(rng.integers(0, len(mails)))
+            said.insert(int(rng.integers(0, len(said))), mails[k])
+            said.insert(int(rng.integers(0, len(said))), f"cue{'abcdefgh'[k]}" if rng.random() < 0.7 else "mailto")
+        texts.append(" ".join(said))
+    texts += texts[:30] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = pii.detect(df)
+
+    spans = [[tuple(x.split(":")) for x in plain_spans(t).split(",") if x] for t in texts]
+    outside, values, kinds = [], [], []
+    for t, own in zip(texts, spans, strict=True):
+        body, at = "", 0
+        for _, start, end in sorted(own, key=lambda x: int(x[1])):
+            body, at = body + (t or "")[at : int(start)] + " ", int(end)
+        outside.append(re.findall(r"[^\W\d_]+", (body + (t or "")[at:]).lower()))
+        values.append({f"{k}:" + (t[int(a) : int(b)].lower() if k != "phone" else re.sub("[^0-9]", "", t[int(a) : int(b)])) for k, a, b in own})
+        kinds.append({k for k, _, _ in own} | ({pii.PERSONAL} if own else set()))
+    whole = [set(re.findall(r"[^\W\d_]{3,}", (t or "").lower())) for t in texts]
+    different = {t or "": i for i, t in reversed(list(enumerate(texts)))}
+
+    def around(rows, term):
+        return {(w[j - 1] if j else "", w[j + 1] if j + 1 < len(w) else "") for i in rows for w in [outside[i]] for j in range(len(w)) if w[j] == term}
+
+    def brute(owners, rows, ratio, support):
+        out = {}
+        for e in set().union(*(owners[i] for i in rows)):
+            mine = [i for i in rows if e in owners[i]]
+            for term in {w for i in mine for w in outside[i] if len(w) > 2}:
+                held = [i for i in mine if term in outside[i]]
+                if len(held) >= support and len(around(mine, term)) >= max(support, len(held) * pii.VARIED):
+                    df_ = sum(term in whole[i] for i in rows)
+                    out[e, term] = ratio(len(held), len(mine), df_, len(rows))
+        return out
+
+    def of_value(both, n, df_, total):
+        return np.log(both / n / (df_ / total)) / np.log(total / n)
+
+    def of_kind(both, n, df_, total):
+        return 1 - np.log((both + pii.PRIOR * n / total) / (df_ + pii.PRIOR)) / np.log(n / total)
+
+    least = 0.2
+    expected = {k: v for k, v in brute(values, list(different.values()), of_value, 2).items() if v >= least}
+    got = {(r.entity, r.term): r.disclosure for r in pii._of_values(df, found, 2, least).where(f"disclosure >= {least}").collect()}
+    assert got.keys() == expected.keys() and len(got) > 5 and all(abs(got[k] - expected[k]) < 1e-9 for k in got)
+    expected = brute(kinds, list(range(len(texts))), of_kind, 3)
+    got = {(r.entity, r.term): r.disclosure for r in pii._of_kinds(df, found, 3).collect()}
+    assert got.keys() == expected.keys() and len(got) > 5 and all(abs(got[k] - expected[k]) < 1e-9 for k in got)
+
+
 # 7 ------------------------------------------------------------------------------------------------------------------
 
 

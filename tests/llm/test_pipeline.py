@@ -44,3 +44,41 @@ def test_nothing_personal_stays(spark, odd):
         assert not plain_spans(r.text)
     with pytest.raises(AssertionError):
         assert not plain_spans("a@b.co")
+
+
+def test_stages_on_odd_and_empty_tables(spark, odd):
+    """Nulls, empty and very long texts, repeated rows and ids, clashing columns: each stage gives a defined result, and none of them on no rows."""
+    folder = f"{DATA}/sf0.001"
+    docs = odd
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, folder)
+        assert kept.columns == odd.columns, name
+        before, after = ([(r.doc_id, r.text) for r in df.collect()] for df in (docs, kept))
+        if name == "pii":
+            assert sorted(map(str, (i for i, _ in before))) == sorted(map(str, (i for i, _ in after)))
+        else:
+            assert all(after.count(x) <= before.count(x) for x in after)
+        if name == "near_dedup":
+            assert len({t for _, t in after}) == len(after)
+        docs = kept
+    ids = corpus_pipeline.STAGES[-1][1](spark, odd, folder).collect()
+    assert len(ids) == odd.count() and {r.n_tokens for r in ids if r.doc_id in (0, 1)} == {0}
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, odd.limit(0), folder).count() == 0, name
+
+
+def test_every_stage_takes_what_the_one_before_kept(spark, monkeypatch):
+    folder, seen = f"{DATA}/sf0.001", []
+    made = corpus_pipeline.stash
+
+    def noted(df, name):
+        held = made(df, name)
+        seen.append((name, sorted(r.doc_id for r in held.collect())))
+        return held
+
+    monkeypatch.setattr(corpus_pipeline, "stash", noted)
+    result = sorted(r.doc_id for r in corpus_pipeline.run(spark, folder).collect())
+    assert [n for n, _ in seen] == [n for n, _ in corpus_pipeline.STAGES[:-1]]
+    sizes = [spark.read.parquet(f"{folder}/documents.parquet").count(), *(len(ids) for _, ids in seen)]
+    assert sizes == sorted(sizes, reverse=True) and sizes[2] < sizes[1] and result == seen[-1][1] == seen[-2][1]
+    assert all(set(b) <= set(a) for (_, a), (_, b) in zip(seen, seen[1:], strict=False))
