@@ -65,8 +65,8 @@ def title(content: Column, fallback: Column) -> Column:
     return F.when(content.rlike(r"(?m)^# "), found).otherwise(fallback)
 
 
-def chunks(documents: DataFrame, key: str, text: str, most: int = 2000) -> DataFrame:
-    """Sections at H2, long ones packed by paragraph: key, idx, heading, content."""
+def chunks(documents: DataFrame, key: str, text: str, most: int = 2000, carry: Sequence[str] = ()) -> DataFrame:
+    """Sections at H2, long ones packed by paragraph: key, the columns to carry, idx, heading, content."""
     sections = F.filter(F.transform(F.split(text, r"\n(?=## )"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
 
     def parts(s: Column) -> Column:
@@ -84,8 +84,8 @@ def chunks(documents: DataFrame, key: str, text: str, most: int = 2000) -> DataF
         packed = F.when(F.length(body) <= most, F.array(body)).otherwise(F.aggregate(paragraphs, F.array().cast("array<string>"), pack))
         return F.transform(F.filter(packed, lambda b: b != ""), lambda b: F.struct(heading.alias("heading"), b.alias("content")))
 
-    rows = documents.select(key, F.posexplode(F.flatten(F.transform(sections, parts))).alias("idx", "c"))
-    return rows.select(key, "idx", "c.heading", "c.content")
+    rows = documents.select(key, *carry, F.posexplode(F.flatten(F.transform(sections, parts))).alias("idx", "c"))
+    return rows.select(key, *carry, "idx", "c.heading", "c.content")
 
 
 def reindex(old_index: DataFrame, documents: DataFrame, key: str, text: str) -> DataFrame:
@@ -96,7 +96,6 @@ def reindex(old_index: DataFrame, documents: DataFrame, key: str, text: str) ->
     now = documents.select(key, text, F.sha2(F.coalesce(text, F.lit("")), 256).alias("content_hash"))
     same = old_index.join(now.select(key, "content_hash"), [key, "content_hash"], "left_semi")
     fresh = now.join(old_index.select(key, "content_hash").distinct(), [key, "content_hash"], "left_anti")
-    hashes = fresh.select(key, "content_hash")
-    cut = chunks(fresh, key, text).join(hashes, key)
+    cut = chunks(fresh, key, text, carry=["content_hash"])
     tokens = F.size(F.filter(F.split("content", r"\s+"), lambda w: w != "")).cast("long")
     return same.unionByName(cut.withColumn("tokens", tokens).select(*old_index.columns))
