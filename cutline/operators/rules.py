@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
@@ -28,25 +29,20 @@ def _rank_of(rule: dict) -> int:
     return GRADES[grade]
 
 
-def compile_rule(rule: dict | str | None, subjects: Column, stream: Column) -> Column:
-    """Boolean column of a rule over ``subjects`` (array of subject and grade) and a stream; no rule passes."""
+Passing = Callable[[Sequence[str] | None, int], Column]
+
+
+def _tree(rule: dict | str | None, stream: Column, passing: Passing) -> Column:
+    """A rule as a condition; ``passing`` is how many of the named subjects, or of all, have a grade of some rank at least."""
     if rule is None:
         return F.lit(True)
     rule = json.loads(rule) if isinstance(rule, str) else rule
     kind = rule["type"]
-
-    def passing(names: list[str] | None, least: int) -> Column:
-        def ok(s: Column) -> Column:
-            good = grade_rank(s["grade"]) >= least
-            return good if names is None else F.when(s["subject"].isin(*names), good).otherwise(F.lit(False))
-
-        return F.size(F.filter(subjects, ok))
-
     match kind:
         case "and":
-            return all_of(*(compile_rule(c, subjects, stream) for c in rule["conditions"]))
+            return all_of(*(_tree(c, stream, passing) for c in rule["conditions"]))
         case "or":
-            return any_of(*(compile_rule(c, subjects, stream) for c in rule["conditions"]))
+            return any_of(*(_tree(c, stream, passing) for c in rule["conditions"]))
         case "stream_is":
             return F.coalesce(stream.isin(*rule["streams"]), F.lit(False))
         case "subject_min_grade":
@@ -60,6 +56,33 @@ def compile_rule(rule: dict | str | None, subjects: Column, stream: Column) -> C
     raise ValueError(f"unknown rule: {kind!r}")
 
 
+def _passes(subject: Column, grade: Column, names: Sequence[str] | None, least: int) -> Column:
+    good = grade_rank(grade) >= least
+    return good if names is None else F.when(subject.isin(*names), good).otherwise(F.lit(False))
+
+
+def compile_rule(rule: dict | str | None, subjects: Column, stream: Column) -> Column:
+    """Boolean column of a rule over ``subjects`` (array of subject and grade) and a stream; no rule passes."""
+    return _tree(rule, stream, lambda names, least: F.size(F.filter(subjects, lambda s: _passes(s["subject"], s["grade"], names, least))))
+
+
+def counted_gate(key: Column, rules: dict[str, dict | str], subject: Column, grade: Column, stream: Column) -> tuple[list[Column], Column]:
+    """What a table of one row for each subject is to count in its group by, and the rule of each key over these counts.
+
+    Each different leaf is one conditional count, added up on each task before the shuffle; no array is made. Keys without
+    a rule pass. Rows that have no subject at all are to count as zeros.
+    """
+    leaves: dict[tuple, str] = {}
+
+    def passing(names: Sequence[str] | None, least: int) -> Column:
+        return F.coalesce(F.col(leaves.setdefault((names and tuple(names), least), f"leaf_{len(leaves)}")), F.lit(0))
+
+    gate = F.lit(True)
+    for name, rule in rules.items():
+        gate = F.when(key == name, _tree(rule, stream, passing)).otherwise(gate)
+    return [F.count_if(_passes(subject, grade, names, least)).alias(leaf) for (names, least), leaf in leaves.items()], gate
+
+
 def rule_gate(key: Column, rules: dict[str, dict | str], subjects: Column, stream: Column) -> Column:
     """The rule of each row's key; keys without one pass. For many rules, split the rows by key and union."""
     out = None

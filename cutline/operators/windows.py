@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,18 +21,34 @@ def islands(df: DataFrame, by: Sequence[str], at: str, gap: Column | float, out:
     return df.withColumn("__fresh", fresh).withColumn(out, F.sum("__fresh").over(window.rowsBetween(Window.unboundedPreceding, 0))).drop("__fresh")
 
 
-def anchored_clusters(df: DataFrame, by: Sequence[str], at: str, reach: float) -> DataFrame:
-    """Clusters whose members lie within ``reach`` of the first: by, clusters (array of arrays). A fold over sorted values."""
-    empty = F.array().cast("array<array<double>>")
+def anchored_numbers(df: DataFrame, by: Sequence[str], at: str, reach: float, out: str = "cluster") -> DataFrame:
+    """Number, from 1, the clusters whose members lie within ``reach`` of their first: by, at (double), out.
+
+    Rows stream past in order with the first member in memory, so a large group costs no more a row than a small one.
+    """
+    kinds = [f"{c} {df.schema[c].dataType.simpleString()}" for c in by]
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, first, n = None, 0.0, 0
+        for batch in batches:
+            numbers = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if n and row[:-1] == group:
+                    if row[-1] - first > reach:
+                        first, n = row[-1], n + 1
+                else:
+                    group, first, n = row[:-1], row[-1], 1
+                numbers.append(n)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64())], [*by, at, out])
 
-    def step(done: Column, x: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        joins = F.coalesce(x - F.try_element_at(last, F.lit(1)) <= reach, F.lit(False))
-        grown = F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.concat(last, F.array(x))))
-        return F.when(joins, grown).otherwise(F.concat(done, F.array(F.array(x))))
+    rows = df.where(F.col(at).isNotNull()).select(*by, F.col(at).cast("double").alias(at))
+    return rows.repartition(*by).sortWithinPartitions(*by, at).mapInArrow(number, f"{', '.join(kinds)}, {at} double, {out} long")
 
-    values = df.groupBy(*by).agg(F.sort_array(F.collect_list(F.col(at).cast("double"))).alias("__v"))
-    return values.select(*by, F.aggregate("__v", empty, step).alias("clusters"))
+
+def anchored_clusters(df: DataFrame, by: Sequence[str], at: str, reach: float) -> DataFrame:
+    """Clusters whose members lie within ``reach`` of the first: by, clusters (array of arrays)."""
+    each = anchored_numbers(df, by, at, reach, "__n").groupBy(*by, "__n").agg(F.sort_array(F.collect_list(at)).alias("__v"))
+    return each.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("__n", "__v"))), lambda c: c["__v"]).alias("clusters"))
 
 
 def number_ranges(df: DataFrame, by: Sequence[str], number: str, out: str = "spec") -> DataFrame:

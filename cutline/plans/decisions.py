@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from cutline.functions import columns as C
 from cutline.operators import decisions as D
 from cutline.operators import joins, presence
-from cutline.operators.rules import Baskets, basket_rule, input_problem, rule_gate
+from cutline.operators.rules import Baskets, basket_rule, counted_gate, input_problem
 
 from .registry import Tables, query
 
@@ -99,11 +99,11 @@ SELECT o_orderkey, CASE o_orderstatus
 FROM orders JOIN s ON l_orderkey = o_orderkey
 """)
 def rule_tree(t: Tables) -> DataFrame:
-    """Rule trees of all leaf kinds as columns, chosen by the row's key."""
+    """Rule trees of all leaf kinds, chosen by the row's key, over one conditional count for each leaf."""
     q = F.col("l_quantity")
     grade = F.when(q < 10, "F").when(q < 20, "S").when(q < 30, "C").when(q < 40, "B").otherwise("A")
-    s = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(F.struct(F.col("l_returnflag").alias("subject"), grade.alias("grade"))).alias("subjects"))
-    gate = rule_gate(F.col("o_orderstatus"), _RULES, F.col("subjects"), F.col("o_orderpriority"))
+    counts, gate = counted_gate(F.col("o_orderstatus"), _RULES, F.col("l_returnflag"), grade, F.col("o_orderpriority"))
+    s = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(*counts)
     return t.orders.join(s, "o_orderkey").select("o_orderkey", gate.alias("passes"))
 
 

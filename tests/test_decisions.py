@@ -1,3 +1,4 @@
+import random
 from decimal import Decimal
 
 import pytest
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 from cutline.functions import columns as C
 from cutline.operators import decisions as D
 from cutline.operators import ingest, matching, records
-from cutline.operators.rules import Baskets, basket_rule, compile_rule
+from cutline.operators.rules import Baskets, basket_rule, compile_rule, counted_gate, rule_gate
 
 SUBJECTS = "id int, subjects array<struct<subject:string,grade:string>>, stream string"
 
@@ -164,3 +165,18 @@ def test_active_config(spark):
     found = D.active_config(configs, default)
     assert found.weights == {"z_margin": 0.7, "interest": 0.3} and found.thresholds["safe_score"] == 0.6
     assert D.active_config(configs.where("version = 3"), default) is default
+
+
+def test_counted_rules_equal_compiled_ones(spark):
+    rules = {
+        "k1": {"type": "and", "conditions": [{"type": "any_n_subjects", "count": 2}, {"type": "one_of_min_grade", "subjects": ["x", "y"], "min_grade": "C"}]},
+        "k2": {"type": "or", "conditions": [{"type": "subject_min_grade", "subject": "z", "min_grade": "B"}, {"type": "stream_is", "streams": ["S1"]}]},
+        "k3": {"type": "count_from_list", "subjects": ["x", "z"], "count": 2, "min_grade": "S"}, "k4": {"type": "and", "conditions": []},
+    }
+    rng = random.Random(1)
+    rows = [(i, f"k{i % 5}", f"S{i % 2}", [(rng.choice("xyz"), rng.choice("FSCBAa")) for _ in range(rng.randint(0, 4))]) for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, k string, stream string, subjects array<struct<subject:string,grade:string>>")
+    each = df.select("id", F.explode("subjects").alias("s"))
+    counts, gate = counted_gate(F.col("k"), rules, F.col("s.subject"), F.col("s.grade"), F.col("stream"))
+    got = df.join(each.groupBy("id").agg(*counts), "id", "left").select("id", gate.alias("a"), rule_gate(F.col("k"), rules, F.col("subjects"), F.col("stream")).alias("b")).collect()
+    assert all(r.a == r.b for r in got) and {r.a for r in got} == {True, False}
