@@ -247,8 +247,25 @@ def read_digests(manifest: DataFrame) -> DataFrame:
 
 
 def lookup(manifest: DataFrame, keys: DataFrame) -> DataFrame:
-    """doc_id and ids (array<int>) of every stored row of the keys of a table; keys that aren't stored give no row."""
-    pairs = keys.select(F.col("doc_id").cast("long").alias("key")).distinct().join(manifest.select("uri", "low", "high"), (F.col("key") >= F.col("low")) & (F.col("key") <= F.col("high")))
+    """doc_id and ids (array<int>) of every stored row of the keys of a table; keys that aren't stored give no row.
+
+    The parts of the writer are ranges of keys that don't overlap: their bounds, a pair for each part, go to all tasks, and
+    a key finds its part by bisection. Keys and shards then meet by part, whose few shards are told apart by their bounds.
+    """
+    bounds = manifest.where("low IS NOT NULL").groupBy("part").agg(F.min("low").alias("low"), F.max("high").alias("high")).orderBy("low").toArrow()
+    shared = manifest.sparkSession.sparkContext.broadcast(tuple(bounds.column(c).to_numpy() for c in ("part", "low", "high")))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, lows, highs = shared.value
+        for batch in batches:
+            key = batch.column(0).to_numpy()
+            at = np.searchsorted(lows, key, side="right") - 1
+            held = at >= 0
+            held[held] = key[held] <= highs[at[held]]
+            yield pa.RecordBatch.from_arrays([pa.array(key[held]), pa.array(parts[at[held]].astype(np.int32))], ["key", "part"])
+
+    asked = keys.select(F.col("doc_id").cast("long").alias("key")).where("key IS NOT NULL").distinct().mapInArrow(place, "key long, part int")
+    pairs = asked.join(manifest.select("part", "uri", "low", "high"), "part").where("key >= low AND key <= high")
     wanted = pairs.groupBy("uri").agg(F.collect_list("key").alias("keys"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

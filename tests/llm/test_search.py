@@ -119,6 +119,25 @@ def test_ranks(spark, prose, odd):
     assert ranks_of(spark, prose.limit(0), items, 5)[0] == [] and ranks_of(spark, prose, [], 5)[0] == []
 
 
+def test_one_index_serves_other_items(spark, prose):
+    """The index holds the terms of all documents, so a second set of items needs no other one; items are searched in blocks."""
+    docs = [tuple(r) for r in prose.select("doc_id", "text").collect()]
+    index = ranked.build_index(prose, shard_bytes=5000)
+    assert index.rows.where("n_docs = 0").count() > 3  # a sheet of ids for each shard
+    for part in (docs[:30], docs[40:45]):
+        items = [(i, " ".join(t.split()[:6])) for i, t in part]
+        got = ranked.search(index, spark.createDataFrame(items, "item_id long, text string"), 4)
+        assert sorted((tuple(r) for r in got.collect()), key=str) == plain_ranks(docs, items, 4)
+
+
+def test_items_in_blocks(spark, prose, monkeypatch):
+    monkeypatch.setattr(ranked, "AT_ONCE", 3)
+    docs = [tuple(r) for r in prose.select("doc_id", "text").collect()]
+    items = [(i, " ".join(t.split()[3:8])) for i, t in docs[:14]]
+    got, _ = ranks_of(spark, prose, items, 5)
+    assert got == plain_ranks(docs, items, 5)
+
+
 def test_many_equal_scores(spark):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, "the same words again").otherwise("none").alias("text"))
     docs = docs.unionByName(spark.createDataFrame([(9000, "other text"), (None, "the same words again")], "doc_id long, text string"))
