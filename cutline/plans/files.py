@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cutline.functions import objects
-from cutline.operators import embedding
+from cutline.operators import confirm, embedding
 from cutline.sources import manifest, places, readers, writers
+from cutline.streaming import landing
 
 from .registry import Tables, query
 
@@ -136,6 +139,60 @@ def committed_versions(t: Tables) -> DataFrame:
     return row(manifest.read(t.spark, root, "orders", 1), 1).unionByName(row(manifest.read(t.spark, root, "orders"), 2)).unionByName(row(manifest.read(t.spark, root, "customers"), 3))
 
 
+_RUN = """
+c AS (SELECT p_brand AS k, max(p_type) AS raw_label, CASE WHEN p_brand LIKE 'Brand#1%' THEN 'unmapped_kept' WHEN p_brand LIKE 'Brand#2%' THEN 'ignored' ELSE 'confirmed' END AS status, p_brand LIKE 'Brand#3%' AS split FROM part GROUP BY 1),
+g AS (SELECT p_brand AS k, 'r' || p_size % 5 AS row, min(CAST(p_retailprice AS DECIMAL(12,2))) AS z, min(CAST(p_retailprice AS DECIMAL(12,2))) + max(p_size % 2) AS was FROM part GROUP BY 1, 2),
+used AS (SELECT * FROM c WHERE status = 'confirmed'),
+n AS (SELECT used.k, row, z, was FROM used JOIN g ON g.k = used.k WHERE NOT split),
+changed AS (SELECT k FROM n WHERE k NOT LIKE 'Brand#5%' AND abs(z - was) >= 0.0001 GROUP BY k)
+"""
+
+
+@query(f"""
+WITH {_RUN}
+SELECT 'aliases' AS what, count(*) AS n FROM used UNION ALL SELECT 'cells', (SELECT count(*) FROM used) * (SELECT count(DISTINCT row) FROM g) UNION ALL SELECT 'filled', count(*) FROM n
+UNION ALL SELECT 'overrides', count(*) FROM used WHERE split UNION ALL SELECT 'unmapped', count(*) FROM c WHERE status = 'unmapped_kept' UNION ALL SELECT 'changed', count(*) FROM changed
+UNION ALL SELECT 'added', count(*) FROM used WHERE k LIKE 'Brand#5%' UNION ALL SELECT 'removed', count(*) FROM c WHERE status <> 'confirmed' AND k <> 'Brand#21'
+""")
+def confirmed_run(t: Tables) -> DataFrame:
+    """A run confirmed as one commit, and what its tables hold when they are read back."""
+    brand = F.col("p_brand")
+    status = F.when(brand.startswith("Brand#1"), "unmapped_kept").when(brand.startswith("Brand#2"), "ignored").otherwise("confirmed")
+    streams = F.when(brand.startswith("Brand#3"), F.array(F.lit("S1")))
+    columns = t.part.groupBy("p_brand").agg(F.min("p_size").alias("page"), F.max("p_type").alias("raw_label")).select(brand.alias("column_key"), "page", "raw_label", F.when(status != "unmapped_kept", brand).alias("code"), status.alias("status"), streams.alias("streams"))
+    price, row = F.col("p_retailprice").cast("decimal(12,2)"), F.concat(F.lit("r"), (F.col("p_size") % 5).cast("string"))
+    cells = t.part.groupBy(brand.alias("code"), row.alias("row")).agg(F.min(price).alias("z"), F.max(F.col("p_size") % 2).alias("more"))
+    grid = cells.groupBy(F.col("code").alias("column_key")).agg(F.map_from_entries(F.collect_list(F.struct("row", F.col("z").cast("string")))).alias("values"))  # the rows of one table
+    aliases = t.spark.createDataFrame([], "alias_text string, course_code string, source string, confidence double")
+    catalog = t.part.where(~brand.startswith("Brand#5")).select(brand.alias("code"), F.lit(True).alias("is_active")).distinct()
+    before = cells.select("code", "row", (F.col("z") + F.col("more")).cast("double").alias("value"))
+    root = _folder(t, "confirmed")
+    confirm.confirm(root, columns, grid, aliases, catalog, before, "confirmed", t.part.where("p_brand = 'Brand#21'").select(brand.alias("code")).distinct())
+    held = {name: manifest.read(t.spark, root, name) for name in ("aliases", "cells", "overrides", "unmapped", "changes")}
+    held["filled"] = held["cells"].where("value IS NOT NULL")
+    held |= {kind: held["changes"].where(F.col("kind") == kind) for kind in ("changed", "added", "removed")}
+    counts = [held[name].agg(F.count("*").alias("n")).select(F.lit(name).alias("what"), "n") for name in held if name != "changes"]
+    return reduce(DataFrame.unionByName, counts)
+
+
+@query("""
+SELECT event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS total FROM events GROUP BY 1
+""")
+def landed_rows(t: Tables) -> DataFrame:
+    """Files that land in a folder are handed over once each and merged, also when a batch comes again."""
+    folder, table, checkpoint = (_folder(t, x) for x in ("landing", "landed", "checkpoint"))
+    events = t.events.select("event_id", "event_type")
+
+    def merge(batch: DataFrame, number: int) -> None:
+        for _ in range(2):  # as if the first try had been lost after it had written
+            batch.write.mode("overwrite").parquet(f"{table}/batch={number}")
+
+    for part in (0, 1):
+        events.where(F.col("event_id") % 2 == part).write.mode("append").parquet(folder)
+        landing.drain(t.spark, folder, "event_id long, event_type string", checkpoint, merge).awaitTermination()
+    return t.spark.read.schema("event_id long, event_type string, batch int").parquet(table).groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("total"))
+
+
 _PATCH = """CASE event_id % 4 WHEN 0 THEN '{"seen":{"type":"' || event_type || '","n":1}}' WHEN 1 THEN '{"k":null,"user":' || user_id || '}' WHEN 2 THEN '{"k":{"of":' || user_id || '}}' END"""
 
 
