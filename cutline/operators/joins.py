@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cutline.sources.places import stash
+
 
 def override_join(base: DataFrame, overrides: DataFrame, on: Sequence[str], value: str, override: str, out: str, only: Column | None = None) -> DataFrame:
     """Left join on the keys, with ``only`` a condition on the overrides; ``out`` is the override or else the base value."""
@@ -124,18 +126,17 @@ def subset_of_any(left: DataFrame, words: str, right: DataFrame, other_words: st
 def words_held(items: DataFrame, key: str, words: str, texts: DataFrame, text_words: str) -> DataFrame:
     """The items with a flag ``subset``: some text holds all their (distinct) words. Items without words fit any text.
 
-    Each text is reduced once to those of its words that any item has; texts that hold the same of them are one. An item
-    meets only the texts that hold its rarest word (ties: the word that sorts first), and they carry what is left of them.
+    Each text is cut into words once; those that any item has are stored, a row each. An item meets only the texts that
+    hold its rarest word (ties: the word that sorts first), and there its words are counted: no array is made or compared.
     """
-    each = items.select(key, words, F.explode(words).alias("__x"))
+    each = items.select(key, F.size(F.array_distinct(words)).alias("__m"), F.explode(F.array_distinct(words)).alias("__x"))
     known = each.select("__x").distinct()
-    # a text is known by 128 bits of its words, and its rows travel one word wide
-    cut = texts.select(F.struct(F.xxhash64(text_words), F.xxhash64(F.lit(1), text_words)).alias("__h"), F.explode(F.array_distinct(text_words)).alias("__x"))
-    held = cut.join(known, "__x", "left_semi").groupBy("__h").agg(F.array_sort(F.collect_set("__x")).alias("__t")).groupBy("__t").agg(F.count("*").alias("__n"))
-    said = held.select("__n", F.explode("__t").alias("__x")).groupBy("__x").agg(F.sum("__n").alias("__n"))
-    rarest = each.join(said, "__x", "left").groupBy(key, words).agg(F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), F.col("__x").alias("x"))).alias("__r"))
-    rarest = rarest.where("__r.n > 0").select(key, F.col(words).alias("__w"), F.col("__r.x").alias("__x"))
-    met = held.select("__t", F.explode("__t").alias("__x")).join(rarest, "__x")
-    found = met.where(F.size(F.array_except("__w", "__t")) == 0).select(key).distinct()
+    cut = texts.select(F.monotonically_increasing_id().alias("__id"), F.array_distinct(text_words).alias("__w")).select("__id", F.explode("__w").alias("__x"))
+    held = stash(cut.join(known, "__x", "left_semi").select("__id", "__x"), "held_words")
+    said = held.groupBy("__x").agg(F.count("*").alias("__n"))
+    rarest = each.join(said, "__x", "left").groupBy(key).agg(F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), F.col("__x").alias("x"))).alias("__r")).where("__r.n > 0")
+    met = held.join(rarest.select(key, F.col("__r.x").alias("__x")), "__x").select(key, "__id")
+    counted = met.join(each, key).join(held, ["__id", "__x"]).groupBy(key, "__id", "__m").agg(F.count("*").alias("__k"))
+    found = counted.where("__k = __m").select(key).distinct()
     none = items.where(F.size(words) == 0).select(key).join(texts.limit(1).select(F.lit(True).alias("__any")), how="cross").select(key)  # one text at most
     return exists_flag(items, found.unionByName(none), [key], "subset")
