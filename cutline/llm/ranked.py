@@ -9,8 +9,9 @@ what its bound, the largest impact, exceeds its postings' impacts by, plus ``BLO
 
 Search. Within a shard an item's block boundaries cut the places of documents into intervals; an interval's bound is the
 sum of weight times block bound over the blocks that cover it, nothing where a list has a gap. Intervals are scored from
-the highest bound down, until k documents stand: from then on only intervals whose bound reaches the k-th score are read
-(one that is equal too: ties are ordered by doc_id), all other blocks are skipped unread. Shards' k best meet in two
+the highest bound down, in rounds that grow, each raising the k-th best score so far: only intervals whose bound reaches
+it are read (one that is equal too: ties are ordered by doc_id), and once the next bound doesn't, all other blocks are
+skipped unread. Shards' k best meet in two
 rankings, the first of them split by shard.
 
 Defined results: a text is cut at everything but ASCII letters and digits and characters beyond ASCII, only A to Z are
@@ -39,7 +40,7 @@ SHARD_BYTES, SHARD_DOCS = 16 << 20, 1 << 16
 STRETCH, LONGEST, BLOCK_COST = 512, 64, 400_000.0
 #: Items that are searched together in a shard.
 AT_ONCE = 512
-#: Documents that are scored before the first threshold holds, as a multiple of k.
+#: Places of the first round, as a multiple of k; each later one has four times as many.
 FIRST = 4
 
 _INDEX = "shard long, term binary, n_docs long, places binary, impacts binary, ends binary, bounds binary, ids array<long>"
@@ -236,33 +237,24 @@ def best(places: np.ndarray, impacts: np.ndarray, begins: np.ndarray, ends: np.n
     width = np.diff(cuts)
     order = np.argsort(-bound, kind="stable")
     scores = np.zeros(n_places, np.int64)
-    done = np.zeros(len(bound), bool)
-    limit, read, floor = FIRST * k, 0, 1
-    while True:
-        if limit is not None:
-            todo = order[: np.searchsorted(np.cumsum(width[order]), limit) + 1]
-            todo = todo[bound[todo] > 0]
-        else:
-            todo = np.flatnonzero(~done & (bound >= floor))
-        if len(todo):
-            live = np.zeros(len(bound) + 1, np.int64)
-            live[todo + 1] = 1
-            live = np.cumsum(live)
-            used = np.flatnonzero(live[to] > live[from_])  # blocks that cover an interval to be read
-            sizes = ends[used] - begins[used]
-            rows = np.repeat(begins[used] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-            at = places[rows]
-            keep = np.zeros(len(bound), bool)
-            keep[todo] = True
-            inside = keep[np.searchsorted(cuts, at, side="right") - 1]
-            np.add.at(scores, at[inside], (impacts[rows].astype(np.int64) * np.repeat(weights[used], sizes))[inside])
-            done[todo] = True
-            read += len(rows)
-        if limit is None:
-            break
-        limit = None
+    limit, read, floor, at = FIRST * k, 0, 1, 0
+    while at < len(order) and bound[order[at]] >= floor:
+        # the next intervals, the highest bounds first, of ``limit`` places or one longer interval
+        end = at + int(np.searchsorted(np.cumsum(width[order[at:]]), limit)) + 1
+        todo = order[at:end]
+        todo = todo[bound[todo] >= floor]
+        keep = np.zeros(len(bound), bool)
+        keep[todo] = True
+        live = np.concatenate([[0], np.cumsum(keep)])
+        used = np.flatnonzero(live[to] > live[from_])  # blocks that cover an interval to be read
+        sizes = ends[used] - begins[used]
+        rows = np.repeat(begins[used] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        inside = keep[np.searchsorted(cuts, places[rows], side="right") - 1]
+        np.add.at(scores, places[rows][inside], (impacts[rows].astype(np.int64) * np.repeat(weights[used], sizes))[inside])
+        read += len(rows)
         if (scores > 0).sum() >= k:
             floor = max(1, int(np.partition(scores, len(scores) - k)[len(scores) - k]))
+        at, limit = end, limit * 4
     found = np.flatnonzero(scores > 0)
     found = found[np.lexsort((found, -scores[found]))][:k]
     return found, scores[found], read
