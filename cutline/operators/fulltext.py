@@ -1,11 +1,13 @@
 """Full-text search: stemmed words with their places and weights in a stored postings table, ranked by how close a query's words stand.
 
 Words are runs of letters and digits in lower case; stop words are left out but keep their places; all others are
-stemmed. A document's fields follow each other in place, each with its weight. Postings are sorted by term and document
-over ranges, so that a term that most documents hold spreads over as many files as it needs and a search reads its
-terms' files only.
+stemmed. A document's fields follow each other in place, each with its weight. Postings are kept in shards of documents of
+bounded bytes, a row for each shard and term, so that no term's postings of all documents meet in one place. Rows that
+repeat a key are documents of their own, those without one are left out.
 
-A query asks for all its words. It meets the documents of its rarest term first, then the other terms of these. The
+A query asks for all its words. It is met with one shard of documents after the other, and there with the documents of
+its rarest term first, then the other terms of these. Ranks are bounded by the numbers of places, then computed for those
+whose bound reaches the k-th best, and once more as ``rank_of`` says for those that may be among the k best. The
 rank of one word is the sum of weight / n**2 over its n-th places, the heaviest place counting as the first, divided by
 pi**2 / 6; that of several words is 1 - product(1 - sqrt(w1 * w2 * d)) over all pairs of places of different words,
 d = 1 / (1.005 + 0.05 * exp(distance / 1.5 - 2)), next to nothing beyond 100 words. These are the published formulas of
@@ -16,16 +18,21 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator, Sequence
+from array import array
+from bisect import bisect_left
+from collections.abc import Callable, Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cutline.functions.stem import stem
-from cutline.sources.places import stash
+from cutline.sources.places import new_path, register, stash
 
 #: The English words that a full-text configuration leaves out.
 STOP_WORDS = frozenset(
@@ -38,83 +45,142 @@ STOP_WORDS = frozenset(
 #: Weights of the classes of fields, from headings to bodies.
 WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
 WORD = re.compile(r"[^\W_]+")
-#: Stems that a Python worker keeps, and postings of one Arrow batch.
-CACHED, AT_ONCE = 200_000, 100_000
-_POSTING = "term string, places array<int>, weights array<float>"
+#: Stems that a Python worker keeps, and rows of one Arrow batch.
+CACHED, AT_ONCE = 200_000, 20_000
+#: Characters and documents of a shard; shards of the first round, by how much the rounds grow, and terms that may be broadcast.
+SHARD_CHARS, SHARD_DOCS, FIRST_SHARDS, GROWTH, BROADCAST_TERMS = 24 << 20, 1 << 16, 12, 8, 1_000_000
+#: Documents of a set that are ranked first, places that are met at once, and pairs of places of one document.
+FIRST, AT_A_TIME, CROSSED = 64, 1 << 15, 1 << 20
+#: Square roots of d by distance, what a pair beyond 100 words adds (1 - 1e-16 as a double), and from where a rank is 1 as a double.
+NEARNESS = np.sqrt(np.concatenate([[0.0], 1 / (1.005 + 0.05 * np.exp(np.arange(1, 101) / 1.5 - 2))]))
+FAR, FULL = 2.0**-53, 45.0
+_POSTING = "shard long, term string, docs binary, sizes binary, places binary, fields binary"
 
 
 class Postings(NamedTuple):
     rows: DataFrame
     key: str
+    kind: str
+    weights: tuple[float, ...]
+    n_shards: int
 
 
-def _stems(text: str, cache: dict[str, str]) -> Iterator[tuple[int, str]]:
-    """Place (from 1) and stem of each word that isn't a stop word."""
-    for place, word in enumerate(WORD.findall(text.lower()), 1):
-        if word not in STOP_WORDS:
-            found = cache.get(word)
-            if found is None:
-                if len(cache) >= CACHED:
-                    cache.clear()
-                found = cache[word] = stem(word)
-            yield place, found
+def _stem(word: str, cache: dict[str, str]) -> str:
+    found = cache.get(word)
+    if found is None:
+        if len(cache) >= CACHED:
+            cache.clear()
+        found = cache[word] = stem(word)
+    return found
+
+
+class _Numbers(dict):
+    """Words to the numbers of their terms, -1 for stop words."""
+
+    def __init__(self, cache: dict[str, str]):
+        super().__init__()
+        self.cache, self.terms = cache, {}
+
+    def __missing__(self, word: str) -> int:
+        found = self[word] = -1 if word in STOP_WORDS else self.terms.setdefault(_stem(word, self.cache), len(self.terms))
+        return found
+
+
+def _shard(shard: int, keys: list, kind: pa.DataType, texts: list[tuple], cache: dict[str, str]) -> pa.RecordBatch:
+    """The rows of one shard, in the order of terms, behind one of the empty term with its keys in order."""
+    order = sorted(range(len(keys)), key=keys.__getitem__)
+    numbers, said, lengths, starts = _Numbers(cache), array("i"), [], []
+    for i in order:
+        base = 0
+        for text in texts[i]:
+            ids = list(map(numbers.__getitem__, WORD.findall((text or "").lower())))
+            while ids and ids[-1] < 0:
+                ids.pop()
+            said.extend(ids)
+            lengths.append(len(ids))
+            starts.append(base)
+            base += len(ids)
+    lengths = np.array(lengths, np.int64)
+    terms = np.frombuffer(said, np.int32) if len(said) else np.zeros(0, np.int32)
+    field = np.repeat(np.arange(len(lengths)), lengths)
+    n_fields = len(texts[0])
+    places = np.arange(len(terms)) - np.repeat(np.cumsum(lengths) - lengths - np.array(starts, np.int64), lengths) + 1
+    by = sorted(numbers.terms)
+    rank = np.full(len(by) + 1, -1, np.int32)
+    rank[[numbers.terms[t] for t in by]] = np.arange(len(by))
+    terms = rank[terms]
+    sort = np.argsort(terms, kind="stable")[int((terms < 0).sum()) :]
+    terms, field, places = terms[sort], field[sort], places[sort]
+    docs = field // n_fields
+    fresh = np.flatnonzero(np.append(True, (np.diff(terms) != 0) | (np.diff(docs) != 0))) if len(terms) else np.zeros(0, np.int64)
+    edges = np.searchsorted(terms, np.arange(len(by) + 1))
+    posts = np.searchsorted(fresh, edges)
+
+    def spread(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+        data = np.ascontiguousarray(values)
+        offsets = np.append(0, cuts).astype(np.int32) * data.itemsize  # the first row is empty
+        return pa.BinaryArray.from_buffers(pa.binary(), len(by) + 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+    columns = [
+        pa.array(np.full(len(by) + 1, shard)), pa.array(["", *by], pa.string()), spread(docs[fresh].astype(np.uint16), posts), spread(np.diff(np.append(fresh, len(terms))).astype(np.uint32), posts),
+        spread(places.astype(np.uint32), edges), spread((field % n_fields).astype(np.uint8), edges), pa.array([[keys[i] for i in order]] + [None] * len(by), pa.list_(kind)),
+    ]
+    return pa.RecordBatch.from_arrays(columns, ["shard", "term", "docs", "sizes", "places", "fields", "keys"])
 
 
 def build_postings(docs: DataFrame, key: str, fields: Sequence[tuple[str, str]]) -> Postings:
-    """Stored: key, term, places and weights. fields: a text column and its class (A to D) each, in the order of their places."""
-    weights = [WEIGHTS[c] for _, c in fields]
+    """The postings of all documents, stored. fields: a text column and its class (A to D) each, in the order of their places.
+
+    Each task cuts its documents into shards of bounded bytes and writes these: one pass, nothing is shuffled.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, made, size = TaskContext.get().partitionId(), 0, 0
         cache: dict[str, str] = {}
         keys: list = []
-        terms: list[str] = []
-        places: list[list[int]] = []
-        heavy: list[list[float]] = []
+        texts: list[tuple] = []
 
-        def out(kind: pa.DataType) -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array(terms, pa.string()), pa.array(places, pa.list_(pa.int32())), pa.array(heavy, pa.list_(pa.float32()))], [key, "term", "places", "weights"])
-            keys.clear(), terms.clear(), places.clear(), heavy.clear()
-            return made
+        def out(kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+            rows = _shard(part << 32 | made, keys, kind, texts, cache)
+            for i in range(0, len(rows), AT_ONCE):
+                yield rows.slice(i, AT_ONCE)
 
+        kind = None
         for batch in batches:
             kind = batch.schema.field(0).type
-            for i, row_key in enumerate(batch.column(0).to_pylist()):
-                base, found = 0, {}
-                for text, weight in zip((batch.column(1 + j)[i].as_py() for j in range(len(weights))), weights, strict=True):
-                    words = 0
-                    for place, term in _stems(text or "", cache):
-                        at, w = found.setdefault(term, ([], []))
-                        at.append(base + place)
-                        w.append(weight)
-                        words = place
-                    base += words
-                keys += [row_key] * len(found)
-                terms += found
-                for at, w in found.values():
-                    places.append(at)
-                    heavy.append(w)
-                if len(keys) >= AT_ONCE:
-                    yield out(kind)
-            if keys:
-                yield out(kind)
+            # one text after the other: a batch may hold more than a shard
+            for row_key, *text in zip(*batch.columns, strict=True):
+                text = tuple(x.as_py() for x in text)
+                n = sum(len(x or "") for x in text)
+                if keys and (size + n > SHARD_CHARS or len(keys) == SHARD_DOCS):
+                    yield from out(kind)
+                    made, size, keys, texts = made + 1, 0, [], []
+                keys.append(row_key.as_py())
+                texts.append(text)
+                size += n
+        if keys:
+            yield from out(kind)
 
     kind = docs.schema[key].dataType.simpleString()
-    rows = docs.where(F.col(key).isNotNull()).select(key, *(f for f, _ in fields)).mapInArrow(cut, f"{key} {kind}, {_POSTING}")
-    return Postings(stash(rows.repartitionByRange("term", key).sortWithinPartitions("term", key), "postings"), key)
+    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), *(F.col(f).alias(f"f{i}") for i, (f, _) in enumerate(fields))).mapInArrow(cut, f"{_POSTING}, keys array<{kind}>")
+    held = stash(rows, "postings")
+    return Postings(held, key, kind, tuple(float(np.float32(WEIGHTS[c])) for _, c in fields), held.where("term = ''").count())
 
 
 def query_terms(queries: DataFrame, query: str, text: str) -> DataFrame:
-    """query and its distinct terms, one a row, with their number n."""
+    """query and its distinct terms in order; queries without a word or an id are left out."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, str] = {}
         for batch in batches:
-            found = [list(dict.fromkeys(t for _, t in _stems(x or "", cache))) for x in batch.column(1).to_pylist()]
+            found = [list({_stem(w, cache) for w in WORD.findall((x or "").lower()) if w not in STOP_WORDS}) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], [query, "terms"])
 
     kind = queries.schema[query].dataType.simpleString()
-    cut_up = queries.select(query, text).mapInArrow(cut, f"{query} {kind}, terms array<string>")
-    return cut_up.select(query, F.size("terms").alias("n"), F.explode("terms").alias("term"))
+    cut_up = queries.where(F.col(query).isNotNull()).select(query, text).mapInArrow(cut, f"{query} {kind}, terms array<string>")
+    return cut_up.where(F.size("terms") > 0).select(query, F.array_sort("terms").alias("terms")).distinct()
 
 
 def rank_of(entries: Sequence[tuple[Sequence[int], Sequence[float]]]) -> float:
@@ -127,33 +193,204 @@ def rank_of(entries: Sequence[tuple[Sequence[int], Sequence[float]]]) -> float:
     rest = 1.0
     for i, (places, weights) in enumerate(entries):
         for other, other_weights in entries[:i]:
-            distance = np.abs(np.subtract.outer(np.asarray(places, np.float64), np.asarray(other, np.float64)))
-            near = np.where(distance > 100, 1e-30, 1 / (1.005 + 0.05 * np.exp(np.minimum(distance, 100) / 1.5 - 2)))
-            each = np.sqrt(np.multiply.outer(np.asarray(weights, np.float64), np.asarray(other_weights, np.float64)) * near)
-            rest *= float(np.prod(1 - each[distance > 0]))
+            step = max(1, CROSSED // len(other))
+            for at in range(0, len(places), step):
+                distance = np.abs(np.subtract.outer(np.asarray(places[at : at + step], np.float64), np.asarray(other, np.float64)))
+                near = np.where(distance > 100, 1e-30, 1 / (1.005 + 0.05 * np.exp(np.minimum(distance, 100) / 1.5 - 2)))
+                each = np.sqrt(np.multiply.outer(np.asarray(weights[at : at + step], np.float64), np.asarray(other_weights, np.float64)) * near)
+                rest *= float(np.prod(1 - each[distance > 0]))
     return 1 - rest
 
 
+class _Shard:
+    """The postings of the wanted terms in one shard of documents, by term, document and place. Documents are in the order of their keys."""
+
+    def __init__(self, table: pa.Table, weights: Sequence[float]):
+        rows = table.take(pc.sort_indices(table.column("term"))).combine_chunks()
+        self.keys, rows = rows.column("keys")[0].as_py(), rows.slice(1)
+        flat = lambda c, kind: np.frombuffer(b"".join(rows.column(c).to_pylist()), kind)
+        self.terms = rows.column("term").combine_chunks()
+        self.docs, self.sizes = flat("docs", np.uint16).astype(np.int64), flat("sizes", np.uint32).astype(np.int64)
+        self.at = np.repeat(self.docs << 32, self.sizes) + flat("places", np.uint32)
+        self.heavy = np.array(weights)[flat("fields", np.uint8)]
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.ends = np.cumsum(pc.binary_length(rows.column("docs").combine_chunks()).to_numpy().astype(np.int64) // 2)
+        self.firsts = np.append(0, self.ends[:-1])[: len(self.ends)]
+
+    def meet(self, terms: list[int]) -> np.ndarray:
+        """A row for each term: its postings in the documents that hold all of them."""
+        rarest = min(terms, key=lambda t: self.ends[t] - self.firsts[t])
+        docs, held = self.docs[self.firsts[rarest] : self.ends[rarest]], {rarest: np.arange(self.firsts[rarest], self.ends[rarest])}
+        for t in terms:
+            if t != rarest:
+                own = self.docs[self.firsts[t] : self.ends[t]]
+                to = np.minimum(np.searchsorted(own, docs), len(own) - 1)
+                fits = own[to] == docs
+                docs, held = docs[fits], {o: rows[fits] for o, rows in held.items()} | {t: (self.firsts[t] + to)[fits]}
+        return np.stack([held[t] for t in terms])
+
+    def spread(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the postings, and where among the places, for all places of the postings."""
+        sizes = self.sizes[rows]
+        which = np.repeat(np.arange(len(rows)), sizes)
+        return which, np.arange(len(which)) + np.repeat(self.starts[rows] - (np.cumsum(sizes) - sizes), sizes)
+
+    def alone(self, rows: np.ndarray) -> np.ndarray:
+        """The ranks of one word, but for rounding."""
+        which, at = self.spread(rows)
+        n = at - self.starts[rows][which] + 1
+        edges = np.cumsum(self.sizes[rows]) - self.sizes[rows]
+        top = np.maximum.reduceat(self.heavy[at], edges)
+        first = np.minimum.reduceat(np.where(self.heavy[at] == top[which], n, len(n) + 1), edges).astype(np.float64)
+        return (top + np.add.reduceat(self.heavy[at] / n.astype(np.float64) ** 2, edges) - top / first**2) / (math.pi**2 / 6)
+
+    def logs(self, rows: np.ndarray) -> np.ndarray:
+        """Minus the logarithms of what the ranks of several words leave to 1, but for rounding: only places within 100 words are met."""
+        out = np.zeros(rows.shape[1])
+        for i in range(len(rows)):
+            for j in range(i):
+                a, b = (rows[i], rows[j]) if self.sizes[rows[i]].sum() <= self.sizes[rows[j]].sum() else (rows[j], rows[i])
+                own, other = self.spread(a), self.spread(b)
+                there = self.at[other[1]]  # documents ascend, so these do
+                lo = np.searchsorted(there, self.at[own[1]] - 100)
+                n = np.searchsorted(there, self.at[own[1]] + 100, side="right") - lo
+                mine = np.repeat(np.arange(len(n)), n)
+                theirs = np.arange(len(mine)) + np.repeat(lo - (np.cumsum(n) - n), n)
+                p, q = own[1][mine], other[1][theirs]
+                each = np.sqrt(self.heavy[p] * self.heavy[q]) * NEARNESS[np.abs(self.at[p] - self.at[q])]
+                met = np.bincount(own[0], n, len(out))
+                out += np.bincount(own[0][mine], -np.log1p(-each), len(out)) + FAR * (self.sizes[a] * self.sizes[b] - met)
+        return out
+
+    def most(self, rows: np.ndarray) -> np.ndarray:
+        """What ``logs`` can't exceed: a place has two others at most at each distance."""
+        out = np.zeros(rows.shape[1])
+        sizes, top = self.sizes[rows], self.heavy.max(initial=0.0)
+        each = -np.log1p(-top * NEARNESS)
+        for i in range(len(rows)):
+            for j in range(i):
+                pairs = sizes[i] * sizes[j]
+                out += np.minimum(pairs * each[1], np.minimum(sizes[i], sizes[j]) * 2 * each.sum()) + FAR * pairs
+        return out * (1 + 1e-9)
+
+    def exact(self, rows: np.ndarray, known: dict) -> float:
+        """``rank_of`` one document, once for all that hold the words at the same distances."""
+        at = [slice(self.starts[r], self.starts[r] + self.sizes[r]) for r in rows]
+        first = min(self.at[a.start] for a in at)
+        same = tuple(x for a in at for x in ((self.at[a] - first).tobytes(), self.heavy[a].tobytes()))
+        if same not in known:
+            known[same] = rank_of([((self.at[a] - first), self.heavy[a]) for a in at])
+        return known[same]
+
+    def best(self, terms: list[int], k: int, floor: float, before: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k best documents, as places among the keys, and their scores: those over ``floor``, or at it and before ``before``."""
+        rows = self.meet(terms)
+        docs = self.docs[rows[0]]
+        if len(terms) == 1:
+            about = self.alone(rows[0]) if len(docs) else np.zeros(0)
+            slack, full = np.full(len(docs), 1e-14), np.zeros(len(docs), bool)
+        else:
+            most = self.most(rows)
+            bound = -np.expm1(-most) + 1e-15
+            take = np.flatnonzero((bound > floor) | (bound >= floor) & (docs < before))
+            take = take[np.lexsort((docs[take], -np.minimum(bound[take], 1.0)))]
+            about, full, seen, at, limit = np.zeros(len(docs)), np.zeros(len(docs), bool), [], 0, max(FIRST, 2 * k)
+            pairs = sum(self.sizes[rows[i]] * self.sizes[rows[j]] for i in range(len(rows)) for j in range(i))
+            slack = 1e-15 * (16 + pairs)
+            kth, last = floor, len(self.keys)
+            while at < len(take):
+                # the highest bounds first; what can't be among the k best is left out unread
+                todo = take[at : at + limit]
+                todo = todo[(bound[todo] >= kth) & (docs[todo] < last)]
+                for piece in self._pieces(todo, self.sizes[rows].sum(0)):
+                    left = self.logs(rows[:, piece])
+                    about[piece], full[piece] = -np.expm1(-left), left > FULL
+                seen.append(todo)
+                at, limit = at + limit, limit * 4
+                done = np.concatenate(seen)
+                if len(done) >= k:
+                    kth = max(kth, float(np.partition((about - slack)[done], len(done) - k)[len(done) - k]))
+                certain = docs[done[full[done]]]
+                if len(certain) >= k:
+                    last = min(last, int(np.partition(certain, k - 1)[k - 1]) + 1)
+                if at < len(take) and bound[take[at]] < kth:
+                    break
+            done = np.concatenate(seen) if seen else np.zeros(0, np.int64)
+            rows, docs, about, slack, full = rows[:, done], docs[done], about[done], slack[done], full[done]
+            slack[full] = 0
+            about[full] = 1.0
+        keep = about + slack >= floor
+        if keep.sum() > k:
+            low = (about - slack)[keep]
+            keep &= about + slack >= np.partition(low, len(low) - k)[len(low) - k]
+        if (keep & full).sum() > k:  # of those at 1 the first k by key
+            keep &= ~full | (docs <= np.partition(docs[keep & full], k - 1)[k - 1])
+        known: dict = {}
+        kept = np.flatnonzero(keep)
+        scores = np.array([1.0 if full[i] else self.exact(rows[:, i], known) for i in kept], np.float64)
+        good = (scores > floor) | (scores == floor) & (docs[kept] < before)
+        kept, scores = docs[kept][good], scores[good]
+        top = np.lexsort((kept, -scores))[:k]
+        return kept[top], scores[top]
+
+    def _pieces(self, todo: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+        """In the order of documents, as many together as have ``AT_A_TIME`` places."""
+        todo = np.sort(todo)
+        cuts = np.cumsum(sizes[todo]) // AT_A_TIME
+        return [p for p in np.split(todo, np.flatnonzero(np.diff(cuts)) + 1) if len(p)]
+
+
+def _search_shard(table: pa.Table, weights: Sequence[float], key: str, kind: pa.DataType, k: int, sheet: pa.Table) -> pa.Table:
+    """All sets of terms (set, terms, floor, floor_key) against one shard: set, key, score."""
+    sets, docs, scores = [], [], []
+    if len(table) > 1 and len(sheet):
+        shard = _Shard(table, weights)
+        terms = sheet.column("terms").combine_chunks()
+        at = pc.fill_null(pc.index_in(terms.flatten(), value_set=shard.terms), -1).to_numpy()
+        edges = np.append(0, np.cumsum(pc.list_value_length(terms).to_numpy()))
+        ids, floors, floor_keys = sheet.column("set").to_numpy(), sheet.column("floor").to_pylist(), sheet.column("floor_key").to_pylist()
+        for s in np.flatnonzero(np.minimum.reduceat(at, edges[:-1]) >= 0):
+            floor, before = (-1.0, len(shard.keys)) if floors[s] is None else (floors[s], bisect_left(shard.keys, floor_keys[s]))
+            found, score = shard.best(at[edges[s] : edges[s + 1]].tolist(), k, floor, before)
+            sets.append(np.full(len(found), ids[s]))
+            docs += [shard.keys[i] for i in found]
+            scores.append(score)
+    joined = lambda parts, kind: np.concatenate([*parts, np.zeros(0, kind)]).astype(kind)
+    return pa.table({"set": joined(sets, np.int64), key: pa.array(docs, kind), "score": joined(scores, np.float64)})
+
+
+def _searcher(path: str, weights: Sequence[float], key: str, k: int) -> Callable[[pa.Table], pa.Table]:
+    def look(table: pa.Table) -> pa.Table:
+        fs, place = pa.fs.FileSystem.from_uri(path)
+        return _search_shard(table, weights, key, table.schema.field("keys").type.value_type, k, pq.read_table(place, filesystem=fs))
+
+    return look
+
+
 def search(postings: Postings, queries: DataFrame, query: str, text: str, k: int) -> DataFrame:
-    """The k best documents of each query: query, key, score, rank (ties: the lower key)."""
-    key = postings.key
-    asked = stash(query_terms(queries, query, text), "asked")
-    wanted = asked.select("term").distinct()
-    frequent = stash(postings.rows.select("term").join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df")), "frequencies")
-    # a query with a term that no document holds finds nothing
-    known = asked.join(frequent, "term")
-    whole = known.groupBy(query, "n").agg(F.count("*").alias("m"), F.min(F.struct("df", "term")).alias("rarest")).where("m = n")
-    first = postings.rows.select("term", key).join(whole.select(query, "n", F.col("rarest.term").alias("term")), "term").select(query, "n", key)
-    met = stash(first, "candidates")
-    held = postings.rows.join(asked.select(query, "term"), "term").join(met, [query, key]).groupBy(query, key, "n").agg(F.array_sort(F.collect_list(F.struct("term", "places", "weights"))).alias("entries"))
-    full = held.where(F.size("entries") == F.col("n")).select(query, key, "entries")
-
-    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores = [rank_of([(e["places"], e["weights"]) for e in row.as_py()]) for row in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], [query, key, "score"])
+    """The k best documents of each query: query, key, score, rank (ties: the lower key).
 
-    kinds = [f"{c} {full.schema[c].dataType.simpleString()}" for c in (query, key)]
-    scored = full.mapInArrow(ranked, f"{', '.join(kinds)}, score double")
-    order = Window.partitionBy(query).orderBy(F.desc("score"), key)
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    Queries of the same terms are one set of terms. Each shard meets all sets in memory, with the postings of their
+    terms, and gives the k best of each, so no pair of a query and a document that isn't among them is ever written.
+    Shards come in rounds that grow: later ones give only what beats the k-th best of the rounds before.
+    """
+    key, spark = postings.key, postings.rows.sparkSession
+    asked = stash(query_terms(queries, query, text), "asked")
+    sets = stash(asked.select("terms").distinct().withColumn("set", F.monotonically_increasing_id()), "sets")
+    wanted = stash(sets.select(F.explode("terms").alias("term")).unionByName(spark.sql("SELECT '' AS term")).distinct(), "wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_TERMS else wanted
+    bucket = F.pmod(F.xxhash64("shard"), F.lit(max(1, postings.n_shards)))
+    best, begin, end = None, 0, FIRST_SHARDS
+    while best is None or begin < postings.n_shards:
+        floors = sets.withColumns({"floor": F.lit(None).cast("double"), "floor_key": F.lit(None).cast(postings.kind)})
+        if best is not None:
+            floors = sets.join(best.where(F.col("rank") == k).select("set", F.col("score").alias("floor"), F.col(key).alias("floor_key")), "set", "left")
+        path = register(spark, new_path(spark, "floors"))
+        floors.write.parquet(path)
+        held = postings.rows.where((bucket >= begin) & (bucket < end)).join(wanted, "term", "left_semi")
+        found = held.groupBy("shard").applyInArrow(_searcher(path, postings.weights, key, k), f"set long, {key} {postings.kind}, score double")
+        found = found if best is None else found.unionByName(best.drop("rank"))
+        order = Window.partitionBy("set").orderBy(F.desc("score"), key)
+        best = stash(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "best")
+        begin, end = end, end * GROWTH
+    return asked.join(sets, "terms").select(query, "set").join(best, "set").select(query, key, "score", "rank")

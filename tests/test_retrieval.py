@@ -149,6 +149,41 @@ def test_fulltext(spark):
     assert fulltext.search(postings, asked.limit(0), "query_id", "said", 3).count() == 0
 
 
+def test_fulltext_writes_no_pairs(spark, monkeypatch):
+    """Over shards and rounds the results stay exact, and what is written grows with queries and documents, not with their pairs."""
+    monkeypatch.setattr(fulltext, "SHARD_CHARS", 900, raising=False)
+    monkeypatch.setattr(fulltext, "FIRST_SHARDS", 2, raising=False)
+    monkeypatch.setattr(fulltext, "GROWTH", 2, raising=False)
+    written = []
+
+    def counted(df, name, stash=fulltext.stash):
+        held = stash(df, name)
+        if name != "postings":
+            written.append(held.count())
+        return held
+
+    monkeypatch.setattr(fulltext, "stash", counted)
+    rng = random.Random(8)
+    docs = [(i, "", " ".join(rng.choices("knight hoping run x2 y2 z2".split(), k=rng.randint(1, 60)))) for i in range(400)]
+    docs += [(400 + i, "", "knight " + "run knight " * 300) for i in range(5)] + [(500 + i, "", "hoping") for i in range(20)]
+    queries = [(i, " ".join(rng.sample("knight hoping run x2 y2 z2".split(), rng.randint(1, 4)))) for i in range(30)]
+    table = spark.createDataFrame(docs, "doc_id long, head string, body string").repartition(4)
+    postings = fulltext.build_postings(table, "doc_id", [("head", "A"), ("body", "D")])
+    asked = spark.createDataFrame(queries, "query_id long, said string")
+    got = fulltext.search(postings, asked, "query_id", "said", 3).orderBy("query_id", "rank").collect()
+    expected = []
+    for q, text in queries:
+        scored = []
+        for key, _, body in docs:
+            said = [(i, stem(w)) for i, w in enumerate(body.split(), 1)]
+            at = [[i for i, t in said if t == term] for term in sorted({stem(w) for w in text.split()})]
+            if all(at):
+                scored.append((-fulltext.rank_of([(p, [float(np.float32(0.1))] * len(p)) for p in at]), key))
+        expected += [(q, key, -s) for s, key in sorted(scored)[:3]]
+    assert [(r.query_id, r.doc_id, r.score) for r in got] == expected
+    assert max(written) <= len(queries) * 3
+
+
 def plain_present(pages, entries):
     norm = lambda s: re.sub(r"\s+", " ", re.sub("[#*]", " ", s.upper()).replace("&", " AND ")).strip()
     bare = lambda s: re.sub(r"\s+", " ", re.sub(r"\([^()]*\)", " ", s)).strip()
