@@ -22,6 +22,7 @@ terms of all; items without a known term and empty tables give no rows. Other co
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -40,13 +41,15 @@ SHARD_BYTES, SHARD_DOCS = 16 << 20, 1 << 16
 STRETCH, LONGEST, BLOCK_COST = 512, 64, 400_000.0
 #: Items that are searched together in a shard.
 AT_ONCE = 512
+#: Bytes of text whose terms are counted at once.
+COUNT_BYTES = 4 << 20
 #: Places of the first round, as a multiple of k; each later one has four times as many.
 FIRST = 4
 
 _INDEX = "shard long, term binary, n_docs long, places binary, impacts binary, ends binary, bounds binary, ids array<long>"
 #: Bytes to spaces or themselves, A to Z lower-cased.
 _CUT = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in range(256))
-_IN_TERM = np.array([c >= 0x80 or chr(c).isalnum() for c in range(256)])
+_IN_TERM = bytes(c >= 0x80 or chr(c).isalnum() for c in range(256))
 
 
 class Index(NamedTuple):
@@ -68,22 +71,28 @@ def weight(df: Column, n_docs: int) -> Column:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each batch the number of texts with a term, and of their terms: by where a term begins, without cutting texts."""
+    """Of each batch the number of texts with a term, and of their terms: by where a term begins, without cutting texts.
+
+    Texts are taken ``COUNT_BYTES`` at a time, or one longer text, and no number is kept for each byte.
+    """
     for batch in batches:
         docs = terms = 0
         texts = pc.fill_null(batch.column(0).cast(pa.large_binary()), b"")
         edges = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8) if len(texts) else np.zeros(1, np.int64)
-        if edges[-1] > edges[0]:
-            data = np.frombuffer(texts.buffers()[2], np.uint8)[edges[0] : edges[-1]]
-            edges = edges - edges[0]
-            held = _IN_TERM[data]
-            begins = held.copy()
-            begins[1:] &= ~held[:-1]
-            firsts = edges[:-1][edges[:-1] < len(data)]
-            begins[firsts] = held[firsts]  # a term ends with its text
-            upto = np.concatenate([[0], np.cumsum(begins)])[edges]
-            each = np.diff(upto)
-            docs, terms = int((each > 0).sum()), int(each.sum())
+        at = 0
+        while at < len(texts):
+            end = max(at + 1, int(np.searchsorted(edges, edges[at] + COUNT_BYTES, side="right")) - 1)
+            if edges[end] > edges[at]:
+                data = texts.buffers()[2].slice(edges[at], edges[end] - edges[at]).to_pybytes()
+                held = np.frombuffer(data.translate(_IN_TERM), bool)
+                begins = held.copy()
+                begins[1:] &= ~held[:-1]
+                own = edges[at : end + 1] - edges[at]
+                firsts = own[:-1][np.diff(own) > 0]
+                begins[firsts] = held[firsts]  # a term ends with its text
+                each = np.diff(np.searchsorted(np.flatnonzero(begins), own))
+                docs, terms = docs + int((each > 0).sum()), terms + int(each.sum())
+            at = end
         yield pa.RecordBatch.from_pydict({"docs": [docs], "terms": [terms]})
 
 
@@ -143,7 +152,7 @@ def _shard(shard: int, ids: list, texts: list[bytes], n_docs: int, n_terms: int)
     """The rows of one shard's index, in the order of terms."""
     order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0))
     known: dict[bytes, int] = {}
-    held, terms, tfs, lengths = [], [], [], []
+    held, lengths, terms, tfs = [], [], array("i"), array("i")
     for i in order:
         counted = Counter(texts[i].translate(_CUT).split())
         if counted:
@@ -153,7 +162,7 @@ def _shard(shard: int, ids: list, texts: list[bytes], n_docs: int, n_terms: int)
             tfs.extend(counted.values())
     if not held:
         return None
-    lengths, terms, tfs = np.array(lengths), np.array(terms, np.int32), np.array(tfs, np.int64)
+    lengths, terms, tfs = np.array(lengths), np.frombuffer(terms, np.int32), np.array(tfs, np.int64)
     n = np.add.reduceat(tfs, np.cumsum(lengths) - lengths)
     places = np.repeat(np.arange(len(held)), lengths)
     impacts = impact(tfs, n[places], n_docs, n_terms).astype(np.int32)
