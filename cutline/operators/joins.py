@@ -135,8 +135,9 @@ def words_held(items: DataFrame, key: str, words: str, texts: DataFrame, text_wo
     held = stash(cut.join(known, "__x", "left_semi").select("__id", "__x"), "held_words")
     said = held.groupBy("__x").agg(F.count("*").alias("__n"))
     rarest = each.join(said, "__x", "left").groupBy(key).agg(F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), F.col("__x").alias("x"))).alias("__r")).where("__r.n > 0")
-    met = held.join(rarest.select(key, F.col("__r.x").alias("__x")), "__x").select(key, "__id")
-    counted = met.join(each, key).join(held, ["__id", "__x"]).groupBy(key, "__id", "__m").agg(F.count("*").alias("__k"))
+    # files of words are small for their rows: by their size Spark would broadcast them
+    met = held.hint("merge").join(rarest.select(key, F.col("__r.x").alias("__x")), "__x").select(key, "__id")
+    counted = met.join(each, key).join(held.hint("merge"), ["__id", "__x"]).groupBy(key, "__id", "__m").agg(F.count("*").alias("__k"))
     found = counted.where("__k = __m").select(key).distinct()
     none = items.where(F.size(words) == 0).select(key).join(texts.limit(1).select(F.lit(True).alias("__any")), how="cross").select(key)  # one text at most
     return exists_flag(items, found.unionByName(none), [key], "subset")

@@ -84,6 +84,16 @@ def test_words_held(spark):
     assert {r.k: r.subset for r in got} == {i: any(set(w) <= set(t or []) for t in texts) for i, w in enumerate(items)}
 
 
+def test_words_held_broadcasts_no_texts(spark):
+    """Stored words take few bytes for their many rows; they are merged, not sent to the driver by the size of their files."""
+    texts = spark.range(20_000).select(F.array(*(F.lit(f"w{i}") for i in range(6))).alias("t"))
+    items = spark.createDataFrame([(1, ["w1", "w2"]), (2, ["w1", "other"])], "k int, w array<string>")
+    found = joins.words_held(items, "k", "w", texts, "t")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"SortMergeJoin.*__id#", plan) and not re.search(r"BroadcastHashJoin \[__id#", plan)
+    assert {r.k: r.subset for r in found.collect()} == {1: True, 2: False}
+
+
 PAIRS = """consign consign consigned consign consigning consign consignment consign consist consist consistency consist consolatory consolatori knightly knight knots knot kneeling kneel
 generate generat generously generous general general generation generat communication communic arsenic arsenic dying die skies sky cries cri ties tie gas gas gaps gap kiwis kiwi hopping hop hoping hope
 luxuriated luxuri national nation relational relat rational ration conditional condit valency valenc digitizer digit operator oper feudalism feudal hopefulness hope formality formal sensitivity sensit
