@@ -14,6 +14,14 @@ def first_of(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int =
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("__n") <= n).drop("__n")
 
 
+def dealt(df: DataFrame, by: Sequence[str], rows: int = 500_000) -> DataFrame:
+    """Rows dealt by key to as many tasks as leave each about ``rows`` of them, so that a task's memory doesn't grow with the table.
+
+    What is grouped or ordered within these keys next needs no other shuffle.
+    """
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows)), *by)
+
+
 def islands(df: DataFrame, by: Sequence[str], at: str, gap: Column | float, out: str = "island") -> DataFrame:
     """Number the runs of rows whose distance to the row before is at most ``gap``, from 1."""
     window = Window.partitionBy(*by).orderBy(at)

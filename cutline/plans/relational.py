@@ -288,7 +288,8 @@ SELECT l_partkey, l_suppkey, CAST(total AS DOUBLE) AS total, runner_up, CAST(run
 """)
 def best_runner_up(t: Tables) -> DataFrame:
     """The best candidate, the best other, the margin."""
-    s = t.lineitem.groupBy("l_partkey", "l_suppkey").agg(F.sum(_money("l_extendedprice")).alias("total"))
+    rows = windows.dealt(t.lineitem.select("l_partkey", "l_suppkey", "l_extendedprice"), ["l_partkey"])
+    s = rows.groupBy("l_partkey", "l_suppkey").agg(F.sum(_money("l_extendedprice")).alias("total"))
     return windows.best_and_runner_up(s, ["l_partkey"], "l_suppkey", "total")
 
 

@@ -180,3 +180,14 @@ def test_counted_rules_equal_compiled_ones(spark):
     counts, gate = counted_gate(F.col("k"), rules, F.col("s.subject"), F.col("s.grade"), F.col("stream"))
     got = df.join(each.groupBy("id").agg(*counts), "id", "left").select("id", gate.alias("a"), rule_gate(F.col("k"), rules, F.col("subjects"), F.col("stream")).alias("b")).collect()
     assert all(r.a == r.b for r in got) and {r.a for r in got} == {True, False}
+
+
+def test_tasks_of_a_size(spark):
+    """Rows are dealt by key to as many tasks as their number asks for, and the best and the runner-up need no other shuffle."""
+    from cutline.operators import windows
+
+    rows = spark.range(9_000).select((F.col("id") % 300).alias("p"), (F.col("id") % 7).alias("s"), F.col("id").alias("v"))
+    per = windows.dealt(rows, ["p"], 500).groupBy("p", "s").agg(F.sum("v").alias("v"))
+    found = windows.best_and_runner_up(per, ["p"], "s", "v")
+    assert found.rdd.getNumPartitions() == 18 and found.count() == 300
+    assert found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
