@@ -296,13 +296,22 @@ def pairs_left(rest: DataFrame, texts: DataFrame, compared: DataFrame, idf: Broa
     return pairs
 
 
-def relabelled(comp: DataFrame, compared: DataFrame, similar: float) -> DataFrame:
-    """Stored: the component of each text (tid, comp) once components with similar texts are one. Takes the place of ``comp``."""
-    links = compared.where(F.col("similarity") >= similar).select("a", "b")
-    named = links.join(comp.select(F.col("tid").alias("a"), F.col("comp").alias("u")), "a").join(comp.select(F.col("tid").alias("b"), F.col("comp").alias("v")), "b")
-    merged = components(named.select("u", "v"))
+def links(compared: DataFrame, similar: float) -> DataFrame:
+    """u and v of the pairs that are similar."""
+    return compared.where(F.col("similarity") >= similar).select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
+def between(comp: DataFrame, edges: DataFrame) -> DataFrame:
+    """``edges`` (u, v) between texts as edges between their components."""
+    named = edges.join(comp.select(F.col("tid").alias("u"), F.col("comp").alias("from")), "u").join(comp.select(F.col("tid").alias("v"), F.col("comp").alias("to")), "v")
+    return named.select(F.col("from").alias("u"), F.col("to").alias("v"))
+
+
+def relabelled(comp: DataFrame, edges: DataFrame) -> DataFrame:
+    """Stored: the component of each text (tid, comp) once the components that ``edges`` (u, v) link are one."""
+    merged = components(edges)
     new = stash(comp.join(merged.select(F.col("node").alias("comp"), F.col("comp").alias("top")), "comp", "left").select("tid", F.coalesce("top", "comp").alias("comp")), "labels")
-    drop(comp, merged)
+    drop(merged)
     return new
 
 
@@ -345,13 +354,13 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     texts = stash(texts.dropDuplicates(["tid"]), "texts")
 
     compared = verify(pairs, texts, idf)
-    comp = relabelled(stash(met.select("tid", F.col("tid").alias("comp")), "labels"), compared, similar)
+    comp = relabelled(met.select("tid", F.col("tid").alias("comp")), links(compared, similar))  # each text is its own component yet
     rest = texts_of_mixed_buckets(met, comp, compared)
     if not rest.isEmpty():
         left = pairs_left(rest, texts, compared, idf, similar)
         more = verify(left, texts, idf)
-        comp = relabelled(comp, more, similar)
-        drop(left, more)
+        alone, comp = comp, relabelled(comp, between(comp, links(more, similar)))
+        drop(left, more, alone)
 
     grouped = first.join(comp, "tid", "left").select("tid", "doc_id", F.coalesce("comp", "tid").alias("comp"))
     least = grouped.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.min_by("tid", F.struct(F.col("doc_id").isNull(), "doc_id", "tid")).alias("top_tid"))
@@ -366,5 +375,6 @@ def without_near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFr
     found = near_duplicates(docs, similar)
     stay = stash(found.where("kept").select(F.col("doc_id").alias("__id"), F.col("tid").alias("__tid")), "stay")
     sizes = stay.agg(F.count("*").alias("n"), F.count_distinct("__tid").alias("d")).first()
-    kept = docs.join(small(stay.distinct()), (text_id(F.col("text")) == F.col("__tid")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    once = stay if sizes["n"] == sizes["d"] else stay.distinct()
+    kept = docs.join(small(once), (text_id(F.col("text")) == F.col("__tid")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
     return kept if sizes["n"] == sizes["d"] else kept.dropDuplicates(["doc_id", "text"])

@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, and on odd and empty tables."""
 
 import hashlib
+import importlib
 import re
 import unicodedata
 import zlib
@@ -460,6 +461,34 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(31)}, 100: 100, 101: 100, 102: 100}
 
 
+def test_components_settle_without_another_round(spark, monkeypatch):
+    """Stars that one round makes take one; a graph without a pattern gets its least nodes; a round reads its edges once for both directions."""
+    module, rounds = importlib.import_module("cutline.llm.components"), []
+    made = module.stash
+
+    def noted(df, name):
+        rounds.extend([name] if name == "edges" else [])
+        return made(df, name)
+
+    monkeypatch.setattr(module, "stash", noted)
+    stars = [(top, top - i - 1) for top in (50, 100) for i in range(40)] + [(100, 99), (7, 7)]
+    got = {r.node: r.comp for r in components(spark.createDataFrame(stars, "u long, v long")).collect()}
+    assert got == {top - i: top - 40 for top in (50, 100) for i in range(41)}
+    assert len(rounds) == 2  # the edges as given, and one round
+
+    rng = np.random.default_rng(8)
+    edges = rng.integers(0, 300, (200, 2)).tolist()
+    least = list(range(300))
+    for _ in range(300):
+        for u, v in edges:
+            least[u] = least[v] = min(least[u], least[v])
+    got = {r.node: r.comp for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {x: least[x] for u, v in edges if u != v for x in (u, v)}
+    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+    plan = module._round(spark.createDataFrame(edges, "u long, v long"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan
+
+
 # 8 ------------------------------------------------------------------------------------------------------------------
 
 
