@@ -1,4 +1,4 @@
-"""Near-duplicates by improved consistent weighted sampling over TF-IDF shingles, banded and verified.
+"""Near-duplicates by consistent weighted sampling over TF-IDF shingles, banded and verified.
 
 A text is lower-cased and cut at ASCII white space; a shingle is ``SHINGLE`` words (a shorter text is one shingle) and
 weighs its count times the mean inverse document frequency of its words. The frequencies are counted over all
@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .flat import Flat, mix, span_hashes
+from .flat import Flat, gather, mix, span_hashes
 from .shared import drop, small, stash, text_slices
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -38,6 +38,10 @@ ROWS, BANDS = 4, 16
 RARE = 1e-3
 #: Distinct words whose counts a task holds; texts, and their characters, that a worker prepares at once to compare pairs.
 HELD_WORDS, HELD_TEXTS, HELD_CHARS = 1 << 20, 4096, 1 << 20
+#: Bytes of text that are cut to shingles at a time: their arrays stay in a processor's cache.
+SLICE = 1 << 17
+#: Height of a stream of points, no less than most weights; points that a text is expected to have up to the time looked at; points held at once.
+SPAN, EXPECTED, HELD_POINTS = 2.0, 6.0, 1 << 16
 
 
 def text_id(text: Column) -> Column:
@@ -80,7 +84,7 @@ def inverse_frequencies(docs: DataFrame, rare: float = RARE) -> Idf:
             words, counts = merged()
             return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], ["word", "n"])
 
-        for _, texts in text_slices(batches, "text"):
+        for _, texts in text_slices(batches, "text", SLICE):
             h, doc, _ = _words(texts)
             order = np.lexsort((h, doc)) if len(h) < 2 else np.argsort(h ^ mix(doc.astype(np.uint64) + np.uint64(1)))
             salted = (h ^ mix(doc.astype(np.uint64) + np.uint64(1)))[order]
@@ -107,6 +111,17 @@ def inverse_frequencies(docs: DataFrame, rare: float = RARE) -> Idf:
     return Idf(word[order], np.clip(value[order], 1, 2), 2.0)
 
 
+def _by_text_and_hash(doc: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+    """np.lexsort((h, doc)), by one number made of the text and the upper bits of the hash unless two hashes differ below them."""
+    bits = np.uint64(n.bit_length())
+    key = doc.astype(np.uint64) << (np.uint64(64) - bits) | h >> bits
+    order = np.argsort(key)
+    key, h_of = key[order], h[order]
+    if np.any((key[1:] == key[:-1]) & (h_of[1:] != h_of[:-1])):
+        return np.lexsort((h, doc))
+    return order
+
+
 def shingles(texts: list[str], idf: Idf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text, hash and weight of each distinct shingle of each text, ordered by text and hash."""
     h, doc, n = _words(texts)
@@ -117,50 +132,89 @@ def shingles(texts: list[str], idf: Idf) -> tuple[np.ndarray, np.ndarray, np.nda
     at = np.flatnonzero(nth + length <= counts[doc])
     padded_h, padded_w = np.append(h, np.zeros(SHINGLE, np.uint64)), np.append(idf.of(h), np.zeros(SHINGLE))
     total, weight = np.zeros(len(at), np.uint64), np.zeros(len(at))
+    length = length[at]
     for i in range(SHINGLE):
-        inside = i < length[at]
-        total = np.where(inside, total * np.uint64(0xD6E8FEB86659FD93) + padded_h[at + i], total)
-        weight += np.where(inside, padded_w[at + i], 0)
-    total, weight, doc = mix(total), weight / np.maximum(length[at], 1), doc[at]
-    order = np.lexsort((total, doc))
+        more_h, more_w = total * np.uint64(0xD6E8FEB86659FD93) + padded_h[at + i], weight + padded_w[at + i]
+        inside = i < length
+        total, weight = (more_h, more_w) if inside.all() else (np.where(inside, more_h, total), np.where(inside, more_w, weight))
+    total, weight, doc = mix(total), weight / np.maximum(length, 1), doc[at]
+    order = _by_text_and_hash(doc, total, n)
     total, weight, doc = total[order], weight[order], doc[order]
     new = np.flatnonzero(np.append(True, (total[1:] != total[:-1]) | (doc[1:] != doc[:-1]))[: len(total)])
     return doc[new], total[new], np.add.reduceat(weight, new) if len(new) else weight[:0]
 
 
-def _gamma_quantiles(n: int = 1 << 16) -> np.ndarray:
-    """Quantiles of the gamma distribution of shape 2 at the middles of n equal steps."""
-    x = np.linspace(0, 40, 400_001)
-    return np.interp((np.arange(n) + 0.5) / n, 1 - (1 + x) * np.exp(-x), x).astype(np.float32)
+def _earliest(x: np.ndarray, weight: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Time and mark of the first arrival below ``weight`` of each process that ``x`` begins; those over ``limit`` may be infinite.
+
+    Arrivals come at rate SPAN and lie uniformly between 0 and SPAN; time, place and mark of each follow from ``x`` alone.
+    """
+    time, mark = np.full(len(x), np.inf), np.zeros(len(x), np.uint64)
+    at, now = np.arange(len(x)), np.zeros(len(x))
+    while len(at):
+        now = now - np.log1p((x >> np.uint64(11)) * -(2.0**-53)) / SPAN
+        mixed = mix(x)
+        below = (mixed >> np.uint64(11)) * (SPAN * 2.0**-53) < weight[at]
+        time[at[below]], mark[at[below]] = now[below], mixed[below]
+        on = ~below & (now <= limit[at])
+        at, now, x = at[on], now[on], mix(mixed[on] + np.uint64(0x9E3779B97F4A7C15))
+    return time, mark
 
 
 def consistent_samples(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, n: int, samples: int) -> np.ndarray:
     """n x samples 64-bit samples: equal in place k for two texts with the probability of their weighted Jaccard similarity.
 
-    Texts without shingles get zeros. Sample k of a text is the shingle and step with the least
-    ln c - r (t - b + 1), where t = floor(ln(weight) / r + b), and r and c (gamma of shape 2) and b (uniform) depend
-    on the shingle and k alone.
+    Texts without shingles get zeros. In place k each shingle has a stream of points of its own, with times and heights,
+    that is the same in all texts; the sample of a text is the earliest point that lies under the weight of its shingle.
+    Heights over ``SPAN`` are streams of their own. Only points up to a time that a text has some ``EXPECTED`` points by
+    are looked at; of the few texts that have none by then, all.
     """
     out = np.zeros((n, samples), np.uint64)
     if not len(h):
         return out
-    quantile = _gamma_quantiles()
-    log_quantile, log_weight = np.log(quantile), np.log(weight).astype(np.float32)
-    first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-    own = doc[first]
-    segment = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(doc))))
-    factors = np.random.default_rng(20).integers(1, 1 << 63, samples, np.uint64) * np.uint64(2) + np.uint64(1)
+    new = np.append(True, doc[1:] != doc[:-1])
+    own, doc = doc[new], np.cumsum(new) - 1
+    total = np.bincount(doc, weight)
+    h, floors = mix(h), np.maximum(np.ceil(weight / SPAN), 1).astype(np.int64)
+    if floors.max() > 1:
+        row = np.repeat(np.arange(len(h)), floors)
+        floor = np.arange(len(row)) - np.repeat(np.cumsum(floors) - floors, floors)
+        doc, weight = doc[row], weight[row] - SPAN * floor
+        h = np.where(floor > 0, mix(h[row] + floor.astype(np.uint64)), h[row])
+    first = np.searchsorted(doc, np.arange(len(own) + 1))
+    limit = EXPECTED / total
+    begins = np.minimum(-np.expm1(-SPAN * limit) * (1 + 1e-9), 1 - 2.0**-53)
+    begins = np.floor(begins * 2.0**53).astype(np.uint64) << np.uint64(11) | np.uint64(2047)
+    begins, factors = begins[doc], np.random.default_rng(20).integers(1, 1 << 63, samples, np.uint64) * np.uint64(2) + np.uint64(1)
+    best, marks = np.full(len(own) * samples, np.inf), np.zeros(len(own) * samples, np.uint64)
+
+    def meet(row: np.ndarray, k: np.ndarray, limit: np.ndarray) -> None:
+        time, mark = _earliest(h[row] * factors[k], weight[row], limit)
+        place = doc[row] * samples + k
+        np.minimum.at(best, place, time)
+        least = np.flatnonzero((time == best[place]) & (time < np.inf))
+        marks[place[least]] = mark[least]
+
+    x, early, held, size = np.empty_like(h), np.empty(len(h), bool), [], 0
     for k in range(samples):
-        x = h * factors[k]
-        x ^= x >> np.uint64(29)
-        r = quantile[(x >> np.uint64(48)).astype(np.int64)]
-        b = ((x >> np.uint64(8)) & np.uint64(0xFFFFFF)).astype(np.float32) * np.float32(2.0**-24)
-        t = np.floor(log_weight / r + b)
-        a = log_quantile[((x >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.int64)] - r * (t - b + 1)
-        least = np.flatnonzero(a == np.minimum.reduceat(a, first)[segment])
-        which = segment[least]
-        least = least[np.append(True, which[1:] != which[:-1])]
-        out[own, k] = mix(h[least] ^ mix(t[least].astype(np.int64).view(np.uint64) + np.uint64(k)))
+        np.multiply(h, factors[k], out=x)
+        np.less_equal(x, begins, out=early)
+        row = np.flatnonzero(early)
+        held.append((row, np.full(len(row), k)))
+        size += len(row)
+        if size > HELD_POINTS or k == samples - 1:
+            row, k_of = (np.concatenate(c) for c in zip(*held, strict=True))
+            meet(row, k_of, limit[doc[row]])
+            held, size = [], 0
+    late = np.flatnonzero(best > np.repeat(limit, samples))
+    count = np.diff(first)[late // samples]
+    ends = np.cumsum(count)
+    cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, count.sum(), HELD_POINTS)), len(late)))
+    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+        some = late[i:j]
+        row = gather(np.arange(len(h)), first[some // samples], count[i:j])
+        meet(row, np.repeat(some % samples, count[i:j]), np.full(len(row), np.inf))
+    out[own] = marks.reshape(len(own), samples)
     return out
 
 
@@ -169,7 +223,7 @@ def signatures(docs: DataFrame, idf: Broadcast) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        for part, texts in text_slices(batches, "text"):
+        for part, texts in text_slices(batches, "text", SLICE):
             new = []
             for i, t in enumerate(part.column(0).to_pylist()):
                 if t not in seen:
@@ -193,9 +247,14 @@ def signatures(docs: DataFrame, idf: Broadcast) -> DataFrame:
 
 def _compare(idf: Broadcast):
     def prepared(held: dict[bytes, str]) -> dict[bytes, tuple[np.ndarray, np.ndarray]]:
-        doc, h, weight = shingles(list(held.values()), idf.value)
-        at = np.searchsorted(doc, np.arange(len(held) + 1))
-        return {tid: (h[at[i] : at[i + 1]], weight[at[i] : at[i + 1]]) for i, tid in enumerate(held)}
+        tids, texts, found = list(held), list(held.values()), {}
+        piece = np.cumsum([len(t) for t in texts]) // SLICE
+        cuts = [0, *(np.flatnonzero(piece[1:] != piece[:-1]) + 1).tolist(), len(texts)]
+        for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+            doc, h, weight = shingles(texts[start:end], idf.value)
+            at = np.searchsorted(doc, np.arange(end - start + 1))
+            found |= {tid: (h[at[i] : at[i + 1]], weight[at[i] : at[i + 1]]) for i, tid in enumerate(tids[start:end])}
+        return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,7 +293,7 @@ PREFIX = ["tid", "comp", "total", "shingle", "left"]
 
 def _rows_of_shingles(idf: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in text_slices(batches, "text"):
+        for _, texts in text_slices(batches, "text", SLICE):
             _, h, _ = shingles(texts, idf.value)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["shingle"])
 
@@ -246,7 +305,7 @@ def _prefixes(idf: Broadcast, common: Broadcast, similar: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, known_n = common.value
-        for part, texts in text_slices(batches, "text"):
+        for part, texts in text_slices(batches, "text", SLICE):
             doc, h, weight = shingles(texts, idf.value)
             at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
             n = np.where(known[at] == h, known_n[at], 0) if len(known) else np.zeros(len(h), np.int64)
@@ -318,10 +377,9 @@ def relabelled(comp: DataFrame, edges: DataFrame) -> DataFrame:
 def leader_pairs(signs: DataFrame, similar: float) -> tuple[DataFrame, DataFrame]:
     """Stored: the texts that share buckets with others (tid, total, buckets); pairs (a, b) of each and the leaders of its buckets."""
     banded = signs.select("tid", "total", F.posexplode("bands").alias("band", "bucket"))
-    sizes = banded.groupBy("band", "bucket").agg(F.count("*").alias("n"))
-    shared = F.collect_list(F.when(F.col("n") > 1, F.struct("band", "bucket"))).alias("buckets")  # of a text, BANDS at most
-    met = banded.join(sizes, ["band", "bucket"]).groupBy("tid", "total").agg(F.sum(F.col("n") - 1).alias("met"), shared)
-    met = stash(met.where("met > 0"), "met")
+    sizes = banded.groupBy("band", "bucket").agg(F.count("*").alias("n")).where("n > 1")
+    shared = F.collect_list(F.struct("band", "bucket")).alias("buckets")  # of a text, BANDS at most
+    met = stash(banded.join(sizes, ["band", "bucket"]).groupBy("tid", "total").agg(F.sum(F.col("n") - 1).alias("met"), shared), "met")
     each = met.select("tid", "total", "met", F.inline("buckets"))
     foremost = F.max_by(F.struct("tid", "total"), F.struct("met", "tid")).alias("leader")
     leaders = each.groupBy("band", "bucket").agg(foremost).select("band", "bucket", F.col("leader.tid").alias("leader"), F.col("leader.total").alias("leader_total"))

@@ -412,6 +412,29 @@ def test_consistent_samples_follow_weighted_jaccard():
     assert abs((got[0] == got[1]).mean() - share) < 0.03
 
 
+def test_consistent_samples_look_at_few_points(monkeypatch):
+    """The points past the first look are few, and the samples are those of a look at all points; weights over SPAN count in full."""
+    rng = np.random.default_rng(1)
+    sizes = np.append([1, 2, 3], rng.integers(200, 600, 30))
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    h, weight = rng.integers(0, 1 << 63, len(doc), np.uint64), rng.uniform(1, 7, len(doc))
+    seen, earliest = [], neardup._earliest
+    monkeypatch.setattr(neardup, "_earliest", lambda x, *more: seen.append(len(x)) or earliest(x, *more))
+    got = neardup.consistent_samples(doc, h, weight, len(sizes) + 1, 64)
+    assert sum(seen) < 0.1 * len(h) * 64 and not got[-1].any() and got[:-1].all()
+    monkeypatch.setattr(neardup, "EXPECTED", 1e-9)
+    assert (neardup.consistent_samples(doc, h, weight, len(sizes) + 1, 64) == got).all()
+    doc, h, weight = np.repeat([0, 1], 50), np.tile(h[:50], 2), np.concatenate((weight[:50], np.full(50, 7.0)))
+    got = neardup.consistent_samples(doc, h, weight, 2, 4000)
+    assert abs((got[0] == got[1]).mean() - weight[:50].sum() / 350) < 0.03
+
+
+def test_shingles_whose_upper_bits_are_equal_are_ordered_by_all_bits():
+    doc, h = np.array([1, 0, 0, 0, 1]), np.array([5, 1, 0, 1, 4], np.uint64)
+    order = neardup._by_text_and_hash(doc, h, 2)
+    assert doc[order].tolist() == [0, 0, 0, 1, 1] and h[order].tolist() == [0, 1, 1, 4, 5]
+
+
 def test_near_duplicates(spark, prose, odd):
     idf = neardup.inverse_frequencies(prose)
     rows = texts_of(prose)
