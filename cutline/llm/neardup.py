@@ -237,7 +237,7 @@ def signatures(docs: DataFrame, idf: Broadcast) -> DataFrame:
             for i in range(ROWS):
                 bands = mix(bands * np.uint64(0x9E3779B97F4A7C15) + rows[:, :, i])
             some = np.unique(doc)
-            total = np.bincount(doc, weight, len(new))[some]
+            total = np.bincount(doc, weight, len(new))[some].astype(np.float64)  # without shingles they are whole numbers
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * BANDS, pa.int32()), pa.array(bands[some].view(np.int64).ravel()))
             columns = [part.column(0).take(pa.array(np.array(new, np.int64)[some])), flat, pa.array(total)]
             yield pa.RecordBatch.from_arrays(columns, ["tid", "bands", "total"])

@@ -478,6 +478,18 @@ def test_near_duplicates_inside_a_large_bucket(spark):
     assert got == {i: i - (i % 2 if n - 2 * pairs <= i else 0) for i in range(n)}
 
 
+def test_near_duplicates_of_pieces_without_a_new_text(spark):
+    """A task meets pieces of text that it has seen before as a whole, and pieces without a word."""
+    long = [" ".join(f"w{(i * j) % 997}" for i in range(30_000)) for j in (3, 5)]
+    assert min(map(len, long)) > neardup.SLICE
+    texts = [*long, *long, *long, " " * neardup.SLICE, "\n" * neardup.SLICE, "a few words of another text"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: (r.class_id, r.kept) for r in neardup.near_duplicates(rows).collect()}
+    assert got == {i: (i % 2 if i < 6 else i, i < 2 or i >= 6) for i in range(9)}
+    blank = spark.createDataFrame([(1, " "), (2, None)], "doc_id long, text string").coalesce(1)
+    assert {r.doc_id: r.class_id for r in neardup.near_duplicates(blank).collect()} == {1: 1, 2: 2}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (101, 102), (200, 200)]
     got = {r.node: r.comp for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
