@@ -49,10 +49,11 @@ WORD = re.compile(r"[^\W_]+")
 CACHED, AT_ONCE = 200_000, 20_000
 #: Characters and documents of a shard; shards of the first round, by how much the rounds grow, and terms that may be broadcast.
 SHARD_CHARS, SHARD_DOCS, FIRST_SHARDS, GROWTH, BROADCAST_TERMS = 24 << 20, 1 << 16, 12, 8, 1_000_000
-#: Documents of a set that are ranked first, places that are met at once, and pairs of places of one document.
-FIRST, AT_A_TIME, CROSSED = 64, 1 << 15, 1 << 20
-#: Square roots of d by distance, what a pair beyond 100 words adds (1 - 1e-16 as a double), and from where a rank is 1 as a double.
-NEARNESS = np.sqrt(np.concatenate([[0.0], 1 / (1.005 + 0.05 * np.exp(np.arange(1, 101) / 1.5 - 2))]))
+#: Documents of a set that are ranked first, documents of the rarest terms and places that are met at once, and pairs of places.
+FIRST, MET, AT_A_TIME, CROSSED = 64, 1 << 17, 1 << 15, 1 << 20
+#: d by distance and its square roots, what a pair beyond 100 words adds (1 - 1e-16 as a double), and from where a rank is 1 as a double.
+NEAR = 1 / (1.005 + 0.05 * np.exp(np.arange(101.0) / 1.5 - 2))
+NEARNESS = np.sqrt(np.concatenate([[0.0], NEAR[1:]]))
 FAR, FULL = 2.0**-53, 45.0
 _POSTING = "shard long, term string, docs binary, sizes binary, places binary, fields binary"
 
@@ -202,8 +203,27 @@ def rank_of(entries: Sequence[tuple[Sequence[int], Sequence[float]]]) -> float:
     return 1 - rest
 
 
+def _nth(of: np.ndarray) -> np.ndarray:
+    """The place of each row among those of its set; ``of`` ascends."""
+    return np.arange(len(of)) - np.searchsorted(of, of)
+
+
+def _kth(of: np.ndarray, values: np.ndarray, k: int, n: int, none: float) -> np.ndarray:
+    """The k-th largest value of each of n sets, ``none`` of those with fewer."""
+    order = np.lexsort((-values, of))
+    at = np.searchsorted(of[order], np.arange(n + 1))
+    some = np.flatnonzero(np.diff(at) >= k)
+    out = np.full(n, none, values.dtype)
+    out[some] = values[order[at[some] + k - 1]]
+    return out
+
+
 class _Shard:
-    """The postings of the wanted terms in one shard of documents, by term, document and place. Documents are in the order of their keys."""
+    """The postings of the wanted terms in one shard of documents, by term, document and place. Documents are in the order of their keys.
+
+    Many sets of as many terms each are met at once: ``of`` is the set of each document that is found, ``rows`` has a
+    row for each term with its posting there.
+    """
 
     def __init__(self, table: pa.Table, weights: Sequence[float]):
         rows = table.take(pc.sort_indices(table.column("term"))).combine_chunks()
@@ -211,23 +231,30 @@ class _Shard:
         flat = lambda c, kind: np.frombuffer(b"".join(rows.column(c).to_pylist()), kind)
         self.terms = rows.column("term").combine_chunks()
         self.docs, self.sizes = flat("docs", np.uint16).astype(np.int64), flat("sizes", np.uint32).astype(np.int64)
-        self.at = np.repeat(self.docs << 32, self.sizes) + flat("places", np.uint32)
+        self.place = flat("places", np.uint32).astype(np.int64)
         self.heavy = np.array(weights)[flat("fields", np.uint8)]
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.ends = np.cumsum(pc.binary_length(rows.column("docs").combine_chunks()).to_numpy().astype(np.int64) // 2)
-        self.firsts = np.append(0, self.ends[:-1])[: len(self.ends)]
-
-    def meet(self, terms: list[int]) -> np.ndarray:
-        """A row for each term: its postings in the documents that hold all of them."""
-        rarest = min(terms, key=lambda t: self.ends[t] - self.firsts[t])
-        docs, held = self.docs[self.firsts[rarest] : self.ends[rarest]], {rarest: np.arange(self.firsts[rarest], self.ends[rarest])}
-        for t in terms:
-            if t != rarest:
-                own = self.docs[self.firsts[t] : self.ends[t]]
-                to = np.minimum(np.searchsorted(own, docs), len(own) - 1)
-                fits = own[to] == docs
-                docs, held = docs[fits], {o: rows[fits] for o, rows in held.items()} | {t: (self.firsts[t] + to)[fits]}
-        return np.stack([held[t] for t in terms])
+        n = pc.binary_length(rows.column("docs").combine_chunks()).to_numpy().astype(np.int64) // 2
+        self.n_docs, self.firsts = n, np.cumsum(n) - n
+        self.n_places = pc.binary_length(rows.column("fields").combine_chunks()).to_numpy().astype(np.int64)
+        self.posted = np.repeat(np.arange(len(n)), n) << 16 | self.docs
+
+    def meet(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """terms: a row for each set. The documents that hold all terms of a set, ascending."""
+        n = self.n_docs[terms]
+        order = np.argsort(n, axis=1, kind="stable")
+        rarest, n = terms[np.arange(len(terms)), order[:, 0]], n[np.arange(len(terms)), order[:, 0]]
+        of = np.repeat(np.arange(len(terms)), n)
+        held = [np.arange(len(of)) + np.repeat(self.firsts[rarest] - (np.cumsum(n) - n), n)]
+        docs = self.docs[held[0]]
+        for i in range(1, terms.shape[1]):
+            wanted = terms[of, order[of, i]] << 16 | docs
+            to = np.minimum(np.searchsorted(self.posted, wanted), len(self.posted) - 1)
+            fits = self.posted[to] == wanted
+            of, docs, held = of[fits], docs[fits], [h[fits] for h in held] + [to[fits]]
+        rows = np.empty((terms.shape[1], len(of)), np.int64)
+        rows[order.T[:, of], np.arange(len(of))] = np.stack(held)
+        return of, rows
 
     def spread(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of the postings, and where among the places, for all places of the postings."""
@@ -251,13 +278,13 @@ class _Shard:
             for j in range(i):
                 a, b = (rows[i], rows[j]) if self.sizes[rows[i]].sum() <= self.sizes[rows[j]].sum() else (rows[j], rows[i])
                 own, other = self.spread(a), self.spread(b)
-                there = self.at[other[1]]  # documents ascend, so these do
-                lo = np.searchsorted(there, self.at[own[1]] - 100)
-                n = np.searchsorted(there, self.at[own[1]] + 100, side="right") - lo
+                here, there = (which << 32 | self.place[at] for which, at in (own, other))
+                lo = np.searchsorted(there, here - 100)
+                n = np.searchsorted(there, here + 100, side="right") - lo
                 mine = np.repeat(np.arange(len(n)), n)
                 theirs = np.arange(len(mine)) + np.repeat(lo - (np.cumsum(n) - n), n)
                 p, q = own[1][mine], other[1][theirs]
-                each = np.sqrt(self.heavy[p] * self.heavy[q]) * NEARNESS[np.abs(self.at[p] - self.at[q])]
+                each = np.sqrt(self.heavy[p] * self.heavy[q]) * NEARNESS[np.abs(self.place[p] - self.place[q])]
                 met = np.bincount(own[0], n, len(out))
                 out += np.bincount(own[0][mine], -np.log1p(-each), len(out)) + FAR * (self.sizes[a] * self.sizes[b] - met)
         return out
@@ -273,90 +300,113 @@ class _Shard:
                 out += np.minimum(pairs * each[1], np.minimum(sizes[i], sizes[j]) * 2 * each.sum()) + FAR * pairs
         return out * (1 + 1e-9)
 
-    def exact(self, rows: np.ndarray, known: dict) -> float:
-        """``rank_of`` one document, once for all that hold the words at the same distances."""
-        at = [slice(self.starts[r], self.starts[r] + self.sizes[r]) for r in rows]
-        first = min(self.at[a.start] for a in at)
-        same = tuple(x for a in at for x in ((self.at[a] - first).tobytes(), self.heavy[a].tobytes()))
-        if same not in known:
-            known[same] = rank_of([((self.at[a] - first), self.heavy[a]) for a in at])
-        return known[same]
-
-    def best(self, terms: list[int], k: int, floor: float, before: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k best documents, as places among the keys, and their scores: those over ``floor``, or at it and before ``before``."""
-        rows = self.meet(terms)
-        docs = self.docs[rows[0]]
-        if len(terms) == 1:
+    def crossed(self, rows: np.ndarray) -> np.ndarray:
+        """Pairs of places of different words in each document."""
+        sizes = self.sizes[rows]
+        return (sizes.sum(0) ** 2 - (sizes**2).sum(0)) // 2
+
+    def exact(self, rows: np.ndarray) -> np.ndarray:
+        """``rank_of`` each document, to the last digit: the same products in the same order, of many documents at once."""
+        out = np.zeros(rows.shape[1])
+        crossed = self.crossed(rows)
+        one = lambda r: (self.place[self.starts[r] : self.starts[r] + self.sizes[r]], self.heavy[self.starts[r] : self.starts[r] + self.sizes[r]])
+        if len(rows) == 1:
+            known: dict[bytes, float] = {}
+            for i, r in enumerate(rows[0]):
+                entry = one(r)
+                same = entry[1].tobytes()
+                if same not in known:
+                    known[same] = rank_of([entry])
+                out[i] = known[same]
+            return out
+        for i in np.flatnonzero(crossed > CROSSED):
+            out[i] = rank_of([one(r) for r in rows[:, i]])
+        for some in _pieces(np.flatnonzero(crossed <= CROSSED), crossed, CROSSED):
+            rest = np.ones(len(some))
+            for i in range(len(rows)):
+                for j in range(i):
+                    a, b = rows[i, some], rows[j, some]
+                    n = self.sizes[a] * self.sizes[b]
+                    edges = np.cumsum(n) - n
+                    at = np.arange(n.sum()) - np.repeat(edges, n)
+                    nth, of_nth = np.divmod(at, np.repeat(self.sizes[b], n))
+                    p, q = np.repeat(self.starts[a], n) + nth, np.repeat(self.starts[b], n) + of_nth
+                    distance = np.abs(self.place[p] - self.place[q])
+                    near = np.where(distance > 100, 1e-30, NEAR[np.minimum(distance, 100)])
+                    left = 1 - np.sqrt(self.heavy[p] * self.heavy[q] * near)
+                    rest *= np.multiply.reduceat(np.where(distance > 0, left, 1.0), edges)
+            out[some] = 1 - rest
+        return out
+
+    def best(self, terms: np.ndarray, k: int, floor: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The k best documents of each set: set, place among the keys, score. Only those over its ``floor``, or at it and before ``before``."""
+        of, rows = self.meet(terms)
+        docs, n = self.docs[rows[0]], len(terms)
+        if terms.shape[1] == 1:
             about = self.alone(rows[0]) if len(docs) else np.zeros(0)
             slack, full = np.full(len(docs), 1e-14), np.zeros(len(docs), bool)
         else:
-            most = self.most(rows)
-            bound = -np.expm1(-most) + 1e-15
-            take = np.flatnonzero((bound > floor) | (bound >= floor) & (docs < before))
-            take = take[np.lexsort((docs[take], -np.minimum(bound[take], 1.0)))]
-            about, full, seen, at, limit = np.zeros(len(docs)), np.zeros(len(docs), bool), [], 0, max(FIRST, 2 * k)
-            pairs = sum(self.sizes[rows[i]] * self.sizes[rows[j]] for i in range(len(rows)) for j in range(i))
-            slack = 1e-15 * (16 + pairs)
-            kth, last = floor, len(self.keys)
-            while at < len(take):
-                # the highest bounds first; what can't be among the k best is left out unread
-                todo = take[at : at + limit]
-                todo = todo[(bound[todo] >= kth) & (docs[todo] < last)]
-                for piece in self._pieces(todo, self.sizes[rows].sum(0)):
+            bound = -np.expm1(-self.most(rows)) + 1e-15
+            take = np.flatnonzero((bound > floor[of]) | (bound >= floor[of]) & (docs < before[of]))
+            take = take[np.lexsort((docs[take], -np.minimum(bound[take], 1.0), of[take]))]
+            of, rows, docs, bound = of[take], rows[:, take], docs[take], bound[take]
+            nth, slack, sizes = _nth(of), 1e-15 * (16 + self.crossed(rows)), self.sizes[rows].sum(0)
+            about, full, done = np.zeros(len(docs)), np.zeros(len(docs), bool), np.zeros(len(docs), bool)
+            at, limit, kth, last = 0, max(FIRST, 2 * k), floor, np.full(n, len(self.keys))
+            while at <= nth.max(initial=-1):
+                # the highest bounds of each set first; what can't be among the k best is left out unread
+                todo = np.flatnonzero((nth >= at) & (nth < at + limit) & (bound >= kth[of]) & (docs < last[of]))
+                for piece in _pieces(todo, sizes, AT_A_TIME):
                     left = self.logs(rows[:, piece])
                     about[piece], full[piece] = -np.expm1(-left), left > FULL
-                seen.append(todo)
+                done[todo] = True
+                kth = np.maximum(kth, _kth(of[done], (about - slack)[done], k, n, -1.0))
+                certain = done & full
+                last = np.minimum(last, 1 - _kth(of[certain], -docs[certain], k, n, -len(self.keys)))
                 at, limit = at + limit, limit * 4
-                done = np.concatenate(seen)
-                if len(done) >= k:
-                    kth = max(kth, float(np.partition((about - slack)[done], len(done) - k)[len(done) - k]))
-                certain = docs[done[full[done]]]
-                if len(certain) >= k:
-                    last = min(last, int(np.partition(certain, k - 1)[k - 1]) + 1)
-                if at < len(take) and bound[take[at]] < kth:
-                    break
-            done = np.concatenate(seen) if seen else np.zeros(0, np.int64)
-            rows, docs, about, slack, full = rows[:, done], docs[done], about[done], slack[done], full[done]
-            slack[full] = 0
-            about[full] = 1.0
-        keep = about + slack >= floor
-        if keep.sum() > k:
-            low = (about - slack)[keep]
-            keep &= about + slack >= np.partition(low, len(low) - k)[len(low) - k]
-        if (keep & full).sum() > k:  # of those at 1 the first k by key
-            keep &= ~full | (docs <= np.partition(docs[keep & full], k - 1)[k - 1])
-        known: dict = {}
-        kept = np.flatnonzero(keep)
-        scores = np.array([1.0 if full[i] else self.exact(rows[:, i], known) for i in kept], np.float64)
-        good = (scores > floor) | (scores == floor) & (docs[kept] < before)
-        kept, scores = docs[kept][good], scores[good]
-        top = np.lexsort((kept, -scores))[:k]
-        return kept[top], scores[top]
-
-    def _pieces(self, todo: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
-        """In the order of documents, as many together as have ``AT_A_TIME`` places."""
-        todo = np.sort(todo)
-        cuts = np.cumsum(sizes[todo]) // AT_A_TIME
-        return [p for p in np.split(todo, np.flatnonzero(np.diff(cuts)) + 1) if len(p)]
+            of, rows, docs, about, slack, full = of[done], rows[:, done], docs[done], about[done], slack[done], full[done]
+            slack[full], about[full] = 0, 1.0
+        keep = about + slack >= np.maximum(floor, _kth(of, about - slack, k, n, -1.0))[of]
+        certain = keep & full  # of those at 1 the first k by key
+        keep &= ~full | (docs <= -_kth(of[certain], -docs[certain], k, n, -len(self.keys))[of])
+        of, rows, docs, full = of[keep], rows[:, keep], docs[keep], full[keep]
+        scores = np.ones(len(of))
+        scores[~full] = self.exact(rows[:, ~full])
+        good = np.flatnonzero((scores > floor[of]) | (scores == floor[of]) & (docs < before[of]))
+        good = good[np.lexsort((docs[good], -scores[good], of[good]))]
+        good = good[_nth(of[good]) < k]
+        return of[good], docs[good], scores[good]
+
+
+def _pieces(rows: np.ndarray, sizes: np.ndarray, most: int) -> list[np.ndarray]:
+    """In their order, as many together as have ``most`` in all."""
+    cuts = np.cumsum(sizes[rows]) // most
+    return [p for p in np.split(rows, np.flatnonzero(np.diff(cuts)) + 1) if len(p)]
 
 
 def _search_shard(table: pa.Table, weights: Sequence[float], key: str, kind: pa.DataType, k: int, sheet: pa.Table) -> pa.Table:
     """All sets of terms (set, terms, floor, floor_key) against one shard: set, key, score."""
-    sets, docs, scores = [], [], []
+    sets, docs, scores = [np.zeros(0, np.int64)], [], [np.zeros(0)]
     if len(table) > 1 and len(sheet):
         shard = _Shard(table, weights)
         terms = sheet.column("terms").combine_chunks()
-        at = pc.fill_null(pc.index_in(terms.flatten(), value_set=shard.terms), -1).to_numpy()
-        edges = np.append(0, np.cumsum(pc.list_value_length(terms).to_numpy()))
-        ids, floors, floor_keys = sheet.column("set").to_numpy(), sheet.column("floor").to_pylist(), sheet.column("floor_key").to_pylist()
-        for s in np.flatnonzero(np.minimum.reduceat(at, edges[:-1]) >= 0):
-            floor, before = (-1.0, len(shard.keys)) if floors[s] is None else (floors[s], bisect_left(shard.keys, floor_keys[s]))
-            found, score = shard.best(at[edges[s] : edges[s + 1]].tolist(), k, floor, before)
-            sets.append(np.full(len(found), ids[s]))
-            docs += [shard.keys[i] for i in found]
-            scores.append(score)
-    joined = lambda parts, kind: np.concatenate([*parts, np.zeros(0, kind)]).astype(kind)
-    return pa.table({"set": joined(sets, np.int64), key: pa.array(docs, kind), "score": joined(scores, np.float64)})
+        at = pc.fill_null(pc.index_in(terms.flatten(), value_set=shard.terms), -1).to_numpy().astype(np.int64)
+        lengths = pc.list_value_length(terms).to_numpy()
+        edges = np.cumsum(lengths) - lengths
+        ids, floor_keys = sheet.column("set").to_numpy(), sheet.column("floor_key").to_pylist()
+        floor = pc.fill_null(sheet.column("floor"), -1.0).to_numpy()
+        before = np.array([len(shard.keys) if x is None else bisect_left(shard.keys, x) for x in floor_keys], np.int64)
+        held = np.minimum.reduceat(at, edges) >= 0
+        for m in np.unique(lengths[held]).tolist():
+            some = np.flatnonzero(held & (lengths == m))
+            own = at[edges[some][:, None] + np.arange(m)]
+            read = shard.n_places[own[:, 0]] if m == 1 else shard.n_docs[own].min(1)
+            for piece in _pieces(np.arange(len(some)), read, MET):
+                of, found, score = shard.best(own[piece], k, floor[some[piece]], before[some[piece]])
+                sets.append(ids[some[piece]][of])
+                docs += [shard.keys[i] for i in found.tolist()]
+                scores.append(score)
+    return pa.table({"set": np.concatenate(sets), key: pa.array(docs, kind), "score": np.concatenate(scores)})
 
 
 def _searcher(path: str, weights: Sequence[float], key: str, k: int) -> Callable[[pa.Table], pa.Table]:

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -194,6 +195,41 @@ def test_fulltext_writes_no_pairs(spark, monkeypatch):
     assert max(written) <= len(queries) * 3
 
 
+def test_fulltext_meets_sets_together(monkeypatch):
+    """A shard meets all sets of as many terms at once, and gives the ranks of ``rank_of`` to the last digit, with and without floors."""
+    rng, weights = np.random.default_rng(9), (1.0, float(np.float32(0.1)))
+    words = [f"w{i}" for i in range(30)]
+    texts = [tuple(" ".join(rng.choice(words, n, p=np.arange(30, 0, -1) / 465)) for n in (int(rng.integers(0, 4)), int(rng.integers(0, 160)))) for _ in range(150)]
+    texts += [("w1 w2", "w3 w4 " * 300)] * 30
+    keys = rng.permutation(len(texts)).tolist()
+    table = pa.Table.from_batches([fulltext._shard(0, keys, pa.int64(), texts, {})])
+    sets = [sorted(rng.choice(words, n, replace=False).tolist()) for n in (1, 2, 3, 4) for _ in range(12)] + [["w3", "w4"], ["nowhere"], ["w1", "nowhere"]]
+    at = {}
+    for key, fields in zip(keys, texts, strict=True):
+        base = 1
+        for weight, text in zip(weights, fields, strict=True):
+            for i, w in enumerate(text.split()):
+                at.setdefault(key, {}).setdefault(w, []).append((base + i, weight))
+            base += len(text.split())
+    wanted = {}
+    for s, terms in enumerate(sets):
+        scored = [(-fulltext.rank_of([tuple(zip(*own[t], strict=True)) for t in terms]), key) for key, own in at.items() if all(t in own for t in terms)]
+        wanted[s] = sorted(scored)[:8]
+    met, meet = [], fulltext._Shard.meet
+    monkeypatch.setattr(fulltext._Shard, "meet", lambda self, terms: met.append(1) or meet(self, terms))
+
+    def found(floors):
+        sheet = pa.table({"set": range(len(sets)), "terms": pa.array(sets, pa.list_(pa.string())), "floor": pa.array([f and -f[0] for f in floors], pa.float64()), "floor_key": pa.array([f and f[1] for f in floors], pa.int64())})
+        got = {s: [] for s in range(len(sets))}
+        for row in fulltext._search_shard(table, weights, "key", pa.int64(), 8, sheet).to_pylist():
+            got[row["set"]].append((-row["score"], row["key"]))
+        return {s: sorted(rows) for s, rows in got.items()}
+
+    assert found([None] * len(sets)) == wanted
+    assert len(met) == 4
+    assert found([wanted[s][3] if len(wanted[s]) == 8 else None for s in wanted]) == {s: rows[:3] if len(rows) == 8 else rows for s, rows in wanted.items()}
+
+
 def plain_present(pages, entries):
     norm = lambda s: re.sub(r"\s+", " ", re.sub("[#*]", " ", s.upper()).replace("&", " AND ")).strip()
     bare = lambda s: re.sub(r"\s+", " ", re.sub(r"\([^()]*\)", " ", s)).strip()
