@@ -54,7 +54,7 @@ FIRST, MET, AT_A_TIME, CROSSED = 64, 1 << 17, 1 << 15, 1 << 20
 #: d by distance and its square roots, what a pair beyond 100 words adds (1 - 1e-16 as a double), and from where a rank is 1 as a double.
 NEAR = 1 / (1.005 + 0.05 * np.exp(np.arange(101.0) / 1.5 - 2))
 NEARNESS = np.sqrt(np.concatenate([[0.0], NEAR[1:]]))
-FAR, FULL = 2.0**-53, 45.0
+FAR, FULL = 2.0**-53, 38.0
 _POSTING = "shard long, term string, docs binary, sizes binary, places binary, fields binary"
 
 
@@ -350,8 +350,8 @@ class _Shard:
             take = np.flatnonzero((bound > floor[of]) | (bound >= floor[of]) & (docs < before[of]))
             take = take[np.lexsort((docs[take], -np.minimum(bound[take], 1.0), of[take]))]
             of, rows, docs, bound = of[take], rows[:, take], docs[take], bound[take]
-            nth, slack, sizes = _nth(of), 1e-15 * (16 + self.crossed(rows)), self.sizes[rows].sum(0)
-            about, full, done = np.zeros(len(docs)), np.zeros(len(docs), bool), np.zeros(len(docs), bool)
+            nth, crossed, sizes = _nth(of), self.crossed(rows), self.sizes[rows].sum(0)
+            about, slack, full, done = np.zeros(len(docs)), np.zeros(len(docs)), np.zeros(len(docs), bool), np.zeros(len(docs), bool)
             at, limit, kth, last = 0, max(FIRST, 2 * k), floor, np.full(n, len(self.keys))
             while at <= nth.max(initial=-1):
                 # the highest bounds of each set first; what can't be among the k best is left out unread
@@ -359,6 +359,8 @@ class _Shard:
                 for piece in _pieces(todo, sizes, AT_A_TIME):
                     left = self.logs(rows[:, piece])
                     about[piece], full[piece] = -np.expm1(-left), left > FULL
+                    # rounding, of these sums and of the products, is in proportion to what is left to 1
+                    slack[piece] = 1e-15 * (16 + np.exp(-left) * (crossed[piece] * (1 + left) + 80 * left))
                 done[todo] = True
                 kth = np.maximum(kth, _kth(of[done], (about - slack)[done], k, n, -1.0))
                 certain = done & full
